@@ -35,10 +35,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a task holds few texts however long they are."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Arrow batches of ``rows`` rows, so that a task holds few texts however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def words_of(text: Column) -> Column:
@@ -67,3 +65,19 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def map_columns(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df`` batch by batch through ``fn``: it gets the columns as Python lists (nulls are None) and returns columns."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for b in batches:
+            out = fn(*(c.to_pylist() for c in b.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+
+    return df.mapInArrow(run, schema)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from tonearm.llm.language import op4_language_id
 from tonearm.llm.quality import op1_quality_rules
+from tonearm.llm.secrets import op2_secret_scans
+from tonearm.llm.topk import ORACLE as TOP_K
+from tonearm.llm.topk import op3_exact_top_k
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scans": op2_secret_scans,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_language_id": op4_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_exact_top_k": TOP_K}
