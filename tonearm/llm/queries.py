@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tonearm.llm.bpe import op9_byte_bpe
 from tonearm.llm.language import op4_language_id
+from tonearm.llm.packing import op8_best_fit_packing
+from tonearm.llm.pii import op10_pii
 from tonearm.llm.quality import op1_quality_rules
 from tonearm.llm.secrets import op2_secret_scans
 from tonearm.llm.topk import ORACLE as TOP_K
@@ -13,6 +16,9 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {"op3_exact_top_k": TOP_K}
