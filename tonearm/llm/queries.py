@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tonearm.llm.bpe import op9_byte_bpe
+from tonearm.llm.jaccard import op7_ngram_jaccard_join
 from tonearm.llm.language import op4_language_id
 from tonearm.llm.packing import op8_best_fit_packing
 from tonearm.llm.pii import op10_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
