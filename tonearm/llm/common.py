@@ -26,7 +26,13 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonearm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")  # what was shuffled for the table is of no use once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,7 +41,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of ``rows`` rows, so that a task holds few texts however long they are."""
+    """Arrow batches of ``rows`` rows and 16 MB, so that a task holds few texts however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
