@@ -225,9 +225,9 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their component, with all their columns."""
-    found = similar(docs, percent, id_col=id_col, text_col=text_col)
+    found = similar(docs, percent, n, id_col=id_col, text_col=text_col)
     go = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(go, id_col, "left_anti").select(*docs.columns)
 

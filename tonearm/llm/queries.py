@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tonearm.llm.bpe import op9_byte_bpe
+from tonearm.llm.chains import op5_substring_dedup
 from tonearm.llm.jaccard import op7_ngram_jaccard_join
 from tonearm.llm.language import op4_language_id
 from tonearm.llm.packing import op8_best_fit_packing
 from tonearm.llm.pii import op10_pii
 from tonearm.llm.quality import op1_quality_rules
 from tonearm.llm.secrets import op2_secret_scans
+from tonearm.llm.suffixes import op6_suffix_array_dedup
 from tonearm.llm.topk import ORACLE as TOP_K
 from tonearm.llm.topk import op3_exact_top_k
 
@@ -17,6 +19,8 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
