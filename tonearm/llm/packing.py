@@ -53,7 +53,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def _encoder(vocabulary: str, tokenizer) -> Encoder:
     """One encoder for each vocabulary and worker process, so that its memory lasts over tasks."""
     if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(lambda x: [e.ids for e in tokenizer.encode_batch(x, add_special_tokens=False)])
+        _ENCODERS[vocabulary] = Encoder(lambda x: [e.ids for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)])
     return _ENCODERS[vocabulary]
 
 

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Pieces remembered; the memory starts anew when full.
-REMEMBERED = 400_000
+#: Pieces that each of two generations remembers.
+REMEMBERED = 300_000
 _PLAIN = re.compile(r"\s \s|^ \s|\s $|^ $|[\x1c-\x1f\x85᠎​-‏ - ﻿]")
 
 
@@ -40,41 +39,64 @@ def json_tokenizer(path: str):
     return t
 
 
+#: Signs that end a run of letters wherever they stand after one.
+_SIGNS = ".,!?;:"
+
+
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, as bytes. ``encode_many`` maps a list of strings to lists of ids."""
+    """Little-endian unsigned 32-bit ids of texts, as bytes. ``encode_many`` maps a list of strings to lists of ids.
+
+    Pieces live in two generations: a full one becomes the older, and what is used again moves to the younger. A piece
+    that ends in signs after an ASCII letter is its word's ids, then the signs'.
+    """
 
     def __init__(self, encode_many) -> None:
-        self.encode_many, self.known = encode_many, {}
+        self.encode_many, self.known, self.older = encode_many, {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.encode_many(texts)]
+        return [array("I", ids).tobytes() for ids in self.encode_many(texts)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
+    def _learn(self, pieces) -> None:
+        """Make sure that ``known`` has all of these pieces."""
+        known, older = self.known, self.older
         if len(known) > REMEMBERED:
-            known.clear()
-        cut: list[list[str] | None] = []
+            self.older = older = known
+            self.known = known = {}
         new: dict[str, None] = {}
+        made: list[tuple[str, str, str]] = []
+        for p in pieces:
+            if p in known:
+                continue
+            if p in older:
+                known[p] = older[p]
+                continue
+            word = p.rstrip(_SIGNS)
+            if word != p and word[-1:].isascii() and word[-1:].isalpha():
+                made.append((p, word, p[len(word) :]))
+                for x in made[-1][1:]:
+                    if x not in known and (x not in older or known.setdefault(x, older[x]) is None):
+                        new[x] = None
+            else:
+                new[p] = None
+        fresh = list(new)
+        known.update(zip(fresh, self._ids(fresh), strict=True))
+        for p, word, signs in made:
+            known[p] = known[word] + known[signs]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut: list[list[str] | None] = []
         for t in texts:
             if _PLAIN.search(t):
                 cut.append(None)
                 continue
             first, *rest = t.split(" ")
-            parts = [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
-            cut.append(parts)
-            new.update(dict.fromkeys(p for p in parts if p not in known))
-        if new:
-            fresh = list(new)
-            known.update(zip(fresh, self._ids(fresh), strict=True))
-        get = known.__getitem__
+            cut.append([*([first] if first else []), *map(" ".__add__, rest)])
+        self._learn({p: None for c in cut if c for p in c})
+        get = self.known.__getitem__
         return [b"".join(map(get, c)) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut, strict=True)]
 
     def encode_pieces(self, text: str, ends: list[int]) -> list[bytes]:
         """The ids of each piece of a text that is cut at ``ends``."""
         pieces = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
-        known.update(zip(new, self._ids(new), strict=True))
-        return [known[p] for p in pieces]
+        self._learn(dict.fromkeys(pieces))
+        return [self.known[p] for p in pieces]
