@@ -6,8 +6,9 @@ between them, so a query set that has too few of its tokens in a group's union c
 groups that pass are opened.
 
 The matrix holds for each document only its prefix: in a fixed order of all tokens (those of a bounded list of very
-common ones last) the first tokens, so many that two sets of the wanted similarity share one. The order changes which
-groups are tried, never which links are found.
+common ones last) the first tokens, so many that two sets of the wanted similarity share a set number of them, which
+grows with the set. Groups whose unions share fewer, or whose members' sizes lie too far apart, are not tried. The
+order changes which groups are tried, never which links are found.
 
 Null and empty texts have empty sets: they link with nothing and are their own component. Repeated rows are one class.
 Rows with a null id are left out of links; each is returned with a null component. An empty table gives an empty
@@ -65,6 +66,11 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(n: int, percent: int) -> int:
+    """How many tokens the prefixes of similar sets have to share: few for small sets, never more than they must."""
+    return min(needed(n, percent), 4 + n // 50)
+
+
 def _set_key(s: np.ndarray) -> str:
     return xxhash.xxh128_hexdigest(s.tobytes())
 
@@ -162,33 +168,39 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     sent = spark.sparkContext.broadcast(common)
 
     def prefixes(ids, texts):
-        low, high, prefix, sizes = [], [], [], []
+        low, high, prefix, sizes, least = [], [], [], [], []
         for t in texts:
             s = shingles(t, n)
             low.append(_signed(s[:1])[0])
             high.append(_signed(s[-1:])[0])
             sizes.append(len(s))
-            prefix.append(_signed(_ranked(s, sent.value)[: len(s) - needed(len(s), percent) + 1]))
-        return [ids, low, high, sizes, prefix]
+            least.append(shared_least(len(s), percent))
+            prefix.append(_signed(_ranked(s, sent.value)[: len(s) - needed(len(s), percent) + least[-1]]))
+        return [ids, low, high, sizes, least, prefix]
 
     chosen = plain.join(reps, "doc_id", "left_semi")
-    prefix = saved(map_columns(chosen, prefixes, "doc_id long, low long, high long, size long, prefix array<long>"))
+    prefix = saved(map_columns(chosen, prefixes, "doc_id long, low long, high long, size long, least int, prefix array<long>"))
     rows = prefix.select("doc_id", F.explode("prefix").alias("t"))
     shared = rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
     live = saved(rows.join(shared, "t"))
 
     # groups: documents with the same least and greatest hash, dealt into blocks of bounded size
-    info = prefix.select("doc_id", "low", "high", "size").join(live.select("doc_id").distinct(), "doc_id", "left_semi")
-    weight = info.groupBy("low", "high").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    info = prefix.select("doc_id", "low", "high", "size", "least").join(live.select("doc_id").distinct(), "doc_id", "left_semi")
+    weight = info.groupBy("low", "high").agg(
+        F.count("*").alias("n"), F.sum("size").alias("w"), F.min("least").alias("l"), F.min("size").alias("s"), F.max("size").alias("z")
+    )
     blocks = F.greatest(F.ceil(F.col("n") / GROUP_DOCS), F.ceil(F.col("w") / GROUP_TOKENS))
     grouped = saved(
-        info.join(weight, ["low", "high"]).select(
-            "doc_id", "n", F.xxhash64("low", "high", F.pmod(F.xxhash64("doc_id"), blocks)).alias("g")
+        info.select("doc_id", "low", "high").join(weight, ["low", "high"]).select(
+            "doc_id", "l", "s", "z", F.xxhash64("low", "high", F.pmod(F.xxhash64("doc_id"), blocks)).alias("g")
         )
     )
-    matrix = live.join(grouped.select("doc_id", "g"), "doc_id").select("t", "g").distinct()
-    a, b = matrix.select("t", F.col("g").alias("g1")), matrix.select("t", F.col("g").alias("g2"))
-    pairs = a.join(b, "t").where("g1 < g2").select("g1", "g2").distinct()
+    matrix = live.join(grouped, "doc_id").select("t", "g", "l", "s", "z").distinct()
+    sides = [matrix.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("g", "l", "s", "z"))) for i in (1, 2)]
+    near = (100 * F.col("z1") >= percent * F.col("s2")) & (100 * F.col("z2") >= percent * F.col("s1"))
+    tried = sides[0].join(sides[1], "t").where((F.col("g1") < F.col("g2")) & near)
+    enough = tried.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.least("l1", "l2")).alias("l")).where("n >= l")
+    pairs = enough.select("g1", "g2")
     alone = grouped.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = saved(pairs.unionByName(alone))
     tried = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
