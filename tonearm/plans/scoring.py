@@ -40,7 +40,7 @@ PATTERNS = f"""list_filter([case when regexp_matches({NAMES}, 'ch [1-5]|channel
 BAD = "regexp_matches({0}, 'audiobook|spoken word|language instruction|sound effect|sfx|test tone|silence|noise')"
 SEMI = "regexp_matches({0}, 'field recording|environmental sound|applause|crowd noise')"
 STORY = "(" + " + ".join(f"contains({{0}}, '{w}')::int" for w in L.STORY) + ") >= 2"
-HYGIENE = "greatest(0, 1.0 - case when coalesce(t.title, '') = '' then 0.15 else 0 end - case when coalesce(t.filename, '') = '' then 0.1 else 0 end - case when coalesce(t.tags, '') = '' then 0.05 else 0 end - case when t.bitrate > 0 and t.bitrate < 64 then 0.1 else 0 end - case when t.bitrate > 0 and t.bitrate < 32 then 0.15 else 0 end - case when contains(lower(coalesce(t.title, '')), 'untitled') then 0.1 else 0 end)::double"
+HYGIENE = "greatest(0, 1.0::double - case when coalesce(t.title, '') = '' then 0.15 else 0 end - case when coalesce(t.filename, '') = '' then 0.1 else 0 end - case when coalesce(t.tags, '') = '' then 0.05 else 0 end - case when t.bitrate > 0 and t.bitrate < 64 then 0.1 else 0 end - case when t.bitrate > 0 and t.bitrate < 32 then 0.15 else 0 end - case when contains(lower(coalesce(t.title, '')), 'untitled') then 0.1 else 0 end)::double"
 PROMPTS_SQL = "(select track_id, (track_id % 7 - 3) / 20.0::double as margin, (track_id % 7) / 20.0::double as positive, 3 / 20.0::double as negative, 'silence or test tone' as strongest from v_tracks where track_id % 5 < 3)"
 
 
@@ -51,7 +51,7 @@ def _score_sql(evidence: bool, prompts: bool, where: str = "") -> str:
         coalesce(p.margin, 0) as margin, coalesce(p.positive, 0) as positive, coalesce(p.negative, 0) as negative, p.strongest, {META.format('a.')} as meta, {PATTERNS} as patterns, {HYGIENE} as hygiene, least(1.0::double, coalesce(t.quality, 0)) as q
       from v_tracks t left join v_albums a on a.album_id = t.album_id left join {e} e on e.album_id = t.album_id left join {p} p on p.track_id = t.track_id {where}),
     c as (select *, {BAD.format('meta')} as bad, {SEMI.format('meta')} as half, {STORY.format('meta')} as tells, {DURATION} as dur, case when n_positive > 0 then greatest(0.0, {AVG_CURVE.format('avg_duration')} * (1 - short60)) else 0.0 end as shape from j),
-    d as (select *, case when positive = 0 and negative = 0 then greatest(0.0, 0.5 - case when bad then 0.3 else 0 end - case when half then 0.15 else 0 end - 0.2 * len(patterns))::double
+    d as (select *, case when positive = 0 and negative = 0 then greatest(0.0, 0.5::double - case when bad then 0.3 else 0 end - case when half then 0.15 else 0 end - 0.2 * len(patterns))::double
         when margin > 0 then 0.5 + least(0.5, margin * 1.5) else 0.5 - least(0.5, -margin * 1.5) end as content from c),
     s as (select *, case when duration <= 0 then 0 else round((dur * 0.30::double + shape * 0.25::double + content * 0.25::double + q * 0.15::double + hygiene * 0.05::double) * 10000) / 10000 end as score from d),
     r as (select *, case when duration < 60 or duration > 2700 then 'excluded' when duration > 1800 and score >= 0.25 then 'longform_candidate' when duration > 1800 or bad or tells then 'excluded' when score >= 0.25 then 'default' else 'excluded' end as stream,
