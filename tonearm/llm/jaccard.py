@@ -181,7 +181,7 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     chosen = plain.join(reps, "doc_id", "left_semi")
     prefix = saved(map_columns(chosen, prefixes, "doc_id long, low long, high long, size long, least int, prefix array<long>"))
     rows = prefix.select("doc_id", F.explode("prefix").alias("t"))
-    shared = rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
+    shared = saved(rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"))
     live = saved(rows.join(shared, "t"))
 
     # groups: documents with the same least and greatest hash, dealt into blocks of bounded size

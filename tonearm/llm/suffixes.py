@@ -163,22 +163,23 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 512)
     occurrences = _occurrences(docs)
-    again = occurrences.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # what is joined to hot buckets is a table, so that both sides are plain shuffles, whose large parts Spark splits
+    again = saved(occurrences.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     found = saved(occurrences.join(again, "bucket"))
     each = found.groupBy("ctx").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "rel")).alias("r"), F.min("bucket").alias("bucket")
     )
     each = saved(each.select("ctx", "bucket", F.least("n", F.lit(2)).cast("int").alias("w"), "r.*"))
     kinds = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("w").alias("least")).where("n > 1 and least = 1").select("bucket")
-    open_ = each.join(kinds, "bucket")
+    open_ = each.join(saved(kinds), "bucket")
     runs = open_.groupBy("key").agg(F.collect_list(F.struct("ctx", "w", "first", "count", "rel")).alias("runs"))
     small_batches(spark, 256)
     parts = saved(_stretches(docs.join(runs, "key").select("text", "runs")))
     slim = parts.drop("windows")
-    hulls = slim.groupBy("hull").agg(F.least(F.sum("w"), F.lit(2)).cast("int").alias("hw"))
+    hulls = saved(slim.groupBy("hull").agg(F.least(F.sum("w"), F.lit(2)).cast("int").alias("hw")))
     known = saved(slim.join(hulls, "hull").select("ctx", "stretch", "near", "far", "w", "core", "hw"))
     cores = known.groupBy("core").agg(F.sum("w").alias("cw"), F.min("hw").alias("hw")).where("cw > 1 and hw = 1").select("core")
-    doubt = known.join(cores, "core").select("ctx", "stretch", "hw")
+    doubt = known.join(saved(cores), "core").select("ctx", "stretch", "hw")
 
     def single(ctxs, nears, hws, windows):
         ctx, d, w, name = [], [], [], []
@@ -193,11 +194,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     small_batches(spark, 4096)
     opened = doubt.join(parts.select("ctx", "stretch", "near", "windows"), ["ctx", "stretch"]).select("ctx", "near", "hw", "windows")
     alone = saved(map_columns(opened, single, "ctx long, d int, w int, name long"))
-    twice = alone.groupBy("name").agg(F.sum("w").alias("n")).where("n > 1").select("name")
+    twice = saved(alone.groupBy("name").agg(F.sum("w").alias("n")).where("n > 1").select("name"))
     more = alone.where("w = 1").join(twice, "name").select("ctx", F.col("d").alias("near"), F.col("d").alias("far"))
     kept = known.where("w = 1 and hw > 1").select("ctx", "near", "far").unionByName(more)
     lists = kept.groupBy("ctx").agg(F.collect_list(F.struct("near", "far")).alias("parts"))
-    state = each.select("ctx", "w").join(lists, "ctx", "left").where("w > 1 or parts is not null")
+    state = saved(each.select("ctx", "w").join(lists, "ctx", "left").where("w > 1 or parts is not null"))
     whole = F.array(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1).alias("hi")))
     anchor = F.col("first") + F.col("rel")
     some = F.transform("parts", lambda p: F.struct((anchor - p["far"]).alias("lo"), (anchor - p["near"]).alias("hi")))
