@@ -69,14 +69,6 @@ def status_fold(events: DataFrame) -> DataFrame:
     return events.groupBy("item_id").agg(latest, F.max("ts").alias("ts"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    """Run what is there to the end, into an in-memory table, with state in the checkpoint folder."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    q = q.trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
-
-
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A folder of event files as a stream."""
     schema = spark.read.parquet(path).schema
