@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tonearm.llm.common import map_columns, saved, small_batches
 from tonearm.llm.components import components
+from tonearm.llm.hashing import word_hashes
 
 #: Tokens in the list of common ones at most (it is sent to all tasks), and the documents a token needs to be there.
 COMMON, COMMON_DOCS = 100_000, 16
@@ -31,28 +32,14 @@ COMMON, COMMON_DOCS = 100_000, 16
 GROUP_DOCS, GROUP_TOKENS = 256, 131_072
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_WORDS = _Hashes()
-
-
 def shingles(text: str | None, n: int = 3) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text, lower-cased in A-Z only; short texts are one shingle."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    if len(h) < n:  # the whole sequence, told apart from shingles by its length
+        return np.array([xxhash.xxh64_intdigest(h.tobytes(), 1)], np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
         out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
@@ -246,3 +233,15 @@ def one_of_each(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "d
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as x from (select doc_id, ws, unnest(generate_series(1, len(ws) - 2)) as i from w where len(ws) > 2)
+      union all select doc_id, array_to_string(ws, ' ') from w where len(ws) in (1, 2)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 90 * (p.n + q.n - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, (select min(r.b) from r where r.a = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id
+"""

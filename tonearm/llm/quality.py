@@ -141,4 +141,23 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return quality(docs).drop("broken_rules")
+    return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_BREAKS = " or ".join(f"{metric} {op} {bound}" for _, metric, op, bound in THRESHOLDS)
+ORACLE = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+g as (select doc_id, unnest(generate_series(1, len(ws) - 2)) as i, ws from w),
+h as (select doc_id, i, count(*) over (partition by doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) as n from g),
+r as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from h where n > 1) group by doc_id),
+m as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+        cast(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) as bigint) as n_symbols, length(t) - length(replace(t, '!', '')) as bangs,
+        cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, len(ls) as n_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words,
+        len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in WRITTEN)}], x))) as stops from w left join r on r.doc_id = w.doc_id),
+k as (select *, n_repeat_words::double / greatest(n_words, 1) as repeat_ratio, n_symbols::double / greatest(n_words, 1) as symbol_ratio, bangs::double / greatest(n_words, 1) as bang_ratio,
+        stops::double / greatest(n_words, 1) as stop_ratio, word_chars::double / greatest(n_words, 1) as mean_word_length, n_dup_lines::double / greatest(n_lines, 1) as dup_line_ratio,
+        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({_BREAKS}) as kept from k
+"""

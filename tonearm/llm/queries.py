@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tonearm.llm.bpe import op9_byte_bpe
 from tonearm.llm.chains import op5_substring_dedup
+from tonearm.llm.jaccard import ORACLE as JACCARD
 from tonearm.llm.jaccard import op7_ngram_jaccard_join
 from tonearm.llm.language import op4_language_id
 from tonearm.llm.packing import op8_best_fit_packing
 from tonearm.llm.pii import op10_pii
+from tonearm.llm.quality import ORACLE as QUALITY
 from tonearm.llm.quality import op1_quality_rules
 from tonearm.llm.secrets import op2_secret_scans
 from tonearm.llm.suffixes import op6_suffix_array_dedup
@@ -27,4 +29,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": TOP_K}
+ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY, "op3_exact_top_k": TOP_K, "op7_ngram_jaccard_join": JACCARD}

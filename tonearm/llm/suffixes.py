@@ -22,56 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.common import map_columns, saved, small_batches, unused
+from tonearm.llm.hashing import Powers, mix, names, prefix_sums
 
 LENGTH, Q, STRETCH = 200, 50, 16
 #: Bytes of a text that are looked at together; longer texts overlap by a window less a byte.
 SEGMENT = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(a: np.ndarray) -> np.ndarray:
-    a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return a ^ (a >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as they were asked for."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            steps = [np.full(max(n, 1 << 16), b % 2**64, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
-            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), s]), dtype=np.uint64) for s in steps)
-        return cls.up, cls.down
-
-
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    up, _ = _Powers.upto(len(raw) + 1)
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64, out=out[1:])
-    return out
-
-
-def names(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each string (start, length): equal strings have equal names."""
-    _, down = _Powers.upto(len(sums))
-    return _mix((sums[starts + lengths] - sums[starts]) * down[starts]) ^ _mix(lengths.astype(np.uint64))
 
 
 def gram_names(sums: np.ndarray, q: int = Q) -> np.ndarray:
     """The initial bucket of every place: the name of its q-gram."""
-    _, down = _Powers.upto(len(sums))
+    _, down = Powers.upto(len(sums))
     n = len(sums) - q
-    return _mix((sums[q:] - sums[:-q]) * down[:n])
+    return mix((sums[q:] - sums[:-q]) * down[:n])
 
 
 def refine(bucket: np.ndarray, depth: int) -> np.ndarray:
     """Buckets twice as deep, named by the bucket at a place and the bucket ``depth`` bytes on."""
-    return _mix(bucket[:-depth] * np.uint64(0xD6E8FEB86659FD93) + bucket[depth:])
+    return mix(bucket[:-depth] * np.uint64(0xD6E8FEB86659FD93) + bucket[depth:])
 
 
 def anchors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +86,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                     sums = prefix_sums(raw)
                     first, count, at, bucket = anchors(sums)
                     rel = at - first
-                    ctx = names(sums, first, count + LENGTH - 1) ^ _mix((rel * 1024 + count).astype(np.uint64))
+                    ctx = names(sums, first, count + LENGTH - 1) ^ mix((rel * 1024 + count).astype(np.uint64))
                     for o, x in zip(out, (np.full(len(first), key), bucket.view(np.int64), ctx.view(np.int64), first + place, count, rel), strict=True):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], k) for o, k in zip(out, kinds, strict=True)], cols)
@@ -151,7 +118,7 @@ def _stretches(docs: DataFrame) -> DataFrame:
                     inner = (far - k * STRETCH, LENGTH - STRETCH + 1)
                     hull, core = names(sums, np.array([s, inner[0]]), np.array([e - s + LENGTH, inner[1]])).view(np.int64)
                     tag = np.array([a * 512 + b, k], np.uint64)
-                    hull, core = (np.array([hull, core]).view(np.uint64) ^ _mix(tag)).view(np.int64).tolist()
+                    hull, core = (np.array([hull, core]).view(np.uint64) ^ mix(tag)).view(np.int64).tolist()
                     rows.append((r["ctx"], k, a, b, r["w"], hull, core, bucket[s : e + 1][::-1].tobytes()))
         return list(zip(*rows, strict=True)) or [[]] * 8
 
