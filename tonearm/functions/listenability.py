@@ -27,10 +27,8 @@ def _text(*parts: Column) -> Column:
 
 
 def _any(text: Column, terms) -> Column:
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | F.contains(text, F.lit(t))
-    return hit
+    """One search for any of the terms, which hold no special signs."""
+    return text.rlike("|".join(terms))
 
 
 def round4(x: Column) -> Column:
@@ -63,17 +61,19 @@ def album_shape_score(n: Column, avg: Column, short60: Column) -> Column:
 
 
 def title_patterns(title: Column, filename: Column) -> Column:
-    t = _text(title, filename)
-    has = lambda w: F.contains(t, F.lit(w))
-    return F.array_compact(
-        F.array(
-            F.when(_any(t, CHANNELS), "channel_dump_title_pattern"),
-            F.when(has("test tone") | has("testtone"), "test_tone_pattern"),
-            F.when(has("sine") & has("hz"), "sine_wave_pattern"),
-            F.when(has("silence"), "silence_pattern"),
-            F.when(has("noise") & ~has("noisy"), "noise_pattern"),
+    def found(t: Column) -> Column:
+        has = lambda w: F.contains(t, F.lit(w))
+        return F.array_compact(
+            F.array(
+                F.when(_any(t, CHANNELS), "channel_dump_title_pattern"),
+                F.when(has("test tone") | has("testtone"), "test_tone_pattern"),
+                F.when(has("sine") & has("hz"), "sine_wave_pattern"),
+                F.when(has("silence"), "silence_pattern"),
+                F.when(has("noise") & ~has("noisy"), "noise_pattern"),
+            )
         )
-    )
+
+    return F.get(F.transform(F.array(_text(title, filename)), found), F.lit(0))  # the text is made once
 
 
 def non_music(title: Column, creator: Column, subjects: Column, genres: Column) -> Column:
@@ -85,8 +85,10 @@ def semi_non_music(title: Column, creator: Column, subjects: Column, genres: Col
 
 
 def story(title: Column, creator: Column, subjects: Column, genres: Column) -> Column:
+    """Two of the terms at least; one that holds another counts with it."""
     t = _text(title, creator, subjects, genres)
-    return sum((F.contains(t, F.lit(w)).cast("int") for w in STORY), F.lit(0)) >= 2
+    many = sum((F.contains(t, F.lit(w)).cast("int") for w in STORY), F.lit(0)) >= 2
+    return F.when(_any(t, STORY), many).otherwise(False)
 
 
 def metadata_hygiene(title: Column, filename: Column, tags: Column, bitrate: Column) -> Column:
