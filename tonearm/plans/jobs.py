@@ -86,6 +86,16 @@ def scan_list_members(spark, sf_dir):
     return I.scan_list_members(spark, _written(whole, "lists")).select("list_name", "identifier")
 
 
+@query("select '@' || n_nationkey || '-' || lower(replace(n_name, ' ', '-')) as collection_id, n_name as title, count(*) as discovered_count from v_links join nation on n_nationkey = collection_id group by n_nationkey, n_name")
+def import_list(spark, sf_dir):
+    links, n = view(spark, sf_dir, "links"), view(spark, sf_dir, "nation")
+    m = links.join(n, F.col("collection_id") == F.col("n_nationkey"))
+    m = m.select(F.col("n_nationkey").cast("string").alias("list_id"), F.col("n_name").alias("list_name"), F.col("album_id").cast("string").alias("identifier"))
+    known = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"))
+    rows, _, _ = I.import_list(m, known, F.lit(""))
+    return rows
+
+
 @query("select p_brand as identifier from part where p_size = 7 group by p_brand")
 def scan_denylist(spark, sf_dir):
     ids = view(spark, sf_dir, "part").where("p_size = 7").select("p_brand").distinct()

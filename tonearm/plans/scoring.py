@@ -166,6 +166,14 @@ def dot_product(e):
     return j.select("vec_id", F.round(V.dot_product(v, w), 6).alias("dot"), F.round(V.cosine_distance(v, w), 4).alias("distance"))
 
 
+@query("embeddings", sql=f"select vec_id, round(1 - greatest(-1, least(1, -dot)), 4) as distance from {PAIR_SQL}")
+def cosine_distance(e):
+    """Against the next vector turned about and stretched, which changes the sign of the cosine alone."""
+    other = e.select(F.col("vec_id").alias("o"), F.transform("embedding", lambda x: x * -7).alias("w"))
+    j = e.withColumn("o", (F.col("vec_id") + 1) % 100).join(other, "o")
+    return j.select("vec_id", F.round(V.cosine_distance(F.col("embedding"), F.col("w")), 4).alias("distance"))
+
+
 @query("embeddings", sql="select vec_id, len(embedding) as dim, round(embedding[1]::double * 0.6, 6) as first, round(embedding[64]::double * 0.15, 6) as last from embeddings")
 def fuse_features(e):
     f = e.select("vec_id", S.fused(F.col("embedding")).alias("f"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions import metadata as M
@@ -56,6 +56,20 @@ def scan_list_members(spark: SparkSession, path: str) -> DataFrame:
     return lists.select("value.list_name", F.explode("value.members").alias("m")).select("list_name", "m.identifier", "m.date_added")
 
 
+def list_collection_id(list_id: Column, list_name: Column) -> Column:
+    """``@`` and the list's number, then its name in lower case with hyphens for spaces."""
+    return F.concat(F.lit("@"), list_id, F.lit("-"), F.lower(F.replace(list_name, F.lit(" "), F.lit("-"))))
+
+
+def import_list(members: DataFrame, albums: DataFrame, title: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(collection rows, links, new albums) of imported lists (list_id, list_name, identifier); a blank title gives way
+    to the list's name."""
+    m = members.withColumn("collection_id", list_collection_id(F.col("list_id"), F.col("list_name"))).withColumn("title", F.coalesce(F.nullif(title, F.lit("")), "list_name"))
+    rows = m.groupBy("collection_id", "title").agg(F.count_distinct("identifier").alias("discovered_count"))
+    links = m.select("collection_id", "identifier").distinct()
+    return rows, links, links.select("identifier").distinct().join(albums.select("identifier"), "identifier", "left_anti")
+
+
 def scan_denylist(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a JSON array of strings; a missing or unreadable file gives none."""
     try:
