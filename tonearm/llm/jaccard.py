@@ -90,6 +90,18 @@ def _ranked(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
+def _group_of(s: np.ndarray, common: np.ndarray, percent: int) -> list[int]:
+    """Two tokens that name a set's group: the least and the greatest, or, where half of the plain prefix is common,
+    its two least common ones, for edits leave these alone and near copies of one text thus share few groups."""
+    low = s[: len(s) - needed(len(s), percent) + 1]
+    if len(common):
+        at = np.minimum(np.searchsorted(common, low), len(common) - 1)
+        often = low[common[at] == low]
+        if 2 * len(often) >= len(low):
+            return _signed(often[[0, min(1, len(often) - 1)]])
+    return _signed(s[[0, -1]])
+
+
 def _links(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
     """(a, b) links, as stars, between the members of two groups: (ids, sizes, tokens end to end)."""
     sets = [np.split(tokens, np.cumsum(sizes)[:-1]) for _, sizes, tokens in (left, right)]
@@ -144,7 +156,7 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = saved(classes(plain, percent, n))
     known = every.where("doc_id is not null and n_shingles > 0")
-    first = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    first = saved(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     member = saved(known.select("doc_id", "set_key").join(first, "set_key").select("doc_id", "rep"))
     reps = member.where("doc_id = rep").select("doc_id")
 
@@ -158,8 +170,9 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
         low, high, prefix, sizes, least = [], [], [], [], []
         for t in texts:
             s = shingles(t, n)
-            low.append(_signed(s[:1])[0])
-            high.append(_signed(s[-1:])[0])
+            a, b = _group_of(s, sent.value, percent)
+            low.append(a)
+            high.append(b)
             sizes.append(len(s))
             least.append(shared_least(len(s), percent))
             prefix.append(_signed(_ranked(s, sent.value)[: len(s) - needed(len(s), percent) + least[-1]]))
@@ -171,7 +184,7 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     shared = saved(rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"))
     live = saved(rows.join(shared, "t"))
 
-    # groups: documents with the same least and greatest hash, dealt into blocks of bounded size
+    # groups: documents with the same two naming tokens, dealt into blocks of bounded size
     info = prefix.select("doc_id", "low", "high", "size", "least").join(live.select("doc_id").distinct(), "doc_id", "left_semi")
     weight = info.groupBy("low", "high").agg(
         F.count("*").alias("n"), F.sum("size").alias("w"), F.min("least").alias("l"), F.min("size").alias("s"), F.max("size").alias("z")
