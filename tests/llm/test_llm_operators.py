@@ -279,6 +279,14 @@ def test_remembered_pieces_change_nothing(monkeypatch):
         assert e.encode(texts) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
+def test_ranks_give_the_librarys_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, ranked = tokens.json_tokenizer(path), tokens.ranked_encoding(path)
+    signs = ["a", "th", "ing", " ", " ", "\n", "'ll", "'", "7", "é", "ß", "!", "--", "\u3000", "\u00a0", "\x1c", "\x85", "½", "한", "🎵", "<|endoftext|>", "\r"]
+    texts = ["".join(RNG.choice(signs) for _ in range(RNG.randint(0, 20))) for _ in range(5000)] + [t or "" for t in TEXTS]
+    assert [ranked.encode_ordinary(t) for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pii(docs, empty):
     kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     ok = [

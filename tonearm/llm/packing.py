@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.llm.common import map_columns, saved, small_batches
-from tonearm.llm.tokens import Encoder, json_tokenizer
+from tonearm.llm.tokens import Encoder, json_encoder
 
 SIZE, END = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -34,8 +34,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     small_batches(docs.sparkSession, 512)
 
     def run(ids, texts):
-        tokenizer = json_tokenizer(vocabulary)
-        encoder = _encoder(vocabulary, tokenizer)
+        encoder = _encoder(vocabulary)
         out = []
         for doc, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
             raw += END.to_bytes(4, "little")
@@ -50,10 +49,10 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(vocabulary: str, tokenizer) -> Encoder:
+def _encoder(vocabulary: str) -> Encoder:
     """One encoder for each vocabulary and worker process, so that its memory lasts over tasks."""
     if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(lambda x: [e.ids for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)])
+        _ENCODERS[vocabulary] = Encoder(json_encoder(vocabulary))
     return _ENCODERS[vocabulary]
 
 

@@ -39,6 +39,46 @@ def json_tokenizer(path: str):
     return t
 
 
+#: Fixed value: how a byte-level pre-tokenizer splits text unless told otherwise.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(maxsize=4)
+def ranked_encoding(path: str):
+    """The tokenizer of a JSON file as a rank encoding, which gives the same ids in a third of the time; None where
+    the file asks for more than byte-level pairs whose ids are in the order of their merges."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, split = whole["model"], whole.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(
+        (whole.get("normalizer"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("byte_fallback"), model.get("ignore_merges"))
+    )
+    if not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    added = {t["content"] for t in whole.get("added_tokens", ())}
+    ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(ranks) != len(merged) + 256:
+        return None
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
+def json_encoder(path: str):
+    """A function from texts to lists of ids by a tokenizers file, special tokens being ordinary text."""
+    ranked = ranked_encoding(path)
+    if ranked:
+        return lambda texts: [ranked.encode_ordinary(t) for t in texts]
+    tokenizer = json_tokenizer(path)
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 #: Signs that end a run of letters wherever they stand after one.
 _SIGNS = ".,!?;:"
 
