@@ -135,8 +135,10 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of ``docs`` that pass, with all their columns, in the same pass over the data."""
     mark = unused(docs, "quality_row")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), F.col(text_col).alias("text"))
-    verdict = quality(whole).where("kept").select(F.col("doc_id").alias(mark))
-    return verdict.select(f"{mark}.*")
+    verdict = quality(whole).select(F.col("doc_id").alias(mark), "kept", F.monotonically_increasing_id().alias("place"))
+    # the row's place keeps the filter above the projection: below it, the whole rule would be evaluated again for
+    # each part of it, and the words for every word
+    return verdict.where("kept and place >= 0").select(f"{mark}.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
