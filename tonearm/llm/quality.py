@@ -151,8 +151,8 @@ ORACLE = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
-g as (select doc_id, unnest(generate_series(1, len(ws) - 2)) as i, ws from w),
-h as (select doc_id, i, count(*) over (partition by doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) as n from g),
+g as (select doc_id, unnest(generate_series(1, len(ws) - 2)) as i, unnest(list_transform(generate_series(1, len(ws) - 2), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) as x from w),
+h as (select doc_id, i, count(*) over (partition by doc_id, x) as n from g),
 r as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from h where n > 1) group by doc_id),
 m as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
         cast(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) as bigint) as n_symbols, length(t) - length(replace(t, '!', '')) as bangs,
