@@ -184,7 +184,7 @@ def store_vectors(spark, sf_dir):
 def _letters(texts):
     import numpy as np
 
-    return np.array([np.bincount(np.frombuffer(t[:256].encode(), np.uint8) % 16, minlength=16) for t in texts], float).reshape(-1, 16)
+    return np.array([np.bincount(np.frombuffer(t.encode(), np.uint8) % 16, minlength=16) for t in texts], float).reshape(-1, 16)
 
 
 def _halves(frames):
