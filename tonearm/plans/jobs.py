@@ -145,9 +145,16 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") % 50).alias("track_id"), F.floor(F.col("vec_id") / 50).cast("int").alias("frame_no"), F.lit(48000).alias("sample_rate"), samples.alias("samples"))
 
 
+def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as tracks of 50, so that tracks grow in number and not in length."""
+    e = view(spark, sf_dir, "embeddings")
+    samples = F.flatten(F.array_repeat("embedding", 32))
+    return e.select(F.expr("vec_id div 50").alias("track_id"), (F.col("vec_id") % 50).cast("int").alias("frame_no"), F.lit(48000).alias("sample_rate"), samples.alias("samples"))
+
+
 @query()
 def frame_spectra(spark, sf_dir):
-    return A.frame_spectra(_frames(spark, sf_dir))
+    return A.frame_spectra(_tracks(spark, sf_dir))
 
 
 @query("""select vec_id % 50 as track_id, vec_id // 50 as frame_no, round(list_max(list_transform(embedding, lambda x: abs(x::double))), 6) as peak, round(32 * list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as squares, 2048::int as n from embeddings""")
@@ -159,7 +166,7 @@ def crest_parts(spark, sf_dir):
 
 @query()
 def pool_quality(spark, sf_dir):
-    f = _frames(spark, sf_dir)
+    f = _tracks(spark, sf_dir)
     return A.pool_quality(A.frame_spectra(f), A.crest_parts(f))
 
 
@@ -187,10 +194,10 @@ def _letters(texts):
     return np.array([np.bincount(np.frombuffer(t.encode(), np.uint8) % 16, minlength=16) for t in texts], float).reshape(-1, 16)
 
 
-def _halves(frames):
+def _whole(frames):
     import numpy as np
 
-    return np.stack([np.asarray(f, float)[:48] for f in frames])
+    return np.stack([np.asarray(f, float) for f in frames])
 
 
 @query()
@@ -202,8 +209,8 @@ def embed_column(spark, sf_dir):
 @query()
 def analyze_tracks(spark, sf_dir):
     e = view(spark, sf_dir, "embeddings")
-    coef = e.select((F.col("vec_id") % 50).alias("track_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 20).alias("coef"))
-    return A.analyze_tracks(_frames(spark, sf_dir), coef, _halves)
+    coef = e.select(F.expr("vec_id div 50").alias("track_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 20).alias("coef"))
+    return A.analyze_tracks(_tracks(spark, sf_dir), coef, _whole)
 
 
 # ---------------------------------------------------------------- streams
