@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import map_columns, saved, small_batches
+from tonearm.llm.common import map_columns, saved, small_batches, unused
 from tonearm.llm.components import components
 from tonearm.llm.hashing import word_hashes
 
@@ -238,10 +238,35 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
 
 
 def one_of_each(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component, with all their columns."""
+    """The rows of ``docs`` that have the smallest id of their component, with all their columns.
+
+    Of rows with one id and equal sets one stays. Rows with null ids go where any row with an id has their set; of others
+    with equal sets one stays.
+    """
     found = similar(docs, percent, n, id_col=id_col, text_col=text_col)
     go = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(go, id_col, "left_anti").select(*docs.columns)
+    h, k, size, r = (unused(docs, x) for x in ("text_hash", "set_key", "set_size", "row"))
+    named, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    again = named.groupBy(id_col).agg(F.count("*").alias(size)).where(F.col(size) > 1).select(id_col)
+    again = saved(again.join(go, id_col, "left_anti"))
+    out = named.join(go.unionByName(again), id_col, "left_anti").select(*docs.columns)
+    odd = saved(named.join(again, id_col, "left_semi").select(*docs.columns).unionByName(nameless))
+    if odd.isEmpty():
+        return out
+
+    def keys(df: DataFrame) -> DataFrame:
+        small_batches(df.sparkSession, 512)
+        texts = df.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
+        return classes(texts, percent, n).select(F.col("doc_id").alias(h), F.col("set_key").alias(k), F.col("n_shingles").alias(size)).distinct()
+
+    odd = odd.withColumn(h, F.xxhash64(text_col)).join(keys(odd), h)
+    empty = F.col(id_col).isNull() & (F.col(size) == 0)  # linked with nothing
+    known = odd.where(F.col(id_col).isNotNull())
+    if not nameless.isEmpty():
+        strange = odd.where(F.col(id_col).isNull() & (F.col(size) > 0))
+        known = known.unionByName(strange.join(keys(named).select(k), k, "left_anti").select(*odd.columns))
+    one = known.groupBy(id_col, k).agg(F.min_by(F.struct(*docs.columns), F.coalesce(text_col, F.lit(""))).alias(r)).select(f"{r}.*")
+    return out.unionByName(one).unionByName(odd.where(empty).select(*docs.columns))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
