@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where the setting is absent."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only on one machine without the setting."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = getattr(spark, "_tonearm_shared", None) or tempfile.mkdtemp(prefix="spark-tonearm-")
         spark._tonearm_shared = known
     return known.rstrip("/")
@@ -33,17 +37,33 @@ def saved(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove ``saved`` tables. Only for those whose readers have all been saved themselves, so that none reads them again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of ``rows`` rows and 16 MB, so that a task holds few texts however long they are."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of a batch's rows that are looked at together.
+SLICE = 16 << 20
+
+
+def slices(batches, rows: int = 512) -> Iterator:
+    """Record batches of ``rows`` rows and about SLICE bytes at most, so that few texts are Python objects at once."""
+    for b in batches:
+        step = max(1, min(rows, rows if b.nbytes <= SLICE else b.num_rows * SLICE // b.nbytes))
+        for i in range(0, max(1, b.num_rows), step):
+            yield b.slice(i, step)
 
 
 def words_of(text: Column) -> Column:
@@ -74,8 +94,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_columns(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df`` batch by batch through ``fn``: it gets the columns as Python lists (nulls are None) and returns columns."""
+def map_columns(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+    """``df`` through ``fn``, ``rows`` rows at a time: it gets columns as Python lists (nulls are None) and returns columns."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -83,7 +103,7 @@ def map_columns(df: DataFrame, fn, schema: str) -> DataFrame:
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, rows):
             out = fn(*(c.to_pylist() for c in b.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 

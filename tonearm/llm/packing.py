@@ -9,13 +9,14 @@ an empty table gives an empty result; rows with a null id are packed too. Other
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import map_columns, saved, small_batches
-from tonearm.llm.tokens import Encoder, json_encoder
+from tonearm.llm.common import map_columns, saved
+from tonearm.llm.tokens import json_encoder, packed
 
 SIZE, END = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -31,13 +32,12 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, keep_ids: bool = True) -> DataFrame:
     """The token pieces of every document, with their ids (little-endian unsigned 32-bit) if asked for."""
-    small_batches(docs.sparkSession, 512)
 
     def run(ids, texts):
-        encoder = _encoder(vocabulary)
+        encode = json_encoder(vocabulary)
         out = []
-        for doc, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
-            raw += END.to_bytes(4, "little")
+        for doc, text in zip(ids, texts, strict=True):
+            raw = packed([*encode(text or ""), END])
             for i, (start, length) in enumerate(cut(len(raw) // 4, size)):
                 part = raw[4 * start : 4 * (start + length)]
                 out.append((doc, i, start, length, zlib.crc32(part), part if keep_ids else None))
@@ -46,46 +46,72 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return map_columns(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"), run, PIECES)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class Sums:
+    """The index of exact fillings: of every sum, its pairs and triples of lengths that can be had.
 
+    ``pairs[s]`` lists the longer members a of the pairs (a, s - a), ``triples[s]`` the longest members a of triples
+    whose rest is a pair of s - a. Counts only fall, so an entry whose lengths have run out is struck off when met.
+    """
+
+    def __init__(self, have: list[int]) -> None:
+        self.have, size = have, len(have) - 1
+        there = [x for x, n in enumerate(have) if n and x]
+        self.pairs: list[list[int]] = [[] for _ in have]
+        self.triples: list[list[int]] = [[] for _ in have]
+        for i, a in enumerate(there):
+            for b in there[: i + (have[a] > 1)]:
+                if a + b > size:
+                    break
+                self.pairs[a + b].append(a)
+        for a in there:
+            for rest in range(2, min(2 * a, size - a) + 1):
+                if self.pairs[rest] and self.pairs[rest][0] <= a:
+                    self.triples[a + rest].append(a)
+
+    def pair(self, total: int, left: list[int], longest: int) -> tuple[int, int] | None:
+        """Two lengths with this sum, the longer one as long as can be but at most ``longest``."""
+        known = self.pairs[total]
+        for i in range(bisect_right(known, longest) - 1, -1, -1):
+            a, b = known[i], total - known[i]
+            if self.have[a] <= (a == b) or not self.have[b]:
+                del known[i]
+            elif left[a] > (a == b) and left[b]:
+                return a, b
+        return None
 
-def _encoder(vocabulary: str) -> Encoder:
-    """One encoder for each vocabulary and worker process, so that its memory lasts over tasks."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(json_encoder(vocabulary))
-    return _ENCODERS[vocabulary]
+    def fill(self, gap: int, left: list[int]) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum to the gap exactly, the longest first."""
+        if left[gap]:
+            return (gap,)
+        found = self.pair(gap, left, gap)
+        if found:
+            return found
+        known = self.triples[gap]
+        for i in range(len(known) - 1, -1, -1):
+            a = known[i]
+            if not self.have[a]:
+                del known[i]
+            elif left[a]:
+                left[a] -= 1
+                rest = self.pair(gap - a, left, a)
+                left[a] += 1
+                if rest:
+                    return (a, *rest)
+        return None
 
 
 def plan(available: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with how many sequences follow each, for a histogram of lengths.
 
-    From the longest length down: the gap it leaves is looked up among the single, pair and triple sums of the lengths
-    that are left; an exact filling is used as often as counts allow. Where none is, the longest length that fits goes
-    in (best fit), and the smaller gap is looked up again.
+    From the longest length down: the gap it leaves is looked up in the index of single, pair and triple sums; an exact
+    filling is used as often as counts allow. Where none is, the longest length that fits goes in (best fit), and the
+    smaller gap is looked up again.
     """
-    have = np.zeros(size + 1, np.int64)
+    have = [0] * (size + 1)
     for length, n in available.items():
         have[length] += n
+    sums = Sums(have)
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def fill(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-        """One, two or three lengths that sum to the gap exactly, the longest first."""
-        if left[gap]:
-            return (gap,)
-        there = left > 0
-        pair = _pair(gap, left, there)
-        if pair:
-            return pair
-        for a in np.flatnonzero(there[: gap + 1])[::-1].tolist():
-            if 3 * a < gap:
-                break
-            left[a] -= 1
-            rest = _pair(gap - a, left, left > 0) if a < gap else None
-            left[a] += 1
-            if rest and rest[0] <= a:
-                return (a, *rest)
-        return None
-
     top = size
     while True:
         while top and not have[top]:
@@ -96,30 +122,23 @@ def plan(available: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, .
         pattern, gap = [top], size - top
         left[top] -= 1
         while gap:
-            exact = fill(gap, left)
+            exact = sums.fill(gap, left)
             if exact:
                 pattern += exact
                 break
-            fits = np.flatnonzero(left[: gap + 1])
-            if not len(fits):
+            best = next((x for x in range(gap, 0, -1) if left[x]), 0)
+            if not best:
                 break
-            pattern.append(int(fits[-1]))
-            left[fits[-1]] -= 1
-            gap -= int(fits[-1])
+            pattern.append(best)
+            left[best] -= 1
+            gap -= best
         need = {x: pattern.count(x) for x in set(pattern)}
-        times = min(int(have[x]) // c for x, c in need.items())
+        times = min(have[x] // c for x, c in need.items())
         for x, c in need.items():
             have[x] -= c * times
         out.append((tuple(pattern), times))
 
 
-def _pair(gap: int, left: np.ndarray, there: np.ndarray) -> tuple[int, int] | None:
-    """Two lengths with this sum: the index of pair sums, read for one sum."""
-    a = np.arange((gap + 1) // 2, gap)  # the longer one
-    ok = np.flatnonzero(there[a] & there[gap - a] & ((2 * a != gap) | (left[a] > 1)))
-    return (int(a[ok[-1]]), gap - int(a[ok[-1]])) if len(ok) else None
-
-
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: ranks from which a slot's pieces come, the slot's first sequence, and its offset."""
     out: dict[int, list[tuple[int, int, int]]] = {}
@@ -142,7 +161,6 @@ def place(cut_up: DataFrame, size: int = SIZE) -> DataFrame:
     Equal lengths are told apart by a rank: pieces fall into buckets by hash, a window ranks each (length, bucket), and
     the buckets' counts, added up in order, give its first rank. A common length is thus spread over all buckets.
     """
-    spark = cut_up.sparkSession
     n = cut_up.count()
     buckets = max(1, n // 4096)
     p = cut_up.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, start), {buckets})"))
@@ -168,8 +186,7 @@ def place(cut_up: DataFrame, size: int = SIZE) -> DataFrame:
             offset.append(int(off[i]))
         return [*rest, sequence, offset]
 
-    small_batches(spark, 4096)
-    return map_columns(ranked.select("rank", *columns), run, schema)
+    return map_columns(ranked.select("rank", *columns), run, schema, 4096)
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -1,22 +1,12 @@
-"""Token ids of whole texts, by the libraries' own vocabularies, with a memory for what recurs.
-
-A space that stands between two non-spaces starts a pre-token, whatever surrounds it; so does one before a non-space,
-or after one. Texts are therefore cut at such spaces, and each distinct piece goes through the tokenizer once for each
-task. Texts with a space among white space on both sides, or with characters that Unicode tables see differently, go
-through the tokenizer whole.
-"""
+"""Token ids of whole texts, by the vocabularies of public tokenizer files."""
 
 from __future__ import annotations
 
 import base64
-import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
-#: Pieces that each of two generations remembers.
-REMEMBERED = 300_000
-_PLAIN = re.compile(r"\s \s|^ \s|\s $|^ $|[\x1c-\x1f\x85᠎​-‏ - ﻿]")
-
 
 @lru_cache(maxsize=4)
 def tiktoken_encoding(path: str, pattern: str):
@@ -34,9 +24,7 @@ def json_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 #: Fixed value: how a byte-level pre-tokenizer splits text unless told otherwise.
@@ -45,8 +33,8 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 @lru_cache(maxsize=4)
 def ranked_encoding(path: str):
-    """The tokenizer of a JSON file as a rank encoding, which gives the same ids in a third of the time; None where
-    the file asks for more than byte-level pairs whose ids are in the order of their merges."""
+    """The tokenizer of a JSON file as a rank encoding, which gives the same ids of ordinary text in a third of the time;
+    None where the file asks for more than byte-level pairs whose ids are in the order of their merges."""
     import json
 
     import tiktoken
@@ -70,73 +58,24 @@ def ranked_encoding(path: str):
     return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
-def json_encoder(path: str):
-    """A function from texts to lists of ids by a tokenizers file, special tokens being ordinary text."""
-    ranked = ranked_encoding(path)
-    if ranked:
-        return lambda texts: [ranked.encode_ordinary(t) for t in texts]
-    tokenizer = json_tokenizer(path)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return array("I", ids).tobytes()
 
-#: Signs that end a run of letters wherever they stand after one.
-_SIGNS = ".,!?;:"
 
+@lru_cache(maxsize=4)
+def json_encoder(path: str) -> Callable[[str], list[int]]:
+    """A function from a text to the ids that the tokenizers library gives it with ``add_special_tokens=False``.
 
-class Encoder:
-    """Little-endian unsigned 32-bit ids of texts, as bytes. ``encode_many`` maps a list of strings to lists of ids.
-
-    Pieces live in two generations: a full one becomes the older, and what is used again moves to the younger. A piece
-    that ends in signs after an ASCII letter is its word's ids, then the signs'.
+    Added tokens (special ones too) that stand in a text are single ids there, as the library has it: such texts go
+    through the library itself.
     """
+    ranked, tokenizer = ranked_encoding(path), json_tokenizer(path)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> list[int]:
+        if ranked is None or any(a in text for a in added):
+            return tokenizer.encode(text, add_special_tokens=False).ids
+        return ranked.encode_ordinary(text)
 
-    def __init__(self, encode_many) -> None:
-        self.encode_many, self.known, self.older = encode_many, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", ids).tobytes() for ids in self.encode_many(texts)]
-
-    def _learn(self, pieces) -> None:
-        """Make sure that ``known`` has all of these pieces."""
-        known, older = self.known, self.older
-        if len(known) > REMEMBERED:
-            self.older = older = known
-            self.known = known = {}
-        new: dict[str, None] = {}
-        made: list[tuple[str, str, str]] = []
-        for p in pieces:
-            if p in known:
-                continue
-            if p in older:
-                known[p] = older[p]
-                continue
-            word = p.rstrip(_SIGNS)
-            if word != p and word[-1:].isascii() and word[-1:].isalpha():
-                made.append((p, word, p[len(word) :]))
-                for x in made[-1][1:]:
-                    if x not in known and (x not in older or known.setdefault(x, older[x]) is None):
-                        new[x] = None
-            else:
-                new[p] = None
-        fresh = list(new)
-        known.update(zip(fresh, self._ids(fresh), strict=True))
-        for p, word, signs in made:
-            known[p] = known[word] + known[signs]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if _PLAIN.search(t):
-                cut.append(None)
-                continue
-            first, *rest = t.split(" ")
-            cut.append([*([first] if first else []), *map(" ".__add__, rest)])
-        self._learn({p: None for c in cut if c for p in c})
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut, strict=True)]
-
-    def encode_pieces(self, text: str, ends: list[int]) -> list[bytes]:
-        """The ids of each piece of a text that is cut at ``ends``."""
-        pieces = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        self._learn(dict.fromkeys(pieces))
-        return [self.known[p] for p in pieces]
+    return encode
