@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import saved
+from tonearm.llm.common import dropped, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        e = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        dropped(before)
         now = mark(e)
         if now == last:
             break
         last = now
     found = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     roots = found.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return found.unionByName(roots)
+    out = saved(found.unionByName(roots))
+    dropped(e)
+    return out

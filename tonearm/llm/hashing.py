@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two bases and two tables of numbers for bytes: sums by one of them are names, by both names of twice the width.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BYTES = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -17,36 +19,45 @@ def mix(a: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as they were asked for."""
+    """Powers of each base and of its inverse modulo 2**64, as far as they were asked for."""
 
-    up = down = np.ones(1, np.uint64)
+    known = [(np.ones(1, np.uint64),) * 2] * len(_BASES)
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            steps = [np.full(max(n, 1 << 16), b % 2**64, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
-            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), s]), dtype=np.uint64) for s in steps)
-        return cls.up, cls.down
+    def upto(cls, n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.known[which][0]) < n:
+            base = _BASES[which]
+            steps = [np.full(max(n, 1 << 16), b % 2**64, np.uint64) for b in (base, pow(base, -1, 2**64))]
+            cls.known[which] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), s]), dtype=np.uint64) for s in steps)
+        return cls.known[which]
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    up, _ = Powers.upto(len(raw) + 1)
+def prefix_sums(raw: np.ndarray, which: int = 0) -> np.ndarray:
+    up, _ = Powers.upto(len(raw) + 1, which)
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64, out=out[1:])
+    np.cumsum(_BYTES[which][raw] * up[: len(raw)], dtype=np.uint64, out=out[1:])
     return out
 
 
-def names(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def names(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit name of each string (start, length): equal strings have equal names."""
-    _, down = Powers.upto(len(sums))
+    _, down = Powers.upto(len(sums), which)
     return mix((sums[starts + lengths] - sums[starts]) * down[starts]) ^ mix(lengths.astype(np.uint64))
 
 
+#: Bytes of a word that the sums name; sums modulo 2**64 can be made to collide over many more, whatever the base.
+SHORT = 64
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """A name of every word of a text, lower-cased in A-Z only."""
+    """A name of every word of a text, lower-cased in A-Z only. Long words get theirs from a hash of all their bytes."""
     raw = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
     gap = np.ones(len(raw) + 2, bool)
     gap[1:-1] = _SPACE[raw]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[::2], edge[1::2]
-    return names(prefix_sums(raw), starts, ends - starts)
+    size = ends - starts
+    out = names(prefix_sums(raw), starts, np.minimum(size, SHORT))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return out

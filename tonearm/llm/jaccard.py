@@ -10,6 +10,10 @@ common ones last) the first tokens, so many that two sets of the wanted similari
 grows with the set. Groups whose unions share fewer, or whose members' sizes lie too far apart, are not tried. The
 order changes which groups are tried, never which links are found.
 
+Groups are parts of what is already linked: first every document is compared with the least holder of its tokens, one
+for each token, and what these links join is one kin. Members of a kin need not meet, so tokens that only one kin holds
+leave the matrix, and a large group of near copies costs no more than its size.
+
 Null and empty texts have empty sets: they link with nothing and are their own component. Repeated rows are one class.
 Rows with a null id are left out of links; each is returned with a null component. An empty table gives an empty
 result; other columns are not read.
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import map_columns, saved, small_batches, unused
+from tonearm.llm.common import dropped, map_columns, saved, unused
 from tonearm.llm.components import components
 from tonearm.llm.hashing import word_hashes
 
@@ -90,16 +94,11 @@ def _ranked(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
-def _group_of(s: np.ndarray, common: np.ndarray, percent: int) -> list[int]:
-    """Two tokens that name a set's group: the least and the greatest, or, where half of the plain prefix is common,
-    its two least common ones, for edits leave these alone and near copies of one text thus share few groups."""
-    low = s[: len(s) - needed(len(s), percent) + 1]
-    if len(common):
-        at = np.minimum(np.searchsorted(common, low), len(common) - 1)
-        often = low[common[at] == low]
-        if 2 * len(often) >= len(low):
-            return _signed(often[[0, min(1, len(often) - 1)]])
-    return _signed(s[[0, -1]])
+def _star(hub: np.ndarray, ids: list[int], sizes: np.ndarray, tokens: np.ndarray, percent: int) -> list[int]:
+    """The ids whose sets (sizes, and tokens end to end) are similar to the hub's."""
+    hit = hub[np.minimum(np.searchsorted(hub, tokens), len(hub) - 1)] == tokens
+    both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), dtype=np.int64)
+    return [i for i, n, z in zip(ids, both.tolist(), sizes.tolist(), strict=True) if 100 * n >= percent * (z + len(hub) - n)]
 
 
 def _links(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
@@ -149,10 +148,55 @@ def _incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
     return m
 
 
+def _blocks(n: str, w: str):
+    """Blocks into which n documents with w tokens are dealt."""
+    return F.greatest(F.ceil(F.col(n) / GROUP_DOCS), F.ceil(F.col(w) / GROUP_TOKENS))
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc_id, size, tokens) of the wanted documents."""
+
+    def run(ids, texts_):
+        found = [shingles(t, n) for t in texts_]
+        return [ids, [len(s) for s in found], [s.tobytes() for s in found]]
+
+    found = map_columns(texts.join(wanted, "doc_id", "left_semi"), run, "doc_id long, size int, tokens binary")
+    return found.dropDuplicates(["doc_id"])  # of repeated rows one
+
+
+def _members(m) -> tuple[list[int], np.ndarray, np.ndarray]:
+    return [x["doc_id"] for x in m], np.array([x["size"] for x in m]), np.frombuffer(b"".join(x["tokens"] for x in m), np.uint64)
+
+
+def _kin_edges(live: DataFrame, size: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) between documents and the least holders of their tokens, of those that share some tokens: a table."""
+    near = live.where("doc_id <> hub").groupBy("doc_id", "hub", "least").agg(F.count("*").alias("n"))
+    star = saved(near.where("2 * n >= least").select("doc_id", "hub").join(size, "doc_id"))
+    of_hub = star.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    blocks = saved(of_hub.select("hub", _blocks("n", "w").cast("int").alias("blocks")))
+    spread = star.join(blocks, "hub").select("doc_id", "hub", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"))
+    hubs = blocks.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    seats = saved(spread.unionByName(hubs))
+    sets = _sets(texts, seats.select("doc_id").distinct(), n)
+    held = seats.join(sets, "doc_id").groupBy("hub", "block").agg(F.collect_list(F.struct("doc_id", "size", "tokens")).alias("m"))
+
+    def linked(hubs_, lists):
+        edges = []
+        for hub, m in zip(hubs_, lists, strict=True):
+            mine = next(x for x in m if x["doc_id"] == hub)
+            rest = [x for x in m if x["doc_id"] != hub]
+            if rest:
+                edges += [(i, hub) for i in _star(np.frombuffer(mine["tokens"], np.uint64), *_members(rest), percent)]
+        return [[a for a, _ in edges], [b for _, b in edges]]
+
+    out = saved(map_columns(held.select("hub", "m"), linked, "a long, b long", 64))
+    dropped(star, blocks, seats)
+    return out
+
+
 def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; links are sets of at least this Jaccard similarity."""
     spark = docs.sparkSession
-    small_batches(spark, 512)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = saved(classes(plain, percent, n))
     known = every.where("doc_id is not null and n_shingles > 0")
@@ -165,76 +209,74 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     common = counts.where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "t").limit(COMMON).select("t")
     common = np.sort(np.array([r["t"] for r in common.toLocalIterator()], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(common)
+    counted = saved(every.select("doc_id", "n_shingles"))
+    dropped(every, first)
 
     def prefixes(ids, texts):
-        low, high, prefix, sizes, least = [], [], [], [], []
+        prefix, sizes, least = [], [], []
         for t in texts:
             s = shingles(t, n)
-            a, b = _group_of(s, sent.value, percent)
-            low.append(a)
-            high.append(b)
             sizes.append(len(s))
             least.append(shared_least(len(s), percent))
             prefix.append(_signed(_ranked(s, sent.value)[: len(s) - needed(len(s), percent) + least[-1]]))
-        return [ids, low, high, sizes, least, prefix]
+        return [ids, sizes, least, prefix]
 
-    chosen = plain.join(reps, "doc_id", "left_semi")
-    prefix = saved(map_columns(chosen, prefixes, "doc_id long, low long, high long, size long, least int, prefix array<long>"))
-    rows = prefix.select("doc_id", F.explode("prefix").alias("t"))
-    shared = saved(rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t"))
+    texts = plain.join(reps, "doc_id", "left_semi")
+    prefix = saved(map_columns(texts, prefixes, "doc_id long, size long, least int, prefix array<long>"))
+    rows = prefix.select("doc_id", "least", F.explode("prefix").alias("t"))
+    shared = saved(rows.groupBy("t").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1").select("t", "hub"))
     live = saved(rows.join(shared, "t"))
+    size = saved(prefix.select("doc_id", "size", "least").distinct())
+    dropped(prefix, shared)
 
-    # groups: documents with the same two naming tokens, dealt into blocks of bounded size
-    info = prefix.select("doc_id", "low", "high", "size", "least").join(live.select("doc_id").distinct(), "doc_id", "left_semi")
-    weight = info.groupBy("low", "high").agg(
+    edges = _kin_edges(live, size.select("doc_id", "size"), texts, percent, n)
+    kin = components(edges)
+    kin = saved(size.join(kin.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("kin", F.coalesce("root", "doc_id")).drop("root"))
+
+    # groups: blocks of bounded size of each kin
+    weight = kin.groupBy("kin").agg(
         F.count("*").alias("n"), F.sum("size").alias("w"), F.min("least").alias("l"), F.min("size").alias("s"), F.max("size").alias("z")
     )
-    blocks = F.greatest(F.ceil(F.col("n") / GROUP_DOCS), F.ceil(F.col("w") / GROUP_TOKENS))
+    large = saved(weight.where("n > 1"))
+    block = F.pmod(F.xxhash64("doc_id"), F.coalesce(_blocks("n", "w"), F.lit(1)))
     grouped = saved(
-        info.select("doc_id", "low", "high").join(weight, ["low", "high"]).select(
-            "doc_id", "l", "s", "z", F.xxhash64("low", "high", F.pmod(F.xxhash64("doc_id"), blocks)).alias("g")
+        kin.join(large, "kin", "left").select(
+            "doc_id", "kin", F.coalesce("l", "least").alias("l"), F.coalesce("s", "size").alias("s"), F.coalesce("z", "size").alias("z"), F.xxhash64("kin", block).alias("g")
         )
     )
-    matrix = live.join(grouped, "doc_id").select("t", "g", "l", "s", "z").distinct()
-    sides = [matrix.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("g", "l", "s", "z"))) for i in (1, 2)]
+    spots = live.select("doc_id", "t").join(grouped, "doc_id")
+    several = saved(spots.groupBy("t").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a <> b").select("t"))
+    matrix = saved(spots.join(several, "t").select("t", "g", "kin", "l", "s", "z").distinct())
+    dropped(live, size, kin, large, several)
+    sides = [matrix.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("g", "kin", "l", "s", "z"))) for i in (1, 2)]
     near = (100 * F.col("z1") >= percent * F.col("s2")) & (100 * F.col("z2") >= percent * F.col("s1"))
-    tried = sides[0].join(sides[1], "t").where((F.col("g1") < F.col("g2")) & near)
+    tried = sides[0].join(sides[1], "t").where((F.col("g1") < F.col("g2")) & (F.col("kin1") != F.col("kin2")) & near)
     enough = tried.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.least("l1", "l2")).alias("l")).where("n >= l")
-    pairs = enough.select("g1", "g2")
-    alone = grouped.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    pairs = saved(pairs.unionByName(alone))
-    tried = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
-    wanted = grouped.select("doc_id", "g").join(tried, "g", "left_semi")
-
-    def sets(groups, ids, texts):
-        found = [shingles(t, n) for t in texts]
-        return [groups, ids, [len(s) for s in found], [s.tobytes() for s in found]]
-
-    text = plain.join(wanted, "doc_id").select("g", "doc_id", "text")
-    held = map_columns(text, sets, "g long, doc_id long, size int, tokens binary")
-    block = saved(
-        held.groupBy("g").agg(F.collect_list(F.struct("doc_id", "size", "tokens")).alias("m"))  # GROUP_DOCS at most, or near
-    )
+    pairs = saved(enough.select("g1", "g2"))
+    used = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
+    wanted = saved(grouped.select("doc_id", "g").join(used, "g", "left_semi"))
+    dropped(matrix, grouped)
+    held = _sets(texts, wanted.select("doc_id"), n).join(wanted, "doc_id")
+    block = saved(held.groupBy("g").agg(F.collect_list(F.struct("doc_id", "size", "tokens")).alias("m")))  # GROUP_DOCS at most, or near
     both = pairs.join(block.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1")
     both = both.join(block.select(F.col("g").alias("g2"), F.col("m").alias("m2")), "g2")
 
     def linked(left, right):
-        edges = []
+        found = []
         for l, r in zip(left, right, strict=True):
-            sides = [
-                ([x["doc_id"] for x in m], np.array([x["size"] for x in m]), np.frombuffer(b"".join(x["tokens"] for x in m), np.uint64))
-                for m in (l, r)
-            ]
-            edges += _links(*sides, percent)
-        return [[x for x, _ in edges], [y for _, y in edges]]
-
-    edges = map_columns(both.select("m1", "m2"), linked, "a long, b long")
-    small_batches(spark, 64)
-    found = components(edges)
+            found += _links(_members(l), _members(r), percent)
+        return [[x for x, _ in found], [y for _, y in found]]
+
+    across = saved(map_columns(both.select("m1", "m2"), linked, "a long, b long", 64))
+    dropped(pairs, wanted, block)
+    found = components(edges.unionByName(across))
     roots = member.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left")
     roots = roots.select("doc_id", F.coalesce("root", "rep").alias("component_id"))
-    out = every.select("doc_id", "n_shingles").join(roots.dropDuplicates(["doc_id"]), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = counted.join(roots.dropDuplicates(["doc_id"]), "doc_id", "left")
+    out = saved(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    dropped(counted, member, edges, across, found)
+    sent.destroy()
+    return out
 
 
 def one_of_each(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +297,6 @@ def one_of_each(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "d
         return out
 
     def keys(df: DataFrame) -> DataFrame:
-        small_batches(df.sparkSession, 512)
         texts = df.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
         return classes(texts, percent, n).select(F.col("doc_id").alias(h), F.col("set_key").alias(k), F.col("n_shingles").alias(size)).distinct()
 
