@@ -1,12 +1,13 @@
 """Suffix-array dedup by bucket-pointer refinement, distributed.
 
-Suffixes that begin alike share a bucket, named by a 64-bit hash of the bytes that its suffixes share. Initial buckets
-are q-gram buckets, of one suffix for each window of LENGTH bytes: its anchor, the leftmost of its q-grams with the
-least name, so that equal windows have equal anchors at equal places. Buckets of one suffix are done and drop out. The
-others are refined by the names of later offsets: a bucket twice as deep is named by the pair of the bucket at a place
-and the one as many bytes on, and these names are used again for the next depth, up to LENGTH. Refinement stops early
-where a whole stretch of windows is equal elsewhere, or where not even the bytes all windows of a stretch share are.
-Sorting by bucket names is Spark's: buckets are grouped, never gathered.
+Suffixes that begin alike share a bucket, named by a hash of the bytes that its suffixes share. Initial buckets are
+q-gram buckets, of one suffix for each window of LENGTH bytes: its anchor, the leftmost of its q-grams with the least
+name, so that equal windows have equal anchors at equal places. Buckets of one suffix are done and drop out. The others
+are refined by the names of later offsets: a bucket twice as deep is named by the pair of the bucket at a place and the
+one as many bytes on, and these names are used again for the next depth, up to LENGTH. Refinement stops early where a
+whole stretch of windows is equal elsewhere, or where not even the bytes all windows of a stretch share are. Sorting by
+bucket names is Spark's: buckets are grouped, never gathered. Names that only rule windows out have 64 bits; names by
+which bytes go have 128, of two independent hashes.
 
 Null and empty texts have no bytes. Repeated rows repeat each other and are removed entirely from LENGTH bytes on. Rows
 with null ids are treated like others; an empty table gives an empty result; other columns are kept or not read.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import map_columns, saved, small_batches, unused
+from tonearm.llm.common import dropped, map_columns, saved, slices, unused
 from tonearm.llm.hashing import Powers, mix, names, prefix_sums
 
 LENGTH, Q, STRETCH = 200, 50, 16
@@ -29,9 +30,9 @@ LENGTH, Q, STRETCH = 200, 50, 16
 SEGMENT = 1 << 19
 
 
-def gram_names(sums: np.ndarray, q: int = Q) -> np.ndarray:
+def gram_names(sums: np.ndarray, q: int = Q, which: int = 0) -> np.ndarray:
     """The initial bucket of every place: the name of its q-gram."""
-    _, down = Powers.upto(len(sums))
+    _, down = Powers.upto(len(sums), which)
     n = len(sums) - q
     return mix((sums[q:] - sums[:-q]) * down[:n])
 
@@ -73,105 +74,142 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """Of (key, text): key, bucket, ctx (the name of all bytes of the run's windows), first, count, rel."""
-    schema = "key long, bucket long, ctx long, first long, count int, rel int"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    cols = ["key", "bucket", "ctx", "first", "count", "rel"]
+    """Of (key, text): key, bucket, ctx and ctx2 (names of all bytes of the run's windows), first, count, rel."""
+    schema = "key long, bucket long, ctx long, ctx2 long, first long, count int, rel int"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    cols = ["key", "bucket", "ctx", "ctx2", "first", "count", "rel"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in cols]
             for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for place, raw in _segments(_bytes(text)):
                     sums = prefix_sums(raw)
                     first, count, at, bucket = anchors(sums)
-                    rel = at - first
-                    ctx = names(sums, first, count + LENGTH - 1) ^ mix((rel * 1024 + count).astype(np.uint64))
-                    for o, x in zip(out, (np.full(len(first), key), bucket.view(np.int64), ctx.view(np.int64), first + place, count, rel), strict=True):
+                    rel, size = at - first, count + LENGTH - 1
+                    ctx = names(sums, first, size) ^ mix((rel * 1024 + count).astype(np.uint64))
+                    ctx2 = names(prefix_sums(raw, 1), first, size, 1)
+                    for o, x in zip(out, (np.full(len(first), key), bucket.view(np.int64), ctx.view(np.int64), ctx2.view(np.int64), first + place, count, rel), strict=True):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], k) for o, k in zip(out, kinds, strict=True)], cols)
 
     return docs.mapInArrow(run, schema)
 
 
+def deep_names(raw: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix sums of some bytes, and the bucket of every place at depth LENGTH, refined from its q-gram's."""
+    sums = prefix_sums(raw, which)
+    return sums, refine(refine(gram_names(sums, Q, which), Q), 2 * Q)
+
+
+def _windows_of(raw: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[bytes]]:
+    """Of runs (rows first, count, rel; places in ``raw``): which run, numbers (stretch, near, far, hull, hull2, core), windows."""
+    first, count, rel = r
+    anchor, far = first + rel, rel
+    near = anchor - first - count + 1  # distances of the windows from the anchor
+    low = near // STRETCH
+    parts = far // STRETCH - low + 1
+    i = np.repeat(np.arange(len(first)), parts)
+    k = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
+    a, b = np.maximum(near[i], k * STRETCH), np.minimum(far[i], (k + 1) * STRETCH - 1)
+    s, e = anchor[i] - b, anchor[i] - a
+    (sums, deep), (sums2, deep2) = (deep_names(raw, w) for w in (0, 1))
+    tag = mix((a * 512 + b).astype(np.uint64))
+    hull = names(sums, s, e - s + LENGTH) ^ tag
+    hull2 = names(sums2, s, e - s + LENGTH, 1)
+    core = names(sums, anchor[i] - k * STRETCH, np.full(len(i), LENGTH - STRETCH + 1)) ^ mix(k.astype(np.uint64))
+    both = np.stack([deep, deep2], axis=1)
+    windows = [both[x : y + 1][::-1].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+    return i, [k, a, b, hull.view(np.int64), hull2.view(np.int64), core.view(np.int64)], windows
+
+
 def _stretches(docs: DataFrame) -> DataFrame:
     """Windows of chosen runs, in stretches of STRETCH by distance from the anchor, with their refined buckets.
 
-    hull: the name of all bytes of the stretch; core: of the bytes that any windows of such a stretch share; windows:
-    the LENGTH-deep buckets of its windows.
+    hull, hull2: names of all bytes of the stretch; core: of the bytes that any windows of such a stretch share;
+    windows: the two LENGTH-deep buckets of each of its windows.
     """
-    schema = "ctx long, stretch int, near int, far int, w int, hull long, core long, windows binary"
+    schema = "ctx long, ctx2 long, w int, stretch int, near int, far int, hull long, hull2 long, core long, windows binary"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    cols = [c.split()[0] for c in schema.split(", ")]
 
-    def run(texts, lists):
-        rows = []
-        for text, runs in zip(texts, lists, strict=True):
-            whole = _bytes(text)
-            for r in runs:
-                anchor = r["first"] + r["rel"]
-                last = r["first"] + r["count"] - 1
-                sums = prefix_sums(whole[r["first"] : last + LENGTH])
-                bucket = refine(refine(gram_names(sums), Q), 2 * Q)
-                near, far = anchor - last, r["rel"]  # distances of the windows from the anchor
-                for k in range(near // STRETCH, far // STRETCH + 1):
-                    a, b = max(near, k * STRETCH), min(far, (k + 1) * STRETCH - 1)
-                    s, e = far - b, far - a  # the windows' places from the first
-                    inner = (far - k * STRETCH, LENGTH - STRETCH + 1)
-                    hull, core = names(sums, np.array([s, inner[0]]), np.array([e - s + LENGTH, inner[1]])).view(np.int64)
-                    tag = np.array([a * 512 + b, k], np.uint64)
-                    hull, core = (np.array([hull, core]).view(np.uint64) ^ mix(tag)).view(np.int64).tolist()
-                    rows.append((r["ctx"], k, a, b, r["w"], hull, core, bucket[s : e + 1][::-1].tobytes()))
-        return list(zip(*rows, strict=True)) or [[]] * 8
-
-    return map_columns(docs, run, schema)
+    def run(batches):
+        for b in slices(batches, 256):
+            out: list[list] = [[] for _ in cols[:-1]]
+            windows: list[bytes] = []
+            lists = b.column(1)
+            ends = lists.offsets.to_numpy()
+            runs = [c.to_numpy(zero_copy_only=False) for c in lists.values.flatten()]  # ctx, ctx2, w, first, count, rel
+            for text, lo, hi in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                whole = _bytes(text)
+                at = np.argsort(runs[3][lo:hi], kind="stable") + lo
+                first = runs[3][at]
+                cut = 0
+                while cut < len(at):  # runs that lie together
+                    end = int(np.searchsorted(first, first[cut] + SEGMENT // 2))
+                    some, base = at[cut:end], int(first[cut])
+                    raw = whole[base : int(first[end - 1]) + 2 * LENGTH + 1]
+                    i, told, w = _windows_of(raw, np.stack([runs[3][some] - base, runs[4][some], runs[5][some]]).astype(np.int64))
+                    for o, x in zip(out, (*(runs[c][some][i] for c in range(3)), *told), strict=True):
+                        o.append(x)
+                    windows += w
+                    cut = end
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o) if o else [], k) for o, k in zip(out, kinds, strict=False)), pa.array(windows, pa.binary())], cols)
+
+    return docs.mapInArrow(run, schema)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Of (key, text): key and the list of [lo, hi] window starts whose LENGTH bytes also start elsewhere."""
-    spark = docs.sparkSession
-    small_batches(spark, 512)
-    occurrences = _occurrences(docs)
+    """Of (key, text): a table of key and the list of [lo, hi] window starts whose LENGTH bytes also start elsewhere."""
+    occurrences = saved(_occurrences(docs))
     # what is joined to hot buckets is a table, so that both sides are plain shuffles, whose large parts Spark splits
     again = saved(occurrences.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     found = saved(occurrences.join(again, "bucket"))
-    each = found.groupBy("ctx").agg(
+    dropped(occurrences, again)
+    each = found.groupBy("ctx", "ctx2").agg(
         F.count("*").alias("n"), F.min(F.struct("key", "first", "count", "rel")).alias("r"), F.min("bucket").alias("bucket")
     )
-    each = saved(each.select("ctx", "bucket", F.least("n", F.lit(2)).cast("int").alias("w"), "r.*"))
-    kinds = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("w").alias("least")).where("n > 1 and least = 1").select("bucket")
-    open_ = each.join(saved(kinds), "bucket")
-    runs = open_.groupBy("key").agg(F.collect_list(F.struct("ctx", "w", "first", "count", "rel")).alias("runs"))
-    small_batches(spark, 256)
+    each = saved(each.select("ctx", "ctx2", "bucket", F.least("n", F.lit(2)).cast("int").alias("w"), "r.*"))
+    kinds = saved(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("w").alias("least")).where("n > 1 and least = 1").select("bucket"))
+    open_ = each.join(kinds, "bucket")
+    runs = open_.groupBy("key").agg(F.collect_list(F.struct("ctx", "ctx2", "w", "first", "count", "rel")).alias("runs"))
     parts = saved(_stretches(docs.join(runs, "key").select("text", "runs")))
     slim = parts.drop("windows")
-    hulls = saved(slim.groupBy("hull").agg(F.least(F.sum("w"), F.lit(2)).cast("int").alias("hw")))
-    known = saved(slim.join(hulls, "hull").select("ctx", "stretch", "near", "far", "w", "core", "hw"))
-    cores = known.groupBy("core").agg(F.sum("w").alias("cw"), F.min("hw").alias("hw")).where("cw > 1 and hw = 1").select("core")
-    doubt = known.join(saved(cores), "core").select("ctx", "stretch", "hw")
-
-    def single(ctxs, nears, hws, windows):
-        ctx, d, w, name = [], [], [], []
-        for c, near, hw, raw in zip(ctxs, nears, hws, windows, strict=True):
-            n = np.frombuffer(raw, np.int64)
-            ctx += [c] * len(n)
-            d += range(near, near + len(n))
-            w += [hw] * len(n)
-            name += n.tolist()
-        return [ctx, d, w, name]
-
-    small_batches(spark, 4096)
-    opened = doubt.join(parts.select("ctx", "stretch", "near", "windows"), ["ctx", "stretch"]).select("ctx", "near", "hw", "windows")
-    alone = saved(map_columns(opened, single, "ctx long, d int, w int, name long"))
-    twice = saved(alone.groupBy("name").agg(F.sum("w").alias("n")).where("n > 1").select("name"))
-    more = alone.where("w = 1").join(twice, "name").select("ctx", F.col("d").alias("near"), F.col("d").alias("far"))
-    kept = known.where("w = 1 and hw > 1").select("ctx", "near", "far").unionByName(more)
-    lists = kept.groupBy("ctx").agg(F.collect_list(F.struct("near", "far")).alias("parts"))
-    state = saved(each.select("ctx", "w").join(lists, "ctx", "left").where("w > 1 or parts is not null"))
+    hulls = saved(slim.groupBy("hull", "hull2").agg(F.least(F.sum("w"), F.lit(2)).cast("int").alias("hw")))
+    known = saved(slim.join(hulls, ["hull", "hull2"]).select("ctx", "ctx2", "stretch", "near", "far", "w", "core", "hw"))
+    cores = saved(known.groupBy("core").agg(F.sum("w").alias("cw"), F.min("hw").alias("hw")).where("cw > 1 and hw = 1").select("core"))
+    doubt = known.join(cores, "core").select("ctx", "ctx2", "stretch", "hw")
+
+    def single(batches):
+        cols = ["ctx", "ctx2", "d", "w", "name", "name2"]
+        for b in slices(batches, 4096):
+            ctx, ctx2, near, hw, raw = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            name = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            n = np.array([len(x) // 16 for x in raw], np.int64)
+            i = np.repeat(np.arange(len(n)), n)
+            d = near[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            values = (ctx[i], ctx2[i], d, hw[i], name[:, 0].copy(), name[:, 1].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], cols)
+
+    opened = doubt.join(parts.select("ctx", "ctx2", "stretch", "near", "windows"), ["ctx", "ctx2", "stretch"])
+    opened = opened.select("ctx", "ctx2", "near", "hw", "windows")
+    alone = saved(opened.mapInArrow(single, "ctx long, ctx2 long, d int, w int, name long, name2 long"))
+    dropped(kinds, parts, hulls, cores)
+    twice = saved(alone.groupBy("name", "name2").agg(F.sum("w").alias("n")).where("n > 1").select("name", "name2"))
+    more = alone.where("w = 1").join(twice, ["name", "name2"]).select("ctx", "ctx2", F.col("d").alias("near"), F.col("d").alias("far"))
+    kept = known.where("w = 1 and hw > 1").select("ctx", "ctx2", "near", "far").unionByName(more)
+    lists = kept.groupBy("ctx", "ctx2").agg(F.collect_list(F.struct("near", "far")).alias("parts"))
+    state = saved(each.select("ctx", "ctx2", "w").join(lists, ["ctx", "ctx2"], "left").where("w > 1 or parts is not null"))
+    dropped(each, known, alone, twice)
     whole = F.array(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1).alias("hi")))
     anchor = F.col("first") + F.col("rel")
     some = F.transform("parts", lambda p: F.struct((anchor - p["far"]).alias("lo"), (anchor - p["near"]).alias("hi")))
-    by_run = found.select("key", "ctx", "first", "count", "rel").join(state, "ctx")
+    by_run = found.select("key", "ctx", "ctx2", "first", "count", "rel").join(state, ["ctx", "ctx2"])
     by_run = by_run.select("key", F.when(F.col("w") > 1, whole).otherwise(some).alias("runs"))
-    return by_run.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    out = saved(by_run.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    dropped(found, state)
+    return out
 
 
 def _spans(n: int, runs: list[dict] | None) -> list[tuple[int, int]]:
