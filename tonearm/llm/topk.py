@@ -1,8 +1,9 @@
-"""Exact top-k search without random access: sorted lists are read in step, with bounds on every score.
+"""Exact top-k search without random access: sorted lists are read in sequence, with bounds on every score.
 
 Vectors that are null, empty or hold null or non-finite components take no part; vectors meet only those of their
-own length. Equal scores go to the smaller id; repeated rows each count. Too few candidates give fewer rows, an empty
-table none. Other columns are not read.
+own length. Equal scores go to the smaller id. Repeated rows each count: a query leaves out its own row only, so copies
+of it are candidates, and each copy of a query row is a query. Rows with a null id take no part. Too few candidates
+give fewer rows, an empty table none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -11,48 +12,53 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import small_batches
+from tonearm.llm.common import saved
 
 #: Vectors a block of candidates and a block of queries hold at most.
 CANDIDATES, QUERIES = 8192, 1024
-#: Share of each sorted list that has been read after each round.
-DEPTHS = (0.15, 0.3, 0.45)
+#: Rounds in which the lists are read from one end to the other; candidates of a query that are resolved by products.
+ROUNDS, OPEN = 8, 4
 
 
 def read_lists(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query row, candidate row) pairs that may be among the k best of each query: no true one is missing.
 
     A list per component holds the candidates by that component; a query reads it from its high end where the query's
-    component is positive and from its low end where it is negative. All lists are read to the same depth. What has
-    been read gives a partial score; what has not lies between the two reading points and the list's far end. A
-    candidate whose upper bound is under the k-th best lower bound cannot qualify. ``own``: a query's own row or -1.
+    component is positive and from its low end where it is negative. In each round all lists are read some entries
+    further: what is new adds to the partial scores; what is unread lies between the reading point and the list's far
+    end, which gives the bounds. A candidate whose upper bound is under the k-th best lower bound cannot qualify. A
+    query ends when so few can that their scores may be resolved; a candidate goes when no query is left that it could
+    serve. At the lists' ends the bounds are the scores. ``own``: a query's own row or -1.
     """
-    n, width = x.shape
-    ordered = np.sort(x, axis=0)
+    n = len(x)
+    order = np.argsort(x, axis=0, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
+    ordered = np.take_along_axis(x, order, 0)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    far_low, far_high = ordered[0], ordered[-1]
-    mine = np.flatnonzero(own >= 0)
-    low = np.full((len(q), n), -np.inf, q.dtype)
-    high = np.full((len(q), n), np.inf, q.dtype)
-    for depth in DEPTHS:
-        at = min(n - 1, int(n * depth))
-        top, bottom = ordered[n - 1 - at], ordered[at]  # the last entries read from either end
-        seen_up, seen_down = x >= top, x <= bottom
-        part = up @ np.where(seen_up, x, 0).T + down @ np.where(seen_down, x, 0).T
-        unseen_up, unseen_down = (~seen_up).astype(x.dtype).T, (~seen_down).astype(x.dtype).T
-        high = part + (up * top) @ unseen_up + (down * bottom) @ unseen_down
-        low = part + (up * far_low) @ unseen_up + (down * far_high) @ unseen_down
-        low[mine, own[mine]] = -np.inf
-        high[mine, own[mine]] = -np.inf
-        if n <= k:
-            break
-        bar = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-        open_ = high >= bar[:, None]
-        if open_.sum() <= 4 * k * len(q):
-            break
-    if n <= k:
-        open_ = np.isfinite(high) | (high > 0)
-    return np.nonzero(open_)
+    live, cols, read = np.arange(len(q)), np.arange(n), 0
+    part = np.zeros((len(q), n), q.dtype)
+    found = [(np.zeros(0, np.int64),) * 2]
+    while len(live) and len(cols):
+        until = min(n, read + max(k + 1, -(-n // ROUNDS)))
+        unread_up, unread_down = rank < n - until, rank >= until
+        new = np.concatenate([np.where(~unread_up & (rank < n - read), x, 0), np.where(~unread_down & (rank >= read), x, 0)], axis=1)
+        part += np.concatenate([up, down], axis=1) @ new.T
+        unread = np.concatenate([unread_up, unread_down], axis=1).astype(q.dtype).T
+        high = part + np.concatenate([up * ordered[n - until], down * ordered[until - 1]], axis=1) @ unread
+        low = part + np.concatenate([up * ordered[0], down * ordered[-1]], axis=1) @ unread
+        for bound in (low, high):
+            bound[own[live][:, None] == cols] = -np.inf
+        bar = -np.partition(-low, k - 1, axis=1)[:, k - 1] if len(cols) >= k else np.full(len(live), -np.inf, q.dtype)
+        open_ = (high >= bar[:, None]) & (high > -np.inf)
+        done = (open_.sum(axis=1) <= OPEN * k) | (until == n)
+        a, b = np.nonzero(open_[done])
+        found.append((live[done][a], cols[b]))
+        keep = open_[~done].any(axis=0)
+        live, cols, read = live[~done], cols[keep], until
+        part, up, down, x, rank = part[~done][:, keep], up[~done], down[~done], x[keep], rank[keep]
+    rows, at = zip(*found, strict=True)
+    return np.concatenate(rows), np.concatenate(at)
 
 
 def _exact_type(q: np.ndarray, x: np.ndarray) -> type:
@@ -61,29 +67,25 @@ def _exact_type(q: np.ndarray, x: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
-def best_of_block(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of the k best of one block for each query, ties to the smaller id."""
+def best_of_block(qrows: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query's row, vector id, score) of the k best of one block for each query, ties to the smaller id."""
     kind = _exact_type(q, x)
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+    order = np.argsort(rows)
+    rows, ids, x = rows[order], ids[order], x[order]
+    at = np.minimum(np.searchsorted(rows, qrows), len(rows) - 1)
+    own = np.where(rows[at] == qrows, at, -1)
     if kind is object:
         big_q, big_x = [[int(v) for v in r] for r in q], [[int(v) for v in r] for r in x]
-        score = np.array([[sum(map(int.__mul__, a, b)) for b in big_x] for a in big_q], object)
-        rows, cols = np.nonzero(qids[:, None] != ids[None])
-        score = score[rows, cols]
+        a, b = np.nonzero(own[:, None] != np.arange(len(rows)))
+        score = np.array([sum(map(int.__mul__, big_q[i], big_x[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)], object)
     else:
         q, x = q.astype(kind), x.astype(kind)
-        at = np.searchsorted(ids, qids)
-        own = np.where((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == qids), at, -1)
-        rows, cols = read_lists(q, x, k, own)
-        score = np.einsum("ij,ij->i", q[rows], x[cols]) if len(rows) < 4_000_000 else (q @ x.T)[rows, cols]
-        keep = qids[rows] != ids[cols]
-        rows, cols, score = rows[keep], cols[keep], score[keep].astype(np.int64)
-    order = np.lexsort((ids[cols], -score, rows))
-    rows, cols, score = rows[order], cols[order], score[order]
-    first = np.searchsorted(rows, rows)
-    best = np.arange(len(rows)) - first < k
-    return list(zip(qids[rows[best]].tolist(), ids[cols[best]].tolist(), score[best].tolist(), strict=True))
+        a, b = read_lists(q, x, k, own)
+        score = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", q[a[i : i + 65_536]], x[b[i : i + 65_536]]).astype(np.int64) for i in range(0, len(a), 65_536))])
+    order = np.lexsort((ids[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    best = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return list(zip(qrows[a[best]].tolist(), ids[b[best]].tolist(), score[best].tolist(), strict=True))
 
 
 def _narrow(v: np.ndarray) -> np.ndarray:
@@ -93,7 +95,7 @@ def _narrow(v: np.ndarray) -> np.ndarray:
 
 
 def _blocks(df: DataFrame, most: int, name: str) -> DataFrame:
-    """Rows of up to ``most`` packed vectors of one cell and length: ids and vectors as bytes, with the vectors' type."""
+    """Rows of up to ``most`` packed vectors of one cell and length: rows, ids and vectors as bytes, and the vectors' type."""
 
     def run(batches):
         import pandas as pd
@@ -101,28 +103,28 @@ def _blocks(df: DataFrame, most: int, name: str) -> DataFrame:
         held: dict[tuple[int, int], list] = {}
 
         def packed(key, rows):
-            v = _narrow(np.array([x for _, x in rows]))
-            ids = np.array([i for i, _ in rows], np.int64).tobytes()
-            return pd.DataFrame({"cell": [key[0]], "width": [key[1]], f"{name}_ids": [ids], name: [v.tobytes()], f"{name}_type": [v.dtype.str]})
+            v = _narrow(np.array([x for _, _, x in rows]))
+            number, ids = (np.array([r[c] for r in rows], np.int64).tobytes() for c in (0, 1))
+            return pd.DataFrame({"cell": [key[0]], "width": [key[1]], f"{name}_rows": [number], f"{name}_ids": [ids], name: [v.tobytes()], f"{name}_type": [v.dtype.str]})
 
         for b in batches:
-            for cell, i, v in zip(b["cell"], b["id"], b["vector"], strict=True):
+            for cell, r, i, v in zip(b["cell"], b["row"], b["id"], b["vector"], strict=True):
                 rows = held.setdefault((cell, len(v)), [])
-                rows.append((i, v))
+                rows.append((r, i, v))
                 if len(rows) == most:
                     yield packed((cell, len(v)), held.pop((cell, len(v))))
         for key, rows in held.items():
             yield packed(key, rows)
 
-    return df.mapInPandas(run, f"cell int, width int, {name}_ids binary, {name} binary, {name}_type string")
+    return df.mapInPandas(run, f"cell int, width int, {name}_rows binary, {name}_ids binary, {name} binary, {name}_type string")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """The k best by inner product of floor(scale * x) for every query row, over all other rows.
 
-    Queries fall into slots and candidates into shards by hash, with a block's worth of each; each pair of a slot and a
-    shard is one key of an equi-join of packed blocks, so every task holds a block or two of either however many there
-    are, and the merge sees k rows for each query and block.
+    Rows are numbered in a table first. Queries fall into slots and candidates into shards by hash, with a block's worth
+    of each; each pair of a slot and a shard is one key of an equi-join of packed blocks, so every task holds a block or
+    two of either however many there are, and the merge sees k rows for each query and block.
     """
     v = F.col(vector_col).cast("array<double>")
     sound = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("is_query")).where(
@@ -132,30 +134,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
     whole = sound.select("id", "is_query", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("vector"))
+    whole = saved(whole.withColumn("row", F.monotonically_increasing_id()))
     sizes = whole.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     slots, shards = max(1, -(-sizes["q"] // QUERIES)), max(1, -(-sizes["n"] // CANDIDATES))
-    q = whole.where("is_query").withColumn("cell", F.expr(f"cast(pmod(xxhash64(id), {slots}) as int)"))
-    q = _blocks(q.select("cell", "id", "vector").repartition(slots, "cell"), QUERIES, "queries").withColumnRenamed("cell", "slot")
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    x = whole.withColumn("cell", F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)"))
-    x = _blocks(x.select("cell", "id", "vector").repartition(shards, "cell"), CANDIDATES, "candidates").withColumnRenamed("cell", "shard")
-    x = x.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+
+    def dealt(df: DataFrame, cells: int, most: int, name: str, cell: str) -> DataFrame:
+        df = df.withColumn("cell", F.expr(f"cast(pmod(xxhash64(row), {cells}) as int)")).select("cell", "row", "id", "vector")
+        return _blocks(df.repartition(cells, "cell"), most, name).withColumnRenamed("cell", cell)
+
+    q = dealt(whole.where("is_query"), slots, QUERIES, "queries", "slot").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    x = dealt(whole, shards, CANDIDATES, "candidates", "shard").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     pairs = x.hint("shuffle_hash").join(q, ["slot", "shard", "width"])
 
     def run(batches):
         import pandas as pd
 
+        numbers = lambda raw: np.frombuffer(raw, np.int64)
         for b in batches:
             for r in b.itertuples():
-                rows = best_of_block(
-                    np.frombuffer(r.queries_ids, np.int64), np.frombuffer(r.queries, r.queries_type).reshape(-1, r.width).astype(float),
-                    np.frombuffer(r.candidates_ids, np.int64), np.frombuffer(r.candidates, r.candidates_type).reshape(-1, r.width).astype(float), k,
-                )
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-    small_batches(vectors.sparkSession, 32)  # a row holds two blocks
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                q, x = (np.frombuffer(v, kind).reshape(-1, r.width).astype(float) for v, kind in ((r.queries, r.queries_type), (r.candidates, r.candidates_type)))
+                qrows, qids = numbers(r.queries_rows), numbers(r.queries_ids)
+                found = pd.DataFrame(best_of_block(qrows, q, numbers(r.candidates_rows), numbers(r.candidates_ids), x, k), columns=["row", "vec_id", "score"])
+                id_of = pd.Series(qids, index=qrows)
+                yield found.assign(query_id=id_of.reindex(found["row"]).to_numpy())[["row", "query_id", "vec_id", "score"]]
+
+    found = pairs.mapInPandas(run, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
