@@ -1,61 +1,65 @@
 """Secret scans: all rules as one minimal automaton, one pass over the bytes of every text.
 
-The automaton tells which short stretches of text hold which rules; the rule's own regex then fixes the spans there.
-Null and empty texts have no spans (counts 0, ``spans`` empty, the digest of an empty string). Texts of any length
-are scanned whole, in lanes of about a kilobyte; equal rows get equal results; an empty table gives an empty result;
-columns besides the id and the text are not read.
+The automaton's tables give the spans (``Matcher``); no regex runs. Null and empty texts have no spans (counts 0,
+``spans`` empty, the digest of an empty string). Texts of any length are scanned whole, in lanes of about a kilobyte;
+equal rows get equal results; an empty table gives an empty result; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tonearm.llm.automaton import compile_rules, scan
-from tonearm.llm.common import map_columns, small_batches
+from tonearm.llm.automaton import Matcher
+from tonearm.llm.common import map_columns
 
-#: kind -> (regex, group whose length counts, least length, regex that the automaton looks for: a necessary part of it,
-#: kept short because counted repeats multiply its states)
+_NAME = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
+#: kind -> (regex, the part before what is counted or none, least length of what is counted)
 RULES = {
-    "assign": (
-        r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12,
-        r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4})""",
-    ),
-    "access": (r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{2}"),
-    "hex": (r"[0-9a-f]+", 0, 16, r"[0-9a-f]{14}"),
-    "github": (r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{2}"),
-    "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, r"xox[abprs]-[A-Za-z0-9-]{2}"),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ[A-Za-z0-9_-]{2}"),
-    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27, r"PRIVATE KEY-----"),
-}
+    "assign": (_NAME + "[A-Za-z0-9+/_.=-]+", _NAME, 12),
+    "access": ("AKIA[A-Z0-9]+", None, 18),
+    "hex": ("[0-9a-f]{16,}", None, 16),
+    "github": ("gh[pousr]_[A-Za-z0-9]+", None, 40),
+    "slack": ("xox[abprs]-[A-Za-z0-9-]+", None, 15),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", None, 40),
+    "private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", None, 27),
+}
 BASE = ("assign", "access", "hex")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def secret_spans(texts: list[str], automaton, rules=RULES) -> list[list[tuple[str, int, int]]]:
+@lru_cache(maxsize=1)
+def _matcher() -> Matcher:
+    """Compiled once in the driver and sent to the tasks: rules, then the parts before what is counted."""
+    return Matcher([*(r for r, _, _ in RULES.values()), *(h for _, h, _ in RULES.values() if h)])
+
+
+def secret_spans(texts: list[str], matcher: Matcher) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) in code points of every text, by start, then kind as listed."""
-    raw = [t.encode() for t in texts]
-    size = np.array([len(r) + 1 for r in raw], np.int64)
-    ends = np.cumsum(size)
-    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    joined = buf.tobytes()
+    kinds = list(RULES)
+    heads = [h for _, h, _ in RULES.values() if h]
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum(np.array([len(r) + 1 for r in raw], np.int64))
+    data = b"\n".join(raw) + b"\n"
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    kinds = list(rules)
-    compiled = [re.compile(rules[k][0].encode()) for k in kinds]
-    for s, e, bits in zip(*(x.tolist() for x in scan(automaton, buf)), strict=True):
-        for rule, kind in enumerate(kinds):
-            if bits >> rule & 1:
-                _, group, least, _ = rules[kind]
-                for m in compiled[rule].finditer(joined, s, e):
-                    if m.end(group) - m.start(group) >= least:
-                        doc = int(np.searchsorted(ends, m.start(), "right"))
-                        at = int(ends[doc] - size[doc])
-                        start = len(joined[at : m.start()].decode())
-                        found[doc].append((start, rule, start + m.end() - m.start()))
-    return [[(kinds[r], s, e) for s, r, e in sorted(f)] for f in found]
+    for rule, s, e in matcher.matches(np.frombuffer(data, np.uint8), len(kinds)):
+        _, head, least = RULES[kinds[rule]]
+        counted = matcher.longest(data, s, e, len(kinds) + heads.index(head)) if head else s
+        if e - counted >= least:
+            found[int(np.searchsorted(ends, s, "right"))].append((s, rule, e))
+    out = []
+    for mine, end, text in zip(found, ends.tolist(), raw, strict=True):
+        first = end - 1 - len(text)
+        if mine and not text.isascii():  # places in code points: bytes that begin one, counted once
+            at = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+            mine = [(int(at[s - first]), r, int(at[e - first])) for s, r, e in mine]
+        else:
+            mine = [(s - first, r, e - first) for s, r, e in mine]
+        out.append([(kinds[r], s, e) for s, r, e in sorted(mine)])
+    return out
 
 
 def _digest(text: str) -> str:
@@ -64,12 +68,11 @@ def _digest(text: str) -> str:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, the digest of their spans, and all spans. No shuffle."""
-    small_batches(docs.sparkSession, 2000)
-    automaton = compile_rules([r[3] for r in RULES.values()])
+    matcher = _matcher()
 
     def run(ids, texts):
         rows = []
-        for doc, spans in zip(ids, secret_spans([t or "" for t in texts], automaton), strict=True):
+        for doc, spans in zip(ids, secret_spans([t or "" for t in texts], matcher), strict=True):
             told = [f"{k}:{s}:{e}" for k, s, e in spans]
             base = [t for t, (k, _, _) in zip(told, spans, strict=True) if k in BASE]
             counts = [sum(k == kind for k, _, _ in spans) for kind in BASE]
@@ -77,7 +80,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return list(zip(*rows, strict=True)) or [[]] * 6
 
     plain = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    return map_columns(plain, run, SCHEMA)
+    return map_columns(plain, run, SCHEMA, 2000)
 
 
 def op2_secret_scans(spark, sf_dir: str) -> DataFrame:
