@@ -4,26 +4,23 @@ Every letter has a random +-1 vector. A 3-gram binds its letters' vectors, each
 them; a text bundles (adds) its 3-grams; a language's prototype bundles the texts of that language; a text gets the
 language whose prototype has the largest cosine with it.
 
-Null texts and texts without a letter get ``und`` with score 0, as do all where nothing could be learned. Equal
+Null texts and texts without a letter (of Unicode category L) get ``und`` with score 0, as do all where nothing could be learned. Equal
 cosines go to the first language by name. Rows with a null id or language are predicted but do not teach. Whole texts
 count, in bounded slices; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import map_columns, small_batches
+from tonearm.llm.common import map_columns
 
 DIMENSIONS = 512
 SEED = 20_260
 #: Symbols of the alphabet: 0 is any run of other than letters, 1-26 are a-z, other letters share the rest by code point.
 SYMBOLS = 64
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _symbol_table() -> np.ndarray:
@@ -64,10 +61,22 @@ def _count_grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.nd
     return here, counts.reshape(len(parts), len(here)).astype(np.float32)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _bind(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return letters[0][grams // SYMBOLS**2] * letters[1][grams // SYMBOLS % SYMBOLS] * letters[2][grams % SYMBOLS]
 
 
+def _bundle(counts: np.ndarray, grams: np.ndarray, letters: np.ndarray, most: int = 8192) -> np.ndarray:
+    """Sums of the bound vectors of 3-grams, each times its count; ``most`` of them are bound at once."""
+    out = np.zeros((*counts.shape[:-1], letters.shape[2]), np.float64)
+    for i in range(0, len(grams), most):
+        out += counts[..., i : i + most] @ _bind(grams[i : i + most], letters)
+    return out
+
+
 def _slices(texts: list[str], most: int = 64):
     """Runs of texts whose count tables stay small."""
     for i in range(0, len(texts), most):
@@ -85,9 +94,9 @@ def prototypes(docs: DataFrame, id_col: str, text_col: str, lang_col: str, teach
         for b in batches:
             for lang, part in b.groupby("lang"):
                 for texts in _slices(part["text"].tolist()):
-                    grams, counts = _count_grams([t for t in texts if _LETTER.search(t)], table)
+                    grams, counts = _count_grams([t for t in texts if has_letter(t)], table)
                     if len(grams):
-                        sums[lang] = sums.get(lang, 0) + counts.sum(axis=0, dtype=np.float64) @ _bind(grams, letters)
+                        sums[lang] = sums.get(lang, 0) + _bundle(counts.sum(axis=0, dtype=np.float64), grams, letters)
         for lang, v in sums.items():
             yield pd.DataFrame({"lang": lang, "d": np.arange(len(v)), "x": np.asarray(v, np.float64)})
 
@@ -106,7 +115,6 @@ def prototypes(docs: DataFrame, id_col: str, text_col: str, lang_col: str, teach
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: Column | None = None) -> DataFrame:
     """Learn from the rows that are not held out, then label every row. Two passes, one tiny shuffle."""
-    small_batches(docs.sparkSession, 1024)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True)) if held_out is None else held_out
     learned = prototypes(docs, id_col, text_col, lang_col, ~held)
     names = list(learned)
@@ -117,10 +125,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         langs, scores = [], []
         for part in _slices([t or "" for t in texts]):
             grams, counts = _count_grams(part, table)
-            v = counts @ _bind(grams, letters)
+            v = _bundle(counts, grams, letters)
             cosine = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
             for t, c in zip(part, cosine, strict=True):
-                sure = bool(names) and bool(_LETTER.search(t))
+                sure = bool(names) and has_letter(t)
                 langs.append(names[int(np.argmax(c))] if sure else "und")
                 scores.append(float(min(1.0, max(0.0, c.max()))) if sure else 0.0)
         return [ids, held, langs, scores]
