@@ -16,12 +16,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import map_columns, saved, small_batches
+from tonearm.llm.common import dropped, map_columns, saved
 
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -92,9 +94,10 @@ def matches(text: str) -> list[tuple[int, int, int]]:
     if "+" in text:
         out += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     taken = sorted((s, e) for _, s, e in out)
+    starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
     for kind, rx in ((4, SSN), (5, IBAN), (6, LOCAL)):
         for m in rx.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
+            if reach[bisect_left(starts, m.end())] <= m.start():  # no base span that begins before its end goes beyond its start
                 out.append((kind, *m.span()))
     return out
 
@@ -139,7 +142,6 @@ def features_of(text: str, kind: int, start: int, end: int) -> list[int]:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its candidates, their votes (base 3) and features."""
-    small_batches(docs.sparkSession, 1024)
 
     def run(ids, texts):
         out = []
@@ -248,6 +250,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     found = saved(candidates(docs, id_col, text_col))
     soft, prior, weight = fit(found)
+    dropped(found)
     columns = docs.columns
     at = columns.index(text_col)
     kinds = dict(docs.dtypes)
@@ -273,7 +276,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             texts.append(t)
         return [*cols[:at], texts, *cols[at + 1 :]]
 
-    small_batches(docs.sparkSession, 1024)
     return map_columns(docs, run, schema)
 
 
