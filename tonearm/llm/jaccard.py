@@ -7,12 +7,13 @@ groups that pass are opened.
 
 The matrix holds for each document only its prefix: in a fixed order of all tokens (those of a bounded list of very
 common ones last) the first tokens, so many that two sets of the wanted similarity share a set number of them, which
-grows with the set. Groups whose unions share fewer, or whose members' sizes lie too far apart, are not tried. The
+grows with the sets. Groups whose unions share fewer, or whose members' sizes lie too far apart, are not tried. The
 order changes which groups are tried, never which links are found.
 
-Groups are parts of what is already linked: first every document is compared with the least holder of its tokens, one
-for each token, and what these links join is one kin. Members of a kin need not meet, so tokens that only one kin holds
-leave the matrix, and a large group of near copies costs no more than its size.
+Groups are parts of what is already linked or alike: first every document is compared with the least holder of its
+tokens, one for each token, and what these links join is one kin. Members of a kin need not meet, so tokens that only
+one kin holds leave the matrix, and a large group of near copies costs no more than its size. A document without links
+goes with the kin of the holder that shares most of its tokens.
 
 Null and empty texts have empty sets: they link with nothing and are their own component. Repeated rows are one class.
 Rows with a null id are left out of links; each is returned with a null component. An empty table gives an empty
@@ -148,6 +149,19 @@ def _incidence(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
     return m
 
 
+def _shared_by_sizes(percent: int):
+    """Tokens that the prefixes of two similar sets share at least, whose sizes are s to z and whose ``shared_least`` is l.
+
+    Beyond the prefix that ends first in the order, sets share no more than the rest of that one, needed - shared_least
+    tokens. So of the tokens they must share, by both sizes, all but these stand in both prefixes. That number falls with
+    the larger size and grows with the smaller one, while the sizes allow any similarity; else l holds.
+    """
+    both = F.floor(percent * (F.col("s") + F.col("z")) / (100 + percent))
+    least = F.ceil(percent * F.col("z") / 100)
+    sharp = both - least + F.least(least, 4 + F.floor(F.col("z") / 50)) - 1
+    return F.when(percent * F.col("z") <= 100 * F.col("s"), F.greatest("l", sharp)).otherwise(F.col("l"))
+
+
 def _blocks(n: str, w: str):
     """Blocks into which n documents with w tokens are dealt."""
     return F.greatest(F.ceil(F.col(n) / GROUP_DOCS), F.ceil(F.col(w) / GROUP_TOKENS))
@@ -168,10 +182,12 @@ def _members(m) -> tuple[list[int], np.ndarray, np.ndarray]:
     return [x["doc_id"] for x in m], np.array([x["size"] for x in m]), np.frombuffer(b"".join(x["tokens"] for x in m), np.uint64)
 
 
-def _kin_edges(live: DataFrame, size: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """Links (a, b) between documents and the least holders of their tokens, of those that share some tokens: a table."""
+def _kin_edges(live: DataFrame, size: DataFrame, texts: DataFrame, percent: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between documents and the least holders of their tokens, of those that share some tokens; and for
+    each document the holder (doc_id, hub) that shares most: two tables."""
     near = live.where("doc_id <> hub").groupBy("doc_id", "hub", "least").agg(F.count("*").alias("n"))
-    star = saved(near.where("2 * n >= least").select("doc_id", "hub").join(size, "doc_id"))
+    star = saved(near.where("2 * n >= least").select("doc_id", "hub", "n").join(size, "doc_id"))
+    best = saved(star.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("m")).select("doc_id", (-F.col("m.h")).alias("hub")))
     of_hub = star.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
     blocks = saved(of_hub.select("hub", _blocks("n", "w").cast("int").alias("blocks")))
     spread = star.join(blocks, "hub").select("doc_id", "hub", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"))
@@ -191,7 +207,7 @@ def _kin_edges(live: DataFrame, size: DataFrame, texts: DataFrame, percent: int,
 
     out = saved(map_columns(held.select("hub", "m"), linked, "a long, b long", 64))
     dropped(star, blocks, seats)
-    return out
+    return out, best
 
 
 def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,33 +245,38 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     size = saved(prefix.select("doc_id", "size", "least").distinct())
     dropped(prefix, shared)
 
-    edges = _kin_edges(live, size.select("doc_id", "size"), texts, percent, n)
-    kin = components(edges)
-    kin = saved(size.join(kin.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("kin", F.coalesce("root", "doc_id")).drop("root"))
+    edges, best = _kin_edges(live, size.select("doc_id", "size"), texts, percent, n)
+    root = components(edges)
+    rooted = size.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").join(best, "doc_id", "left")
+    kin = saved(rooted.withColumn("kin", F.coalesce("root", "doc_id")))
+    hubs = kin.select(F.col("doc_id").alias("hub"), F.col("kin").alias("hub_kin"))
+    family = kin.join(hubs, "hub", "left").withColumn("family", F.coalesce("root", "hub_kin", "doc_id"))
+    family = saved(family.withColumn("band", F.floor(10 * F.log("size"))).select("doc_id", "kin", "size", "least", "family", "band"))
 
-    # groups: blocks of bounded size of each kin
-    weight = kin.groupBy("kin").agg(
-        F.count("*").alias("n"), F.sum("size").alias("w"), F.min("least").alias("l"), F.min("size").alias("s"), F.max("size").alias("z")
-    )
+    # groups: blocks of bounded size of each family, of members of like sizes
+    weight = family.groupBy("family", "band").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
     large = saved(weight.where("n > 1"))
     block = F.pmod(F.xxhash64("doc_id"), F.coalesce(_blocks("n", "w"), F.lit(1)))
-    grouped = saved(
-        kin.join(large, "kin", "left").select(
-            "doc_id", "kin", F.coalesce("l", "least").alias("l"), F.coalesce("s", "size").alias("s"), F.coalesce("z", "size").alias("z"), F.xxhash64("kin", block).alias("g")
-        )
+    grouped = family.join(large, ["family", "band"], "left").select("doc_id", "kin", "size", "least", F.xxhash64("family", "band", block).alias("g"))
+    grouped = saved(grouped)
+    about = grouped.groupBy("g").agg(
+        F.count("*").alias("n"), F.min("least").alias("l"), F.min("size").alias("s"), F.max("size").alias("z"), F.min("kin").alias("a"), F.max("kin").alias("b")
     )
-    spots = live.select("doc_id", "t").join(grouped, "doc_id")
+    about = saved(about.select("g", "n", "l", "s", "z", F.expr("if(a = b, a, null)").alias("only")))  # only: the one kin of a group
+    spots = live.select("doc_id", "t").join(grouped.select("doc_id", "kin", "g"), "doc_id")
     several = saved(spots.groupBy("t").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a <> b").select("t"))
-    matrix = saved(spots.join(several, "t").select("t", "g", "kin", "l", "s", "z").distinct())
-    dropped(live, size, kin, large, several)
-    sides = [matrix.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("g", "kin", "l", "s", "z"))) for i in (1, 2)]
+    matrix = saved(spots.join(several, "t").select("t", "g").distinct().join(about, "g").select("t", "g", "only", "l", "s", "z"))
+    dropped(live, size, root, best, kin, family, large, several)
+    sides = [matrix.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("g", "only", "l", "s", "z"))) for i in (1, 2)]
     near = (100 * F.col("z1") >= percent * F.col("s2")) & (100 * F.col("z2") >= percent * F.col("s1"))
-    tried = sides[0].join(sides[1], "t").where((F.col("g1") < F.col("g2")) & (F.col("kin1") != F.col("kin2")) & near)
-    enough = tried.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.least("l1", "l2")).alias("l")).where("n >= l")
-    pairs = saved(enough.select("g1", "g2"))
+    tried = sides[0].join(sides[1], "t").where((F.col("g1") < F.col("g2")) & F.coalesce(F.col("only1") != F.col("only2"), F.lit(True)) & near)
+    ends = [F.min(F.least(f"{c}1", f"{c}2")).alias(c) for c in ("l", "s")] + [F.max(F.greatest("z1", "z2")).alias("z")]
+    enough = tried.groupBy("g1", "g2").agg(F.count("*").alias("n"), *ends).where(F.col("n") >= _shared_by_sizes(percent))
+    mixed = about.where("only is null").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
+    pairs = saved(enough.select("g1", "g2").unionByName(mixed))
     used = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
     wanted = saved(grouped.select("doc_id", "g").join(used, "g", "left_semi"))
-    dropped(matrix, grouped)
+    dropped(matrix, grouped, about)
     held = _sets(texts, wanted.select("doc_id"), n).join(wanted, "doc_id")
     block = saved(held.groupBy("g").agg(F.collect_list(F.struct("doc_id", "size", "tokens")).alias("m")))  # GROUP_DOCS at most, or near
     both = pairs.join(block.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1")
