@@ -2,9 +2,12 @@
 
 import glob
 import math
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tonearm.plans import catalog, jobs, scoring
@@ -25,9 +28,10 @@ def db():
 
 def rows(df):
     def told(v):
-        if v is None or v != v:
+        if np.ndim(v) == 0 and pd.isna(v):
             return "~"
-        return f"{v:.5f}" if isinstance(v, float) and math.isfinite(v) else str(v)
+        number = isinstance(v, numbers.Real) and not isinstance(v, (bool, np.bool_))
+        return f"{v + 0.0:.5f}" if number and math.isfinite(v) else str(v)  # a column with nulls is one of floats
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(told, r)) for r in df.itertuples(index=False)), list(df.columns)

@@ -132,3 +132,20 @@ def test_requeue(spark):
     t = spark.createDataFrame([(1, "processing", 0), (2, "processing", 3), (3, "pending", 1)], "k long, status string, retry_count int")
     got = {r["k"]: (r["status"], r["retry_count"]) for r in C.requeue(t, t.where("k < 3").select("k"), "k").collect()}
     assert got == {1: ("pending", 1), 2: ("failed", 4), 3: ("pending", 1)}
+
+
+def test_repeated_keys_in_change_sets(spark):
+    t = spark.createDataFrame([(1, 0, "pending", "x"), (2, 5, "pending", None), (3, 1, "completed", "y")], "k int, retry_count int, status string, error_message string")
+    twice = t.where("k < 3").select("k")
+    assert sorted(r["k"] for r in C.requeue(t, twice.unionByName(twice), "k").collect()) == [1, 2, 3]
+    c = spark.createDataFrame([(1, "failed", None), (1, "completed", "a"), (9, "failed", "b")], "k int, status string, error_message string")
+    got = {r["k"]: (r["status"], r["error_message"]) for r in C.apply_status(t, c, "k").collect()}
+    assert got == {1: ("failed", None), 2: ("pending", None), 3: ("completed", "y")}
+    assert sorted(r["k"] for r in C.upsert(t, t.unionByName(t), ["k"]).collect()) == [1, 2, 3]
+
+
+def test_pills_without_keywords_match_nothing(spark):
+    t = spark.createDataFrame([(1, 7, "Rock, jazz", "completed", None, None)], "track_id int, album_id int, tags string, status string, decision string, stream string")
+    a = spark.createDataFrame([(7, "ambient")], "album_id int, subjects string")
+    p = spark.createDataFrame([(1, None), (2, ""), (3, "JAZZ , x"), (4, "ambient"), (5, "metal")], "pill_id int, keywords string")
+    assert sorted(r["pill_id"] for r in C.pill_matches(p, t, a).collect()) == [3, 4]

@@ -45,11 +45,53 @@ def inserted(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.select(*keys).distinct().join(target.select(*keys), keys, "left_anti").agg(F.count("*").alias("n_inserted"))
 
 
+def one_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Of changes with one key the largest row, column by column as they stand; nulls are least."""
+    rest = [c for c in changes.columns if c not in keys]
+    if not rest:
+        return changes.select(*keys).distinct()
+    return changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row_")).select(*keys, "row_.*")
+
+
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Changed rows replace those with their key."""
+    """Changed rows replace those with their key; of changes with one key one counts."""
+    changes = one_per_key(changes, keys)
     return target.join(changes.select(*keys), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def insert_with_links(albums: DataFrame, links: DataFrame, new: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New rows (collection_id, album_id, ...) as albums and as links: albums, links, and the albums that were not known."""
+    rows = new.drop("collection_id")
+    more = insert_or_ignore(albums.limit(0), rows, ["album_id"], order or ["album_id"]).join(albums.select("album_id"), "album_id", "left_anti")
+    linked = insert_or_ignore(links, new.select("collection_id", "album_id"), ["collection_id", "album_id"], ["album_id"])
+    return albums.unionByName(more, allowMissingColumns=True), linked, more
+
+
+def sync_list(collections: DataFrame, albums: DataFrame, links: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (collection_id, album_id, ...) become albums and links, and their collections' counters are set.
+
+    A collection with members is ``discovered`` with as many albums as it then has links to; nothing is ever removed.
+    """
+    albums, links, _ = insert_with_links(albums, links, members)
+    counts = links.join(members.select("collection_id").distinct(), "collection_id", "left_semi").groupBy("collection_id").agg(F.count("*").alias("discovered_count"))
+    changes = counts.withColumn("status", F.lit("discovered"))
+    return apply_status(collections, changes, "collection_id"), albums, links
+
+
+def discover(collections: DataFrame, albums: DataFrame, links: DataFrame, dump: DataFrame, denied: DataFrame, usable: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A dump (collection_id, identifier, album_id, ...) through the license filter and the denylist into albums and links.
+
+    ``discovered_count`` grows by the albums that were not known before.
+    """
+    found = filter_denylist(dump.where(usable), denied).drop("identifier")
+    more_albums, more_links, new = insert_with_links(albums, links, found)
+    n = found.join(new.select("album_id"), "album_id", "left_semi").groupBy("collection_id").agg(F.count_distinct("album_id").alias("n_"))
+    seen = found.select("collection_id").distinct().join(n, "collection_id", "left").select("collection_id", F.coalesce("n_", F.lit(0)).alias("n_"))
+    old = collections.join(seen, "collection_id", "left")
+    grown = old.withColumns({"discovered_count": F.coalesce("discovered_count", F.lit(0)) + F.coalesce("n_", F.lit(0)), "status": F.when(F.col("n_").isNotNull(), "discovered").otherwise(F.col("status"))})
+    return grown.drop("n_"), more_albums, more_links
+
+
 def replace_links(links: DataFrame, changes: DataFrame, key: str = "collection_id") -> DataFrame:
     """The links of every changed collection are exactly those given."""
     return links.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes.distinct())
@@ -178,23 +220,14 @@ def collection_track_stats(links: DataFrame, tracks: DataFrame) -> DataFrame:
 def pill_matches(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
     """(pill_id, track_id, album_id, ...) of listenable tracks whose tags or whose album's subjects hold a keyword.
 
-    The pills are a table of a few rows kept by hand; their keywords travel as one array, so each candidate is read
-    once and multiplied only by the pills it matches.
+    Every pill is a row with its keywords as an array, which Spark sends to the tasks while the table is small; each
+    candidate is read once. Pills without keywords match nothing.
     """
     t = tracks.where(listenable()).join(albums.select("album_id", "subjects"), "album_id")
-    rows = [(r["pill_id"], r["keywords"]) for r in pills.select("pill_id", "keywords").limit(1001).collect()]
-    if len(rows) > 1000:  # beyond a small table, an ordinary join
-        p = pills.select("pill_id", X.split_keywords(F.col("keywords")).alias("kw"))
-        return t.join(p, has_any(F.col("subjects"), F.col("kw")) | has_any(F.col("tags"), F.col("kw"))).drop("kw")
     text = F.concat(F.lower(F.coalesce("subjects", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("tags", F.lit(""))))
-    hits = []
-    for pill, words in rows:
-        keys = [k for k in (w.strip().lower() for w in words.split(",")) if k]
-        hit = F.lit(False)
-        for k in keys:
-            hit = hit | F.contains(F.col("pill_text"), F.lit(k))
-        hits.append(F.when(hit, F.lit(pill)))
-    return t.withColumn("pill_text", text).withColumn("pill_id", F.explode(F.array_compact(F.array(*hits)))).drop("pill_text")
+    p = pills.select("pill_id", X.split_keywords(F.coalesce("keywords", F.lit(""))).alias("kw_"))
+    found = t.withColumn("text_", text).join(p, F.exists("kw_", lambda k: F.contains(F.col("text_"), k)))
+    return found.drop("text_", "kw_")
 
 
 def pill_coverage(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
@@ -208,27 +241,98 @@ def pill_coverage(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> Dat
 # ---------------------------------------------------------------- transitions
 
 
+def _to(hit: Column, value, column: str) -> Column:
+    return F.when(hit, value).otherwise(F.col(column))
+
+
 def requeue(table: DataFrame, failed: DataFrame, key: str, most: int = 3, count_failures: bool = True) -> DataFrame:
     """Rows with a failed key go back to pending, or to failed once they were tried ``most`` times."""
-    t = table.join(failed.select(key, F.lit(True).alias("hit_")), key, "left")
+    t = table.join(failed.select(key).distinct().withColumn("hit_", F.lit(True)), key, "left")
     over = F.col("retry_count") >= most
     status = F.when(F.col("hit_") & over, "failed").when(F.col("hit_"), "pending").otherwise(F.col("status"))
     tries = F.col("retry_count") + F.when(F.col("hit_") & (~over | F.lit(count_failures)), 1).otherwise(0)
     return t.withColumns({"status": status, "retry_count": tries}).drop("hit_")
 
 
-def apply_status(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Set the status (and error, where given) of the keys in the change set."""
-    c = changes.select(key, F.col("status").alias("new_"))
-    return table.join(c, key, "left").withColumn("status", F.coalesce("new_", "status")).drop("new_")
+def apply_status(table: DataFrame, changes: DataFrame, key: str, now: Column | None = None) -> DataFrame:
+    """Set the status and what else the change set holds, of its keys; of changes with one key one counts.
 
+    ``error_message`` is taken as it is, null included; counters and other columns where they are given. ``updated_at``
+    becomes ``now`` where a row changes.
+    """
+    names = [c for c in changes.columns if c != key]
+    c = one_per_key(changes, [key]).select(key, F.lit(True).alias("hit_"), *(F.col(n).alias(f"{n}_new_") for n in names))
+    t = evolve_schema(table, {n: F.lit(None).cast(dict(changes.dtypes)[n]) for n in names}).join(c, key, "left")
+    hit = F.coalesce("hit_", F.lit(False))
+    new = {n: _to(hit, F.col(f"{n}_new_"), n) if n == "error_message" else F.coalesce(f"{n}_new_", n) for n in names}
+    if now is not None:
+        new["updated_at"] = _to(hit, now, "updated_at")
+    return t.withColumns(new).drop("hit_", *(f"{n}_new_" for n in names))
+
+
+def reset_stuck(table: DataFrame, busy: str, cutoff: Column) -> DataFrame:
+    """Rows that are ``busy`` since before the cutoff are pending again."""
+    return table.withColumn("status", _to((F.col("status") == busy) & (F.col("updated_at") < cutoff), "pending", "status"))
+
+
+def reset_failed(table: DataFrame) -> DataFrame:
+    """Failed rows are pending again and untried; unavailable ones stay."""
+    failed = F.col("status") == "failed"
+    return table.withColumns({"status": _to(failed, "pending", "status"), "retry_count": _to(failed, 0, "retry_count")})
+
+
+def reset_for_reembedding(tracks: DataFrame, strategy: str, status: str = "pending") -> DataFrame:
+    """Completed tracks that were embedded by another strategy."""
+    return tracks.withColumn("status", _to((F.col("status") == "completed") & (F.col("strategy") != strategy), status, "status"))
 
-def cascade_album(tracks: DataFrame, albums: DataFrame) -> DataFrame:
-    """Failed or unavailable albums take their pending tracks along; others keep their status."""
+
+def reset_score_version(tracks: DataFrame, old: str) -> DataFrame:
+    """Old versions are cleared, and tracks that scoring made unavailable are completed again."""
+    back = (F.col("status") == "unavailable") & F.col("error_message").like("listenability:%")
+    return tracks.withColumns({"version": F.when(F.col("version") != old, F.col("version")), "status": _to(back, "completed", "status")})
+
+
+def reset_collections(collections: DataFrame) -> DataFrame:
+    return collections.withColumns({"status": F.lit("pending"), "discovered_count": F.lit(0)})
+
+
+def cascade_album(tracks: DataFrame, albums: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Failed or unavailable albums take their pending tracks along; others keep their status.
+
+    ``named`` (track_id, status, error_message) are tracks that fail themselves, whatever their status. ``cascaded``
+    marks the tracks that went along, ``skipped`` those of such an album that stayed as they were.
+    """
     gone = albums.where(F.col("status").isin("failed", "unavailable")).select("album_id", F.col("status").alias("new_"))
-    t = tracks.join(gone, "album_id", "left")
-    hit = F.col("new_").isNotNull() & (F.col("status") == "pending")
-    return t.withColumns({"cascaded": hit, "status": F.when(hit, F.col("new_")).otherwise(F.col("status"))}).drop("new_")
+    t = tracks.join(one_per_key(gone, ["album_id"]), "album_id", "left")
+    own = F.lit(False)
+    if named is not None:
+        n = one_per_key(named.select("track_id", F.col("status").alias("own_"), F.col("error_message").alias("why_")), ["track_id"])
+        t = evolve_schema(t, {"error_message": F.lit(None).cast("string")}).join(n, "track_id", "left")
+        own = F.col("own_").isNotNull()
+        t = t.withColumn("error_message", _to(own, F.col("why_"), "error_message"))
+    along = F.col("new_").isNotNull() & ~own
+    hit = along & (F.col("status") == "pending")
+    status = F.when(hit, F.col("new_"))
+    status = (status.when(own, F.col("own_")) if named is not None else status).otherwise(F.col("status"))
+    return t.withColumns({"cascaded": hit, "skipped": along & ~hit, "status": status}).drop("new_", "own_", "why_")
+
+
+def mark_excluded(tracks: DataFrame, scores: DataFrame, now: Column | None = None) -> DataFrame:
+    """Tracks whose score excludes them are unavailable, with the reasons as their error."""
+    out = scores.where("decision = 'exclude'")
+    error = F.concat(F.lit("listenability: "), F.array_join("reasons", ", "))
+    return apply_status(tracks, out.select("track_id", F.lit("unavailable").alias("status"), error.alias("error_message")), "track_id", now)
+
+
+def merge_scores(tracks: DataFrame, scores: DataFrame, mark: bool = False, now: Column | None = None) -> DataFrame:
+    """Scores replace those of their tracks; with ``mark`` excluded tracks are made unavailable too."""
+    done = update_annotations(tracks, scores.select("track_id", "score", "tier", "stream", "decision", "version"), "track_id")
+    return mark_excluded(done, scores, now) if mark else done
+
+
+def update_annotations(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Set tags, subjects, genres, license or score columns of the keys in the change set, where they are given."""
+    return apply_status(table, changes, key)
 
 
 def evolve_schema(table: DataFrame, defaults: dict[str, Column]) -> DataFrame:

@@ -309,10 +309,14 @@ def insert_or_ignore(a, o):
     return C.insert_or_ignore(a.where("album_id % 3 <> 0").select("album_id", "title"), new, ["album_id"], ["title"])
 
 
-@query("albums", "links", sql="select count(distinct album_id) as n_inserted from v_links where album_id not in (select album_id from v_albums where album_id % 3 <> 0)")
+@query("albums", "links", sql="""with k as (select * from v_albums where album_id % 3 <> 0), n as (select distinct album_id from v_links where album_id not in (select album_id from k))
+    select 'inserted' as part, cast(null as int) as collection_id, album_id from n union all select 'album', null, album_id from k union all select 'album', null, album_id from n union all select 'link', collection_id, album_id from v_links""")
 def insert_with_links(a, links):
-    """New albums that a list of links brings; the links themselves come by the same merge."""
-    return C.inserted(a.where("album_id % 3 <> 0"), links, ["album_id"])
+    """Albums and links of a list of links, where two thirds of the albums and half of the links are known."""
+    albums, all_links, new = C.insert_with_links(a.where("album_id % 3 <> 0").select("album_id"), links.where("album_id % 2 = 0"), links)
+    none = F.lit(None).cast("int").alias("collection_id")
+    parts = [df.select(F.lit(p).alias("part"), none, "album_id") for p, df in (("inserted", new), ("album", albums))]
+    return parts[0].unionByName(parts[1]).unionByName(all_links.select(F.lit("link").alias("part"), "collection_id", "album_id"))
 
 
 @query("embeddings", sql="""select vec_id, cast(case when vec_id % 10 = 0 then 2 else 1 end as int) as version, round(case when vec_id % 10 = 0 then 1.0 else sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) end, 4) as norm from embeddings""")
@@ -340,22 +344,38 @@ def remove_collection(links, c):
     return C.remove_collection(links, c.where("status = 'failed'")).groupBy("collection_id").agg(F.count("*").alias("n_links"))
 
 
-@query("collections", "links", sql="select c.collection_id, 'discovered' as status, count(album_id) as discovered_count from v_collections c left join v_links l on l.collection_id = c.collection_id where c.collection_id < 10 group by c.collection_id")
-def sync_list(c, links):
+@query("collections", "albums", "links", sql="""with m as (select * from v_links where collection_id < 10), k as (select album_id from v_albums where album_id % 3 <> 0),
+    l as (select * from v_links where album_id % 2 = 0 union select * from m), n as (select collection_id, count(*) as n from l group by collection_id)
+    select 'collection' as part, c.collection_id, cast(null as bigint) as album_id, case when n.n is not null and c.collection_id < 10 then 'discovered' else status end as status, case when c.collection_id < 10 then n.n end as discovered_count from v_collections c left join n on n.collection_id = c.collection_id
+    union all select 'link', collection_id, album_id, null, null from l
+    union all select 'album', null, album_id, null, null from (select album_id from k union select album_id from m)""")
+def sync_list(c, a, links):
     """Members become albums and links, and the list's counters are set; nothing is ever removed."""
-    n = links.groupBy("collection_id").agg(F.count("*").alias("n"))
-    lists = c.where("collection_id < 10").join(n, "collection_id", "left")
-    return lists.select("collection_id", F.lit("discovered").alias("status"), F.coalesce("n", F.lit(0)).alias("discovered_count"))
-
-
-@query("albums", sql=f"select album_id, downloads from v_albums where {LICENSE_SQL} in ('pd', 'cc0', 'cc-by', 'cc-by-sa') and album_id % 9 <> 0 and album_id % 4 <> 0")
-def discover(a):
-    """Item dump, license filter, denylist, and the merge into what is known (here every fourth album)."""
-    dump = a.select(F.col("album_id").cast("string").alias("identifier"), "album_id", "downloads", "licenseurl")
+    members = links.where("collection_id < 10")
+    return _tables(*C.sync_list(c, a.where("album_id % 3 <> 0").select("album_id"), links.where("album_id % 2 = 0"), members))
+
+
+def _tables(c: DataFrame, albums: DataFrame, links: DataFrame) -> DataFrame:
+    """Three tables as one result."""
+    none = {k: F.lit(None).cast(t).alias(k) for k, t in (("collection_id", "int"), ("album_id", "bigint"), ("status", "string"), ("discovered_count", "bigint"))}
+    count = F.col("discovered_count").cast("bigint").alias("discovered_count")
+    out = c.select(F.lit("collection").alias("part"), "collection_id", none["album_id"], "status", count)
+    out = out.unionByName(links.select(F.lit("link").alias("part"), "collection_id", "album_id", none["status"], none["discovered_count"]))
+    return out.unionByName(albums.select(F.lit("album").alias("part"), none["collection_id"], "album_id", none["status"], none["discovered_count"]))
+
+
+@query("collections", "albums", "links", sql=f"""with d as (select l.collection_id, a.album_id from v_links l join v_albums a on a.album_id = l.album_id where {LICENSE_SQL} in ('pd', 'cc0', 'cc-by', 'cc-by-sa') and a.album_id % 9 <> 0),
+    k as (select album_id from v_albums where album_id % 4 = 0), l as (select * from v_links where album_id % 2 = 0 union select * from d), n as (select collection_id, count(case when album_id % 4 <> 0 then 1 end) as n from d group by collection_id)
+    select 'collection' as part, c.collection_id, cast(null as bigint) as album_id, case when n.n is not null then 'discovered' else status end as status, coalesce(n.n, 0) as discovered_count from v_collections c left join n on n.collection_id = c.collection_id
+    union all select 'link', collection_id, album_id, null, null from l
+    union all select 'album', null, album_id, null, null from (select album_id from k union select album_id from d)""")
+def discover(c, a, links):
+    """Item dump, license filter, denylist, and the merge into what is known (every fourth album, every other link)."""
+    dump = links.join(a, "album_id").select("collection_id", F.col("album_id").cast("string").alias("identifier"), "album_id", "licenseurl")
     denied = dump.where("album_id % 9 = 0").select("identifier")
-    found = C.filter_denylist(dump.where(M.commercially_usable(F.col("licenseurl"))), denied)
     known = a.where("album_id % 4 = 0").select("album_id")
-    return found.join(known, "album_id", "left_anti").select("album_id", "downloads")
+    start = c.withColumn("discovered_count", F.lit(0))
+    return _tables(*C.discover(start, known, links.where("album_id % 2 = 0"), dump, denied, M.commercially_usable(F.col("licenseurl"))))
 
 
 @query("nation", "links", sql="select distinct n_name as list_name from nation where n_nationkey in (select collection_id from v_links) and n_regionkey = 2")
@@ -405,15 +425,19 @@ def coverage_by_tier(t):
     return t.where("status = 'completed'").groupBy(L.tier(F.col("score")).alias("tier"), "decision").agg(F.count("*").alias("n"))
 
 
-@query("tracks", "albums", sql="""select count_if(coalesce(tags, '') <> '') as tagged, count_if(coalesce(tags, '') = '') as untagged, count(distinct case when coalesce(subjects, '') = '' then album_id end) as no_subjects,
-    count(distinct case when coalesce(genres, '') = '' then album_id end) as no_genres from v_tracks t join v_albums a using (album_id)""")
+@query("tracks", "albums", sql="""with j as (select t.tags, a.album_id, subjects, genres from v_tracks t join v_albums a using (album_id) where t.status = 'completed'),
+    c as (select count_if(coalesce(tags, '') <> '') as tagged, count_if(coalesce(tags, '') = '') as untagged, count(distinct case when coalesce(subjects, '') = '' then album_id end) as no_subjects,
+    count(distinct case when coalesce(genres, '') = '' then album_id end) as no_genres, count(distinct album_id) as n_albums from j) select *, n_albums - greatest(no_subjects, no_genres) as with_metadata from c""")
 def lexical_coverage(t, a):
-    j = t.join(a.select("album_id", "subjects", "genres"), "album_id")
+    """Of completed tracks and their albums; with metadata are all albums but the larger number that lack one kind."""
+    j = t.where("status = 'completed'").join(a.select("album_id", "subjects", "genres"), "album_id")
     none = lambda c: F.coalesce(c, F.lit("")) == ""
-    return j.agg(
+    g = j.agg(
         F.count_if(~none("tags")).alias("tagged"), F.count_if(none("tags")).alias("untagged"),
         F.count_distinct(F.when(none("subjects"), F.col("album_id"))).alias("no_subjects"), F.count_distinct(F.when(none("genres"), F.col("album_id"))).alias("no_genres"),
+        F.count_distinct("album_id").alias("n_albums"),
     )
+    return g.withColumn("with_metadata", F.col("n_albums") - F.greatest("no_subjects", "no_genres"))
 
 
 @query("tracks", sql="select strategy, count(*) as n from v_tracks group by strategy")

@@ -90,6 +90,26 @@ def rescore_stale(t, a):
     return _told(C.score_tracks(stale.drop("score", "stream", "decision", "version"), a, C.album_evidence(t), _prompts(t)))
 
 
+WRITE_BACK_SQL = """with s as ({scored}) select t.track_id, case when s.decision = 'exclude' then 'unavailable' else t.status end as status,
+    case when s.decision = 'exclude' then 'listenability: ' || replace(s.reasons, '|', ', ') end as error_message"""
+
+
+@query("tracks", "albums", sql=f"{WRITE_BACK_SQL.format(scored=_score_sql(False, False, "where t.status = 'pending'"))} from v_tracks t left join s on s.track_id = t.track_id")
+def precheck_status(t, a):
+    """What the precheck does to the table: excluded tracks are unavailable, with the reasons."""
+    pending = t.where("status = 'pending'").drop("score", "stream", "decision", "version")
+    return C.mark_excluded(t, C.score_tracks(pending, a)).select("track_id", "status", "error_message")
+
+
+@query("tracks", "albums", sql=f"""{WRITE_BACK_SQL.format(scored=_score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'"))},
+    coalesce(s.score, t.score) as score, coalesce(s.decision, t.decision) as decision, case when s.track_id is not null then 'listenability-v2' else t.version end as version from v_tracks t left join s on s.track_id = t.track_id""")
+def rescore_merge(t, a):
+    """What rescoring does to the table: new scores and versions, and excluded tracks unavailable."""
+    stale = t.where((F.col("status") == "completed") & ~F.col("version").eqNullSafe(F.lit(L.VERSION)))
+    scores = C.score_tracks(stale.drop("score", "stream", "decision", "version"), a, C.album_evidence(t), _prompts(t))
+    return C.merge_scores(t, scores, mark=True).select("track_id", "status", "error_message", "score", "decision", "version")
+
+
 @query("albums", "tracks", sql=f"""with j as (select a.album_id, e.*, {META.format('a.')} as meta from v_albums a join {EVIDENCE_SQL} e on e.album_id = a.album_id),
     c as (select *, {BAD.format('meta')} as bad, track_count >= 5 and avg_duration < 15 and short60 >= 0.8 as tiny, case when n_positive > 0 then {AVG_CURVE.format('avg_duration')} * (1 - short60) else 0.0 end as shape from j),
     o as (select *, case when tiny and channel_dump then greatest(shape, 0.25) when tiny then 0.0 else shape end as s1 from c),
@@ -155,13 +175,13 @@ def l2_normalize(e):
     return e.select("vec_id", F.round(V.norm(v), 4).alias("norm"), F.round(V.norm(V.l2_normalize(v)), 6).alias("unit"))
 
 
-PAIR_SQL = "(select a.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)) as dot from embeddings a join embeddings b on b.vec_id = (a.vec_id + 1) % 100)"
+PAIR_SQL = "(select a.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)) as dot from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 
 
 @query("embeddings", sql=f"select vec_id, round(dot, 6) as dot, round(1 - greatest(-1, least(1, dot)), 4) as distance from {PAIR_SQL}")
 def dot_product(e):
     other = e.select(F.col("vec_id").alias("o"), F.col("embedding").alias("w"))
-    j = e.withColumn("o", (F.col("vec_id") + 1) % 100).join(other, "o")
+    j = e.withColumn("o", F.col("vec_id") + 1).join(other, "o")
     v, w = F.col("embedding"), F.col("w")
     return j.select("vec_id", F.round(V.dot_product(v, w), 6).alias("dot"), F.round(V.cosine_distance(v, w), 4).alias("distance"))
 
@@ -170,20 +190,19 @@ def dot_product(e):
 def cosine_distance(e):
     """Against the next vector turned about and stretched, which changes the sign of the cosine alone."""
     other = e.select(F.col("vec_id").alias("o"), F.transform("embedding", lambda x: x * -7).alias("w"))
-    j = e.withColumn("o", (F.col("vec_id") + 1) % 100).join(other, "o")
+    j = e.withColumn("o", F.col("vec_id") + 1).join(other, "o")
     return j.select("vec_id", F.round(V.cosine_distance(F.col("embedding"), F.col("w")), 4).alias("distance"))
 
 
-@query("embeddings", sql="select vec_id, len(embedding) as dim, round(embedding[1]::double * 0.6, 6) as first, round(embedding[64]::double * 0.15, 6) as last from embeddings")
-def fuse_features(e):
-    f = e.select("vec_id", S.fused(F.col("embedding")).alias("f"))
-    return f.select("vec_id", F.size("f").alias("dim"), F.round(F.col("f")[0], 6).alias("first"), F.round(F.col("f")[63], 6).alias("last"))
-
-
 VLISTEN = "(coalesce(decision, '') <> 'exclude' and coalesce(stream, '') not in ('excluded', 'longform_candidate'))"
 FUSED_SQL = "list_concat(list_concat(list_transform(embedding[1:48], lambda x: x::double * 0.6), list_transform(embedding[49:60], lambda x: x::double * 0.25)), list_transform(embedding[61:64], lambda x: x::double * 0.15))"
 
 
+@query("embeddings", sql=f"select vec_id, unnest(generate_series(0, 63))::int as place, round(unnest({FUSED_SQL}), 6) + 0.0::double as x from embeddings")
+def fuse_features(e):
+    return e.select("vec_id", F.posexplode(S.fused(F.col("embedding"))).alias("place", "x")).withColumn("x", F.round("x", 6) + F.lit(0.0))
+
+
 @query("vtracks", sql=f"""with f as (select track_id, {FUSED_SQL} as f, {VLISTEN} as ok from v_vtracks), n as (select *, sqrt(list_sum(list_transform(f, lambda x: x * x))) as n from f),
     d as (select a.track_id as seed, b.track_id, 1 - greatest(-1, least(1, list_sum(list_transform(list_zip(a.f, b.f), lambda p: p[1] * p[2])) / (a.n * b.n))) as distance from n a join n b on a.track_id <> b.track_id and b.ok where a.track_id % 50 = 0)
     select seed, track_id, cast(row_number() over (partition by seed order by distance, track_id) as int) as rank, round(distance, 6) as distance from d qualify row_number() over (partition by seed order by distance, track_id) <= 10""")
@@ -231,10 +250,14 @@ def eval_retrieval(v, e):
 # ---------------------------------------------------------------- transitions
 
 
-@query("tracks", sql="select track_id, case when track_id % 4 = 0 then 'processing' else status end as status from v_tracks")
+@query("tracks", sql="""select track_id, case when track_id % 4 = 0 then 'processing' else status end as status, case when track_id % 4 = 0 then 'by worker ' || (track_id % 5) end as error_message,
+    cast(case when track_id % 8 = 0 then 7 else retry_count end as int) as retry_count, cast(case when track_id % 4 = 0 then timestamp '2000-01-01' else updated_at end as timestamp) as updated_at from v_tracks""")
 def apply_status(t):
-    changes = t.where("track_id % 4 = 0").select("track_id", F.lit("processing").alias("status"))
-    return C.apply_status(t, changes, "track_id").select("track_id", "status")
+    """Each key stands twice in the change set; errors, counters and times are set along."""
+    error, tries = F.concat(F.lit("by worker "), F.col("track_id") % 5), F.when(F.col("track_id") % 8 == 0, 7)
+    one = t.where("track_id % 4 = 0").select("track_id", F.lit("processing").alias("status"), error.alias("error_message"), tries.alias("retry_count"))
+    done = C.apply_status(t, one.unionByName(one), "track_id", F.expr("timestamp_ntz '2000-01-01 00:00:00'"))
+    return done.select("track_id", "status", "error_message", "retry_count", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query("tracks", sql="select track_id, case when track_id % 3 <> 0 then status when retry_count >= 3 then 'failed' else 'pending' end as status, cast(retry_count + case when track_id % 3 = 0 then 1 else 0 end as int) as retry_count from v_tracks")
@@ -250,34 +273,33 @@ def requeue_albums(a):
 @query("tracks", sql="select track_id, case when track_id % 6 = 0 and updated_at < timestamp '1995-06-01' then 'pending' when track_id % 6 = 0 then 'processing' else status end as status from v_tracks")
 def reset_stuck(t):
     busy = t.withColumn("status", F.when(F.col("track_id") % 6 == 0, "processing").otherwise(F.col("status")))
-    old = (F.col("status") == "processing") & (F.col("updated_at") < F.expr("timestamp_ntz '1995-06-01 00:00:00'"))
-    return busy.select("track_id", F.when(old, "pending").otherwise(F.col("status")).alias("status"))
+    return C.reset_stuck(busy, "processing", F.expr("timestamp_ntz '1995-06-01 00:00:00'")).select("track_id", "status")
 
 
 @query("tracks", sql="select track_id, case when status = 'failed' then 'pending' else status end as status, cast(case when status = 'failed' then 0 else retry_count end as int) as retry_count from v_tracks")
 def reset_failed(t):
-    failed = F.col("status") == "failed"
-    return t.select("track_id", F.when(failed, "pending").otherwise(F.col("status")).alias("status"), F.when(failed, 0).otherwise(F.col("retry_count")).alias("retry_count"))
+    return C.reset_failed(t).select("track_id", "status", "retry_count")
 
 
-@query("tracks", "albums", sql="select track_id, case when a.status = 'unavailable' and t.status = 'pending' then 'unavailable' else t.status end as status, coalesce(a.status = 'unavailable' and t.status = 'pending', false) as cascaded from v_tracks t left join v_albums a on a.album_id = t.album_id")
+@query("tracks", "albums", sql="""with j as (select t.track_id, t.status, a.status = 'unavailable' as gone, t.track_id % 50 = 0 as named from v_tracks t left join v_albums a on a.album_id = t.album_id)
+    select track_id, case when named then 'failed' when gone and status = 'pending' then 'unavailable' else status end as status, case when named then 'decoder' end as error_message,
+    coalesce(gone and not named and status = 'pending', false) as cascaded, coalesce(gone and not named and status <> 'pending', false) as skipped from j""")
 def cascade_album(t, a):
-    return C.cascade_album(t, a).select("track_id", "status", "cascaded")
+    named = t.where("track_id % 50 = 0").select("track_id", F.lit("failed").alias("status"), F.lit("decoder").alias("error_message"))
+    return C.cascade_album(t, a, named).select("track_id", "status", "error_message", "cascaded", "skipped")
 
 
 @query("tracks", sql="select track_id, case when status = 'completed' and strategy <> 'head' then 'pending' else status end as status from v_tracks")
 def reset_for_reembedding(t):
-    again = (F.col("status") == "completed") & (F.col("strategy") != "head")
-    return t.select("track_id", F.when(again, "pending").otherwise(F.col("status")).alias("status"))
+    return C.reset_for_reembedding(t, "head").select("track_id", "status")
 
 
 @query("tracks", sql="select track_id, case when version = 'listenability-v1' then null else version end as version, case when status = 'failed' and track_id % 2 = 0 then 'completed' else status end as status from v_tracks")
 def reset_score_version(t):
     """Old versions are cleared, and tracks that scoring made unavailable are completed again."""
-    x = t.withColumns({"error": F.when((F.col("status") == "failed") & (F.col("track_id") % 2 == 0), "listenability: excluded"), "was": F.col("status")})
-    x = x.withColumn("status", F.when(F.col("error").isNotNull(), "unavailable").otherwise(F.col("status")))
-    back = (F.col("status") == "unavailable") & F.col("error").like("listenability:%")
-    return x.select("track_id", F.when(F.col("version") != "listenability-v1", F.col("version")).alias("version"), F.when(back, "completed").otherwise(F.col("status")).alias("status"))
+    x = t.withColumns({"error_message": F.when((F.col("status") == "failed") & (F.col("track_id") % 2 == 0), "listenability: excluded"), "was": F.col("status")})
+    x = x.withColumn("status", F.when(F.col("error_message").isNotNull(), "unavailable").otherwise(F.col("status")))
+    return C.reset_score_version(x, "listenability-v1").select("track_id", "version", "status")
 
 
 @query("albums", "tracks", sql="select album_id, coalesce(album_id in (select album_id from v_tracks where status = 'completed'), false) as prechecked, 'unset' as curator from v_albums")
@@ -289,14 +311,18 @@ def evolve_schema(a, t):
 
 @query("collections", sql="select collection_id, 'pending' as status, cast(0 as int) as discovered_count from v_collections")
 def reset_collections(c):
-    return c.select("collection_id", F.lit("pending").alias("status"), F.lit(0).alias("discovered_count"))
+    return C.reset_collections(c).select("collection_id", "status", "discovered_count")
 
 
-@query("albums", sql=f"select album_id, coalesce(subjects, case when album_id % 2 = 0 then 'live' end) as subjects, {LICENSE_SQL} as license from v_albums")
+@query("albums", sql=f"""select album_id, case when album_id % 2 = 0 then 'live' else subjects end as subjects, case when album_id % 4 = 0 then 'folk' else genres end as genres,
+    case when album_id % 2 = 0 then {LICENSE_SQL} end as license, case when album_id % 2 = 0 then 'a, b' end as tags, cast(case when album_id % 6 = 0 then 0.5 end as double) as score from v_albums""")
 def update_annotations(a):
-    new = a.where("album_id % 2 = 0").select("album_id", F.lit("live").alias("new_"))
-    j = a.join(new, "album_id", "left")
-    return j.select("album_id", F.coalesce("subjects", "new_").alias("subjects"), M.classify_license(F.col("licenseurl")).alias("license"))
+    """Tags, subjects, genres, license and score of every other album, each where it is given."""
+    new = a.where("album_id % 2 = 0").select(
+        "album_id", F.lit("live").alias("subjects"), F.when(F.col("album_id") % 4 == 0, "folk").alias("genres"), M.classify_license(F.col("licenseurl")).alias("license"),
+        F.lit("a, b").alias("tags"), F.when(F.col("album_id") % 6 == 0, 0.5).alias("score"),
+    )
+    return C.update_annotations(a, new, "album_id").select("album_id", "subjects", "genres", "license", "tags", "score")
 
 
 @query("tracks", "albums", sql=f"""with u as (select distinct album_id from v_tracks where status = 'completed' and coalesce(tags, '') = '')
@@ -339,6 +365,21 @@ def eta(e, a):
     return R.eta(e, a)
 
 
+@query("activity", "tracks", sql="""with b as (select count(*) as n from v_tracks where status in ('pending', 'failed')), r as (select time_bucket(interval 1 day, ts) as w, count_if(type = 'analyzer') / 86400.0::double as rate from v_activity group by 1)
+    select w as window_start, case when n = 0 then 'done' when rate = 0 then 'unknown' else 'running' end as state, cast(case when n > 0 and rate > 0 then floor(n / rate) end as bigint) as seconds from r, b""")
+def eta_tracks(e, t):
+    """The track form: those in flight (here the failed ones) are added to the pending."""
+    return R.eta(e, t, "analyzer", ("pending", "failed"))
+
+
+@query("activity", sql="""with s as (select *, max(ts) over (order by event_id rows between unbounded preceding and 1 preceding) as seen from v_activity)
+    select type, count(*) as n, count_if(ts < seen - interval 5 minute) as n_late, min(case when not coalesce(ts < seen - interval 5 minute, false) then event_id end) as first_kept from s group by type""")
+def deny_late(e):
+    """Events older than the window are dropped, and counted."""
+    late = F.col("is_late")
+    return R.deny_late(e).groupBy("type").agg(F.count("*").alias("n"), F.count_if(late).alias("n_late"), F.min(F.when(~late, F.col("event_id"))).alias("first_kept"))
+
+
 @query("activity", sql="select time_bucket(interval 1 second, ts) as window_start, item_id, count(*) as n from v_activity where type = 'analyzer' group by 1, 2")
 def batch_progress(e):
     return R.batch_progress(e)

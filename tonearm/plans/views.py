@@ -63,7 +63,7 @@ VIEWS = {
         ) as p(pill_id, label, keywords, sort_order, enabled, min_library_count)""",
     "vtracks": """
         select d.doc_id as track_id, substr(d.text, 1, 60) as title, d.source as album_title, d.lang as creator,
-               replace(lower(substr(d.text, 1, 60)), ' ', ', ') as tags,
+               replace(lower(d.text), ' ', ', ') as tags,
                case when l.quality = 0 then 'exclude' end as decision, case when l.toxic = 1 then 'longform_candidate' end as stream,
                'completed' as status, e.embedding
         from {documents} d join {embeddings} e on e.vec_id = d.doc_id left join {labels} l on l.doc_id = d.doc_id""",
