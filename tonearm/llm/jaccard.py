@@ -174,7 +174,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         found = [shingles(t, n) for t in texts_]
         return [ids, [len(s) for s in found], [s.tobytes() for s in found]]
 
-    found = map_columns(texts.join(wanted, "doc_id", "left_semi"), run, "doc_id long, size int, tokens binary")
+    found = map_columns(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), run, "doc_id long, size int, tokens binary")
     return found.dropDuplicates(["doc_id"])  # of repeated rows one
 
 
@@ -237,7 +237,7 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
             prefix.append(_signed(_ranked(s, sent.value)[: len(s) - needed(len(s), percent) + least[-1]]))
         return [ids, sizes, least, prefix]
 
-    texts = plain.join(reps, "doc_id", "left_semi")
+    texts = plain.join(reps.hint("merge"), "doc_id", "left_semi")  # one plan at every size: the ids grow with the texts
     prefix = saved(map_columns(texts, prefixes, "doc_id long, size long, least int, prefix array<long>"))
     rows = prefix.select("doc_id", "least", F.explode("prefix").alias("t"))
     shared = saved(rows.groupBy("t").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1").select("t", "hub"))
@@ -312,7 +312,7 @@ def one_of_each(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "d
     named, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
     again = named.groupBy(id_col).agg(F.count("*").alias(size)).where(F.col(size) > 1).select(id_col)
     again = saved(again.join(go, id_col, "left_anti"))
-    out = named.join(go.unionByName(again), id_col, "left_anti").select(*docs.columns)
+    out = named.join(go.unionByName(again).hint("merge"), id_col, "left_anti").select(*docs.columns)
     odd = saved(named.join(again, id_col, "left_semi").select(*docs.columns).unionByName(nameless))
     if odd.isEmpty():
         return out
