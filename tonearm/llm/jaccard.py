@@ -12,8 +12,8 @@ order changes which groups are tried, never which links are found.
 
 Groups are parts of what is already linked or alike: first every document is compared with the least holder of its
 tokens, one for each token, and what these links join is one kin. Members of a kin need not meet, so tokens that only
-one kin holds leave the matrix, and a large group of near copies costs no more than its size. A document without links
-goes with the kin of the holder that shares most of its tokens.
+one kin holds leave the matrix, and a large group of near copies costs no more than its size. Documents without links
+go together where two tokens that edits leave alone are the same.
 
 Null and empty texts have empty sets: they link with nothing and are their own component. Repeated rows are one class.
 Rows with a null id are left out of links; each is returned with a null component. An empty table gives an empty
@@ -95,6 +95,18 @@ def _ranked(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
+def _group_of(s: np.ndarray, common: np.ndarray, percent: int) -> list[int]:
+    """Two tokens that name a set's group: the least and the greatest, or, where half of the plain prefix is common,
+    its two least common ones, for edits leave these alone and near copies of one text thus share few groups."""
+    low = s[: len(s) - needed(len(s), percent) + 1]
+    if len(common):
+        at = np.minimum(np.searchsorted(common, low), len(common) - 1)
+        often = low[common[at] == low]
+        if 2 * len(often) >= len(low):
+            return _signed(often[[0, min(1, len(often) - 1)]])
+    return _signed(s[[0, -1]])
+
+
 def _star(hub: np.ndarray, ids: list[int], sizes: np.ndarray, tokens: np.ndarray, percent: int) -> list[int]:
     """The ids whose sets (sizes, and tokens end to end) are similar to the hub's."""
     hit = hub[np.minimum(np.searchsorted(hub, tokens), len(hub) - 1)] == tokens
@@ -182,12 +194,10 @@ def _members(m) -> tuple[list[int], np.ndarray, np.ndarray]:
     return [x["doc_id"] for x in m], np.array([x["size"] for x in m]), np.frombuffer(b"".join(x["tokens"] for x in m), np.uint64)
 
 
-def _kin_edges(live: DataFrame, size: DataFrame, texts: DataFrame, percent: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between documents and the least holders of their tokens, of those that share some tokens; and for
-    each document the holder (doc_id, hub) that shares most: two tables."""
+def _kin_edges(live: DataFrame, size: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) between documents and the least holders of their tokens, of those that share some tokens: a table."""
     near = live.where("doc_id <> hub").groupBy("doc_id", "hub", "least").agg(F.count("*").alias("n"))
-    star = saved(near.where("2 * n >= least").select("doc_id", "hub", "n").join(size, "doc_id"))
-    best = saved(star.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("m")).select("doc_id", (-F.col("m.h")).alias("hub")))
+    star = saved(near.where("2 * n >= least").select("doc_id", "hub").join(size, "doc_id"))
     of_hub = star.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
     blocks = saved(of_hub.select("hub", _blocks("n", "w").cast("int").alias("blocks")))
     spread = star.join(blocks, "hub").select("doc_id", "hub", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"))
@@ -207,7 +217,7 @@ def _kin_edges(live: DataFrame, size: DataFrame, texts: DataFrame, percent: int,
 
     out = saved(map_columns(held.select("hub", "m"), linked, "a long, b long", 64))
     dropped(star, blocks, seats)
-    return out, best
+    return out
 
 
 def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,28 +239,28 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     dropped(every, first)
 
     def prefixes(ids, texts):
-        prefix, sizes, least = [], [], []
+        prefix, sizes, least, like = [], [], [], []
         for t in texts:
             s = shingles(t, n)
             sizes.append(len(s))
+            like.append(_group_of(s, sent.value, percent))
             least.append(shared_least(len(s), percent))
             prefix.append(_signed(_ranked(s, sent.value)[: len(s) - needed(len(s), percent) + least[-1]]))
-        return [ids, sizes, least, prefix]
+        return [ids, sizes, least, like, prefix]
 
     texts = plain.join(reps.hint("merge"), "doc_id", "left_semi")  # one plan at every size: the ids grow with the texts
-    prefix = saved(map_columns(texts, prefixes, "doc_id long, size long, least int, prefix array<long>"))
+    prefix = saved(map_columns(texts, prefixes, "doc_id long, size long, least int, alike array<long>, prefix array<long>"))
     rows = prefix.select("doc_id", "least", F.explode("prefix").alias("t"))
     shared = saved(rows.groupBy("t").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1").select("t", "hub"))
     live = saved(rows.join(shared, "t"))
-    size = saved(prefix.select("doc_id", "size", "least").distinct())
+    size = saved(prefix.select("doc_id", "size", "least", F.xxhash64("alike").alias("alike")).distinct())
     dropped(prefix, shared)
 
-    edges, best = _kin_edges(live, size.select("doc_id", "size"), texts, percent, n)
+    edges = _kin_edges(live, size.select("doc_id", "size"), texts, percent, n)
     root = components(edges)
-    rooted = size.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").join(best, "doc_id", "left")
+    rooted = size.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     kin = saved(rooted.withColumn("kin", F.coalesce("root", "doc_id")))
-    hubs = kin.select(F.col("doc_id").alias("hub"), F.col("kin").alias("hub_kin"))
-    family = kin.join(hubs, "hub", "left").withColumn("family", F.coalesce("root", "hub_kin", "doc_id"))
+    family = kin.withColumn("family", F.coalesce("root", "alike"))
     family = saved(family.withColumn("band", F.floor(10 * F.log("size"))).select("doc_id", "kin", "size", "least", "family", "band"))
 
     # groups: blocks of bounded size of each family, of members of like sizes
@@ -266,7 +276,7 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     spots = live.select("doc_id", "t").join(grouped.select("doc_id", "kin", "g"), "doc_id")
     several = saved(spots.groupBy("t").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a <> b").select("t"))
     matrix = saved(spots.join(several, "t").select("t", "g").distinct().join(about, "g").select("t", "g", "only", "l", "s", "z"))
-    dropped(live, size, root, best, kin, family, large, several)
+    dropped(live, size, root, kin, family, large, several)
     sides = [matrix.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("g", "only", "l", "s", "z"))) for i in (1, 2)]
     near = (100 * F.col("z1") >= percent * F.col("s2")) & (100 * F.col("z2") >= percent * F.col("s1"))
     tried = sides[0].join(sides[1], "t").where((F.col("g1") < F.col("g2")) & F.coalesce(F.col("only1") != F.col("only2"), F.lit(True)) & near)
