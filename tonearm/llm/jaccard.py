@@ -7,8 +7,10 @@ groups that pass are opened.
 
 The matrix holds for each document only its prefix: in a fixed order of all tokens (those of a bounded list of very
 common ones last) the first tokens, so many that two sets of the wanted similarity share a set number of them, which
-grows with the sets. Groups whose unions share fewer, or whose members' sizes lie too far apart, are not tried. The
-order changes which groups are tried, never which links are found.
+grows with the sets. Groups whose unions share fewer, or whose members' sizes lie too far apart, are not tried. Of the
+tokens that two groups must share one stands outside the most widespread ones of both, one fewer than must be shared; so
+these bring no groups together, they are only counted. The orders change which groups are tried, never which links are
+found.
 
 Groups are parts of what is already linked or alike: first every document is compared with the least holder of its
 tokens, one for each token, and what these links join is one kin. Members of a kin need not meet, so tokens that only
@@ -174,6 +176,12 @@ def _shared_by_sizes(percent: int):
     return F.when(percent * F.col("z") <= 100 * F.col("s"), F.greatest("l", sharp)).otherwise(F.col("l"))
 
 
+def _least_of_any(size: str, percent: int):
+    """Tokens that the prefix of a set of this size shares with that of any similar set, at least: that of the smallest."""
+    small = F.ceil(percent * F.col(size) / 100)
+    return F.least(F.ceil(percent * small / 100), 4 + F.floor(small / 50)).cast("int")
+
+
 def _blocks(n: str, w: str):
     """Blocks into which n documents with w tokens are dealt."""
     return F.greatest(F.ceil(F.col(n) / GROUP_DOCS), F.ceil(F.col(w) / GROUP_TOKENS))
@@ -269,19 +277,25 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     block = F.pmod(F.xxhash64("doc_id"), F.coalesce(_blocks("n", "w"), F.lit(1)))
     grouped = family.join(large, ["family", "band"], "left").select("doc_id", "kin", "size", "least", F.xxhash64("family", "band", block).alias("g"))
     grouped = saved(grouped)
-    about = grouped.groupBy("g").agg(
-        F.count("*").alias("n"), F.min("least").alias("l"), F.min("size").alias("s"), F.max("size").alias("z"), F.min("kin").alias("a"), F.max("kin").alias("b")
+    about = grouped.withColumn("low", _least_of_any("size", percent)).groupBy("g").agg(
+        *(F.min(c).alias(a) for c, a in (("low", "low"), ("least", "l"), ("size", "s"), ("kin", "a"))), F.max("size").alias("z"), F.max("kin").alias("b")
     )
-    about = saved(about.select("g", "n", "l", "s", "z", F.expr("if(a = b, a, null)").alias("only")))  # only: the one kin of a group
+    about = saved(about.select("g", "low", "l", "s", "z", F.expr("if(a = b, a, null)").alias("only")))  # only: the one kin of a group
     spots = live.select("doc_id", "t").join(grouped.select("doc_id", "kin", "g"), "doc_id")
-    several = saved(spots.groupBy("t").agg(F.min("kin").alias("a"), F.max("kin").alias("b")).where("a <> b").select("t"))
-    matrix = saved(spots.join(several, "t").select("t", "g").distinct().join(about, "g").select("t", "g", "only", "l", "s", "z"))
+    several = spots.groupBy("t").agg(F.min("kin").alias("a"), F.max("kin").alias("b"), F.count("*").alias("n")).where("a <> b")
+    several = saved(several.select("t", "n"))
+    held = spots.join(several, "t").groupBy("g").agg(F.sort_array(F.collect_set(F.struct("n", "t"))).alias("x"))  # GROUP_TOKENS at most
+    matrix = saved(held.select("g", F.col("x.t").alias("x")).join(about, "g"))
     dropped(live, size, root, kin, family, large, several)
-    sides = [matrix.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("g", "only", "l", "s", "z"))) for i in (1, 2)]
+    rare = F.explode(F.slice("x", 1, F.greatest(F.size("x") - F.col("low") + 1, F.lit(0)))).alias("t")
+    sides = [matrix.select(rare, *(F.col(c).alias(f"{c}{i}") for c in ("g", "only", "s", "z"))) for i in (1, 2)]
     near = (100 * F.col("z1") >= percent * F.col("s2")) & (100 * F.col("z2") >= percent * F.col("s1"))
     tried = sides[0].join(sides[1], "t").where((F.col("g1") < F.col("g2")) & F.coalesce(F.col("only1") != F.col("only2"), F.lit(True)) & near)
-    ends = [F.min(F.least(f"{c}1", f"{c}2")).alias(c) for c in ("l", "s")] + [F.max(F.greatest("z1", "z2")).alias("z")]
-    enough = tried.groupBy("g1", "g2").agg(F.count("*").alias("n"), *ends).where(F.col("n") >= _shared_by_sizes(percent))
+    both = tried.select("g1", "g2").distinct()
+    for i in (1, 2):
+        both = both.join(matrix.select(*(F.col(c).alias(f"{c}{i}") for c in ("g", "l", "s", "z", "x"))), f"g{i}")
+    ends = [F.least(f"{c}1", f"{c}2").alias(c) for c in ("l", "s")] + [F.greatest("z1", "z2").alias("z")]
+    enough = both.select("g1", "g2", F.size(F.array_intersect("x1", "x2")).alias("n"), *ends).where(F.col("n") >= _shared_by_sizes(percent))
     mixed = about.where("only is null").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     pairs = saved(enough.select("g1", "g2").unionByName(mixed))
     used = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
