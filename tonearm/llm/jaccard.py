@@ -240,11 +240,11 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
 
     # the fixed order: tokens that many prefixes hold come last; the list is cut at COMMON, most frequent first
     counts = known.join(reps, "doc_id", "left_semi").select(F.explode("low").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    common = counts.where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "t").limit(COMMON).select("t")
-    common = np.sort(np.array([r["t"] for r in common.toLocalIterator()], np.int64).view(np.uint64))
+    listed = saved(counts.where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "t").limit(COMMON).select("t"))
+    common = np.sort(np.array([r["t"] for r in listed.toLocalIterator()], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(common)
     counted = saved(every.select("doc_id", "n_shingles"))
-    dropped(every, first)
+    dropped(every, first, listed)
 
     def prefixes(ids, texts):
         prefix, sizes, least, like = [], [], [], []
@@ -264,7 +264,7 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     size = saved(prefix.select("doc_id", "size", "least", F.xxhash64("alike").alias("alike")).distinct())
     dropped(prefix, shared)
 
-    edges = _kin_edges(live, size.select("doc_id", "size"), texts, percent, n)
+    edges = _kin_edges(live, size.select("doc_id", "size"), plain, percent, n)
     root = components(edges)
     rooted = size.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     kin = saved(rooted.withColumn("kin", F.coalesce("root", "doc_id")))
@@ -301,7 +301,7 @@ def similar(docs: DataFrame, percent: int = 90, n: int = 3, id_col: str = "doc_i
     used = pairs.select(F.col("g1").alias("g")).unionByName(pairs.select(F.col("g2").alias("g"))).distinct()
     wanted = saved(grouped.select("doc_id", "g").join(used, "g", "left_semi"))
     dropped(matrix, grouped, about)
-    held = _sets(texts, wanted.select("doc_id"), n).join(wanted, "doc_id")
+    held = _sets(plain, wanted.select("doc_id"), n).join(wanted, "doc_id")
     block = saved(held.groupBy("g").agg(F.collect_list(F.struct("doc_id", "size", "tokens")).alias("m")))  # GROUP_DOCS at most, or near
     both = pairs.join(block.select(F.col("g").alias("g1"), F.col("m").alias("m1")), "g1")
     both = both.join(block.select(F.col("g").alias("g2"), F.col("m").alias("m2")), "g2")
