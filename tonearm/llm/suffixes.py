@@ -96,14 +96,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def deep_names(raw: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix sums of some bytes, and the bucket of every place at depth LENGTH, refined from its q-gram's."""
-    sums = prefix_sums(raw, which)
-    return sums, refine(refine(gram_names(sums, Q, which), Q), 2 * Q)
+def deep_names(raw: np.ndarray, which: int) -> np.ndarray:
+    """The bucket of every place of some bytes at depth LENGTH, refined from its q-gram's."""
+    return refine(refine(gram_names(prefix_sums(raw, which), Q, which), Q), 2 * Q)
 
 
-def _windows_of(raw: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[bytes]]:
-    """Of runs (rows first, count, rel; places in ``raw``): which run, numbers (stretch, near, far, hull, hull2, core), windows."""
+def _stretches_of(raw: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of runs (rows first, count, rel; places in ``raw``): which run, and numbers (stretch, near, far, hull, hull2, core)."""
     first, count, rel = r
     anchor, far = first + rel, rel
     near = anchor - first - count + 1  # distances of the windows from the anchor
@@ -113,52 +112,71 @@ def _windows_of(raw: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, list[np.nda
     k = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(parts) - parts, parts)
     a, b = np.maximum(near[i], k * STRETCH), np.minimum(far[i], (k + 1) * STRETCH - 1)
     s, e = anchor[i] - b, anchor[i] - a
-    (sums, deep), (sums2, deep2) = (deep_names(raw, w) for w in (0, 1))
+    sums, sums2 = (prefix_sums(raw, w) for w in (0, 1))
     tag = mix((a * 512 + b).astype(np.uint64))
     hull = names(sums, s, e - s + LENGTH) ^ tag
     hull2 = names(sums2, s, e - s + LENGTH, 1)
     core = names(sums, anchor[i] - k * STRETCH, np.full(len(i), LENGTH - STRETCH + 1)) ^ mix(k.astype(np.uint64))
-    both = np.stack([deep, deep2], axis=1)
-    windows = [both[x : y + 1][::-1].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-    return i, [k, a, b, hull.view(np.int64), hull2.view(np.int64), core.view(np.int64)], windows
+    return i, [k, a, b, hull.view(np.int64), hull2.view(np.int64), core.view(np.int64)]
 
 
-def _stretches(docs: DataFrame) -> DataFrame:
-    """Windows of chosen runs, in stretches of STRETCH by distance from the anchor, with their refined buckets.
+def _windows_of(raw: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of parts of runs (rows anchor, near, far; places in ``raw``): which part, and each window's (d, name, name2)."""
+    anchor, near, far = r
+    n = far - near + 1
+    i = np.repeat(np.arange(len(n)), n)
+    d = near[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    return i, [d, *(deep_names(raw, w)[anchor[i] - d].view(np.int64) for w in (0, 1))]
+
+
+def _in_texts(docs: DataFrame, look, start, end, schema: str, told: int) -> DataFrame:
+    """What ``look`` finds in the texts of (text, list of structs), with the first ``told`` fields of each struct before it.
 
-    hull, hull2: names of all bytes of the stretch; core: of the bytes that any windows of such a stretch share;
-    windows: the two LENGTH-deep buckets of each of its windows.
+    The other three fields are handed to ``look``, the first of them counted from the bytes it gets: those of structs that
+    lie together, from the least ``start`` to the greatest ``end`` of these fields.
     """
-    schema = "ctx long, ctx2 long, w int, stretch int, near int, far int, hull long, hull2 long, core long, windows binary"
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    cols = [c.split()[0] for c in schema.split(", ")]
+    names_, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    kinds = [{"int": pa.int32(), "long": pa.int64()}[t] for t in types]
 
     def run(batches):
         for b in slices(batches, 256):
-            out: list[list] = [[] for _ in cols[:-1]]
-            windows: list[bytes] = []
+            out: list[list[np.ndarray]] = [[] for _ in kinds]
             lists = b.column(1)
             ends = lists.offsets.to_numpy()
-            runs = [c.to_numpy(zero_copy_only=False) for c in lists.values.flatten()]  # ctx, ctx2, w, first, count, rel
+            fields = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in lists.values.flatten()]
             for text, lo, hi in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                whole = _bytes(text)
-                at = np.argsort(runs[3][lo:hi], kind="stable") + lo
-                first = runs[3][at]
-                cut = 0
-                while cut < len(at):  # runs that lie together
-                    end = int(np.searchsorted(first, first[cut] + SEGMENT // 2))
-                    some, base = at[cut:end], int(first[cut])
-                    raw = whole[base : int(first[end - 1]) + 2 * LENGTH + 1]
-                    i, told, w = _windows_of(raw, np.stack([runs[3][some] - base, runs[4][some], runs[5][some]]).astype(np.int64))
-                    for o, x in zip(out, (*(runs[c][some][i] for c in range(3)), *told), strict=True):
+                whole, mine = _bytes(text), [f[lo:hi] for f in fields]
+                first = start(*mine[told:])
+                at = np.argsort(first, kind="stable")
+                first, cut = first[at], 0
+                while cut < len(at):
+                    to = int(np.searchsorted(first, first[cut] + SEGMENT // 2))
+                    some, base = [f[at[cut:to]] for f in mine], int(first[cut])
+                    raw = whole[base : int(end(*some[told:]).max())]
+                    i, found = look(raw, np.stack([some[told] - base, *some[told + 1 :]]))
+                    for o, x in zip(out, (*(f[i] for f in some[:told]), *found), strict=True):
                         o.append(x)
-                    windows += w
-                    cut = end
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o) if o else [], k) for o, k in zip(out, kinds, strict=False)), pa.array(windows, pa.binary())], cols)
+                    cut = to
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], k) for o, k in zip(out, kinds, strict=True)], names_)
 
     return docs.mapInArrow(run, schema)
 
 
+def _stretches(docs: DataFrame) -> DataFrame:
+    """Windows of chosen runs (ctx, ctx2, w, first, count, rel), in stretches of STRETCH by distance from the anchor.
+
+    hull, hull2: names of all bytes of the stretch; core: of the bytes that any windows of such a stretch share.
+    """
+    schema = "ctx long, ctx2 long, w int, stretch int, near int, far int, hull long, hull2 long, core long"
+    return _in_texts(docs, _stretches_of, lambda first, count, rel: first, lambda first, count, rel: first + count - 1 + LENGTH, schema, 3)
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """Windows of parts of runs (ctx, ctx2, w, anchor, near, far), by their buckets refined to LENGTH bytes."""
+    schema = "ctx long, ctx2 long, w int, d int, name long, name2 long"
+    return _in_texts(docs, _windows_of, lambda anchor, near, far: anchor - far, lambda anchor, near, far: anchor - near + LENGTH, schema, 3)
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Of (key, text): a table of key and the list of [lo, hi] window starts whose LENGTH bytes also start elsewhere."""
     occurrences = saved(_occurrences(docs))
@@ -174,28 +192,17 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     open_ = each.join(kinds, "bucket")
     runs = open_.groupBy("key").agg(F.collect_list(F.struct("ctx", "ctx2", "w", "first", "count", "rel")).alias("runs"))
     parts = saved(_stretches(docs.join(runs, "key").select("text", "runs")))
-    slim = parts.drop("windows")
-    hulls = saved(slim.groupBy("hull", "hull2").agg(F.least(F.sum("w"), F.lit(2)).cast("int").alias("hw")))
-    known = saved(slim.join(hulls, ["hull", "hull2"]).select("ctx", "ctx2", "stretch", "near", "far", "w", "core", "hw"))
+    hulls = saved(parts.groupBy("hull", "hull2").agg(F.least(F.sum("w"), F.lit(2)).cast("int").alias("hw")))
+    known = saved(parts.join(hulls, ["hull", "hull2"]).select("ctx", "ctx2", "near", "far", "w", "core", "hw"))
+    dropped(kinds, parts, hulls)
     cores = saved(known.groupBy("core").agg(F.sum("w").alias("cw"), F.min("hw").alias("hw")).where("cw > 1 and hw = 1").select("core"))
-    doubt = known.join(cores, "core").select("ctx", "ctx2", "stretch", "hw")
-
-    def single(batches):
-        cols = ["ctx", "ctx2", "d", "w", "name", "name2"]
-        for b in slices(batches, 4096):
-            ctx, ctx2, near, hw, raw = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            name = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            n = np.array([len(x) // 16 for x in raw], np.int64)
-            i = np.repeat(np.arange(len(n)), n)
-            d = near[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            values = (ctx[i], ctx2[i], d, hw[i], name[:, 0].copy(), name[:, 1].copy())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], cols)
-
-    opened = doubt.join(parts.select("ctx", "ctx2", "stretch", "near", "windows"), ["ctx", "ctx2", "stretch"])
-    opened = opened.select("ctx", "ctx2", "near", "hw", "windows")
-    alone = saved(opened.mapInArrow(single, "ctx long, ctx2 long, d int, w int, name long, name2 long"))
-    dropped(kinds, parts, hulls, cores)
+    doubt = known.join(cores, "core").select("ctx", "ctx2", "near", "far", "hw")
+    # the names of single windows are worked out only where stretches leave doubt
+    of_run = each.select("ctx", "ctx2", "key", (F.col("first") + F.col("rel")).alias("anchor"))
+    opened = doubt.join(of_run, ["ctx", "ctx2"]).groupBy("key").agg(F.collect_list(F.struct("ctx", "ctx2", "hw", "anchor", "near", "far")).alias("parts"))
+    opened = saved(opened)
+    alone = saved(_windows(docs.join(opened, "key").select("text", "parts")))
+    dropped(cores, opened)
     twice = saved(alone.groupBy("name", "name2").agg(F.sum("w").alias("n")).where("n > 1").select("name", "name2"))
     more = alone.where("w = 1").join(twice, ["name", "name2"]).select("ctx", "ctx2", F.col("d").alias("near"), F.col("d").alias("far"))
     kept = known.where("w = 1 and hw > 1").select("ctx", "ctx2", "near", "far").unionByName(more)
