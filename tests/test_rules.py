@@ -75,11 +75,49 @@ def test_missing_denylist(spark, tmp_path):
 
 
 def test_collection_stats(spark):
-    rows = [(1, "completed", 0.5)] * 3 + [(1, "pending", None), (2, "failed", None)]
-    t = spark.createDataFrame([(a, s, x, None, None) for a, s, x in rows], "album_id long, status string, score double, decision string, stream string")
-    links = spark.createDataFrame([(10, 1), (10, 2), (11, 99)], "collection_id long, album_id long")
-    got = C.collection_track_stats(links, t).collect()
-    assert [(r["collection_id"], r["total"], r["analysed"], r["free_pct"]) for r in got] == [(10, 5, 3, 60.0)]
+    rows = [(1, "completed", 0.8), (1, "completed", 0.6), (1, "pending", None), (2, "completed", None), (2, "failed", 0.1), (3, "pending", None)]
+    t = spark.createDataFrame(rows, "album_id long, status string, score double")
+    a = spark.createDataFrame([(1, "cc0"), (2, "cc-by-nc"), (3, None)], "album_id long, license string")
+    links = spark.createDataFrame([(10, 1), (10, 2), (11, 99), (12, 3)], "collection_id long, album_id long")
+    got = sorted(tuple(r) for r in C.collection_track_stats(links, a, t).collect())
+    assert got == [(10, 5, 3, 0.7, 2, 40.0), (12, 1, 0, 0.0, 0, 0.0)]  # a collection without tracks is absent
+
+
+def test_pages_follow_each_other(spark):
+    rows = [(i, None if i % 5 == 0 else i % 3, None if i % 7 == 0 else f"n{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, a int, b string")
+    order = [("a", True), ("b", False), ("k", False)]
+    found, total = C.first_page(df, order, 7)
+    while len(rest := C.page(df, order, 7, found[-1]).collect()):
+        found += rest
+    assert total == 60 and found == df.orderBy(F.desc("a"), "b", "k").collect()
+
+
+def test_completed_albums_only(spark):
+    a = spark.createDataFrame([(1, "resolved", 2), (2, "resolved", 1), (3, "pending", 1), (4, "resolved", 0)], "album_id long, status string, track_count int")
+    a = a.selectExpr("*", "'x 100%' as title", "'c' as creator", "cast(null as string) as collection")
+    t = spark.createDataFrame([(10, 1, "completed", 0.5), (11, 1, "pending", None), (20, 2, "completed", None), (30, 3, "completed", 1.0)], "track_id long, album_id long, status string, score double")
+    e = spark.createDataFrame([(10, 0.5)], "track_id long, quality_score double")
+    every = {r["album_id"]: (r["completed"], r["avg_quality"], r["avg_score"]) for r in C.search_albums(a, t, e, "%100%").collect()}
+    assert every == {1: (1, 0.5, 0.5), 2: (1, 0.0, 0.0), 4: (0, 0.0, 0.0)}
+    assert [r["album_id"] for r in C.search_albums(a, t, e, None, completed_only=True).collect()] == [2]
+
+
+def test_score_reset_leaves_other_failures(spark):
+    rows = [(1, "completed", "v1", "include", None), (2, "completed", "v2", "include", None), (3, "unavailable", "v1", "exclude", "listenability: x"), (4, "unavailable", "v1", "exclude", "decode: x"), (5, "failed", "v1", None, None)]
+    t = spark.createDataFrame(rows, "k int, status string, version string, decision string, error_message string")
+    got = [tuple(r) for r in C.reset_score_version(t, "v1").select(*t.columns).orderBy("k").collect()]
+    assert got == [(1, "completed", None, "include", None), rows[1], (3, "completed", None, None, None), rows[3], rows[4]]
+
+
+def test_enrichment_writes_back(spark):
+    a = spark.createDataFrame([(1, "resolved", None), (2, "resolved", "pd"), (3, "pending", ""), (4, "unavailable", ""), (5, "resolved", "")], "album_id long, status string, license string")
+    t = spark.createDataFrame([(i * 10, i, "completed", None) for i in (1, 2, 3, 4)] + [(50, 5, "pending", None)], "track_id long, album_id long, status string, tags string")
+    m = spark.createDataFrame([(i, "https://creativecommons.org/licenses/by/4.0/") for i in (1, 2, 3, 5)] + [(4, None)], "album_id long, licenseurl string")
+    assert {r["album_id"]: r["license"] for r in C.license_enrich(a, t, m).collect()} == {1: "cc-by", 2: "pd", 3: "", 4: "unknown", 5: ""}
+    a = a.selectExpr("*", "if(album_id = 4, '', 'a la') as title", "'of' as creator", "if(album_id = 4, null, 'Rock') as subjects", "cast(null as string) as genres")
+    e = t.select("track_id").where("track_id <> 20")
+    assert {r["track_id"]: r["tags"] for r in C.tag_enhance(t, a, e).collect()} == {10: "rock", 20: None, 30: None, 40: None, 50: None}
 
 
 def test_similar(spark):

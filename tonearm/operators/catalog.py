@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import listenability as L
 from tonearm.functions import text as X
+from tonearm.functions.metadata import COMMERCIAL, classify_license
 
 # ---------------------------------------------------------------- predicates
 
@@ -70,10 +71,10 @@ def insert_with_links(albums: DataFrame, links: DataFrame, new: DataFrame, order
 def sync_list(collections: DataFrame, albums: DataFrame, links: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (collection_id, album_id, ...) become albums and links, and their collections' counters are set.
 
-    A collection with members is ``discovered`` with as many albums as it then has links to; nothing is ever removed.
+    A collection with members is ``discovered`` with as many albums as it was given members; nothing is ever removed.
     """
     albums, links, _ = insert_with_links(albums, links, members)
-    counts = links.join(members.select("collection_id").distinct(), "collection_id", "left_semi").groupBy("collection_id").agg(F.count("*").alias("discovered_count"))
+    counts = members.groupBy("collection_id").agg(F.count("*").alias("discovered_count"))
     changes = counts.withColumn("status", F.lit("discovered"))
     return apply_status(collections, changes, "collection_id"), albums, links
 
@@ -202,21 +203,170 @@ def score_albums(albums: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def collection_track_stats(links: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Per collection: tracks, analysed, mean score of completed ones, free ones and their share of all tracks."""
+def collection_track_stats(links: DataFrame, albums: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Per collection: tracks, analysed ones, their mean score (0 without any), free ones and their share of all tracks.
+
+    Analysed are the completed tracks; free are those of them whose album's license allows commercial use. Tracks are
+    added up by album before they meet the links, so a collection's size is no burden to one task.
+    """
+    done = F.col("status") == "completed"
     t = tracks.groupBy("album_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("done"),
-        F.sum(F.when(F.col("status") == "completed", F.col("score"))).alias("s"),
-        F.count_if(listenable()).alias("free"),
+        F.count("*").alias("n"), F.count_if(done).alias("done"), F.sum(F.when(done, F.col("score"))).alias("s"), F.count(F.when(done, F.col("score"))).alias("scored"),
     )
-    g = links.join(t, "album_id").groupBy("collection_id").agg(*(F.sum(x).alias(x) for x in ("n", "done", "s", "free")))
+    a = albums.select("album_id", F.coalesce(F.col("license").isin(*COMMERCIAL), F.lit(False)).alias("usable_"))
+    j = links.join(a.join(t, "album_id"), "album_id").withColumn("free", F.when(F.col("usable_"), F.col("done")).otherwise(0))
+    g = j.groupBy("collection_id").agg(*(F.sum(x).alias(x) for x in ("n", "done", "s", "scored", "free")))
     return g.select(
         "collection_id", F.col("n").alias("total"), F.col("done").alias("analysed"),
-        F.round(F.col("s") / F.nullif("done", F.lit(0)), 6).alias("avg_score"), "free",
+        F.coalesce(F.round(F.col("s") / F.nullif("scored", F.lit(0)), 6), F.lit(0.0)).alias("avg_score"), "free",
         F.round(F.col("free") * 100.0 / F.col("n"), 6).alias("free_pct"),
     )
 
 
+def with_counts(albums: DataFrame, tracks: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
+    """Albums with their completed tracks' number, mean quality (of the embedded ones where these are given) and mean score."""
+    done = tracks.where("status = 'completed'")
+    if embeddings is not None:
+        done = done.drop("quality").join(embeddings.select("track_id", F.col("quality_score").alias("quality")), "track_id", "left")
+    g = done.groupBy("album_id").agg(F.count("*").alias("n_"), F.avg("quality").alias("q_"), F.avg("score").alias("s_"))
+    mean = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return albums.join(g, "album_id", "left").select("*", F.coalesce("n_", F.lit(0)).alias("completed"), mean("q_").alias("avg_quality"), mean("s_").alias("avg_score")).drop("n_", "q_", "s_")
+
+
+def matches(pattern: str, *columns: str) -> Column:
+    """Any of the columns is like the pattern, in any case; nulls are not."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.col(c).cast("string").ilike(pattern), F.lit(False))
+    return hit
+
+
+def embedded_tracks(tracks: DataFrame, embeddings: DataFrame, albums: DataFrame) -> DataFrame:
+    """Listenable tracks that have an embedding, with its quality and their album's title and downloads."""
+    e = embeddings.select("track_id", F.col("quality_score").alias("e_quality"))
+    a = albums.select("album_id", F.col("title").alias("a_title"), "downloads")
+    return tracks.where(listenable()).join(e, "track_id").join(a, "album_id")
+
+
+def search_albums(albums: DataFrame, tracks: DataFrame, embeddings: DataFrame, pattern: str | None, completed_only: bool = False) -> DataFrame:
+    """Resolved albums whose id, title, creator or collection is like the pattern (None: all), with their tracks' counts.
+
+    ``completed_only``: those that have tracks, all of which are completed.
+    """
+    found = albums.where("status = 'resolved'")
+    if pattern is not None:
+        found = found.where(matches(pattern, "album_id", "title", "creator", "collection"))
+    found = with_counts(found, tracks, embeddings)
+    return found.where((F.col("track_count") > 0) & (F.col("track_count") == F.col("completed"))) if completed_only else found
+
+
+# ---------------------------------------------------------------- pages
+
+
+def after_row(order: list[tuple[str, bool]], row) -> Column:
+    """What stands after a row in an order of (column, descending); nulls are least, as in the order itself."""
+    later, same = F.lit(False), F.lit(True)
+    for name, down in order:
+        c, v = F.col(name), F.lit(row[name])
+        if row[name] is None:
+            beyond = F.lit(False) if down else c.isNotNull()
+        else:
+            beyond = (c < v) | c.isNull() if down else c > v
+        later = later | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & c.eqNullSafe(v)
+    return later
+
+
+def page(found: DataFrame, order: list[tuple[str, bool]], n: int, after=None) -> DataFrame:
+    """The n rows that stand after a row (None: the first n). The last column of the order must tell rows apart.
+
+    Pages are read by their keys: no rows before them are sorted or sent.
+    """
+    rest = found if after is None else found.where(after_row(order, after))
+    return rest.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order)).limit(n)
+
+
+def first_page(found: DataFrame, order: list[tuple[str, bool]], n: int) -> tuple[list, int]:
+    """The rows of the first page and the number of all rows, which is counted while they are read."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows = page(found.observe(seen, F.count(F.lit(1)).alias("total")), order, n).collect()
+    return rows, seen.get["total"]
+
+
+def albums_unlicensed(albums: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Resolved or unavailable albums without a stored license that have completed tracks."""
+    bare = albums.where("status in ('resolved', 'unavailable') and coalesce(license, '') = ''")
+    return bare.join(tracks.where("status = 'completed'"), "album_id", "left_semi")
+
+
+def untagged_tracks(tracks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Completed, embedded tracks without tags."""
+    return tracks.where("status = 'completed' and coalesce(tags, '') = ''").join(embeddings, "track_id", "left_semi")
+
+
+def albums_untagged(albums: DataFrame, tracks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Resolved or unavailable albums with such tracks, and how many."""
+    n = untagged_tracks(tracks, embeddings).groupBy("album_id").agg(F.count("*").alias("n_untagged"))
+    return albums.where("status in ('resolved', 'unavailable')").join(n, "album_id")
+
+
+def tag_enhance(tracks: DataFrame, albums: DataFrame, embeddings: DataFrame, identifier: str = "album_id") -> DataFrame:
+    """All tracks of albums with untagged tracks get the words of their album's metadata as tags; empty ones change nothing."""
+    parts = (identifier, "title", "creator", "subjects", "genres")
+    tags = albums_untagged(albums, tracks, embeddings).select("album_id", X.generate_tags(*(F.col(c).cast("string") for c in parts)).alias("tags"))
+    return apply_status(tracks, tags.where("tags <> ''"), "album_id")
+
+
+def license_enrich(albums: DataFrame, tracks: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Albums without a license get the class of the URL in the metadata (album_id, licenseurl), ``unknown`` ones too.
+
+    Albums that the metadata lack keep what they have.
+    """
+    wanted = albums_unlicensed(albums, tracks).select("album_id")
+    found = metadata.join(wanted, "album_id", "left_semi").select("album_id", classify_license(F.col("licenseurl")).alias("license"))
+    return apply_status(albums, found, "album_id")
+
+
+def combined_stats(albums: DataFrame, tracks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """One row: albums and tracks by status, unlicensed albums, untagged tracks, mean quality and score of completed ones."""
+    by = lambda name, states: [F.count_if(F.col("status") == s).alias(f"{name}_{s}") for s in states]
+    left = albums.agg(F.count("*").alias("albums"), *by("albums", ("pending", "resolving", "resolved", "failed", "unavailable")))
+    bare = albums_unlicensed(albums, tracks).agg(F.count("*").alias("unlicensed"))
+    done = F.col("status") == "completed"
+    e = embeddings.select("track_id", "quality_score", F.lit(True).alias("embedded_"))
+    t = tracks.join(e, "track_id", "left")
+    mean = lambda c: F.coalesce(F.round(F.avg(F.when(done, F.col(c))), 6), F.lit(0.0))
+    right = t.agg(
+        F.count("*").alias("tracks"), *by("tracks", ("pending", "processing", "completed", "failed", "unavailable")),
+        F.count_if(done & F.col("embedded_") & (F.coalesce("tags", F.lit("")) == "")).alias("untagged"), mean("quality_score").alias("avg_quality"), mean("score").alias("avg_score"),
+    )
+    return left.crossJoin(bare).crossJoin(right)  # one row each
+
+
+def catalog_counts(collections: DataFrame, links: DataFrame, tracks: DataFrame, pills: DataFrame) -> DataFrame:
+    """One row: collections, links, pending and completed tracks, pills."""
+    parts = [df.agg(F.count("*").alias(n)) for df, n in ((collections, "collections"), (links, "links"), (pills, "pills"))]
+    t = tracks.agg(*(F.count_if(F.col("status") == s).alias(f"{s}_tracks") for s in ("pending", "completed")))
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2]).crossJoin(t)  # one row each
+
+
+def listenability_coverage(tracks: DataFrame, version: str) -> DataFrame:
+    """One row on the completed tracks: versions, exclusions, those under a minute, and maps of tiers and decisions."""
+    v, done = F.col("version"), tracks.where("status = 'completed'")
+    one = done.agg(
+        F.count("*").alias("completed"), F.count_if(v == version).alias("current"), F.count_if(v.isNull()).alias("missing"), F.count_if(v != version).alias("stale"),
+        F.count_if(F.col("decision") == "exclude").alias("excluded"), F.count_if((F.col("duration") > 0) & (F.col("duration") < 60)).alias("short"),
+    )
+
+    def by(c: str) -> DataFrame:
+        n = done.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+        return n.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))  # a handful of kinds
+
+    return one.crossJoin(by("tier")).crossJoin(by("decision"))  # one row each
+
+
 def pill_matches(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
     """(pill_id, track_id, album_id, ...) of listenable tracks whose tags or whose album's subjects hold a keyword.
 
@@ -281,15 +431,31 @@ def reset_failed(table: DataFrame) -> DataFrame:
     return table.withColumns({"status": _to(failed, "pending", "status"), "retry_count": _to(failed, 0, "retry_count")})
 
 
-def reset_for_reembedding(tracks: DataFrame, strategy: str, status: str = "pending") -> DataFrame:
-    """Completed tracks that were embedded by another strategy."""
-    return tracks.withColumn("status", _to((F.col("status") == "completed") & (F.col("strategy") != strategy), status, "status"))
+def reset_for_reembedding(tracks: DataFrame, embeddings: DataFrame, strategy: str, status: str = "pending") -> DataFrame:
+    """Completed tracks that were embedded by another strategy start anew: no error, no tries."""
+    other = embeddings.where(F.col("sample_strategy") != strategy).select("track_id").distinct().withColumn("other_", F.lit(True))
+    t = evolve_schema(tracks, {"error_message": F.lit(None).cast("string"), "retry_count": F.lit(0)}).join(other, "track_id", "left")
+    hit = F.coalesce("other_", F.lit(False)) & (F.col("status") == "completed")
+    new = {"status": _to(hit, status, "status"), "error_message": F.when(~hit, F.col("error_message")), "retry_count": _to(hit, 0, "retry_count")}
+    return t.withColumns(new).drop("other_")
+
+
+#: What scoring has left of a track.
+SCORED = ("version", "decision", "stream", "tier", "reasons", "components", "checked_at", "worker_id")
 
 
-def reset_score_version(tracks: DataFrame, old: str) -> DataFrame:
-    """Old versions are cleared, and tracks that scoring made unavailable are completed again."""
-    back = (F.col("status") == "unavailable") & F.col("error_message").like("listenability:%")
-    return tracks.withColumns({"version": F.when(F.col("version") != old, F.col("version")), "status": _to(back, "completed", "status")})
+def reset_score_version(tracks: DataFrame, old: str, now: Column | None = None) -> DataFrame:
+    """Completed tracks of the old version lose it; tracks that scoring made unavailable are completed again, unscored.
+
+    ``updated_at`` becomes ``now`` where a row changes.
+    """
+    aged = F.coalesce((F.col("status") == "completed") & (F.col("version") == old), F.lit(False))
+    back = F.coalesce((F.col("status") == "unavailable") & F.col("error_message").like("listenability:%"), F.lit(False))
+    new = {c: F.when(~(back | aged) if c == "version" else ~back, F.col(c)) for c in (*SCORED, "error_message") if c in tracks.columns}
+    new["status"] = _to(back, "completed", "status")
+    if now is not None:
+        new["updated_at"] = _to(back | aged, now, "updated_at")
+    return tracks.withColumns(new)
 
 
 def reset_collections(collections: DataFrame) -> DataFrame:

@@ -45,10 +45,12 @@ def extract_words(t):
     return t.select("track_id", F.array_join(X.extract_words(F.col("filename")), " ").alias("words"))
 
 
-@query("albums", sql=f"""select album_id, array_to_string(list_sort(list_distinct(list_concat({words_sql('title')}, {words_sql('creator')},
-    {words_sql('subjects')}, {words_sql('genres')}))), ', ') as tags from v_albums""")
+TAGS_SQL = f"array_to_string(list_sort(list_distinct(list_concat(list_concat({words_sql('identifier')}, {words_sql('title')}), list_concat({words_sql('creator')}, list_concat({words_sql('subjects')}, {words_sql('genres')}))))), ', ')"
+
+
+@query("shelf", sql=f"select album_id, {TAGS_SQL} as tags from v_shelf")
 def generate_tags(a):
-    return a.select("album_id", X.generate_tags(*(F.col(c) for c in ("title", "creator", "subjects", "genres"))).alias("tags"))
+    return a.select("album_id", X.generate_tags(*(F.col(c) for c in ("identifier", "title", "creator", "subjects", "genres"))).alias("tags"))
 
 
 @query("pills", sql="""select pill_id, array_to_string(list_filter(list_transform(string_split(lower(keywords), ','), lambda k: trim(k)), lambda k: k <> ''), '|') as keywords from v_pills""")
@@ -201,39 +203,52 @@ def listenable_filter(t):
 PATTERN = "%WIDGET%"
 
 
-@query("tracks", "albums", sql=f"""select track_id, t.album_id, count(*) over () as total from v_tracks t join v_albums a on a.album_id = t.album_id
-    where {LISTENABLE.replace('status', 't.status')} and (t.title ilike '{PATTERN}' or filename ilike '{PATTERN}' or t.album_id::varchar ilike '{PATTERN}' or a.title ilike '{PATTERN}' or t.tags ilike '{PATTERN}')
-    order by t.updated_at desc, track_id limit 50 offset 10""")
-def search_tracks(t, a):
-    j = t.where(C.listenable()).join(a.select("album_id", F.col("title").alias("a_title")), "album_id")
-    hit = F.lit(False)
-    for c in ("title", "filename", "a_title", "tags"):
-        hit = hit | F.coalesce(F.col(c).ilike(PATTERN), F.lit(False))
-    found = j.where(hit | F.col("album_id").cast("string").ilike(PATTERN))
-    page = found.orderBy(F.desc("updated_at"), "track_id").offset(10).limit(50)
-    return page.crossJoin(found.agg(F.count("*").alias("total"))).select("track_id", "album_id", "total")
+EMBEDDED_SQL = f"v_tracks t join v_track_embeddings e on e.track_id = t.track_id join v_albums a on a.album_id = t.album_id where {LISTENABLE.replace('status', 't.status')}"
+
+
+def _second(found: DataFrame, order: list[tuple[str, bool]], skip: int, n: int) -> DataFrame:
+    """The page of n rows behind the first one of ``skip``, with the number of all rows, which the first page's scan has counted."""
+    head, total = C.first_page(found, order, skip)
+    rest = C.page(found, order, n, head[-1]) if len(head) == skip else found.limit(0)
+    return rest.withColumn("total", F.lit(total).cast("long"))
+
+
+@query("tracks", "track_embeddings", "albums", sql=f"""select t.track_id, t.album_id, count(*) over () as total from {EMBEDDED_SQL}
+    and (t.title ilike '{PATTERN}' or filename ilike '{PATTERN}' or t.album_id::varchar ilike '{PATTERN}' or a.title ilike '{PATTERN}' or t.tags ilike '{PATTERN}')
+    order by t.updated_at desc, t.track_id limit 50 offset 10""")
+def search_tracks(t, e, a):
+    found = C.embedded_tracks(t, e, a).where(C.matches(PATTERN, "title", "filename", "album_id", "a_title", "tags"))
+    return _second(found, [("updated_at", True), ("track_id", False)], 10, 50).select("track_id", "album_id", "total")
+
+
+ALBUM_COUNTS_SQL = """left join (select album_id, count(*) n, avg(quality_score) q, avg(score) s from v_tracks t left join v_track_embeddings e on e.track_id = t.track_id
+    where t.status = 'completed' group by album_id) t on t.album_id = a.album_id where a.status = 'resolved'"""
+ALBUM_COLUMNS_SQL = "a.album_id, title, creator, coalesce(collection, '') as collection, track_count, downloads, coalesce(n, 0) as completed, round(coalesce(q, 0), 6) as avg_quality, round(coalesce(s, 0), 6) as avg_score, count(*) over () as total"
+
+
+def _albums_told(found: DataFrame) -> DataFrame:
+    c = F.coalesce("collection", F.lit("")).alias("collection")
+    return found.select("album_id", "title", "creator", c, "track_count", "downloads", "completed", "avg_quality", "avg_score", "total")
 
 
-@query("albums", "tracks", sql="""select a.album_id, coalesce(n, 0) as completed, round(coalesce(q, 0), 6) as avg_quality, round(coalesce(s, 0), 6) as avg_score from v_albums a
-    left join (select album_id, count(*) n, avg(quality) q, avg(score) s from v_tracks where status = 'completed' group by album_id) t on t.album_id = a.album_id
-    where (a.album_id::varchar ilike '%12%' or title ilike '%12%' or creator ilike '%12%') order by downloads desc, a.album_id limit 40""")
-def search_albums(a, t):
-    hit = F.col("album_id").cast("string").ilike("%12%") | F.col("title").ilike("%12%") | F.col("creator").ilike("%12%")
-    return _with_counts(a.where(hit), t).orderBy(F.desc("downloads"), "album_id").limit(40).select("album_id", "completed", "avg_quality", "avg_score")
+@query("shelf", "tracks", "track_embeddings", sql=f"""select {ALBUM_COLUMNS_SQL} from v_shelf a {ALBUM_COUNTS_SQL}
+    and (a.album_id::varchar ilike '%12%' or title ilike '%12%' or creator ilike '%12%' or collection ilike '%12%') order by downloads desc, updated_at desc, a.album_id limit 40 offset 5""")
+def search_albums(a, t, e):
+    found = C.search_albums(a, t, e, "%12%")
+    return _albums_told(_second(found, [("downloads", True), ("updated_at", True), ("album_id", False)], 5, 40))
 
 
-def _with_counts(a: DataFrame, t: DataFrame) -> DataFrame:
-    done = t.where("status = 'completed'").groupBy("album_id").agg(F.count("*").alias("n"), F.avg("quality").alias("q"), F.avg("score").alias("s"))
-    j = a.join(done, "album_id", "left")
-    return j.withColumns({
-        "completed": F.coalesce("n", F.lit(0)), "avg_quality": F.round(F.coalesce("q", F.lit(0.0)), 6), "avg_score": F.round(F.coalesce("s", F.lit(0.0)), 6),
-    })
+@query("shelf", "tracks", "track_embeddings", sql=f"select {ALBUM_COLUMNS_SQL} from v_shelf a {ALBUM_COUNTS_SQL} and track_count > 0 and track_count = coalesce(n, 0) order by downloads desc, updated_at desc, a.album_id limit 30 offset 5")
+def search_completed_albums(a, t, e):
+    """Without a pattern; only albums all of whose tracks are completed."""
+    found = C.search_albums(a, t, e, None, completed_only=True)
+    return _albums_told(_second(found, [("downloads", True), ("updated_at", True), ("album_id", False)], 5, 30))
 
 
 @query("albums", "tracks", sql="""select a.album_id, title, creator, coalesce(n, 0) as completed, round(coalesce(q, 0), 6) as avg_quality, round(coalesce(s, 0), 6) as avg_score from v_albums a
     left join (select album_id, count(*) n, avg(quality) q, avg(score) s from v_tracks where status = 'completed' group by album_id) t on t.album_id = a.album_id""")
 def album_detail(a, t):
-    return _with_counts(a, t).select("album_id", "title", "creator", "completed", "avg_quality", "avg_score")
+    return C.with_counts(a, t).select("album_id", "title", "creator", "completed", "avg_quality", "avg_score")
 
 
 @query("tracks", sql="select track_id, duration from v_tracks where duration <= 1920")
@@ -271,10 +286,13 @@ def tracks_with_embeddings(v):
     return v.select("track_id", "title", "album_title", F.size("embedding").alias("dim"))
 
 
-@query("tracks", "albums", sql="select a.album_id, track_id, coalesce(track_number, 0) as track_number, round(coalesce(quality, 0), 6) as quality from v_albums a left join v_tracks t on t.album_id = a.album_id")
+@query("tracks", "albums", sql="""select a.album_id, track_id, coalesce(track_number, 0) as track_number, round(coalesce(quality, 0), 6) as quality, cast(row_number() over (partition by a.album_id order by track_number nulls first, filename nulls first, track_id) as int) as place
+    from v_albums a left join v_tracks t on t.album_id = a.album_id""")
 def album_tracks(t, a):
-    j = a.select("album_id").join(t, "album_id", "left").orderBy("album_id", "track_number", "filename")
-    return j.select("album_id", "track_id", F.coalesce("track_number", F.lit(0)).alias("track_number"), F.round(F.coalesce("quality", F.lit(0.0)), 6).alias("quality"))
+    """Tracks with their place in their album, which is all the order there is: albums need no sorting among each other."""
+    place = F.row_number().over(Window.partitionBy("album_id").orderBy("track_number", "filename", "track_id"))
+    j = a.select("album_id").join(t, "album_id", "left")
+    return j.select("album_id", "track_id", F.coalesce("track_number", F.lit(0)).alias("track_number"), F.round(F.coalesce("quality", F.lit(0.0)), 6).alias("quality"), place.alias("place"))
 
 
 @query("albums", "tracks", sql="select album_id from v_albums a where status in ('resolved', 'unavailable') and coalesce(licenseurl, '') = '' and exists (select 1 from v_tracks t where t.album_id = a.album_id and t.status = 'completed')")
@@ -283,10 +301,12 @@ def albums_unlicensed(a, t):
     return bare.join(t.where("status = 'completed'"), "album_id", "left_semi").select("album_id")
 
 
-@query("albums", "tracks", sql="select a.album_id, count(*) as n_untagged from v_albums a join v_tracks t on t.album_id = a.album_id where t.status = 'completed' and coalesce(t.tags, '') = '' group by a.album_id")
-def albums_untagged(a, t):
-    n = t.where("status = 'completed' and coalesce(tags, '') = ''").groupBy("album_id").agg(F.count("*").alias("n_untagged"))
-    return n.join(a.select("album_id"), "album_id", "left_semi")
+UNTAGGED_SQL = "(select t.album_id, count(*) as n from v_tracks t join v_track_embeddings e on e.track_id = t.track_id where t.status = 'completed' and coalesce(t.tags, '') = '' group by t.album_id)"
+
+
+@query("albums", "tracks", "track_embeddings", sql=f"select a.album_id, u.n as n_untagged from v_albums a join {UNTAGGED_SQL} u on u.album_id = a.album_id where a.status in ('resolved', 'unavailable')")
+def albums_untagged(a, t, e):
+    return C.albums_untagged(a, t, e).select("album_id", "n_untagged")
 
 
 @query("albums", sql="select album_id, title from v_albums where status = 'resolved' and coalesce(subjects, '') = ''")
@@ -344,14 +364,14 @@ def remove_collection(links, c):
     return C.remove_collection(links, c.where("status = 'failed'")).groupBy("collection_id").agg(F.count("*").alias("n_links"))
 
 
-@query("collections", "albums", "links", sql="""with m as (select * from v_links where collection_id < 10), k as (select album_id from v_albums where album_id % 3 <> 0),
-    l as (select * from v_links where album_id % 2 = 0 union select * from m), n as (select collection_id, count(*) as n from l group by collection_id)
-    select 'collection' as part, c.collection_id, cast(null as bigint) as album_id, case when n.n is not null and c.collection_id < 10 then 'discovered' else status end as status, case when c.collection_id < 10 then n.n end as discovered_count from v_collections c left join n on n.collection_id = c.collection_id
+@query("collections", "albums", "links", sql="""with m as (select * from v_links where collection_id < 10 and (album_id + collection_id) % 3 <> 0), k as (select album_id from v_albums where album_id % 3 <> 0),
+    l as (select * from v_links where album_id % 2 = 0 union select * from m), n as (select collection_id, count(*) as n from m group by collection_id)
+    select 'collection' as part, c.collection_id, cast(null as bigint) as album_id, case when n.n is not null then 'discovered' else status end as status, n.n as discovered_count from v_collections c left join n on n.collection_id = c.collection_id
     union all select 'link', collection_id, album_id, null, null from l
     union all select 'album', null, album_id, null, null from (select album_id from k union select album_id from m)""")
 def sync_list(c, a, links):
-    """Members become albums and links, and the list's counters are set; nothing is ever removed."""
-    members = links.where("collection_id < 10")
+    """Members become albums and links, and the list's counters are set to what it was given; nothing is ever removed."""
+    members = links.where("collection_id < 10 and (album_id + collection_id) % 3 <> 0")
     return _tables(*C.sync_list(c, a.where("album_id % 3 <> 0").select("album_id"), links.where("album_id % 2 = 0"), members))
 
 
@@ -389,15 +409,21 @@ def user_list_names(n, links):
 # ---------------------------------------------------------------- aggregates
 
 
-@query("albums", "tracks", sql="""select * from (select count(*) as albums, count_if(status = 'resolved') as albums_resolved, count_if(status = 'pending') as albums_pending, count_if(coalesce(licenseurl, '') = '') as unlicensed from v_albums),
-    (select count(*) as tracks, count_if(status = 'completed') as tracks_completed, count_if(status = 'pending') as tracks_pending, count_if(status = 'failed') as tracks_failed, count_if(coalesce(tags, '') = '') as untagged, round(avg(quality), 6) as avg_quality, round(avg(score), 6) as avg_score from v_tracks)""")
-def combined_stats(a, t):
-    left = a.agg(F.count("*").alias("albums"), *(F.count_if(F.col("status") == s).alias(f"albums_{s}") for s in ("resolved", "pending")), F.count_if(F.coalesce("licenseurl", F.lit("")) == "").alias("unlicensed"))
-    right = t.agg(
-        F.count("*").alias("tracks"), *(F.count_if(F.col("status") == s).alias(f"tracks_{s}") for s in ("completed", "pending", "failed")),
-        F.count_if(F.coalesce("tags", F.lit("")) == "").alias("untagged"), F.round(F.avg("quality"), 6).alias("avg_quality"), F.round(F.avg("score"), 6).alias("avg_score"),
-    )
-    return left.crossJoin(right)  # one row each
+COMBINED_SQL = """select * from (select count(*) as albums, count_if(status = 'pending') as albums_pending, count_if(status = 'resolving') as albums_resolving, count_if(status = 'resolved') as albums_resolved, count_if(status = 'failed') as albums_failed, count_if(status = 'unavailable') as albums_unavailable from v_shelf),
+    (select count(*) as unlicensed from v_shelf a where status in ('resolved', 'unavailable') and coalesce(license, '') = '' and exists (select 1 from v_tracks t where t.album_id = a.album_id and t.status = 'completed')),
+    (select count(*) as tracks, count_if(status = 'pending') as tracks_pending, count_if(status = 'processing') as tracks_processing, count_if(status = 'completed') as tracks_completed, count_if(status = 'failed') as tracks_failed, count_if(status = 'unavailable') as tracks_unavailable,
+      coalesce(round(avg(case when status = 'completed' then score end), 6), 0) as avg_score from v_tracks),
+    (select count_if(coalesce(tags, '') = '') as untagged, coalesce(round(avg(quality_score), 6), 0) as avg_quality from v_tracks t join v_track_embeddings e on e.track_id = t.track_id where t.status = 'completed')"""
+
+
+@query("shelf", "tracks", "track_embeddings", sql=COMBINED_SQL)
+def combined_stats(a, t, e):
+    return C.combined_stats(a, t, e)
+
+
+@query("collections", "links", "tracks", "pills", sql="select * from (select count(*) as collections from v_collections), (select count(*) as links from v_links), (select count(*) as pills from v_pills), (select count_if(status = 'pending') as pending_tracks, count_if(status = 'completed') as completed_tracks from v_tracks)")
+def catalog_counts(c, links, t, p):
+    return C.catalog_counts(c, links, t, p)
 
 
 @query("collections", sql="select count(*) as total, count_if(status = 'pending') as pending, count_if(status = 'discovering') as discovering, count_if(status = 'discovered') as discovered, count_if(status = 'failed') as failed from v_collections")
@@ -405,24 +431,24 @@ def collection_status_stats(c):
     return c.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pending", "discovering", "discovered", "failed")))
 
 
-@query("links", "tracks", sql=f"""select collection_id, count(*) as total, count_if(status = 'completed') as analysed, round(avg(case when status = 'completed' then score end), 6) as avg_score,
-    count_if({LISTENABLE}) as free, round(count_if({LISTENABLE}) * 100.0::double / count(*), 6) as free_pct from v_links l join v_tracks t on t.album_id = l.album_id group by collection_id""")
-def collection_track_stats(links, t):
-    return C.collection_track_stats(links, t)
+@query("links", "shelf", "tracks", sql="""select collection_id, count(t.track_id) as total, count_if(t.status = 'completed') as analysed, coalesce(round(avg(case when t.status = 'completed' then t.score end), 6), 0) as avg_score,
+    count_if(t.status = 'completed' and a.license in ('pd', 'cc0', 'cc-by', 'cc-by-sa')) as free, round(count_if(t.status = 'completed' and a.license in ('pd', 'cc0', 'cc-by', 'cc-by-sa')) * 100.0::double / count(*), 6) as free_pct
+    from v_links l join v_shelf a on a.album_id = l.album_id join v_tracks t on t.album_id = l.album_id group by collection_id""")
+def collection_track_stats(links, a, t):
+    return C.collection_track_stats(links, a, t)
 
 
-@query("tracks", sql="""select count_if(version = 'listenability-v2') as current, count_if(version is null) as missing, count_if(version <> 'listenability-v2') as stale, count_if(decision = 'exclude') as excluded, count_if(duration < 60) as short from v_tracks where status = 'completed'""")
+@query("tracks", sql="""select count(*) as completed, count_if(version = 'listenability-v2') as current, count_if(version is null) as missing, count_if(version <> 'listenability-v2') as stale, count_if(decision = 'exclude') as excluded, count_if(duration > 0 and duration < 60) as short from v_tracks where status = 'completed'""")
 def listenability_coverage(t):
-    v = F.col("version")
-    return t.where("status = 'completed'").agg(
-        F.count_if(v == L.VERSION).alias("current"), F.count_if(v.isNull()).alias("missing"), F.count_if(v != L.VERSION).alias("stale"),
-        F.count_if(F.col("decision") == "exclude").alias("excluded"), F.count_if(F.col("duration") < 60).alias("short"),
-    )
+    return C.listenability_coverage(t, L.VERSION).drop("by_tier", "by_decision")
 
 
-@query("tracks", sql="select case when score >= 0.85 then 'excellent' when score >= 0.7 then 'good' when score >= 0.5 then 'borderline' when score >= 0.25 then 'poor' else 'unusable' end as tier, decision, count(*) as n from v_tracks where status = 'completed' group by 1, 2")
+@query("tracks", sql="""select 'tier' as kind, tier as name, count(*) as n from v_tracks where status = 'completed' and tier is not null group by tier
+    union all select 'decision', decision, count(*) from v_tracks where status = 'completed' and decision is not null group by decision""")
 def coverage_by_tier(t):
-    return t.where("status = 'completed'").groupBy(L.tier(F.col("score")).alias("tier"), "decision").agg(F.count("*").alias("n"))
+    """The two maps of the coverage, an entry a row."""
+    c = C.listenability_coverage(t, L.VERSION)
+    return c.select(F.lit("tier").alias("kind"), F.explode("by_tier").alias("name", "n")).unionByName(c.select(F.lit("decision").alias("kind"), F.explode("by_decision").alias("name", "n")))
 
 
 @query("tracks", "albums", sql="""with j as (select t.tags, a.album_id, subjects, genres from v_tracks t join v_albums a using (album_id) where t.status = 'completed'),
@@ -445,9 +471,9 @@ def strategy_counts(t):
     return t.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-@query("tracks", sql="select album_id, round(avg(score), 6) as avg_score from v_tracks group by album_id")
+@query("tracks", sql="select album_id, round(avg(score), 6) as avg_score from v_tracks where status = 'completed' and score is not null group by album_id")
 def album_listenability(t):
-    return t.groupBy("album_id").agg(F.round(F.avg("score"), 6).alias("avg_score"))
+    return t.where("status = 'completed' and score is not null").groupBy("album_id").agg(F.round(F.avg("score"), 6).alias("avg_score"))
 
 
 EVIDENCE_SQL = """(select album_id, count(*) as track_count, count(d) as n_positive, coalesce(avg(d), 0) as avg_duration, coalesce(median(d), 0) as median_duration, coalesce(sum(d), 0) as total_duration,
@@ -471,9 +497,9 @@ def pill_coverage(p, t, a):
     return C.pill_coverage(p, t, a).where("n_albums > 0").select("pill_id", "n_albums")
 
 
-@query("pills", "tracks", "albums", sql=f"{COVERAGE_SQL} select pill_id, label, n_albums from p where active")
+@query("pills", "tracks", "albums", sql=f"{COVERAGE_SQL} select pill_id, label, n_albums, cast(row_number() over (order by sort_order, pill_id) as int) as rank from p where active")
 def active_pills(p, t, a):
-    return C.pill_coverage(p, t, a).where("active").orderBy("sort_order", "pill_id").select("pill_id", "label", "n_albums")
+    return _ranked(C.pill_coverage(p, t, a).where("active"), F.col("sort_order"), F.col("pill_id")).select("pill_id", "label", "n_albums", "rank")
 
 
 @query("pills", "tracks", "albums", sql=f"{COVERAGE_SQL} select * from p")
@@ -527,25 +553,31 @@ def tracks_for_pill(p, t, a):
     return C.pill_matches(p, t, a).withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("pill_id", "track_id", "rank")
 
 
-@query("tracks", "albums", sql=f"select track_id from v_tracks t join v_albums a on a.album_id = t.album_id where {LISTENABLE.replace('status', 't.status')} order by downloads desc, quality desc, t.updated_at desc, track_id limit 50 offset 50")
-def browse_tracks(t, a):
-    j = t.where(C.listenable()).join(a.select("album_id", "downloads"), "album_id")
-    return j.orderBy(F.desc("downloads"), F.desc("quality"), F.desc("updated_at"), "track_id").offset(50).limit(50).select("track_id")
+@query("tracks", "track_embeddings", "albums", sql=f"select t.track_id, count(*) over () as total from {EMBEDDED_SQL} order by downloads desc, e.quality_score desc, t.updated_at desc, t.track_id limit 50 offset 50")
+def browse_tracks(t, e, a):
+    order = [("downloads", True), ("e_quality", True), ("updated_at", True), ("track_id", False)]
+    return _second(C.embedded_tracks(t, e, a), order, 50, 50).select("track_id", "total")
 
 
-@query("albums", sql="select album_id, title from v_albums where status = 'resolved' order by downloads desc, created_at desc, album_id limit 30 offset 30")
+@query("albums", sql="select album_id, title, count(*) over () as total from v_albums where status = 'resolved' order by downloads desc, created_at desc, album_id limit 30 offset 30")
 def browse_albums(a):
-    return a.where("status = 'resolved'").orderBy(F.desc("downloads"), F.desc("created_at"), "album_id").offset(30).limit(30).select("album_id", "title")
+    return _second(a.where("status = 'resolved'"), [("downloads", True), ("created_at", True), ("album_id", False)], 30, 30).select("album_id", "title", "total")
+
+
+def _ranked(df: DataFrame, *order) -> DataFrame:
+    """Rows of a small table with their place in an order."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-@query("collections", sql="select collection_id, title from v_collections")
+@query("collections", sql="select collection_id, title, cast(row_number() over (order by created_seq desc, collection_id) as int) as rank from v_collections")
 def list_collections(c):
-    return c.orderBy(F.desc("created_seq"), "collection_id").select("collection_id", "title")
+    """Newest first; collections are few."""
+    return _ranked(c, F.desc("created_seq"), F.col("collection_id")).select("collection_id", "title", "rank")
 
 
-@query("collections", sql="select collection_id, expected_count from v_collections where status = 'pending'")
+@query("collections", sql="select collection_id, expected_count, cast(row_number() over (order by expected_count desc, collection_id) as int) as rank from v_collections where status = 'pending'")
 def pending_collections(c):
-    return c.where("status = 'pending'").orderBy(F.desc("expected_count"), "collection_id").select("collection_id", "expected_count")
+    return _ranked(c.where("status = 'pending'"), F.desc("expected_count"), F.col("collection_id")).select("collection_id", "expected_count", "rank")
 
 
 @query("activity", sql="select event_id, type from v_activity order by ts desc, event_id desc limit 100")

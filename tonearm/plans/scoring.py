@@ -11,7 +11,7 @@ from tonearm.functions import text as X
 from tonearm.functions import vectors as V
 from tonearm.operators import catalog as C
 from tonearm.operators import search as S
-from tonearm.plans.catalog import EVIDENCE_SQL, LICENSE_SQL, words_sql
+from tonearm.plans.catalog import EVIDENCE_SQL, LICENSE_SQL, TAGS_SQL, UNTAGGED_SQL, words_sql
 from tonearm.plans.views import QUERY_TEXT, oracle, view
 from tonearm.streaming import rates as R
 
@@ -289,17 +289,23 @@ def cascade_album(t, a):
     return C.cascade_album(t, a, named).select("track_id", "status", "error_message", "cascaded", "skipped")
 
 
-@query("tracks", sql="select track_id, case when status = 'completed' and strategy <> 'head' then 'pending' else status end as status from v_tracks")
-def reset_for_reembedding(t):
-    return C.reset_for_reembedding(t, "head").select("track_id", "status")
+@query("tracks", "track_embeddings", sql="""with o as (select track_id from v_track_embeddings where sample_strategy <> 'head'), x as (select *, status = 'completed' and track_id in (select track_id from o) as hit from v_tracks)
+    select track_id, case when hit then 'pending' else status end as status, case when not hit then 'was ' || status end as error_message, cast(case when hit then 0 else retry_count end as int) as retry_count from x""")
+def reset_for_reembedding(t, e):
+    t = t.withColumn("error_message", F.concat(F.lit("was "), F.col("status")))
+    return C.reset_for_reembedding(t, e, "head").select("track_id", "status", "error_message", "retry_count")
 
 
-@query("tracks", sql="select track_id, case when version = 'listenability-v1' then null else version end as version, case when status = 'failed' and track_id % 2 = 0 then 'completed' else status end as status from v_tracks")
+@query("tracks", sql="""with x as (select * replace (case when status = 'failed' then 'unavailable' else status end as status), case when status <> 'failed' then null when track_id % 2 = 0 then 'listenability: excluded' else 'decode: EOF' end as error_message from v_tracks),
+    y as (select *, coalesce(status = 'completed' and version = 'listenability-v1', false) as aged, coalesce(status = 'unavailable' and error_message like 'listenability:%', false) as back from x)
+    select track_id, case when back then 'completed' else status end as status, case when not back and not aged then version end as version, case when not back then decision end as decision, case when not back then stream end as stream,
+    case when not back then tier end as tier, case when not back then error_message end as error_message, cast(case when back or aged then timestamp '2000-01-01' else updated_at end as timestamp) as updated_at from y""")
 def reset_score_version(t):
-    """Old versions are cleared, and tracks that scoring made unavailable are completed again."""
-    x = t.withColumns({"error_message": F.when((F.col("status") == "failed") & (F.col("track_id") % 2 == 0), "listenability: excluded"), "was": F.col("status")})
-    x = x.withColumn("status", F.when(F.col("error_message").isNotNull(), "unavailable").otherwise(F.col("status")))
-    return C.reset_score_version(x, "listenability-v1").select("track_id", "version", "status")
+    """Completed tracks of the old version lose it, and tracks that scoring made unavailable are completed again, unscored."""
+    error = F.when(F.col("status") == "failed", F.when(F.col("track_id") % 2 == 0, "listenability: excluded").otherwise("decode: EOF"))
+    x = t.withColumn("error_message", error).withColumn("status", F.when(F.col("status") == "failed", "unavailable").otherwise(F.col("status")))
+    done = C.reset_score_version(x, "listenability-v1", F.expr("timestamp_ntz '2000-01-01 00:00:00'"))
+    return done.select("track_id", "status", "version", "decision", "stream", "tier", "error_message", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query("albums", "tracks", sql="select album_id, coalesce(album_id in (select album_id from v_tracks where status = 'completed'), false) as prechecked, 'unset' as curator from v_albums")
@@ -325,17 +331,18 @@ def update_annotations(a):
     return C.update_annotations(a, new, "album_id").select("album_id", "subjects", "genres", "license", "tags", "score")
 
 
-@query("tracks", "albums", sql=f"""with u as (select distinct album_id from v_tracks where status = 'completed' and coalesce(tags, '') = '')
-    select album_id, array_to_string(list_sort(list_distinct(list_concat({words_sql('title')}, {words_sql('creator')}, {words_sql('subjects')}, {words_sql('genres')}))), ', ') as tags from v_albums join u using (album_id)""")
-def tag_enhance(t, a):
-    bare = t.where("status = 'completed' and coalesce(tags, '') = ''").select("album_id")
-    return a.join(bare, "album_id", "left_semi").select("album_id", X.generate_tags(*(F.col(c) for c in ("title", "creator", "subjects", "genres"))).alias("tags"))
+@query("tracks", "shelf", "track_embeddings", sql=f"""with u as (select a.album_id, {TAGS_SQL} as new from v_shelf a join {UNTAGGED_SQL} u on u.album_id = a.album_id where a.status in ('resolved', 'unavailable'))
+    select track_id, case when coalesce(u.new, '') <> '' then u.new else t.tags end as tags from v_tracks t left join u on u.album_id = t.album_id""")
+def tag_enhance(t, a, e):
+    """The tracks after their untagged albums' words were written to them."""
+    return C.tag_enhance(t, a, e, "identifier").select("track_id", "tags")
 
 
-@query("albums", "tracks", sql=f"select album_id, {LICENSE_SQL} as license from v_albums a where status in ('resolved', 'unavailable') and {LICENSE_SQL} <> 'unknown' and exists (select 1 from v_tracks t where t.album_id = a.album_id and t.status = 'completed')")
+@query("shelf", "tracks", sql=f"""with w as (select album_id from v_shelf a where status in ('resolved', 'unavailable') and coalesce(license, '') = '' and exists (select 1 from v_tracks t where t.album_id = a.album_id and t.status = 'completed'))
+    select album_id, case when album_id in (select album_id from w) and album_id % 7 <> 0 then {LICENSE_SQL} else license end as license from v_shelf""")
 def license_enrich(a, t):
-    done = a.where("status in ('resolved', 'unavailable')").join(t.where("status = 'completed'"), "album_id", "left_semi")
-    return done.select("album_id", M.classify_license(F.col("licenseurl")).alias("license")).where("license <> 'unknown'")
+    """The albums after the metadata (which lack every seventh) gave licenses to those without."""
+    return C.license_enrich(a, t, a.where("album_id % 7 <> 0").select("album_id", "licenseurl")).select("album_id", "license")
 
 
 # ---------------------------------------------------------------- observation: batch twins of the streams

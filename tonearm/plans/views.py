@@ -44,8 +44,17 @@ VIEWS = {
                case when l_partkey % 11 = 0 then 'excluded' when l_partkey % 11 = 1 then 'longform_candidate' when l_partkey % 11 < 8 then 'default' end as stream,
                cast((l_partkey % 100) as double) / 100 as score,
                case when l_partkey % 13 = 0 then 'tail' else 'head' end as strategy,
+               case l_partkey % 6 when 0 then 'excellent' when 1 then 'good' when 2 then 'borderline' when 3 then 'poor' when 4 then 'unusable' end as tier,
                min(l_shipdate) as updated_at
         from {lineitem} join {part} on p_partkey = l_partkey group by l_orderkey, l_partkey""",
+    "shelf": """
+        select a.*, case when album_id % 5 = 0 then null when album_id % 5 = 1 then '' when album_id % 12 in (1, 10) then 'pd' when album_id % 12 = 2 then 'cc-by'
+                    when album_id % 12 = 3 then 'cc-by-sa' when album_id % 12 = 4 then 'cc-by-nc' when album_id % 12 = 8 then 'cc0' else 'other' end as license,
+               case when album_id % 4 = 0 then 'Radio 12' when album_id % 4 = 1 then 'netlabels' end as collection,
+               cast(album_id % 3 as int) as track_count, created_at as updated_at, concat('item_', album_id) as identifier
+        from {albums} a""",
+    "track_embeddings": """
+        select track_id, quality as quality_score, strategy as sample_strategy from {tracks} where status = 'completed' and track_id % 5 <> 3""",
     "collections": """
         select n_nationkey as collection_id, n_name as title, cast(n_regionkey * 1000 as int) as expected_count,
                case n_nationkey % 4 when 0 then 'pending' when 1 then 'discovering' when 2 then 'discovered' else 'failed' end as status,
@@ -101,8 +110,20 @@ def _counts(sql: str) -> str:
 def oracle(sql: str) -> str:
     """The same views as common table expressions before a DuckDB query, which names them ``v_...``."""
     sql = _counts(sql)
-    used = [n for n in VIEWS if re.search(rf"\bv_{n}\b", sql)]
-    ctes = ",\n".join(f"v_{n} as ({re.sub(r'\{(\w+)\}', r'\1', VIEWS[n])})" for n in used)
+    used: list[str] = []
+
+    def use(name: str) -> None:
+        for x in inputs(VIEWS[name]):
+            if x in VIEWS:
+                use(x)
+        if name not in used:
+            used.append(name)
+
+    for n in VIEWS:
+        if re.search(rf"\bv_{n}\b", sql):
+            use(n)
+    told = lambda n: re.sub(r"\{(\w+)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], VIEWS[n])
+    ctes = ",\n".join(f"v_{n} as ({told(n)})" for n in used)
     body = sql.strip()
     if not used:
         return body
