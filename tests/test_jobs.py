@@ -1,6 +1,6 @@
 """Registered jobs over whole texts and growing tables."""
 
-from tonearm.plans import jobs
+from tonearm.plans import analysis, jobs
 
 
 def test_letters_count_the_whole_text():
@@ -11,9 +11,5 @@ def test_letters_count_the_whole_text():
 def test_tracks_grow_with_the_vectors(spark, tmp_path):
     rows = spark.range(36_000).selectExpr("id as vec_id", "transform(sequence(1, 64), x -> cast(sin(id * x) as float)) as embedding")
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert jobs.frame_spectra(spark, str(tmp_path)).count() == 36_000
-    assert jobs.pool_quality(spark, str(tmp_path)).count() == 720
-    few = tmp_path / "few"
-    rows.where("vec_id < 500").write.parquet(f"{few}/embeddings.parquet")
-    found = jobs.analyze_tracks(spark, str(few)).collect()
-    assert len(found) == 10 and all(len(r["clap"]) in (2048, 4096) for r in found)
+    assert analysis.frame_spectra(spark, str(tmp_path)).count() == 36_000
+    assert analysis.pool_quality(spark, str(tmp_path)).count() == 720

@@ -10,11 +10,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tonearm.plans import catalog, jobs, scoring
+from tonearm.plans import analysis, catalog, jobs, scoring
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = catalog.QUERIES | scoring.QUERIES | jobs.QUERIES
-ORACLES = catalog.ORACLES | scoring.ORACLES | jobs.ORACLES
+QUERIES = catalog.QUERIES | scoring.QUERIES | jobs.QUERIES | analysis.QUERIES
+ORACLES = catalog.ORACLES | scoring.ORACLES | jobs.ORACLES | analysis.ORACLES
 
 
 @pytest.fixture(scope="module")

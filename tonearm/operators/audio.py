@@ -106,11 +106,3 @@ def embed_column(df: DataFrame, column: str, model, out: str = "embedding") -> D
         return pd.Series(list(np.where(size > 0, m / np.where(size > 0, size, 1), m)))
 
     return df.withColumn(out, embed(F.col(column)))
-
-
-def analyze_tracks(frames: DataFrame, coefficients: DataFrame, model) -> DataFrame:
-    """All pending tracks in one job: quality with its gate, pooled coefficients and the model's vector of the first frame."""
-    q = pool_quality(frame_spectra(frames), crest_parts(frames))
-    first = embed_column(frames.where("frame_no = 0"), "samples", model, "clap").select("track_id", "clap")
-    t = q.join(pool_coefficients(coefficients), "track_id", "left").join(first, "track_id", "left")
-    return t.withColumn("status", F.when(F.col("quality") < 0.3, "unavailable").otherwise("completed"))

@@ -11,6 +11,7 @@ from tonearm.plans.scoring import ORACLES as SCORED
 from tonearm.plans.views import VIEWS, oracle, view
 from tonearm.sources import items as I
 from tonearm.sources.scratch import scratch
+from tonearm.sources.tables import materialised
 from tonearm.streaming import rates as R
 
 QUERIES: dict = {}
@@ -27,13 +28,13 @@ def query(sql: str | None = None):
     return register
 
 
-def _written(df: DataFrame, what: str) -> str:
+def written(df: DataFrame, what: str) -> str:
     path = scratch(df.sparkSession, what)
     df.write.text(path)
     return path
 
 
-def _item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item metadata as JSON lines: a field is a string or an array by turns, and every 50th line is broken."""
     a, t = view(spark, sf_dir, "albums"), view(spark, sf_dir, "tracks")
     files = t.groupBy("album_id").agg(F.sort_array(F.collect_list(F.struct(  # the tracks of one album
@@ -43,7 +44,8 @@ def _item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))).alias("files"))
     meta = lambda subject, restricted: F.struct(
         F.col("album_id").cast("string").alias("identifier"), "title", "creator", subject.alias("subject"), "licenseurl",
-        restricted.alias("access-restricted-item"), F.lit("audio").alias("mediatype"),
+        restricted.alias("access-restricted-item"), F.when(F.col("album_id") % 11 == 3, "texts").otherwise("audio").alias("mediatype"),
+        F.when(F.col("album_id") % 4 == 0, "Radio 12").when(F.col("album_id") % 4 == 1, "netlabels").alias("collection"),
     )
     j = a.join(files, "album_id")
     r = F.col("album_id") % 20 == 0
@@ -57,24 +59,21 @@ def _item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_item_dump(spark, sf_dir):
     a = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"), "downloads", "licenseurl")
     page = a.groupBy(F.expr("abs(hash(identifier)) % 1000").alias("p")).agg(F.collect_list(F.struct("identifier", "downloads", "licenseurl")).alias("items"))
-    return I.scan_item_dump(spark, _written(page.select(F.to_json(F.struct("items")).alias("value")), "dump")).select("identifier", "downloads")
+    return I.scan_item_dump(spark, written(page.select(F.to_json(F.struct("items")).alias("value")), "dump")).select("identifier", "downloads")
 
 
-@query("select count(*) as n_items from v_albums where album_id % 50 <> 7 and album_id in (select album_id from v_tracks)")
+@query("""with j as (select album_id, album_id % 50 = 7 as bad, a.subjects, a.genres from v_albums a where album_id in (select album_id from v_tracks))
+    select count(*) as n_lines, count_if(bad) as n_bad, count_if(not bad) as n_items, count(distinct case when not bad then album_id end) as n_ids, sum(case when not bad then (select count(*) from v_tracks t where t.album_id = j.album_id) end)::bigint as n_files,
+    sum(case when bad or subjects is null then 0 else len(string_split(subjects, ', ')) end)::bigint as n_subjects from j""")
 def scan_item_metadata(spark, sf_dir):
-    return I.scan_item_metadata(spark, _written(_item_lines(spark, sf_dir), "items")).agg(F.count("*").alias("n_items"))
+    """What is read of whole items; bad lines are counted in the same pass."""
+    from pyspark.sql import Observation
 
-
-@query()
-def resolve_albums(spark, sf_dir):
-    albums, _ = I.resolve_albums(I.scan_item_metadata(spark, _written(_item_lines(spark, sf_dir), "items")))
-    return albums
-
-
-@query()
-def resolve_tracks(spark, sf_dir):
-    _, tracks = I.resolve_albums(I.scan_item_metadata(spark, _written(_item_lines(spark, sf_dir), "items")))
-    return tracks
+    seen = Observation()
+    items = materialised(I.plain_items(I.scan_item_metadata(spark, written(item_lines(spark, sf_dir), "items"), seen)), "items")
+    subjects = F.flatten(F.transform("subjects", lambda x: F.split(x, ", ")))
+    n = items.agg(F.count("*").alias("n_items"), F.count_distinct("album_id").alias("n_ids"), F.sum(F.size("files")).alias("n_files"), F.sum(F.size(subjects)).alias("n_subjects"))
+    return n.select(F.lit(seen.get["lines"]).alias("n_lines"), F.lit(seen.get["bad_lines"]).alias("n_bad"), "*")
 
 
 @query("select title as list_name, l.album_id::varchar as identifier from v_links l join v_collections c on c.collection_id = l.collection_id where c.collection_id % 5 <> 0")
@@ -83,7 +82,7 @@ def scan_list_members(spark, sf_dir):
     part = F.expr("abs(hash(album_id)) % 64")  # lists are written in parts
     m = links.groupBy("collection_id", part.alias("p")).agg(F.collect_list(F.struct(F.col("album_id").cast("string").alias("identifier"))).alias("members"))
     whole = m.join(c, "collection_id").select(F.to_json(F.struct((F.col("collection_id") % 5 != 0).alias("success"), F.struct(F.col("title").alias("list_name"), "members").alias("value"))).alias("value"))
-    return I.scan_list_members(spark, _written(whole, "lists")).select("list_name", "identifier")
+    return I.scan_list_members(spark, written(whole, "lists")).select("list_name", "identifier")
 
 
 @query("select '@' || n_nationkey || '-' || lower(replace(n_name, ' ', '-')) as collection_id, n_name as title, count(*) as discovered_count from v_links join nation on n_nationkey = collection_id group by n_nationkey, n_name")
@@ -100,14 +99,14 @@ def import_list(spark, sf_dir):
 def scan_denylist(spark, sf_dir):
     ids = view(spark, sf_dir, "part").where("p_size = 7").select("p_brand").distinct()
     whole = ids.agg(F.to_json(F.sort_array(F.collect_set("p_brand"))).alias("value"))  # brands are few
-    return I.scan_denylist(spark, _written(whole, "denied"))
+    return I.scan_denylist(spark, written(whole, "denied"))
 
 
 @query("select pill_id::varchar as id, label, keywords, enabled, 10::int as min_library_count from v_pills")
 def scan_seed_tables(spark, sf_dir):
     p = spark.sql(VIEWS["pills"])
     whole = p.select(F.struct(F.col("pill_id").cast("string").alias("id"), "label", "keywords", F.when(~F.col("enabled"), False).alias("enabled")).alias("p"))
-    path = _written(whole.agg(F.to_json(F.collect_list("p")).alias("value")), "pills")
+    path = written(whole.agg(F.to_json(F.collect_list("p")).alias("value")), "pills")
     return I.scan_seed_pills(spark, path).select("id", "label", "keywords", "enabled", "min_library_count")
 
 
@@ -145,18 +144,6 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") % 50).alias("track_id"), F.floor(F.col("vec_id") / 50).cast("int").alias("frame_no"), F.lit(48000).alias("sample_rate"), samples.alias("samples"))
 
 
-def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same frames as tracks of 50, so that tracks grow in number and not in length."""
-    e = view(spark, sf_dir, "embeddings")
-    samples = F.flatten(F.array_repeat("embedding", 32))
-    return e.select(F.expr("vec_id div 50").alias("track_id"), (F.col("vec_id") % 50).cast("int").alias("frame_no"), F.lit(48000).alias("sample_rate"), samples.alias("samples"))
-
-
-@query()
-def frame_spectra(spark, sf_dir):
-    return A.frame_spectra(_tracks(spark, sf_dir))
-
-
 @query("""select vec_id % 50 as track_id, vec_id // 50 as frame_no, round(list_max(list_transform(embedding, lambda x: abs(x::double))), 6) as peak, round(32 * list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as squares, 2048::int as n from embeddings""")
 def crest_parts(spark, sf_dir):
     f = _frames(spark, sf_dir)
@@ -164,12 +151,6 @@ def crest_parts(spark, sf_dir):
     return c.select("track_id.*", F.round("peak", 6).alias("peak"), F.round("squares", 4).alias("squares"), "n").withColumn("frame_no", F.col("frame_no").cast("long"))
 
 
-@query()
-def pool_quality(spark, sf_dir):
-    f = _tracks(spark, sf_dir)
-    return A.pool_quality(A.frame_spectra(f), A.crest_parts(f))
-
-
 @query("""with c as (select vec_id % 50 as track_id, unnest(embedding[1:20]) as x, generate_subscripts(embedding[1:20], 1) as i from embeddings), s as (select track_id, i, avg(x::double) as m, stddev_pop(x::double) as s from c group by 1, 2)
     select track_id, 40::int as dim, round(sum(case when i = 1 then m end), 6) as first, round(sum(case when i = 20 then s end), 6) as last from s group by track_id""")
 def pool_coefficients(spark, sf_dir):
@@ -194,25 +175,12 @@ def _letters(texts):
     return np.array([np.bincount(np.frombuffer(t.encode(), np.uint8) % 16, minlength=16) for t in texts], float).reshape(-1, 16)
 
 
-def _whole(frames):
-    import numpy as np
-
-    return np.stack([np.asarray(f, float) for f in frames])
-
-
 @query()
 def embed_column(spark, sf_dir):
     d = view(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return A.embed_column(d, "text", _letters).select("doc_id", "embedding")
 
 
-@query()
-def analyze_tracks(spark, sf_dir):
-    e = view(spark, sf_dir, "embeddings")
-    coef = e.select(F.expr("vec_id div 50").alias("track_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 20).alias("coef"))
-    return A.analyze_tracks(_tracks(spark, sf_dir), coef, _whole)
-
-
 # ---------------------------------------------------------------- streams
 
 
@@ -256,7 +224,7 @@ def incremental_ingest(spark, sf_dir):
     """Pages arrive as files; every batch is filtered and merged into a table, and a second run finds nothing new."""
     a = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"), "downloads", "licenseurl")
     page = a.groupBy(F.expr("abs(hash(identifier)) % 1000").alias("p")).agg(F.collect_list(F.struct("identifier", "downloads", "licenseurl")).alias("items"))
-    path, offsets, out = _written(page.select(F.to_json(F.struct("items")).alias("value")), "pages"), scratch(spark, "offsets"), scratch(spark, "ingested")
+    path, offsets, out = written(page.select(F.to_json(F.struct("items")).alias("value")), "pages"), scratch(spark, "offsets"), scratch(spark, "ingested")
     denied = spark.createDataFrame([], "identifier string")
     from tonearm.functions.metadata import commercially_usable
 

@@ -11,6 +11,7 @@ from tonearm.functions import text as X
 from tonearm.functions import vectors as V
 from tonearm.operators import catalog as C
 from tonearm.operators import search as S
+from tonearm.operators.analysis import precheck
 from tonearm.plans.catalog import EVIDENCE_SQL, LICENSE_SQL, TAGS_SQL, UNTAGGED_SQL, words_sql
 from tonearm.plans.views import QUERY_TEXT, oracle, view
 from tonearm.streaming import rates as R
@@ -44,12 +45,12 @@ HYGIENE = "greatest(0, 1.0::double - case when coalesce(t.title, '') = '' then 0
 PROMPTS_SQL = "(select track_id, (track_id % 7 - 3) / 20.0::double as margin, (track_id % 7) / 20.0::double as positive, 3 / 20.0::double as negative, 'silence or test tone' as strongest from v_tracks where track_id % 5 < 3)"
 
 
-def _score_sql(evidence: bool, prompts: bool, where: str = "") -> str:
+def score_sql(evidence: bool, prompts: bool, where: str = "", tracks: str = "v_tracks", albums: str = "v_albums") -> str:
     e = EVIDENCE_SQL if evidence else "(select null::bigint as album_id, 0 as n_positive, 0.0 as avg_duration, 0.0 as short60 where false)"
     p = PROMPTS_SQL if prompts else "(select null::bigint as track_id, 0.0::double as margin, 0.0::double as positive, 0.0::double as negative, '' as strongest where false)"
     return f"""with j as (select t.track_id, t.album_id, coalesce(t.duration, 0) as duration, coalesce(e.n_positive, 0) as n_positive, coalesce(e.avg_duration, 0)::double as avg_duration, coalesce(e.short60, 0)::double as short60,
         coalesce(p.margin, 0) as margin, coalesce(p.positive, 0) as positive, coalesce(p.negative, 0) as negative, p.strongest, {META.format('a.')} as meta, {PATTERNS} as patterns, {HYGIENE} as hygiene, least(1.0::double, coalesce(t.quality, 0)) as q
-      from v_tracks t left join v_albums a on a.album_id = t.album_id left join {e} e on e.album_id = t.album_id left join {p} p on p.track_id = t.track_id {where}),
+      from {tracks} t left join {albums} a on a.album_id = t.album_id left join {e} e on e.album_id = t.album_id left join {p} p on p.track_id = t.track_id {where}),
     c as (select *, {BAD.format('meta')} as bad, {SEMI.format('meta')} as half, {STORY.format('meta')} as tells, {DURATION} as dur, case when n_positive > 0 then greatest(0.0, {AVG_CURVE.format('avg_duration')} * (1 - short60)) else 0.0 end as shape from j),
     d as (select *, case when positive = 0 and negative = 0 then greatest(0.0, 0.5::double - case when bad then 0.3 else 0 end - case when half then 0.15 else 0 end - 0.2 * len(patterns))::double
         when margin > 0 then 0.5 + least(0.5, margin * 1.5) else 0.5 - least(0.5, -margin * 1.5) end as content from c),
@@ -71,19 +72,19 @@ def _told(s: DataFrame) -> DataFrame:
     return s.select("track_id", "score", "tier", "stream", "decision", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("tracks", "albums", sql=_score_sql(True, True))
+@query("tracks", "albums", sql=score_sql(True, True))
 def score_tracks(t, a):
     return _told(C.score_tracks(t.drop("score", "stream", "decision", "version"), a, C.album_evidence(t), _prompts(t)))
 
 
-@query("tracks", "albums", sql=_score_sql(False, False, "where t.status = 'pending'"))
+@query("tracks", "albums", sql=score_sql(False, False, "where t.status = 'pending'"))
 def precheck_tracks(t, a):
     """Pending tracks from metadata alone: no album shape, no prompts, no quality."""
     pending = t.where("status = 'pending'").drop("score", "stream", "decision", "version")
     return _told(C.score_tracks(pending, a))
 
 
-@query("tracks", "albums", sql=_score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'"))
+@query("tracks", "albums", sql=score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'"))
 def rescore_stale(t, a):
     """Only tracks with a missing or older version are scored; the evidence is that of whole albums."""
     stale = t.where((F.col("status") == "completed") & ~F.col("version").eqNullSafe(F.lit(L.VERSION)))
@@ -94,14 +95,19 @@ WRITE_BACK_SQL = """with s as ({scored}) select t.track_id, case when s.decision
     case when s.decision = 'exclude' then 'listenability: ' || replace(s.reasons, '|', ', ') end as error_message"""
 
 
-@query("tracks", "albums", sql=f"{WRITE_BACK_SQL.format(scored=_score_sql(False, False, "where t.status = 'pending'"))} from v_tracks t left join s on s.track_id = t.track_id")
+PRECHECK_REASON_SQL = """case when t.duration > 0 and t.duration < 60 then 'listenability: duration ' || printf('%.1f', round(t.duration, 1)) || 's below 60s minimum'
+    else 'listenability: excluded by precheck (score=' || printf('%.3f', round(s.score, 3)) || ', reasons=[' || replace(s.reasons, '|', ' ') || '])' end"""
+
+
+@query("tracks", "albums", sql=f"""with s as ({score_sql(False, False, "where t.status = 'pending'", "(select * replace (0.0::double as quality) from v_tracks)", "(select * replace (null as creator) from v_albums)")})
+    select t.track_id, case when s.decision = 'exclude' then 'unavailable' else t.status end as status, case when s.decision = 'exclude' then {PRECHECK_REASON_SQL} end as error_message from v_tracks t left join s on s.track_id = t.track_id""")
 def precheck_status(t, a):
     """What the precheck does to the table: excluded tracks are unavailable, with the reasons."""
-    pending = t.where("status = 'pending'").drop("score", "stream", "decision", "version")
-    return C.mark_excluded(t, C.score_tracks(pending, a)).select("track_id", "status", "error_message")
+    out = precheck(t.where("status = 'pending'"), a).where("error_message is not null")
+    return C.apply_status(t, out.select("track_id", F.lit("unavailable").alias("status"), "error_message"), "track_id").select("track_id", "status", "error_message")
 
 
-@query("tracks", "albums", sql=f"""{WRITE_BACK_SQL.format(scored=_score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'"))},
+@query("tracks", "albums", sql=f"""{WRITE_BACK_SQL.format(scored=score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'"))},
     coalesce(s.score, t.score) as score, coalesce(s.decision, t.decision) as decision, case when s.track_id is not null then 'listenability-v2' else t.version end as version from v_tracks t left join s on s.track_id = t.track_id""")
 def rescore_merge(t, a):
     """What rescoring does to the table: new scores and versions, and excluded tracks unavailable."""
@@ -110,14 +116,18 @@ def rescore_merge(t, a):
     return C.merge_scores(t, scores, mark=True).select("track_id", "status", "error_message", "score", "decision", "version")
 
 
-@query("albums", "tracks", sql=f"""with j as (select a.album_id, e.*, {META.format('a.')} as meta from v_albums a join {EVIDENCE_SQL} e on e.album_id = a.album_id),
+def album_score_sql(albums: str = "v_albums", tracks: str = "v_tracks", count: str = "e.track_count") -> str:
+    return f"""with j as (select a.album_id, e.* exclude (album_id, track_count), {count} as track_count, {META.format('a.')} as meta from {albums} a join {EVIDENCE_SQL.replace('v_tracks', tracks)} e on e.album_id = a.album_id),
     c as (select *, {BAD.format('meta')} as bad, track_count >= 5 and avg_duration < 15 and short60 >= 0.8 as tiny, case when n_positive > 0 then {AVG_CURVE.format('avg_duration')} * (1 - short60) else 0.0 end as shape from j),
     o as (select *, case when tiny and channel_dump then greatest(shape, 0.25) when tiny then 0.0 else shape end as s1 from c),
     w as (select *, case when avg_duration < 30 then least(s1, 0.2) else s1 end as s2 from o), s as (select *, round((case when short60 >= 0.8 then least(s2, 0.3) else s2 end) * 10000) / 10000 as score from w)
     select album_id, score, case when score >= 0.85 then 'excellent' when score >= 0.7 then 'good' when score >= 0.5 then 'borderline' when score >= 0.25 then 'poor' else 'unusable' end as tier,
     case when bad then 'excluded' when tiny and channel_dump then 'longform_candidate' when tiny then 'excluded' when score >= 0.25 then 'default' else 'excluded' end as stream,
     case when bad then 'exclude' when tiny and channel_dump then 'demote' when tiny then 'exclude' when score >= 0.5 then 'include' when score >= 0.25 then 'demote' else 'exclude' end as decision,
-    array_to_string(list_filter([case when tiny then 'album_avg_duration_below_15s' end, case when tiny then 'album_short60_ratio_above_80pct' end, case when avg_duration < 30 then 'album_avg_duration_below_30s' end, case when short60 >= 0.8 then 'album_short60_ratio_above_80pct' end], lambda x: x is not null), '|') as reasons from s""")
+    array_to_string(list_filter([case when tiny then 'album_avg_duration_below_15s' end, case when tiny then 'album_short60_ratio_above_80pct' end, case when avg_duration < 30 then 'album_avg_duration_below_30s' end, case when short60 >= 0.8 then 'album_short60_ratio_above_80pct' end], lambda x: x is not null), '|') as reasons from s"""
+
+
+@query("albums", "tracks", sql=album_score_sql())
 def score_albums(a, t):
     return C.score_albums(a, C.album_evidence(t)).withColumn("reasons", F.array_join("reasons", "|"))
 
@@ -157,7 +167,7 @@ def content_score(t):
     return t.select("track_id", F.round(c, 6).alias("content"))
 
 
-@query("tracks", "albums", sql=f"with q as ({_score_sql(True, True)}) select track_id, len(string_split(reasons, '|')) as n_reasons, string_split(reasons, '|')[1] as first_reason from q")
+@query("tracks", "albums", sql=f"with q as ({score_sql(True, True)}) select track_id, len(string_split(reasons, '|')) as n_reasons, string_split(reasons, '|')[1] as first_reason from q")
 def score_details(t, a):
     """Reasons as written to a table (JSON) and read back."""
     s = C.score_tracks(t.drop("score", "stream", "decision", "version"), a, C.album_evidence(t), _prompts(t))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions import metadata as M
@@ -18,9 +18,14 @@ def scan_item_dump(spark: SparkSession, path: str, stream: bool = False) -> Data
     return reader.schema(ITEM_PAGE).json(path).select(F.explode("items").alias("i")).select("i.*")
 
 
-def scan_item_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Item metadata, one JSON item a line, as VARIANT; lines that are no JSON drop out."""
+def scan_item_metadata(spark: SparkSession, path: str, seen: Observation | None = None) -> DataFrame:
+    """Item metadata, one JSON item a line, as VARIANT; lines that are no JSON drop out.
+
+    ``seen`` counts ``lines`` and ``bad_lines`` while they are read.
+    """
     v = spark.read.text(path).select(F.try_parse_json("value").alias("item"))
+    if seen is not None:
+        v = v.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("item").isNull()).alias("bad_lines"))
     return v.where("item is not null")
 
 
@@ -30,17 +35,27 @@ def flatten_items(items: DataFrame) -> DataFrame:
     text = lambda p: F.try_variant_get(v, p, "string")
     return items.select(
         text("$.metadata.identifier").alias("identifier"), text("$.metadata.title").alias("title"),
-        M.flex_to_string(v, "$.metadata.creator").alias("creator"), M.flex_to_array(v, "$.metadata.subject").alias("subjects"),
+        M.flex_to_string(v, "$.metadata.creator").alias("creator"), M.flex_to_string(v, "$.metadata.collection").alias("collection"), M.flex_to_array(v, "$.metadata.subject").alias("subjects"),
         M.flex_to_array(v, "$.metadata.genre").alias("genres"), text("$.metadata.licenseurl").alias("licenseurl"),
         M.flex_bool(v, "$.metadata['access-restricted-item']").alias("restricted"), text("$.metadata.mediatype").alias("mediatype"),
         M.flex_to_string(v, "$.metadata.description").alias("description"), "item",
     )
 
 
+FILES = "array<struct<name:string,format:string,title:string,track:string,bitrate:string,length:string>>"
+
+
+def plain_items(items: DataFrame) -> DataFrame:
+    """VARIANT items as plain columns, their files as an array; items without an identifier drop out."""
+    return (
+        flatten_items(items).withColumn("files", F.try_variant_get("item", "$.files", FILES)).drop("item")
+        .withColumnRenamed("identifier", "album_id").where("album_id is not null")
+    )
+
+
 def flatten_files(items: DataFrame) -> DataFrame:
     """Acceptable audio files of VARIANT items as tracks."""
-    files = "array<struct<name:string,format:string,title:string,track:string,bitrate:string,length:string>>"
-    f = items.select("identifier", F.explode(F.try_variant_get("item", "$.files", files)).alias("f")).select("identifier", "f.*")
+    f = items.select("identifier", F.explode(F.try_variant_get("item", "$.files", FILES)).alias("f")).select("identifier", "f.*")
     f = f.where(M.is_acceptable_mp3(F.col("format"), F.col("bitrate"))).withColumn("duration", M.parse_duration(F.col("length")))
     return f.where(F.col("duration") <= M.MAX_SECONDS).select(
         F.col("identifier").alias("album_id"), F.col("name").alias("filename"),
@@ -86,35 +101,6 @@ def scan_seed_pills(spark: SparkSession, path: str) -> DataFrame:
     return p.withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "min_library_count": F.coalesce("min_library_count", F.lit(10))})
 
 
-def resolve_albums(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(albums with status, reason and tags, tracks of the resolved ones) from scanned item metadata.
-
-    Gates in order: restricted, no music, license, no acceptable file.
-    """
-    from tonearm.functions.text import generate_tags
-
-    a = flatten_items(items)
-    tracks = flatten_files(a)
-    n = tracks.groupBy("album_id").agg(F.count("*").alias("n_tracks")).withColumnRenamed("album_id", "identifier")
-    a = a.drop("item").join(n, "identifier", "left")
-    c = F.col
-    music = M.music_reason(c("subjects"), c("genres"), c("mediatype"), c("title"), c("description"), c("creator"))
-    reason = F.coalesce(
-        F.when(c("restricted"), "access restricted"), music,
-        F.when(~M.commercially_usable(c("licenseurl")), F.concat(F.lit("license not commercially usable: "), M.classify_license(c("licenseurl")))),
-        F.when(c("n_tracks").isNull(), "no acceptable MP3 files"),
-    )
-    joined = [F.array_join(c(x), ", ") for x in ("subjects", "genres")]
-    albums = a.select(
-        "identifier", "title", "creator", joined[0].alias("subjects"), joined[1].alias("genres"),
-        M.classify_license(c("licenseurl")).alias("license"), F.coalesce("n_tracks", F.lit(0)).alias("track_count"),
-        F.when(reason.isNull(), "resolved").otherwise("unavailable").alias("status"), reason.alias("reason"),
-        generate_tags(c("identifier"), c("title"), c("creator"), *joined).alias("tags"),
-    )
-    ok = albums.where("status = 'resolved'").select(F.col("identifier").alias("album_id"), "tags")
-    return albums, tracks.join(ok, "album_id")
-
-
 def write_catalog(df: DataFrame, path: str, partition: str = "status") -> None:
     df.write.mode("overwrite").partitionBy(partition).parquet(path)
 
