@@ -8,6 +8,7 @@ from tonearm.functions import listenability as L
 from tonearm.functions import metadata as M
 from tonearm.functions import text as X
 from tonearm.operators import audio as A
+from tonearm.operators import blocks as B
 from tonearm.operators import catalog as C
 from tonearm.operators import search as S
 from tonearm.sources import items as I
@@ -127,11 +128,23 @@ def test_similar(spark):
     assert got == {2: pytest.approx(0, abs=1e-6), 4: pytest.approx(0, abs=1e-6), 3: pytest.approx(2, abs=1e-6)}
 
 
-def test_blocks_beyond_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(S, "SENT", 3)
-    monkeypatch.setattr(S, "BLOCK", 4)
-    q = spark.range(10).select(F.col("id").alias("q"))
-    assert S.against_all(q, spark.range(7)).distinct().count() == 70
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_nearest_in_blocks(spark, monkeypatch, sent):
+    for name, value in (("SENT", sent), ("QUERIES", 7), ("CANDIDATES", 11)):
+        monkeypatch.setattr(B, name, value)
+    r = np.random.default_rng(4)
+    m = r.integers(-3, 4, (90, 5)).astype(float)  # many ties
+    m[3] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>").repartition(3)
+    extra = df.withColumn("found", F.when(F.col("id") % 9 == 0, F.array(F.struct(F.lit(5).cast("long").alias("query"), F.lit(0.25).alias("score")))))
+    got = {(x["query"], x["rank"]): (x["id"], x["score"]) for x in B.nearest(df.where("id < 20"), extra, 6, B.cosine, others=True).collect()}
+    s = np.round(B.cosine(m, m) + 0.25 * np.outer(np.arange(90) == 5, np.arange(90) % 9 == 0), 9)
+    want = {}
+    for i in range(20):
+        order = sorted((j for j in range(90) if j != i), key=lambda j: (-s[i, j], j))[:6]
+        want |= {(i, k + 1): (j, s[i, j]) for k, j in enumerate(order)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
 def test_half_floats(spark):

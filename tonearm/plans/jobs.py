@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.functions.metadata import commercially_usable
 from tonearm.operators import audio as A
 from tonearm.operators import catalog as C
 from tonearm.plans.scoring import ORACLES as SCORED
+from tonearm.plans.scoring import ETA_SQL as SCORED_ETA
+from tonearm.plans.scoring import staged
 from tonearm.plans.views import VIEWS, oracle, view
 from tonearm.sources import items as I
 from tonearm.sources.scratch import scratch
 from tonearm.sources.tables import materialised
 from tonearm.streaming import rates as R
+from tonearm.streaming import state as S
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,11 +59,19 @@ def item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(line.alias("value"))
 
 
+PAGE = 500
+
+
+def pages(items: DataFrame) -> DataFrame:
+    """Items (album_id, identifier, downloads, licenseurl) as JSON pages of PAGE ids each: pages grow in number, not in length."""
+    page = items.groupBy(F.floor(F.col("album_id") / PAGE).alias("p")).agg(F.collect_list(F.struct("identifier", "downloads", "licenseurl")).alias("items"))
+    return page.select(F.to_json(F.struct("items")).alias("value"))
+
+
 @query("select album_id::varchar as identifier, downloads from v_albums")
 def scan_item_dump(spark, sf_dir):
-    a = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"), "downloads", "licenseurl")
-    page = a.groupBy(F.expr("abs(hash(identifier)) % 1000").alias("p")).agg(F.collect_list(F.struct("identifier", "downloads", "licenseurl")).alias("items"))
-    return I.scan_item_dump(spark, written(page.select(F.to_json(F.struct("items")).alias("value")), "dump")).select("identifier", "downloads")
+    a = view(spark, sf_dir, "albums").select("album_id", F.col("album_id").cast("string").alias("identifier"), "downloads", "licenseurl")
+    return I.scan_item_dump(spark, written(pages(a), "dump")).select("identifier", "downloads")
 
 
 @query("""with j as (select album_id, album_id % 50 = 7 as bad, a.subjects, a.genres from v_albums a where album_id in (select album_id from v_tracks))
@@ -125,14 +137,15 @@ def write_stats_json(spark, sf_dir):
     return s.select(F.col("albums.n").alias("albums"), F.col("tracks.n").alias("tracks"))
 
 
-@query(f"select prompt_id, count(*) as n, min(score) as least from ({SCORED['eval_retrieval']}) group by prompt_id")
+@query(f"select prompt_id, rank, track_id, score, genres, strategy from ({SCORED['eval_retrieval']})")
 def write_eval_report(spark, sf_dir):
     from tonearm.plans.scoring import QUERIES as scored
 
     path = scratch(spark, "report")
     I.write_eval_report(scored["eval_retrieval"](spark, sf_dir), path)
     r = spark.read.json(path)
-    return r.select("prompt_id", F.size("results").cast("long").alias("n"), F.array_min(F.transform("results", lambda x: x["score"])).alias("least"))
+    r = r.select("prompt_id", F.explode("results").alias("r"))
+    return r.select("prompt_id", F.col("r.rank").cast("int").alias("rank"), "r.track_id", "r.score", "r.genres", "r.strategy")
 
 
 # ---------------------------------------------------------------- audio: a vector repeated is a frame
@@ -203,14 +216,58 @@ def completion_rates_stream(spark, sf_dir):
 ORACLES["completion_rates_stream"] = SCORED["completion_rates"]
 
 
+def _arrivals(spark: SparkSession, sf_dir: str, files: int = 6) -> DataFrame:
+    """The activity as a stream of some files in order of arrival, a file a batch; every tenth event comes three files late."""
+    a = view(spark, sf_dir, "activity")
+    last = a.agg(F.max("event_id").alias("last"))  # one row
+    at = F.floor(F.col("event_id") * files / (F.col("last") + 1)) + F.when(F.col("event_id") % 10 == 0, 3).otherwise(0)
+    path = scratch(spark, "arrivals")
+    split = a.crossJoin(F.broadcast(last)).withColumn("file", at).drop("last")
+    schema = split.drop("file").schema
+    split = materialised(split, "split")
+    for k in range(files + 3):  # one after the other, for the order of files is their age
+        split.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(path)
+    return R.watermarked(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
 @query()
 def status_fold_stream(spark, sf_dir):
-    return _streamed(spark, sf_dir, R.status_fold)
+    """The log of changes that keyed state gives out, folded."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STORE)
+    out = scratch(spark, "statuses")
+    S.run_to_end(S.status_changes(R.watermarked(R.read_events(spark, f"{sf_dir}/events.parquet").transform(lambda e: spark.sql(VIEWS["activity"], events=e)))), out, scratch(spark, "offsets"), "update")
+    return S.latest_status(S.batches(spark, out, S.STATUS))
 
 
 ORACLES["status_fold_stream"] = SCORED["status_fold"]
 
 
+@query(SCORED_ETA)
+def eta_stream(spark, sf_dir):
+    """Remaining times as a stream in update mode beside the backlog: of a window the latest batch counts."""
+    out = scratch(spark, "eta")
+    stats = C.combined_stats(*(view(spark, sf_dir, n) for n in ("shelf", "tracks", "track_embeddings")))
+    stages = materialised(S.backlog(stats), "backlog")
+    events = R.watermarked(R.read_events(spark, f"{sf_dir}/events.parquet").transform(lambda e: staged(spark.sql(VIEWS["activity"], events=e))))
+    S.run_to_end(S.remaining_time(events, stages), out, scratch(spark, "offsets"), "update")
+    log = S.batches(spark, out, "window_start timestamp, stage string, state string, seconds long")
+    return log.groupBy("window_start", "stage").agg(F.max_by(F.struct("state", "seconds"), "batch").alias("x")).select("window_start", "stage", "x.state", "x.seconds")
+
+
+@query("""with a as (select *, event_id * 6 // (max(event_id) over () + 1) + case when event_id % 10 = 0 then 3 else 0 end as file from v_activity),
+    w as (select file, max(max(epoch_ms(ts))) over (order by file rows between unbounded preceding and 2 preceding) - 300000 as mark from a group by file),
+    j as (select a.*, coalesce(epoch_us(ts) <= mark * 1000, false) as late from a join w on w.file = a.file)
+    select type, count_if(not late) as n_kept, min(case when not late then event_id end) as first_kept, max(case when not late then event_id end) as last_kept, (select count_if(late) from j) as n_late, (select count(*) from j) as n_all from j group by type having count_if(not late) > 0""")
+def deny_late(spark, sf_dir):
+    """What the watermark of a real stream keeps of events that come late, and how many its listener saw dropped."""
+    out = scratch(spark, "kept")
+    events = _arrivals(spark, sf_dir)
+    seen = S.kept_and_dropped(events, out, scratch(spark, "offsets"))
+    kept = S.batches(spark, out, "event_id long, ts timestamp, item_id long, value double, type string")
+    g = kept.groupBy("type").agg(F.count("*").alias("n_kept"), F.min("event_id").alias("first_kept"), F.max("event_id").alias("last_kept"))
+    return g.withColumns({"n_late": F.lit(seen.rows).cast("long"), "n_all": F.lit(seen.input).cast("long")})
+
+
 @query()
 def bandwidth_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, R.bandwidth)
@@ -219,21 +276,22 @@ def bandwidth_stream(spark, sf_dir):
 ORACLES["bandwidth_stream"] = SCORED["bandwidth"]
 
 
-@query("select album_id::varchar as identifier, downloads from v_albums where album_id % 12 in (1, 2, 3, 8, 10)")
+@query("select album_id::varchar as identifier, downloads, case when album_id % 3 = 0 then 1 else 0 end as run from v_albums where album_id % 12 in (1, 2, 3, 8, 10) and album_id % 9 <> 0")
 def incremental_ingest(spark, sf_dir):
-    """Pages arrive as files; every batch is filtered and merged into a table, and a second run finds nothing new."""
-    a = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"), "downloads", "licenseurl")
-    page = a.groupBy(F.expr("abs(hash(identifier)) % 1000").alias("p")).agg(F.collect_list(F.struct("identifier", "downloads", "licenseurl")).alias("items"))
-    path, offsets, out = written(page.select(F.to_json(F.struct("items")).alias("value")), "pages"), scratch(spark, "offsets"), scratch(spark, "ingested")
-    denied = spark.createDataFrame([], "identifier string")
-    from tonearm.functions.metadata import commercially_usable
-
-    def merge(df, batch):
-        new = C.filter_denylist(df.where(commercially_usable(F.col("licenseurl"))), denied).select("identifier", "downloads")
-        known = spark.read.schema(new.schema).parquet(out) if batch else spark.createDataFrame([], new.schema)
-        new.dropDuplicates(["identifier"]).join(known, "identifier", "left_anti").write.mode("append").parquet(out)
-
-    for _ in range(2):
-        q = I.scan_item_dump(spark, path, stream=True).writeStream.option("checkpointLocation", offsets)
-        q.foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    """Pages arrive as files in two runs, the second with all items anew; only what the first had not is taken then.
+
+    Known ids lie in the stream's state, each batch writes its own folder, and a run goes on where the last one stopped.
+    """
+    a = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"), "downloads", "licenseurl", "album_id")
+    path, offsets, out = scratch(spark, "pages"), scratch(spark, "offsets"), scratch(spark, "ingested")
+    denied = materialised(a.where("album_id % 9 = 0").select("identifier"), "denied")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STORE)
+    marks = []
+    for part in (a.where("album_id % 3 <> 0"), a):
+        pages(part).write.mode("append").text(path)
+        dump = I.scan_item_dump(spark, path, stream=True)
+        new = C.filter_denylist(dump.where(commercially_usable(F.col("licenseurl"))), denied).select("identifier", "downloads")
+        S.run_to_end(S.first_seen(new, "identifier"), out, offsets, "append")
+        marks.append(S.batches(spark, out, "identifier string, downloads long").agg(F.max("batch")).first()[0])
+    log = S.batches(spark, out, "identifier string, downloads long")
+    return log.select("identifier", "downloads", (F.col("batch") > marks[0]).cast("int").alias("run"))

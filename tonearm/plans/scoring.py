@@ -12,9 +12,10 @@ from tonearm.functions import vectors as V
 from tonearm.operators import catalog as C
 from tonearm.operators import search as S
 from tonearm.operators.analysis import precheck
-from tonearm.plans.catalog import EVIDENCE_SQL, LICENSE_SQL, TAGS_SQL, UNTAGGED_SQL, words_sql
+from tonearm.plans.catalog import COMBINED_SQL, EVIDENCE_SQL, LICENSE_SQL, TAGS_SQL, UNTAGGED_SQL, words_sql
 from tonearm.plans.views import QUERY_TEXT, oracle, view
 from tonearm.streaming import rates as R
+from tonearm.streaming.state import backlog, remaining_time
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -215,7 +216,7 @@ def fuse_features(e):
 
 @query("vtracks", sql=f"""with f as (select track_id, {FUSED_SQL} as f, {VLISTEN} as ok from v_vtracks), n as (select *, sqrt(list_sum(list_transform(f, lambda x: x * x))) as n from f),
     d as (select a.track_id as seed, b.track_id, 1 - greatest(-1, least(1, list_sum(list_transform(list_zip(a.f, b.f), lambda p: p[1] * p[2])) / (a.n * b.n))) as distance from n a join n b on a.track_id <> b.track_id and b.ok where a.track_id % 50 = 0)
-    select seed, track_id, cast(row_number() over (partition by seed order by distance, track_id) as int) as rank, round(distance, 6) as distance from d qualify row_number() over (partition by seed order by distance, track_id) <= 10""")
+    select seed, track_id, cast(row_number() over (partition by seed order by round(distance, 9), track_id) as int) as rank, round(round(distance, 9), 6) as distance from d qualify row_number() over (partition by seed order by round(distance, 9), track_id) <= 10""")
 def similar_tracks(v):
     ok = C.listenable()
     return S.similar_tracks(v.select("track_id", "embedding", ok.alias("ok")), F.col("track_id") % 50 == 0, 10)
@@ -249,12 +250,15 @@ def prompt_evidence(v, e):
     return S.prompt_evidence(v.select("track_id", F.slice("embedding", 1, 48).alias("clap")), prompts)
 
 
-@query("vtracks", "embeddings", sql="""with p as (select vec_id as prompt_id, embedding[1:48] as p from embeddings where vec_id <= 8), d as (select prompt_id, track_id, round(list_sum(list_transform(list_zip(embedding[1:48], p), lambda x: x[1]::double * x[2]::double))
-      / sqrt(list_sum(list_transform(p, lambda x: x::double * x::double))) / sqrt(list_sum(list_transform(embedding[1:48], lambda x: x::double * x::double))), 4) as score from v_vtracks, p)
-    select prompt_id, track_id, cast(row_number() over (partition by prompt_id order by score desc, track_id) as int) as rank, score from d qualify row_number() over (partition by prompt_id order by score desc, track_id) <= 10""")
+@query("vtracks", "embeddings", sql="""with p as (select vec_id as prompt_id, embedding[1:48] as p from embeddings where vec_id <= 8), d as (select prompt_id, track_id, genres, strategy, tags, round(list_sum(list_transform(list_zip(embedding[1:48], p), lambda x: x[1]::double * x[2]::double))
+      / sqrt(list_sum(list_transform(p, lambda x: x::double * x::double))) / sqrt(list_sum(list_transform(embedding[1:48], lambda x: x::double * x::double))), 4) as score from (select *, creator as genres, case when track_id % 2 = 0 then 'head' else 'tail' end as strategy from v_vtracks), p)
+    select prompt_id, track_id, genres, strategy, strlen(tags) as tags_bytes, cast(row_number() over (partition by prompt_id order by score desc, track_id) as int) as rank, score from d qualify row_number() over (partition by prompt_id order by score desc, track_id) <= 10""")
 def eval_retrieval(v, e):
     prompts = e.where("vec_id <= 8").select(F.col("vec_id").alias("prompt_id"), F.slice("embedding", 1, 48).alias("prompt"))
-    return S.eval_retrieval(v.where("status = 'completed'").select("track_id", F.slice("embedding", 1, 48).alias("clap")), prompts, 10)
+    t = v.where("status = 'completed'").select(
+        "track_id", F.slice("embedding", 1, 48).alias("clap"), F.col("creator").alias("genres"), F.when(F.col("track_id") % 2 == 0, "head").otherwise("tail").alias("strategy"), F.octet_length("tags").cast("long").alias("tags_bytes")
+    )
+    return S.eval_retrieval(t, prompts, 10)
 
 
 # ---------------------------------------------------------------- transitions
@@ -376,25 +380,27 @@ def time_breakdown(e):
     return R.time_breakdown(e)
 
 
-@query("activity", "albums", sql="""with b as (select count(*) as n from v_albums where status = 'pending'), r as (select time_bucket(interval 1 day, ts) as w, count_if(type = 'resolver') / 86400.0::double as rate from v_activity group by 1)
-    select w as window_start, case when n = 0 then 'done' when rate = 0 then 'unknown' else 'running' end as state, cast(case when n > 0 and rate > 0 then floor(n / rate) end as bigint) as seconds from r, b""")
-def eta(e, a):
-    return R.eta(e, a)
+def staged(activity: DataFrame) -> DataFrame:
+    """The activity with completions of all four stages: two of three calls stand for tags and licenses."""
+    k = F.col("event_id") % 3
+    kind = F.when((F.col("type") == "api_call") & (k == 0), "enhancer").when((F.col("type") == "api_call") & (k == 1), "license").otherwise(F.col("type"))
+    return activity.withColumn("type", kind)
 
 
-@query("activity", "tracks", sql="""with b as (select count(*) as n from v_tracks where status in ('pending', 'failed')), r as (select time_bucket(interval 1 day, ts) as w, count_if(type = 'analyzer') / 86400.0::double as rate from v_activity group by 1)
-    select w as window_start, case when n = 0 then 'done' when rate = 0 then 'unknown' else 'running' end as state, cast(case when n > 0 and rate > 0 then floor(n / rate) end as bigint) as seconds from r, b""")
-def eta_tracks(e, t):
-    """The track form: those in flight (here the failed ones) are added to the pending."""
-    return R.eta(e, t, "analyzer", ("pending", "failed"))
+ETA_SQL = f"""with stats as ({COMBINED_SQL}), b as (select 'resolver' as stage, albums_pending as waiting, albums_resolving as in_flight from stats union all select 'analyzer', tracks_pending, tracks_processing from stats
+      union all select 'enhancer', untagged, 0 from stats union all select 'license', unlicensed, 0 from stats),
+    e as (select ts, case when type = 'api_call' and event_id % 3 = 0 then 'enhancer' when type = 'api_call' and event_id % 3 = 1 then 'license' else type end as type from v_activity),
+    w as (select *, unnest(generate_series(time_bucket(interval 1 minute, ts) - interval 4 minute, time_bucket(interval 1 minute, ts), interval 1 minute)) as w from e),
+    g as (select w.w, b.stage, b.waiting, b.in_flight, count(case when w.type = b.stage then 1 end) as n, min(case when w.type = b.stage then ts end) as first from w, b group by w.w, b.stage, b.waiting, b.in_flight),
+    r as (select *, case when n > 0 then n / greatest(1.0::double, epoch_us(w + interval 5 minute) / 1e6::double - epoch_us(first) / 1e6::double) else 0 end as rate from g)
+    select w as window_start, stage, case when rate > 0 and waiting > 0 then 'running' when waiting = 0 and in_flight = 0 then 'done' else 'unknown' end as state,
+    cast(case when rate > 0 and waiting > 0 then floor((waiting + in_flight) / rate) end as bigint) as seconds from r"""
 
 
-@query("activity", sql="""with s as (select *, max(ts) over (order by event_id rows between unbounded preceding and 1 preceding) as seen from v_activity)
-    select type, count(*) as n, count_if(ts < seen - interval 5 minute) as n_late, min(case when not coalesce(ts < seen - interval 5 minute, false) then event_id end) as first_kept from s group by type""")
-def deny_late(e):
-    """Events older than the window are dropped, and counted."""
-    late = F.col("is_late")
-    return R.deny_late(e).groupBy("type").agg(F.count("*").alias("n"), F.count_if(late).alias("n_late"), F.min(F.when(~late, F.col("event_id"))).alias("first_kept"))
+@query("activity", "shelf", "tracks", "track_embeddings", sql=ETA_SQL)
+def eta(e, a, t, emb):
+    """Remaining time of the four stages, in batch."""
+    return remaining_time(staged(e), backlog(C.combined_stats(a, t, emb)))
 
 
 @query("activity", sql="select time_bucket(interval 1 second, ts) as window_start, item_id, count(*) as n from v_activity where type = 'analyzer' group by 1, 2")

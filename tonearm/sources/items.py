@@ -116,5 +116,6 @@ def write_stats_json(stats: dict[str, DataFrame], path: str) -> None:
 
 def write_eval_report(ranked: DataFrame, path: str) -> None:
     """Ranked results of each prompt as one JSON line."""
-    rows = F.sort_array(F.collect_list(F.struct("rank", "track_id", "score")))  # k rows a prompt
+    more = [c for c in ranked.columns if c not in ("prompt_id", "rank", "track_id", "score")]
+    rows = F.sort_array(F.collect_list(F.struct("rank", "track_id", "score", *more)))  # k rows a prompt
     ranked.groupBy("prompt_id").agg(rows.alias("results")).write.mode("overwrite").json(path)

@@ -47,33 +47,6 @@ def time_breakdown(events: DataFrame) -> DataFrame:
     return _start(g, *(F.round(F.col(k) * 100 / total, 4).alias(k) for k in kinds))
 
 
-def eta(events: DataFrame, items: DataFrame, type_: str = "resolver", waiting: tuple[str, ...] = ("pending",)) -> DataFrame:
-    """Seconds that the waiting items (those in flight are named in ``waiting``) take at each day's rate, with the state."""
-    rate = events.groupBy(_at("1 day")).agg((F.count_if(F.col("type") == type_) / 86400).alias("rate"))
-    left = items.where(F.col("status").isin(*waiting)).agg(F.count("*").alias("n"))  # one row
-    j = rate.crossJoin(F.broadcast(left))
-    n, r = F.col("n"), F.col("rate")
-    state = F.when(n == 0, "done").when(r == 0, "unknown").otherwise("running")
-    return _start(j, state.alias("state"), F.when((n > 0) & (r > 0), F.floor(n / r)).alias("seconds"))
-
-
-def deny_late(events: DataFrame, late: str = "5 minutes", block: int = 65_536) -> DataFrame:
-    """Events with ``is_late``: their time is older than the latest before them, in order of arrival, by more than ``late``.
-
-    The batch twin of a watermark. Arrival is event_id; its maxima are taken by blocks of ids first, so that no task
-    sees all events.
-    """
-    from pyspark.sql import Window
-
-    e = events.withColumn("block_", F.floor(F.col("event_id") / block))
-    tops = e.groupBy("block_").agg(F.max("ts").alias("top_"))
-    before = F.max("top_").over(Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
-    within = F.max("ts").over(Window.partitionBy("block_").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    e = e.join(tops.select("block_", before.alias("before_")), "block_").withColumn("seen_", F.greatest(within, "before_"))
-    is_late = F.coalesce(F.col("ts") < F.col("seen_") - F.expr(f"interval {late}"), F.lit(False))
-    return e.withColumn("is_late", is_late).drop("block_", "before_", "seen_")
-
-
 def batch_progress(events: DataFrame) -> DataFrame:
     """Scored counts, one row a second and worker at most."""
     g = events.where("type = 'analyzer'").groupBy(_at("1 second"), "item_id").agg(F.count("*").alias("n"))
