@@ -200,3 +200,15 @@ def test_pills_without_keywords_match_nothing(spark):
     a = spark.createDataFrame([(7, "ambient")], "album_id int, subjects string")
     p = spark.createDataFrame([(1, None), (2, ""), (3, "JAZZ , x"), (4, "ambient"), (5, "metal")], "pill_id int, keywords string")
     assert sorted(r["pill_id"] for r in C.pill_matches(p, t, a).collect()) == [3, 4]
+
+
+def test_ten_thousand_pills(spark, monkeypatch):
+    monkeypatch.setattr(C, "KEYWORD_BYTES", 20_000)
+    p = spark.range(10_000).selectExpr("id as pill_id", "concat('word', id, ', also', id % 7) as keywords")
+    t = spark.createDataFrame([(i, 1, f"word{i}, also3", "completed", None, None) for i in (5, 50, 500)], "track_id int, album_id int, tags string, status string, decision string, stream string")
+    a = spark.createDataFrame([(1, None)], "album_id int, subjects string")
+    got = {}
+    for r in C.pill_matches(p, t, a).collect():
+        got.setdefault(r["track_id"], set()).add(r["pill_id"])
+    third = set(range(3, 10_000, 7))
+    assert got == {i: third | {int(str(i)[: n + 1]) for n in range(len(str(i)))} for i in (5, 50, 500)}

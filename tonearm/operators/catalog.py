@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import listenability as L
 from tonearm.functions import text as X
+from tonearm.functions.keywords import held_keywords
 from tonearm.functions.metadata import COMMERCIAL, classify_license
 
 # ---------------------------------------------------------------- predicates
@@ -18,10 +19,8 @@ def listenable(status: str = "status", decision: str = "decision", stream: str =
     return (F.col(status) == "completed") & (d != "exclude") & ~s.isin("excluded", "longform_candidate")
 
 
-def has_any(text: Column, keywords: Column) -> Column:
-    """Any keyword is a substring of the lower-cased text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(keywords, lambda k: F.contains(low, k))
+#: Bytes of distinct keywords that a pass looks for.
+KEYWORD_BYTES = 16 << 20
 
 
 def filter_denylist(items: DataFrame, denied: DataFrame, key: str = "identifier") -> DataFrame:
@@ -370,14 +369,24 @@ def listenability_coverage(tracks: DataFrame, version: str) -> DataFrame:
 def pill_matches(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
     """(pill_id, track_id, album_id, ...) of listenable tracks whose tags or whose album's subjects hold a keyword.
 
-    Every pill is a row with its keywords as an array, which Spark sends to the tasks while the table is small; each
-    candidate is read once. Pills without keywords match nothing.
+    One pass over a track's text finds all keywords, which then meet their pills by an equi-join. Pills without keywords
+    match nothing. Keywords go to the tasks while they have KEYWORD_BYTES at most; more go in slices, a pass each.
     """
     t = tracks.where(listenable()).join(albums.select("album_id", "subjects"), "album_id")
     text = F.concat(F.lower(F.coalesce("subjects", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("tags", F.lit(""))))
-    p = pills.select("pill_id", X.split_keywords(F.coalesce("keywords", F.lit(""))).alias("kw_"))
-    found = t.withColumn("text_", text).join(p, F.exists("kw_", lambda k: F.contains(F.col("text_"), k)))
-    return found.drop("text_", "kw_")
+    t = t.withColumn("text_", text)
+    p = pills.select("pill_id", F.explode(X.split_keywords(F.col("keywords"))).alias("kw_")).distinct()
+    words = p.select("kw_").distinct()
+    size = words.agg(F.coalesce(F.sum(F.octet_length("kw_")), F.lit(0)).alias("n")).first()["n"]
+    slices = max(1, -(-size // KEYWORD_BYTES))
+    out = None
+    for i in range(slices):
+        mine = words.where(F.pmod(F.xxhash64("kw_"), F.lit(slices)) == i)
+        hits = t.withColumn("kw_", F.explode(held_keywords([r["kw_"] for r in mine.collect()])(F.col("text_"))))
+        out = hits if out is None else out.unionByName(hits)
+    several = p.groupBy("kw_").agg(F.collect_set("pill_id").alias("pills_"))
+    found = out.join(several, "kw_").groupBy("track_id").agg(F.first(F.struct(*(c for c in t.columns if c != "text_"))).alias("t_"), F.array_distinct(F.flatten(F.collect_list("pills_"))).alias("pills_"))
+    return found.select(F.explode("pills_").alias("pill_id"), "t_.*")
 
 
 def pill_coverage(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ VIEWS = {
             (5, 'Field', 'field recording', 5, false, 10), (6, 'Gears', 'gear, red', 6, true, 1000000000)
         ) as p(pill_id, label, keywords, sort_order, enabled, min_library_count)""",
     "vtracks": """
-        select d.doc_id as track_id, substr(d.text, 1, 60) as title, d.source as album_title, d.lang as creator,
+        select d.doc_id as track_id, concat(d.source, ' no. ', d.doc_id) as title, d.source as album_title, d.lang as creator,
                replace(lower(d.text), ' ', ', ') as tags,
                case when l.quality = 0 then 'exclude' end as decision, case when l.toxic = 1 then 'longform_candidate' end as stream,
                'completed' as status, e.embedding
