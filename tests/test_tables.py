@@ -22,7 +22,7 @@ def audio(track_id, wave):
 def test_a_batch_run_again_gives_the_same_table(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(i, "pending" if i % 2 else "completed", None) for i in range(10)], "k int, status string, note string")
-    tables.create(rows, path)
+    tables.put(rows, path)
     for _ in range(2):
         work = tables.waiting(spark, path, "pending", "1")
         changed = work.where("k < 6").withColumns({"status": F.when(F.col("k") < 4, "completed").otherwise("pending"), "note": F.lit("b")})
@@ -35,7 +35,7 @@ def test_a_batch_run_again_gives_the_same_table(spark, tmp_path):
 
 def test_a_batch_that_stopped_before_the_old_rows_went(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
-    tables.create(spark.createDataFrame([(i, "pending") for i in range(6)], "k int, status string"), path)
+    tables.put(spark.createDataFrame([(i, "pending") for i in range(6)], "k int, status string"), path)
     work = lambda: tables.waiting(spark, path, "pending", "1")
     half = work().where("k < 3").withColumn("status", F.lit("completed"))
     tables._write(half.unionByName(work().where("k >= 3")).withColumn("batch", F.lit("1")), path)  # and no more
@@ -102,3 +102,41 @@ def test_resolving(spark, tmp_path):
     assert found.counters == {"lines": 11, "bad_lines": 1, "items": 6, "restricted": 1, "no_music": 1, "unlicensed": 1, "no_tracks": 2, "resolved": 1}
     free = resolve.resolve_albums(albums, tracks, I.scan_item_metadata(spark, str(tmp_path / "items.json")), free_only=False)
     assert free.counters["unlicensed"] == 0 and free.counters["resolved"] == 2
+
+
+def test_buckets_join_without_exchange(spark, tmp_path):
+    a = I.write_bucketed(spark.range(1000).selectExpr("id as k", "id % 7 as x"), "bucket_a", str(tmp_path / "a"), "k", 4)
+    b = I.write_bucketed(spark.range(500).selectExpr("id as k", "id as y"), "bucket_b", str(tmp_path / "b"), "k", 4)
+    j = a.hint("merge").join(b, "k").groupBy("k").agg(F.sum("x").alias("x"))
+    assert "Exchange" not in j._jdf.queryExecution().sparkPlan().toString() and "Exchange hashpartitioning" not in j._jdf.queryExecution().executedPlan().toString()
+    assert j.count() == 500
+    spark.sql("drop table bucket_a")
+    spark.sql("drop table bucket_b")
+
+
+def test_stream_into_status_partitions(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame([(i, "pending" if i % 2 else "completed") for i in range(6)], "k int, status string")
+    rows.write.parquet(path)
+    q = spark.readStream.schema(rows.schema).parquet(path).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(I.catalog_batches(out))
+    q.trigger(availableNow=True).start().awaitTermination()
+    I.catalog_batches(out)(rows, 0)  # the batch comes again
+    assert sorted(map(tuple, tables.rows_of(spark, out).select("k", "status").collect())) == [(i, "pending" if i % 2 else "completed") for i in range(6)]
+
+
+def test_denylists(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  "one",\n  "two \\"x\\" \\u00e9",\n  "three"\n]\n')
+    (tmp_path / "b.json").write_text('["four", "five"]')
+    (tmp_path / "c.json").write_text('{"six": "seven"}')
+    (tmp_path / "d.json").write_text('[\n"eight",\nnine\n]')
+    (tmp_path / "e.json").write_text("[]")
+    assert sorted(r[0] for r in I.scan_denylist(spark, str(tmp_path)).collect()) == ["five", "four", "one", "three", 'two "x" é']
+
+
+def test_seeds(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"id": "a", "label": "A", "keywords": "x, y"}, {"id": "b", "enabled": False, "min_library_count": 3}]))
+    seeds = I.scan_seed_pills(spark, str(tmp_path / "p.json")).select("id", "enabled", "min_library_count")
+    have = spark.createDataFrame([("a", False, 1)], seeds.schema)
+    assert sorted(map(tuple, I.seed(have, seeds, "id").collect())) == [("a", False, 1), ("b", False, 3)]
+    assert [tuple(r) for r in I.seed(have, seeds, "id", only_if_empty=True).collect()] == [("a", False, 1)]
+    assert sorted(map(tuple, I.seed(have.limit(0), seeds, "id", only_if_empty=True).collect())) == [("a", True, 10), ("b", False, 3)]

@@ -188,7 +188,7 @@ ANALYSIS_SQL = f"""f as (select vec_id // 5 + 1 as track_id, vec_id % 5 as frame
 def _analysed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """The track table after the job, which moved only what it changed out of the pending partition, and the embeddings."""
     path = scratch(spark, "tracks")
-    tables.create(view(spark, sf_dir, "audio_tracks"), path)
+    tables.put(view(spark, sf_dir, "audio_tracks"), path)
     found = analysis.analyze_tracks(tables.waiting(spark, path, "pending", "1"), view(spark, sf_dir, "audio_albums"), _frames(spark, sf_dir), loudness)
     embeddings = tables.materialised(found.embeddings, "embedded")
     tables.move(spark, path, found.tracks, "track_id", "pending", "1")

@@ -53,9 +53,12 @@ def generate_tags(a):
     return a.select("album_id", X.generate_tags(*(F.col(c) for c in ("identifier", "title", "creator", "subjects", "genres"))).alias("tags"))
 
 
-@query("pills", sql="""select pill_id, array_to_string(list_filter(list_transform(string_split(lower(keywords), ','), lambda k: trim(k)), lambda k: k <> ''), '|') as keywords from v_pills""")
+RAW_SQL = "case p_size % 4 when 0 then concat(' ', p_name, ' ,', upper(p_type), ',,') when 1 then p_type when 2 then ' , ' end"
+
+
+@query("part", sql=f"""select p_partkey, coalesce(array_to_string(list_filter(list_transform(string_split(lower({RAW_SQL}), ','), lambda k: trim(k)), lambda k: k <> ''), '|'), '') as keywords from part""")
 def split_keywords(p):
-    return p.select("pill_id", F.array_join(X.split_keywords(F.col("keywords")), "|").alias("keywords"))
+    return p.select("p_partkey", F.array_join(X.split_keywords(F.expr(RAW_SQL)), "|").alias("keywords"))
 
 
 @query("tracks", "albums", sql=f"""
@@ -426,7 +429,10 @@ def catalog_counts(c, links, t, p):
     return C.catalog_counts(c, links, t, p)
 
 
-@query("collections", sql="select count(*) as total, count_if(status = 'pending') as pending, count_if(status = 'discovering') as discovering, count_if(status = 'discovered') as discovered, count_if(status = 'failed') as failed from v_collections")
+COLLECTION_STATUS_SQL = "select count(*) as total, count_if(status = 'pending') as pending, count_if(status = 'discovering') as discovering, count_if(status = 'discovered') as discovered, count_if(status = 'failed') as failed from v_collections"
+
+
+@query("collections", sql=COLLECTION_STATUS_SQL)
 def collection_status_stats(c):
     return c.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pending", "discovering", "discovered", "failed")))
 
@@ -438,7 +444,10 @@ def collection_track_stats(links, a, t):
     return C.collection_track_stats(links, a, t)
 
 
-@query("tracks", sql="""select count(*) as completed, count_if(version = 'listenability-v2') as current, count_if(version is null) as missing, count_if(version <> 'listenability-v2') as stale, count_if(decision = 'exclude') as excluded, count_if(duration > 0 and duration < 60) as short from v_tracks where status = 'completed'""")
+COVERAGE_OF_SCORES_SQL = """select count(*) as completed, count_if(version = 'listenability-v2') as current, count_if(version is null) as missing, count_if(version <> 'listenability-v2') as stale, count_if(decision = 'exclude') as excluded, count_if(duration > 0 and duration < 60) as short from v_tracks where status = 'completed'"""
+
+
+@query("tracks", sql=COVERAGE_OF_SCORES_SQL)
 def listenability_coverage(t):
     return C.listenability_coverage(t, L.VERSION).drop("by_tier", "by_decision")
 
@@ -451,9 +460,12 @@ def coverage_by_tier(t):
     return c.select(F.lit("tier").alias("kind"), F.explode("by_tier").alias("name", "n")).unionByName(c.select(F.lit("decision").alias("kind"), F.explode("by_decision").alias("name", "n")))
 
 
-@query("tracks", "albums", sql="""with j as (select t.tags, a.album_id, subjects, genres from v_tracks t join v_albums a using (album_id) where t.status = 'completed'),
+LEXICAL_SQL = """with j as (select t.tags, a.album_id, subjects, genres from v_tracks t join v_albums a using (album_id) where t.status = 'completed'),
     c as (select count_if(coalesce(tags, '') <> '') as tagged, count_if(coalesce(tags, '') = '') as untagged, count(distinct case when coalesce(subjects, '') = '' then album_id end) as no_subjects,
-    count(distinct case when coalesce(genres, '') = '' then album_id end) as no_genres, count(distinct album_id) as n_albums from j) select *, n_albums - greatest(no_subjects, no_genres) as with_metadata from c""")
+    count(distinct case when coalesce(genres, '') = '' then album_id end) as no_genres, count(distinct album_id) as n_albums from j) select *, n_albums - greatest(no_subjects, no_genres) as with_metadata from c"""
+
+
+@query("tracks", "albums", sql=LEXICAL_SQL)
 def lexical_coverage(t, a):
     """Of completed tracks and their albums; with metadata are all albums but the larger number that lack one kind."""
     j = t.where("status = 'completed'").join(a.select("album_id", "subjects", "genres"), "album_id")

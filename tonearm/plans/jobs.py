@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.functions.listenability import VERSION as LISTENABILITY
 from tonearm.functions.metadata import commercially_usable
 from tonearm.operators import audio as A
 from tonearm.operators import catalog as C
+from tonearm.plans import catalog
+from tonearm.plans.catalog import COMBINED_SQL
 from tonearm.plans.scoring import ORACLES as SCORED
 from tonearm.plans.scoring import ETA_SQL as SCORED_ETA
 from tonearm.plans.scoring import staged
@@ -18,6 +21,9 @@ from tonearm.sources.tables import materialised
 from tonearm.streaming import rates as R
 from tonearm.streaming import state as S
 
+#: SQL of catalogue statistics, without their views.
+CATALOG_SQL = {"combined_stats": COMBINED_SQL, "lexical_coverage": catalog.LEXICAL_SQL, "collection_status_stats": catalog.COLLECTION_STATUS_SQL, "listenability_coverage": catalog.COVERAGE_OF_SCORES_SQL}
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -97,29 +103,77 @@ def scan_list_members(spark, sf_dir):
     return I.scan_list_members(spark, written(whole, "lists")).select("list_name", "identifier")
 
 
-@query("select '@' || n_nationkey || '-' || lower(replace(n_name, ' ', '-')) as collection_id, n_name as title, count(*) as discovered_count from v_links join nation on n_nationkey = collection_id group by n_nationkey, n_name")
+@query("""with m as (select '@' || n_nationkey || '-' || lower(replace(n_name, ' ', '-')) as collection_id, case when n_nationkey % 3 = 0 then 'List of ' || n_regionkey else n_name end as title, album_id::varchar as identifier, album_id % 3 <> 0 as known from v_links join nation on n_nationkey = collection_id)
+    select 'collection' as part, collection_id, title, null as identifier, count(distinct identifier) as discovered_count from m group by collection_id, title
+    union all select 'link', collection_id, null, identifier, null from m group by collection_id, identifier
+    union all select 'album', null, null, identifier, null from m where not known group by identifier""")
 def import_list(spark, sf_dir):
+    """Collections, links and new albums of imported lists; every third list comes with a title."""
     links, n = view(spark, sf_dir, "links"), view(spark, sf_dir, "nation")
     m = links.join(n, F.col("collection_id") == F.col("n_nationkey"))
-    m = m.select(F.col("n_nationkey").cast("string").alias("list_id"), F.col("n_name").alias("list_name"), F.col("album_id").cast("string").alias("identifier"))
-    known = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"))
-    rows, _, _ = I.import_list(m, known, F.lit(""))
-    return rows
+    given = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("List of "), "n_regionkey")).otherwise("")
+    m = m.select(F.col("n_nationkey").cast("string").alias("list_id"), F.col("n_name").alias("list_name"), F.col("album_id").cast("string").alias("identifier"), given.alias("given"))
+    known = view(spark, sf_dir, "albums").where("album_id % 3 <> 0").select(F.col("album_id").cast("string").alias("identifier"))
+    rows, more, new = I.import_list(m, known, F.col("given"))
+    out = rows.select(F.lit("collection").alias("part"), "*")
+    for part, df in (("link", more), ("album", new)):
+        out = out.unionByName(df.select(F.lit(part).alias("part"), "*"), allowMissingColumns=True)
+    return out.select("part", "collection_id", "title", "identifier", "discovered_count")
 
 
-@query("select p_brand as identifier from part where p_size = 7 group by p_brand")
+@query("select p_brand || ' \"' || p_partkey || '\"' as identifier from part where p_size % 7 = 0")
 def scan_denylist(spark, sf_dir):
-    ids = view(spark, sf_dir, "part").where("p_size = 7").select("p_brand").distinct()
-    whole = ids.agg(F.to_json(F.sort_array(F.collect_set("p_brand"))).alias("value"))  # brands are few
-    return I.scan_denylist(spark, written(whole, "denied"))
+    """One id a line, in files that each hold an array; a file that is no array of strings gives none."""
+    p = view(spark, sf_dir, "part").where("p_size % 7 = 0").withColumn("q", F.to_json(F.array(F.concat("p_brand", F.lit(' "'), "p_partkey", F.lit('"')))))
+    path = written(p.select(F.col("q").alias("value")), "denied")
+    p.limit(1).select(F.lit('{"no": "array"}').alias("value")).write.mode("append").text(path)
+    return I.scan_denylist(spark, path)
+
 
+SEED_SQL = """select 'pill' as kind, p_brand || '-' || p_partkey as id, p_name as label, upper(replace(p_name, ' ', ' , ')) as words, p_size % 3 <> 0 as enabled, cast(case when p_size % 4 = 0 then 5 else 10 end as int) as least from part where p_partkey % 5 > 0 and p_partkey % 2 = 1
+    union all select 'pill', p_brand || '-' || p_partkey, 'tuned', null, false, 1 from part where p_partkey % 2 = 0
+    union all select 'collection', 'part-' || p_partkey, p_name, p_type, null, p_size from part where p_partkey % 5 > 0"""
 
-@query("select pill_id::varchar as id, label, keywords, enabled, 10::int as min_library_count from v_pills")
+
+@query(SEED_SQL)
 def scan_seed_tables(spark, sf_dir):
-    p = spark.sql(VIEWS["pills"])
-    whole = p.select(F.struct(F.col("pill_id").cast("string").alias("id"), "label", "keywords", F.when(~F.col("enabled"), False).alias("enabled")).alias("p"))
-    path = written(whole.agg(F.to_json(F.collect_list("p")).alias("value")), "pills")
-    return I.scan_seed_pills(spark, path).select("id", "label", "keywords", "enabled", "min_library_count")
+    """Seeds with their defaults: pills beside tuned ones, which stay, and collections into an empty table."""
+    p = view(spark, sf_dir, "part")
+    some = p.where("p_partkey % 5 > 0").withColumn("file", F.floor(F.col("p_partkey") / 100))
+    ident = F.concat("p_brand", F.lit("-"), "p_partkey").alias("id")
+    pill = F.struct(
+        ident, F.col("p_name").alias("label"), F.upper(F.replace("p_name", F.lit(" "), F.lit(" , "))).alias("keywords"),
+        F.when(F.col("p_size") % 3 == 0, False).alias("enabled"), F.when(F.col("p_size") % 4 == 0, 5).alias("min_library_count"),
+    )
+    collection = F.struct(F.concat(F.lit("part-"), "p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_size").alias("item_count"))
+    files = []
+    for row, name in ((pill, "pills"), (collection, "collections")):
+        path = scratch(spark, name)
+        arrays = some.groupBy("file").agg(F.to_json(F.collect_list(row)).alias("value"))  # a hundred to an array
+        arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+        files.append(path)
+    tuned = p.where("p_partkey % 2 = 0").select(ident, F.lit("tuned").alias("label"), F.lit(None).cast("string").alias("keywords"), F.lit(False).alias("enabled"), F.lit(1).alias("min_library_count"))
+    pills = I.seed(tuned, I.scan_seed_pills(spark, files[0]), "id")
+    again = I.seed(pills, pills.limit(0), "id", only_if_empty=True)
+    seeds = I.scan_seed_collections(spark, files[1])
+    found = I.seed(seeds.limit(0), seeds, "collection_id", only_if_empty=True)
+    of = lambda kind, *c: (F.lit(kind).alias("kind"), *(F.col(x).alias(n) for x, n in zip(c, ("id", "label", "words", "enabled", "least"), strict=True)))
+    told = again.select(*of("pill", "id", "label", "keywords", "enabled", "min_library_count"))
+    return told.unionByName(found.withColumn("none", F.lit(None).cast("boolean")).select(*of("collection", "collection_id", "title", "category", "none", "expected_count")))
+
+
+@query("""select collection_id, count(*) as n, round(avg(score), 6) as score, count(e.track_id) as embedded from v_tracks t join v_links l on l.album_id = t.album_id left join v_track_embeddings e on e.track_id = t.track_id group by collection_id""")
+def bucketed_catalog(spark, sf_dir):
+    """Tracks and embeddings in buckets of tracks, albums' tracks and links in buckets of albums: joins on them need no exchange."""
+    unique, n = scratch(spark, "b").rsplit("-", 1)[1], 8
+    put = lambda df, name, key: I.write_bucketed(df, f"{name}_{unique}", scratch(spark, name), key, n)
+    t = put(view(spark, sf_dir, "tracks").select("track_id", "album_id", "score"), "tracks", "track_id")
+    e = put(view(spark, sf_dir, "track_embeddings").select("track_id", F.lit(1).alias("has")), "embeddings", "track_id")
+    by_album = put(t.join(e.hint("merge"), "track_id", "left"), "album_tracks", "album_id")
+    links = put(view(spark, sf_dir, "links"), "links", "album_id")
+    sums = by_album.groupBy("album_id").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.count("score").alias("k"), F.count("has").alias("e"))
+    g = links.hint("merge").join(sums, "album_id").groupBy("collection_id").agg(*(F.sum(c).alias(c) for c in ("n", "s", "k", "e")))
+    return g.select("collection_id", "n", F.round(F.col("s") / F.col("k"), 6).alias("score"), F.col("e").alias("embedded"))
 
 
 @query("select status, count(*) as n from v_tracks group by status")
@@ -129,12 +183,25 @@ def write_catalog(spark, sf_dir):
     return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("select (select count(*) from v_albums) as albums, (select count(*) from v_tracks) as tracks")
+@query(f"""with c as ({CATALOG_SQL['combined_stats']}), l as ({CATALOG_SQL['lexical_coverage']}), k as ({CATALOG_SQL['collection_status_stats']}), v as ({CATALOG_SQL['listenability_coverage']})
+    select c.*, l.tagged, l.with_metadata, k.total as collections, k.failed as collections_failed, v.completed, v.stale, v.short, (select count(*) from v_track_embeddings) as embeddings,
+    (select count(*) from v_track_embeddings where sample_strategy = 'head') as head, (select count(*) from v_tracks where status = 'completed' and tier = 'good') as good, (select count(*) from v_tracks where status = 'completed' and decision = 'exclude') as exclude from c, l, k, v""")
 def write_stats_json(spark, sf_dir):
+    """All statistics of the catalogue as one JSON document, read again."""
     path = scratch(spark, "stats")
-    I.write_stats_json({n: view(spark, sf_dir, n).agg(F.count("*").alias("n")) for n in ("albums", "tracks")}, path)
+    a, t, e, c = (view(spark, sf_dir, n) for n in ("shelf", "tracks", "track_embeddings", "collections"))
+    strategies = e.groupBy("sample_strategy").agg(F.count("*").alias("n"))
+    strategies = strategies.agg(F.sum("n").alias("count"), F.map_from_entries(F.collect_list(F.struct("sample_strategy", "n"))).alias("strategies"))  # a handful
+    listen = C.listenability_coverage(t, LISTENABILITY)
+    I.write_stats_json({
+        "catalog": C.combined_stats(a, t, e), "lexical": catalog.QUERIES["lexical_coverage"](spark, sf_dir), "collections": catalog.QUERIES["collection_status_stats"](spark, sf_dir),
+        "embeddings": strategies, "listenability": listen,
+    }, path)
     s = spark.read.json(path)
-    return s.select(F.col("albums.n").alias("albums"), F.col("tracks.n").alias("tracks"))
+    found = s.select("catalog.*", "lexical.tagged", "lexical.with_metadata", F.col("collections.total").alias("collections"), F.col("collections.failed").alias("collections_failed"),
+                     "listenability.completed", "listenability.stale", "listenability.short", F.col("embeddings.count").alias("embeddings"),
+                     F.col("embeddings.strategies.head").alias("head"), F.col("listenability.by_tier.good").alias("good"), F.col("listenability.by_decision.exclude").alias("exclude"))
+    return found
 
 
 @query(f"select prompt_id, rank, track_id, score, genres, strategy from ({SCORED['eval_retrieval']})")

@@ -85,26 +85,71 @@ def import_list(members: DataFrame, albums: DataFrame, title: Column) -> tuple[D
     return rows, links, links.select("identifier").distinct().join(albums.select("identifier"), "identifier", "left_anti")
 
 
+#: A line of a JSON array of strings that is written over any number of lines.
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_IDS = rf"^\s*[\[,]?\s*(?:{_STRING}\s*(?:,\s*{_STRING}\s*)*)?,?\s*\]?\s*$"
+
+
 def scan_denylist(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a JSON array of strings; a missing or unreadable file gives none."""
+    """Ids of JSON arrays of strings, in files of any number of lines; a missing file or one that is no such array gives none.
+
+    Files are read by lines, so that a long list is no task's alone; a file with a line of anything else is left out.
+    """
     try:
-        whole = spark.read.option("wholetext", True).text(path)
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     except AnalysisException:
         return spark.createDataFrame([], "identifier string")
-    return whole.select(F.explode(F.from_json("value", "array<string>")).alias("identifier"))
+    bad = lines.where(~F.col("value").rlike(_IDS)).select("file").distinct()
+    ids = lines.join(bad, "file", "left_anti").select(F.explode(F.regexp_extract_all("value", F.lit(f"({_STRING})"), F.lit(1))).alias("q"))
+    return ids.select(F.from_json(F.concat(F.lit("["), "q", F.lit("]")), "array<string>")[0].alias("identifier"))
+
+
+PILLS = "id string, label string, clap_prompt string, keywords string, sort_order int, enabled boolean, min_library_count int"
+COLLECTIONS = "id string, title string, notes string, category string, curator string, url string, query string, item_count int"
 
 
 def scan_seed_pills(spark: SparkSession, path: str) -> DataFrame:
-    """Seed pills of a JSON array; enabled unless said otherwise, ten albums unless said otherwise."""
-    kind = "array<struct<id:string,label:string,clap_prompt:string,keywords:string,sort_order:int,enabled:boolean,min_library_count:int>>"
-    p = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", kind)).alias("p")).select("p.*")
+    """Seed pills of files that each hold a JSON array; enabled unless said otherwise, ten albums unless said otherwise."""
+    p = spark.read.schema(PILLS).option("multiLine", True).json(path)
     return p.withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "min_library_count": F.coalesce("min_library_count", F.lit(10))})
 
 
+def scan_seed_collections(spark: SparkSession, path: str) -> DataFrame:
+    """Seed collections of such files, as rows of the collection table: pending, nothing discovered."""
+    c = spark.read.schema(COLLECTIONS).option("multiLine", True).json(path)
+    return c.select(
+        F.col("id").alias("collection_id"), "title", F.col("notes").alias("description"), "category", "curator", "url", "query",
+        F.col("item_count").alias("expected_count"), F.lit("pending").alias("status"), F.lit(0).alias("discovered_count"),
+    )
+
+
+def seed(table: DataFrame, seeds: DataFrame, key: str, only_if_empty: bool = False) -> DataFrame:
+    """The table with those seeds whose key it lacks; ``only_if_empty``: with none unless it has no rows."""
+    from tonearm.operators.catalog import insert_or_ignore
+
+    if only_if_empty and not table.isEmpty():
+        return table
+    return insert_or_ignore(table, seeds, [key], [c for c in seeds.columns if c != key])
+
+
 def write_catalog(df: DataFrame, path: str, partition: str = "status") -> None:
+    """A table in partitions, for jobs that work on one of them."""
     df.write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """A table in sorted buckets of a key, under a name: joins and groups of it by the key need no exchange."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def catalog_batches(path: str):
+    """A ``foreachBatch`` function that writes rows of a stream into their status' partition, under the batch's own name."""
+    from tonearm.sources.tables import put
+
+    return lambda df, batch: put(df, path, f"stream-{batch}")
+
+
 def write_stats_json(stats: dict[str, DataFrame], path: str) -> None:
     """One JSON document of one-row statistics."""
     whole = None

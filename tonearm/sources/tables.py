@@ -15,8 +15,8 @@ def materialised(df: DataFrame, what: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def create(df: DataFrame, path: str, batch: str = "0") -> None:
-    """The first batch of a table."""
+def put(df: DataFrame, path: str, batch: str = "0") -> None:
+    """Rows into the partitions of their statuses, in the batch's own folders, which replace any of an earlier try."""
     _write(df.withColumn("batch", F.lit(batch)), path)
 
 
