@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import documents, saved
+from tonearm.llm.common import documents, dropped, saved
 from tonearm.llm.jaccard import one_of_each
 from tonearm.llm.packing import pack
 from tonearm.llm.pii import redact
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages in turn; what a stage read is removed once what it made is written."""
+    docs, before = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
