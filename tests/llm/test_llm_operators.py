@@ -156,6 +156,72 @@ def test_language(spark, docs, empty):
     assert j.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_against_sums_gram_by_gram(spark):
+    """Prototypes and cosines once more, a 3-gram at a time; of equal cosines the first language by name."""
+    table, letters = language._symbol_table(), language.letter_vectors().astype(float)
+    r = random.Random(8)
+    words_ = {"en": "the of and to house water", "de": "der und nicht haus wasser straße", "fr": "le et dans maison eau été", "xx": "the of and to house water"}
+    rows = [(i, " ".join(r.choice(words_[k].split()) for _ in range(r.randint(1, 30))) + r.choice(["", " 12!", "  "]), k) for i in range(160) for k in [r.choice(list(words_))]]
+    rows += [(200, None, "en"), (201, "", "en"), (202, "12 34", None), (203, "WATER", None)]
+    rows += [(1000 + i, t, "xx") for i, t, k in rows if k == "en"] + [(2000 + i, t, "en") for i, t, k in rows if k == "xx"]  # whatever teaches en teaches xx
+    teaches = F.lit(True)
+
+    def vector(text):
+        s = [0] + [int(table[ord(c) & 0xFFFF]) for c in text or ""] + [0]
+        s = [x for i, x in enumerate(s) if not i or x or s[i - 1]]
+        return sum((letters[0][a] * letters[1][b] * letters[2][c] for a, b, c in zip(s, s[1:], s[2:], strict=False)), np.zeros(letters.shape[2]))
+
+    proto = {}
+    for _, t, k in rows:
+        if k and t and any(map(str.isalpha, t)):
+            proto[k] = proto.get(k, 0) + vector(t)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: x for x in language.identify(df, held_out=~teaches).collect()}
+    assert np.allclose(proto["en"], proto["xx"])
+    for i, t, _ in rows:
+        cosine = {k: float(unit(vector(t)) @ unit(p)) for k, p in sorted(proto.items())}
+        if not any(map(str.isalpha, t or "")):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        assert abs(got[i]["score"] - max(0, max(cosine.values()))) < 1e-4
+        best = max(cosine.values())
+        assert cosine[got[i]["lang_pred"]] > best - 1e-5 and got[i]["lang_pred"] != "xx"
+
+
+def test_proposals_of_a_labelled_fixture(spark):
+    """Precision and recall of what the method adds, per kind."""
+    r = random.Random(4)
+    digit = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def iban(good):
+        body = "37040044" + digit(10)
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check if good else (check + 1) % 97:02d}{body}"
+
+    def phone(good):
+        return f"({r.choice('23456789')}{r.choice('02345678')}{r.choice('2345678')}) {r.choice('23456789')}{r.choice('23456789')}{digit(1)}-{digit(4)}" if good else f"{r.choice('01')}{digit(2)}-{r.choice('01')}{digit(2)}-{digit(4)}"
+
+    def ssn(good):
+        return f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}" if good else r.choice([f"{r.randint(900, 999)}-{digit(2)}-{digit(4)}", f"000-{digit(2)}-{digit(4)}", f"{r.randint(100, 600)}-00-{digit(4)}"])
+
+    make = {"iban": (iban, "pay to bank account", "invoice"), "local_phone": (phone, "call phone", "order"), "ssn": (ssn, "her ssn is", "part no")}
+    rows, truth = [], []
+    for i in range(900):
+        kind, (fn, near, other) = r.choice(list(make.items()))
+        good = r.random() < 0.6
+        lead = r.choice([near, "and then"] if good else [other, "and then"])
+        text = f"{prose(8, i)} {lead} {fn(good)} {prose(5, i + 5000)}"
+        rows.append((i, text))
+        truth.append((kind, good))
+    got = {x["doc_id"]: x["spans"] for x in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for kind in make:
+        hit = sum(good and kind in got[i] for i, (k, good) in enumerate(truth) if k == kind)
+        false = sum(not good and kind in got[i] for i, (k, good) in enumerate(truth) if k == kind)
+        all_ = sum(good for k, good in truth if k == kind)
+        assert hit >= 0.97 * all_ and hit >= 0.97 * (hit + false), (kind, hit, false, all_)
+
+
 def test_chaining(docs, empty):
     got = {r["doc_id"]: r["passages"] for r in chains.passages(docs).collect()}
     assert {p["other"] for p in got[6]} <= {5, 7} and got[6] and got[7] and got[5]

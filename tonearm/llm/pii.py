@@ -1,10 +1,11 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Candidates are the matches of the format patterns. Those of the base kinds always stay; those of the other kinds are
-proposals. On every candidate a format, a gazetteer and a context labeler vote for, against or abstain.
-Expectation-maximisation over the counts of vote patterns gives each labeler's reliability and each pattern's
-probability; with these as soft labels a naive Bayes classifier over hashed span features is trained from counts of the
-whole corpus, and it decides on the proposals.
+proposals. On every candidate a format, a gazetteer and a context labeler vote for, against or abstain; the gazetteer knows
+top-level domains, card issuers, the areas of social security numbers, the countries and lengths of IBANs and the national
+numbering plan. Expectation-maximisation over the counts of vote patterns gives each labeler's reliability and each
+pattern's probability; with these as soft labels a naive Bayes classifier over hashed features of the span, its
+surroundings and its votes is trained from counts of the whole corpus, and it alone decides on the proposals.
 
 Null and empty texts have no spans (counts 0, the digest of an empty string). Equal rows get equal results, an empty
 table gives an empty result, other columns are not read. What reaches the driver is bounded by the number of kinds,
@@ -48,12 +49,26 @@ CONTEXT = {
     "iban": r"iban|bank|account|konto|compte|cuenta",
     "local_phone": r"phone|call|tel|mobile|fax|telefon|t.l.phone|tel.fono",
 }
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+# Social security numbers that were printed as examples.
+EXAMPLES = {"078-05-1120", "219-09-9999", "123-45-6789", "987-65-4320"}
 CONTEXT = {k: re.compile(v, re.I) for k, v in CONTEXT.items()}
 AGAINST = re.compile(r"isbn|version|order|invoice|serial|part no|build|rfc|sku", re.I)
 BUCKETS = 1024
 CANDIDATE = "struct<kind:int,start:int,end:int,votes:int,features:array<int>>"
 
 
+#: Area code and exchange of the national numbering plan, neither of which ends in 11.
+NUMBERING = re.compile(r"[2-9](?!11)[0-8][0-9][2-9](?!11)[0-9]{2}[0-9]{4}")
+
+
 def luhn(digits: str) -> bool:
     odd, even = digits[-1::-2], digits[-2::-2]
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
@@ -119,24 +134,29 @@ def votes_of(text: str, kind: int, start: int, end: int) -> tuple[int, int, int]
         listed = 2 if span.rpartition(".")[2].lower() in DOMAINS else 0
     elif name == "card":
         listed = 2 if span[0] in "3456" else 0
-    elif name in ("phone", "local_phone"):
-        first = _digits(span)[:1]
-        listed = 0 if first == "0" and name == "phone" else 2 if name == "phone" else 1
+    elif name == "phone":
+        listed = 0 if _digits(span)[:1] == "0" else 2
     elif name == "ip":
         listed = 0 if span.split(".")[0] in ("0", "255") else 1
+    elif name == "ssn":  # areas that were given out before they were drawn at random
+        area = int(span[:3])
+        listed = 0 if span in EXAMPLES else 2 if 0 < area <= 733 and area != 666 or 750 <= area <= 772 else 1
+    elif name == "iban":
+        listed = 2 if IBAN_LENGTHS.get(span[:2]) == len(span.replace(" ", "")) else 0
     else:
-        listed = 1
+        listed = 2 if NUMBERING.fullmatch(_digits(span)) else 0
     near = 0 if AGAINST.search(before) else 2 if CONTEXT[name].search(before) else 1
     return form, listed, near
 
 
-def features_of(text: str, kind: int, start: int, end: int) -> list[int]:
-    """Hashed features of the span itself and its surroundings, as buckets."""
+def features_of(text: str, kind: int, start: int, end: int, votes: tuple[int, int, int]) -> list[int]:
+    """Hashed features of the span itself, its surroundings and its votes, as buckets."""
     span = text[start:end]
     shape = re.sub(r"(.)\1+", r"\1", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", span))))
     last = re.findall(r"\w+", text[max(0, start - 24) : start].lower())
     told = [f"shape:{shape[:24]}", f"len:{min(40, end - start)}", f"left:{text[start - 1 : start]}", f"right:{text[end : end + 1]}"]
     told.append(f"word:{last[-1] if last else ''}")
+    told += [f"vote:{i}:{v}" for i, v in enumerate(votes)]
     return sorted({int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=4).digest(), "little") % BUCKETS for t in told})
 
 
@@ -150,7 +170,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             row = []
             for kind, s, e in found:
                 a, b, c = votes_of(t, kind, s, e)
-                row.append({"kind": kind, "start": s, "end": e, "votes": 9 * a + 3 * b + c, "features": features_of(t, kind, s, e)})
+                row.append({"kind": kind, "start": s, "end": e, "votes": 9 * a + 3 * b + c, "features": features_of(t, kind, s, e, (a, b, c))})
             out.append(row)
         return [ids, out]
 
@@ -202,8 +222,8 @@ def fit(found: DataFrame) -> tuple[dict[int, dict[int, float]], dict[int, float]
 
 
 def decide(found: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<kind,start,end>>): the base spans, and proposals that votes and classifier accept."""
-    soft, prior, weight = fit(found)
+    """(doc_id, spans array<struct<kind,start,end>>): the base spans, and proposals that the classifier accepts."""
+    _, prior, weight = fit(found)
 
     def run(ids, found):
         out = []
@@ -212,7 +232,7 @@ def decide(found: DataFrame) -> DataFrame:
             for c in row or []:
                 k = c["kind"]
                 odds = prior[k] + sum(weight.get((k, f), 0.0) for f in c["features"])
-                if k < len(BASE) or (odds > 0 and soft[k][c["votes"]] > 0.5 and c["votes"] // 9 == 2):
+                if k < len(BASE) or odds > 0:
                     keep.append({"kind": k, "start": c["start"], "end": c["end"]})
             out.append(sorted(keep, key=lambda x: (x["kind"], x["start"])))
         return [ids, out]
@@ -249,7 +269,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     applied to candidates found again in the same pass.
     """
     found = saved(candidates(docs, id_col, text_col))
-    soft, prior, weight = fit(found)
+    _, prior, weight = fit(found)
     dropped(found)
     columns = docs.columns
     at = columns.index(text_col)
@@ -262,11 +282,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             if t:
                 keep = []
                 for k, s, e in matches(t):
-                    a, b, c = votes_of(t, k, s, e)
-                    v = 9 * a + 3 * b + c
-                    odds = prior[k] + sum(weight.get((k, f), 0.0) for f in features_of(t, k, s, e)) if k >= len(BASE) else 1
-                    if k < len(BASE) or (odds > 0 and soft[k].get(v, 0.0) > 0.5 and a == 2):
-                        keep.append((s, -e, k))
+                    if k >= len(BASE):
+                        features = features_of(t, k, s, e, votes_of(t, k, s, e))
+                        if prior[k] + sum(weight.get((k, f), 0.0) for f in features) <= 0:
+                            continue
+                    keep.append((s, -e, k))
                 out, last = [], 0
                 for s, e, k in sorted(keep):
                     if -e > last:  # of overlapping spans the first and longest names the place, all are covered
