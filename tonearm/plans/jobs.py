@@ -300,7 +300,6 @@ def _arrivals(spark: SparkSession, sf_dir: str, files: int = 6) -> DataFrame:
 @query()
 def status_fold_stream(spark, sf_dir):
     """The log of changes that keyed state gives out, folded."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STORE)
     out = scratch(spark, "statuses")
     S.run_to_end(S.status_changes(R.watermarked(R.read_events(spark, f"{sf_dir}/events.parquet").transform(lambda e: spark.sql(VIEWS["activity"], events=e)))), out, scratch(spark, "offsets"), "update")
     return S.latest_status(S.batches(spark, out, S.STATUS))
@@ -352,7 +351,6 @@ def incremental_ingest(spark, sf_dir):
     a = view(spark, sf_dir, "albums").select(F.col("album_id").cast("string").alias("identifier"), "downloads", "licenseurl", "album_id")
     path, offsets, out = scratch(spark, "pages"), scratch(spark, "offsets"), scratch(spark, "ingested")
     denied = materialised(a.where("album_id % 9 = 0").select("identifier"), "denied")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STORE)
     marks = []
     for part in (a.where("album_id % 3 <> 0"), a):
         pages(part).write.mode("append").text(path)

@@ -31,9 +31,18 @@ def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
-    """Everything that is there goes through the query, which then ends; the next run goes on from there."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(to_batches(path)).trigger(availableNow=True).start()
-    q.awaitTermination()
+    """Everything that is there goes through the query, which then ends; the next run goes on from there.
+
+    State lies in RocksDB, whose size is not bound by the executors' memory.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, STORE)
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(to_batches(path)).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.set(key, before)
 
 
 # ---------------------------------------------------------------- latest status
