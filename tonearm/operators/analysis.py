@@ -75,7 +75,7 @@ def analyze_tracks(tracks: DataFrame, albums: DataFrame, frames: DataFrame, mode
     heard = materialised(features(heard, model), "heard")
 
     poor = F.col("quality") < UNUSABLE
-    silent = F.col("clap").isNull() | F.exists("clap", lambda x: F.isnan(x))
+    silent = F.col("clap").isNull() | F.exists("clap", lambda x: x.isNull() | F.isnan(x))
     good = heard.where(~poor & ~silent)
     scored = C.score_tracks(pending.drop("quality").join(good.select("track_id", "quality"), "track_id"), albums.withColumn("creator", F.lit(None).cast("string")))
     of = lambda s: ("track_id", "score", "tier", "stream", "decision", "reasons", "components", "version", *s)

@@ -101,8 +101,8 @@ def embed_column(df: DataFrame, column: str, model, out: str = "embedding") -> D
 
     @F.pandas_udf("array<float>")
     def embed(batch: pd.Series) -> pd.Series:
-        m = np.asarray(model(batch.tolist()), np.float32)
+        m = np.asarray(model(batch.tolist()), float)
         size = np.linalg.norm(m, axis=1, keepdims=True)
-        return pd.Series(list(np.where(size > 0, m / np.where(size > 0, size, 1), m)))
+        return pd.Series(list(np.where(size > 0, m / np.where(size > 0, size, 1), m).astype(np.float32)))
 
     return df.withColumn(out, embed(F.col(column)))

@@ -366,8 +366,8 @@ def listenability_coverage(tracks: DataFrame, version: str) -> DataFrame:
     return one.crossJoin(by("tier")).crossJoin(by("decision"))  # one row each
 
 
-def pill_matches(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
-    """(pill_id, track_id, album_id, ...) of listenable tracks whose tags or whose album's subjects hold a keyword.
+def _keyword_hits(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Listenable tracks with ``pills_``, the pills of each keyword that their texts hold, a row a keyword; their columns.
 
     One pass over a track's text finds all keywords, which then meet their pills by an equi-join. Pills without keywords
     match nothing. Keywords go to the tasks while they have KEYWORD_BYTES at most; more go in slices, a pass each.
@@ -385,13 +385,20 @@ def pill_matches(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> Data
         hits = t.withColumn("kw_", F.explode(held_keywords([r["kw_"] for r in mine.collect()])(F.col("text_"))))
         out = hits if out is None else out.unionByName(hits)
     several = p.groupBy("kw_").agg(F.collect_set("pill_id").alias("pills_"))
-    found = out.join(several, "kw_").groupBy("track_id").agg(F.first(F.struct(*(c for c in t.columns if c != "text_"))).alias("t_"), F.array_distinct(F.flatten(F.collect_list("pills_"))).alias("pills_"))
+    return out.join(several, "kw_"), [c for c in t.columns if c != "text_"]
+
+
+def pill_matches(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
+    """(pill_id, track_id, album_id, ...) of listenable tracks whose tags or whose album's subjects hold a keyword, once each."""
+    hits, columns = _keyword_hits(pills, tracks, albums)
+    found = hits.groupBy("track_id").agg(F.first(F.struct(*columns)).alias("t_"), F.array_distinct(F.flatten(F.collect_list("pills_"))).alias("pills_"))  # a track's keywords
     return found.select(F.explode("pills_").alias("pill_id"), "t_.*")
 
 
 def pill_coverage(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
     """Every pill with its number of listenable albums and whether it is active; all pills in one pass."""
-    n = pill_matches(pills, tracks, albums).select("pill_id", "album_id").distinct().groupBy("pill_id").agg(F.count("*").alias("n"))
+    hits, _ = _keyword_hits(pills, tracks.select("track_id", "album_id", "tags", "status", "decision", "stream"), albums)
+    n = hits.select(F.explode("pills_").alias("pill_id"), "album_id").distinct().groupBy("pill_id").agg(F.count("*").alias("n"))
     p = pills.join(n, "pill_id", "left").withColumn("n_albums", F.coalesce("n", F.lit(0)))
     active = F.col("enabled") & (F.col("n_albums") >= F.col("min_library_count"))
     return p.select("pill_id", "label", "sort_order", "n_albums", active.alias("active"))

@@ -255,10 +255,14 @@ def _letters(texts):
     return np.array([np.bincount(np.frombuffer(t.encode(), np.uint8) % 16, minlength=16) for t in texts], float).reshape(-1, 16)
 
 
-@query()
+@query("""with h as (select doc_id, unnest(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '.(.)', '\\1', 'g'), '')) as d from documents), c as (select doc_id, d, count(*) as n from h where d <> '' group by doc_id, d),
+    s as (select doc_id, sqrt(sum(n * n)) as size from c group by doc_id), p as (select doc_id, unnest(range(16)) as place from documents)
+    select p.doc_id, p.place::int as place, coalesce((c.n / s.size)::float, 0)::double as x from p left join s on s.doc_id = p.doc_id left join c on c.doc_id = p.doc_id and c.d = upper(to_base(p.place, 16))""")
 def embed_column(spark, sf_dir):
+    """Unit vectors of a model that counts the last four bits of all bytes of a text, a number a row."""
     d = view(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return A.embed_column(d, "text", _letters).select("doc_id", "embedding")
+    e = A.embed_column(d, "text", _letters)
+    return e.select("doc_id", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 # ---------------------------------------------------------------- streams
