@@ -143,6 +143,31 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_stops_before_the_lists_end():
+    r = np.random.default_rng(5)
+    k, none = 20, np.full(50, -np.inf)
+    for scale, wide in ((64, False), (2.0**30, True)):  # sums that doubles hold, and sums that none does
+        x = np.floor(scale * r.normal(size=(4000, 32)) * 0.7 ** np.arange(32))
+        q, rows, own = x[:50], np.arange(4000), np.arange(50)
+        exact = x.astype(object) @ q.T.astype(object)
+        exact[own, own] = -(10**30)
+        want = [(i, int(j), exact[j, i]) for i in range(50) for j in sorted(rows, key=lambda j: (-exact[j, i], j))[:k]]
+        assert topk.best_of_block(own, q, rows, rows, x, k) == want
+        slack = np.full(50, float(np.abs(x).max()) ** 2 * 2.0**-40 if wide else 0.0)
+        a, _, read = topk.read_lists(q, x, k, own, none, slack)
+        assert read < 0.2 and len(a) <= 50 * topk.OPEN * k
+        # a bar from blocks before opens fewer candidates and loses none that reaches it
+        bar = topk.higher_bar(np.full((50, k), -np.inf), own, want)[:, 4]
+        few, _, less = topk.read_lists(q, x, k, own, bar, slack)
+        assert len(few) < len(a) and less <= read
+        assert len(topk.read_lists(q, x, k, own, bar + 1e30, slack)[0]) == 0
+        reach = [w for n, w in enumerate(want) if n % k < 5]
+        assert set(reach) <= set(topk.best_of_block(own, q, rows, rows, x, k, bar))
+    same = np.ones((100, 4))  # lists without any spread: all are open, none is lost
+    a, b, _ = topk.read_lists(same[:3], same, k, np.full(3, -1), none[:3], np.zeros(3))
+    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == 300
+
+
 def test_language(spark, docs, empty):
     got = {r["doc_id"]: r for r in language.identify(docs).collect()}
     assert got[0]["lang_pred"] == got[1]["lang_pred"] == "und" and got[0]["score"] == 0
