@@ -149,7 +149,7 @@ def test_top_k_stops_before_the_lists_end():
     for scale, wide in ((64, False), (2.0**30, True)):  # sums that doubles hold, and sums that none does
         x = np.floor(scale * r.normal(size=(4000, 32)) * 0.7 ** np.arange(32))
         q, rows, own = x[:50], np.arange(4000), np.arange(50)
-        exact = x.astype(object) @ q.T.astype(object)
+        exact = x.astype(np.int64).astype(object) @ q.T.astype(np.int64).astype(object)
         exact[own, own] = -(10**30)
         want = [(i, int(j), exact[j, i]) for i in range(50) for j in sorted(rows, key=lambda j: (-exact[j, i], j))[:k]]
         assert topk.best_of_block(own, q, rows, rows, x, k) == want
