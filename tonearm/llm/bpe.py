@@ -58,7 +58,7 @@ def _pieces(chunks: DataFrame, pattern: str) -> DataFrame:
         return [keys, places, [len(t) + p for p, t in zip(places, texts, strict=True)], [h for h, _ in told], [t for _, t in told]]
 
     schema = "key long, place long, stop long, head array<long>, tail array<long>"
-    seen = map_columns(chunks.select("key", "place", "chunk").repartition("key", "place"), ends, schema)
+    seen = map_columns(chunks.select("key", "place", "chunk"), ends, schema)
     order = Window.partitionBy("key").orderBy("place")
     met = seen.withColumn("at", F.array_max(F.array_intersect("head", F.lag("tail").over(order))))
     spots = met.select(
@@ -101,7 +101,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         lambda i: F.struct((i * step).cast("long").alias("place"), F.substr("text", i * step + 1, F.lit(CHUNK)).alias("chunk")),
     )
     far = plain.where(size > CHUNK).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    chunks = saved(far.select("key", "doc_id", F.explode(spots).alias("c")).select("key", "doc_id", "c.place", "c.chunk"))
+    chunks = far.select("key", "doc_id", F.explode(spots).alias("c")).select("key", "doc_id", "c.place", "c.chunk")
+    chunks = saved(chunks.repartition("key", "place"))  # dealt before they are written, so that this shuffle goes at once
     encoded = map_columns(_pieces(chunks, pattern), lambda k, d, p, t: [k, d, p, ids_of(t)], "key long, doc_id long, place long, ids binary", 64)
     gathered = encoded.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("p"))
     long = map_columns(gathered.select("doc_id", "p.ids"), lambda ids, parts: told(ids, [b"".join(x) for x in parts]), schema, 16)
