@@ -67,8 +67,8 @@ def test_flexible_fields(spark):
 
 
 def test_denylist(spark):
-    items = spark.createDataFrame([("a",), ("b",), ("x_LibriVox_1",), ("librivoxed",)], "identifier string")
-    assert [r[0] for r in C.filter_denylist(items, spark.createDataFrame([("b",)], "identifier string")).collect()] == ["a"]
+    items = spark.createDataFrame([("a",), ("b",), ("x_LibriVox_1",), ("librivoxed",), (None,)], "identifier string")
+    assert {r[0] for r in C.filter_denylist(items, spark.createDataFrame([("b",), (None,)], "identifier string")).collect()} == {"a", None}
 
 
 def test_missing_denylist(spark, tmp_path):
@@ -198,8 +198,10 @@ def test_repeated_keys_in_change_sets(spark):
 def test_pills_without_keywords_match_nothing(spark):
     t = spark.createDataFrame([(1, 7, "Rock, jazz", "completed", None, None)], "track_id int, album_id int, tags string, status string, decision string, stream string")
     a = spark.createDataFrame([(7, "ambient")], "album_id int, subjects string")
+    e = t.selectExpr("track_id", "0.5D as quality_score")
+    assert C.pill_matches(spark.createDataFrame([(3, "jazz")], "pill_id int, keywords string"), t, e.where("track_id > 1"), a).isEmpty()  # no embedding
     p = spark.createDataFrame([(1, None), (2, ""), (3, "JAZZ , x"), (4, "ambient"), (5, "metal")], "pill_id int, keywords string")
-    assert sorted(r["pill_id"] for r in C.pill_matches(p, t, a).collect()) == [3, 4]
+    assert sorted(r["pill_id"] for r in C.pill_matches(p, t, e, a).collect()) == [3, 4]
 
 
 def test_ten_thousand_pills(spark, monkeypatch):
@@ -207,8 +209,55 @@ def test_ten_thousand_pills(spark, monkeypatch):
     p = spark.range(10_000).selectExpr("id as pill_id", "concat('word', id, ', also', id % 7) as keywords")
     t = spark.createDataFrame([(i, 1, f"word{i}, also3", "completed", None, None) for i in (5, 50, 500)], "track_id int, album_id int, tags string, status string, decision string, stream string")
     a = spark.createDataFrame([(1, None)], "album_id int, subjects string")
+    e = t.selectExpr("track_id", "0.5D as quality_score")
     got = {}
-    for r in C.pill_matches(p, t, a).collect():
+    for r in C.pill_matches(p, t, e, a).collect():
         got.setdefault(r["track_id"], set()).add(r["pill_id"])
     third = set(range(3, 10_000, 7))
     assert got == {i: third | {int(str(i)[: n + 1]) for n in range(len(str(i)))} for i in (5, 50, 500)}
+
+
+def test_pill_tracks_rank_by_the_quality_of_their_embedding(spark):
+    t = spark.createDataFrame([(1, 7, "jazz", "completed", None, None, 0.9), (2, 7, "jazz", "completed", None, None, 0.1)], "track_id int, album_id int, tags string, status string, decision string, stream string, quality double")
+    e = spark.createDataFrame([(1, 0.2), (2, 0.8)], "track_id int, quality_score double")
+    a = spark.createDataFrame([(7, None)], "album_id int, subjects string")
+    p = spark.createDataFrame([(3, "jazz")], "pill_id int, keywords string")
+    assert {r["track_id"]: r["quality"] for r in C.pill_matches(p, t, e, a).collect()} == {1: 0.2, 2: 0.8}
+
+
+def test_names_of_collections_without_titles(spark):
+    c = spark.createDataFrame([(1, "zeta"), (2, "alpha"), (3, None), (4, ""), (5, "alpha")], "collection_id int, title string")
+    links = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 10), (5, 10), (2, 11), (9, 12)], "collection_id int, album_id int")
+    assert {r["album_id"]: r["names"] for r in C.collection_names(links, c).collect()} == {10: "3, 4, alpha, alpha, zeta", 11: "alpha"}
+
+
+def test_removed_collection_takes_its_links_only(spark):
+    c = spark.createDataFrame([(1,), (2,)], "collection_id int")
+    links = spark.createDataFrame([(1, 10), (2, 10), (1, 11)], "collection_id int, album_id int")
+    kept, kept_links = C.remove_collection(c, links, c.where("collection_id = 1"))
+    assert [tuple(r) for r in kept.collect()] == [(2,)] and [tuple(r) for r in kept_links.collect()] == [(2, 10)]
+
+
+def test_lexical_coverage_of_unknown_albums(spark):
+    rows = [(1, "a", "completed"), (1, "", "completed"), (2, None, "completed"), (3, "b", "completed"), (None, "c", "completed"), (4, "d", "pending")]
+    t = spark.createDataFrame(rows, "album_id int, tags string, status string")
+    a = spark.createDataFrame([(1, "x", None), (2, "", "y"), (4, None, None)], "album_id int, subjects string, genres string")
+    assert tuple(C.lexical_coverage(t, a).first()) == (3, 2, 1, 1, 2, 1)
+    assert tuple(C.lexical_coverage(t.limit(0), a).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_backlogs_in_order_with_context(spark):
+    rows = [(i, album, f"f{i}", None, None, None, None, status, version) for i, album, status, version in (
+        (1, 1, "pending", None), (2, 2, "pending", None), (3, 3, "pending", None), (4, 4, "pending", None), (5, 9, "pending", None),
+        (6, 1, "completed", "new"), (7, 1, "completed", "old"), (8, 2, "completed", None), (9, 9, "completed", None), (10, 2, "completed", "old"))]
+    t = spark.createDataFrame(rows, "track_id int, album_id int, filename string, title string, duration double, bitrate int, tags string, status string, version string")
+    a = spark.createDataFrame([(1, "A", None), (2, None, 0.5), (3, "C", None), (4, "D", None)], "album_id int, title string, album_score double")
+    a = a.selectExpr("*", "concat('id', album_id) as identifier", "cast(null as string) as creator", "cast(null as string) as subjects", "cast(null as string) as genres")
+    links = spark.createDataFrame([(10, 1), (20, 2), (7, 3), (10, 3)], "collection_id int, album_id int")
+    c = spark.createDataFrame([(7, 1, "first"), (10, 5, "ten"), (20, 9, "twenty")], "collection_id int, created_seq int, title string")
+    got = C.analysis_backlog(t, a, links, c, priority=7, n=10).orderBy("rank").collect()
+    assert [(r["track_id"], r["album_title"], r["collection_name"], r["album_score"], r["duration"]) for r in got] == [(3, "C", "first", 0.0, 0.0), (2, "id2", "twenty", 0.5, 0.0), (1, "A", "ten", 0.0, 0.0), (4, "D", "", 0.0, 0.0)]
+    assert [r["track_id"] for r in C.analysis_backlog(t, a, links, c, priority=99, n=2).orderBy("rank").collect()] == [2, 1]
+    e = spark.createDataFrame([(8,)], "track_id int")
+    old = C.rescore_backlog(t, a, e, "new", after=7, n=5).orderBy("track_id").collect()
+    assert [(r["track_id"], r["album_score"], r["has_embedding"], r["title"]) for r in old] == [(8, 0.5, True, ""), (10, 0.5, False, "")]

@@ -24,8 +24,8 @@ KEYWORD_BYTES = 16 << 20
 
 
 def filter_denylist(items: DataFrame, denied: DataFrame, key: str = "identifier") -> DataFrame:
-    """Drop listed ids, ids that contain ``_librivox`` and ids that start with ``librivox``."""
-    kept = items.where(~F.lower(key).rlike("_librivox|^librivox"))
+    """Drop listed ids, ids that contain ``_librivox`` and ids that start with ``librivox``. Items without an id stay."""
+    kept = items.where(~F.coalesce(F.lower(key).rlike("_librivox|^librivox"), F.lit(False)))
     return kept.join(denied.select(key).distinct(), key, "left_anti")
 
 
@@ -97,8 +97,10 @@ def replace_links(links: DataFrame, changes: DataFrame, key: str = "collection_i
     return links.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes.distinct())
 
 
-def remove_collection(table: DataFrame, gone: DataFrame, key: str = "collection_id") -> DataFrame:
-    return table.join(gone.select(key), key, "left_anti")
+def remove_collection(collections: DataFrame, links: DataFrame, gone: DataFrame, key: str = "collection_id") -> tuple[DataFrame, DataFrame]:
+    """(collections, links) without those of a collection that goes; its albums stay."""
+    ids = gone.select(key)
+    return collections.join(ids, key, "left_anti"), links.join(ids, key, "left_anti")
 
 
 # ---------------------------------------------------------------- aggregates
@@ -222,16 +224,19 @@ def collection_track_stats(links: DataFrame, albums: DataFrame, tracks: DataFram
     )
 
 
-def with_counts(albums: DataFrame, tracks: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
-    """Albums with their completed tracks' number, mean quality (of the embedded ones where these are given) and mean score."""
-    done = tracks.where("status = 'completed'")
-    if embeddings is not None:
-        done = done.drop("quality").join(embeddings.select("track_id", F.col("quality_score").alias("quality")), "track_id", "left")
+def with_counts(albums: DataFrame, tracks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Albums with their completed tracks' number, mean quality (of the embedded ones) and mean score."""
+    done = with_embedding(tracks.where("status = 'completed'"), embeddings, "left")
     g = done.groupBy("album_id").agg(F.count("*").alias("n_"), F.avg("quality").alias("q_"), F.avg("score").alias("s_"))
     mean = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return albums.join(g, "album_id", "left").select("*", F.coalesce("n_", F.lit(0)).alias("completed"), mean("q_").alias("avg_quality"), mean("s_").alias("avg_score")).drop("n_", "q_", "s_")
 
 
+def with_embedding(tracks: DataFrame, embeddings: DataFrame, how: str = "inner") -> DataFrame:
+    """Tracks with their embedding's quality as theirs; by ``how``, those without one go or have none."""
+    return tracks.drop("quality").join(embeddings.select("track_id", F.col("quality_score").alias("quality")), "track_id", how)
+
+
 def matches(pattern: str, *columns: str) -> Column:
     """Any of the columns is like the pattern, in any case; nulls are not."""
     hit = F.lit(False)
@@ -344,6 +349,23 @@ def combined_stats(albums: DataFrame, tracks: DataFrame, embeddings: DataFrame)
     return left.crossJoin(bare).crossJoin(right)  # one row each
 
 
+def lexical_coverage(tracks: DataFrame, albums: DataFrame) -> DataFrame:
+    """One row on the completed tracks, with and without tags, and those of their albums that the catalogue has.
+
+    With metadata are all these albums but the larger number that lack one kind.
+    """
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    known = albums.select(F.col("album_id").alias("known_"), F.col("album_id"), "subjects", "genres")
+    j = tracks.where("status = 'completed'").select("album_id", "tags").join(known, "album_id", "left")
+    g = j.groupBy("album_id").agg(  # an album a row, before albums are counted
+        F.count_if(~none("tags")).alias("tagged"), F.count_if(none("tags")).alias("untagged"), F.max(F.col("known_").isNotNull().cast("int")).alias("known"),
+        F.max((F.col("known_").isNotNull() & none("subjects")).cast("int")).alias("bare"), F.max((F.col("known_").isNotNull() & none("genres")).cast("int")).alias("plain"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    g = g.agg(*(total(c).alias(n) for c, n in (("tagged", "tagged"), ("untagged", "untagged"), ("bare", "no_subjects"), ("plain", "no_genres"), ("known", "n_albums"))))
+    return g.withColumn("with_metadata", F.col("n_albums") - F.greatest("no_subjects", "no_genres"))
+
+
 def catalog_counts(collections: DataFrame, links: DataFrame, tracks: DataFrame, pills: DataFrame) -> DataFrame:
     """One row: collections, links, pending and completed tracks, pills."""
     parts = [df.agg(F.count("*").alias(n)) for df, n in ((collections, "collections"), (links, "links"), (pills, "pills"))]
@@ -366,13 +388,13 @@ def listenability_coverage(tracks: DataFrame, version: str) -> DataFrame:
     return one.crossJoin(by("tier")).crossJoin(by("decision"))  # one row each
 
 
-def _keyword_hits(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Listenable tracks with ``pills_``, the pills of each keyword that their texts hold, a row a keyword; their columns.
+def _keyword_hits(pills: DataFrame, tracks: DataFrame, embeddings: DataFrame, albums: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Listenable tracks that have an embedding, with ``pills_``, the pills of each keyword that their texts hold, a row a keyword; their columns.
 
     One pass over a track's text finds all keywords, which then meet their pills by an equi-join. Pills without keywords
     match nothing. Keywords go to the tasks while they have KEYWORD_BYTES at most; more go in slices, a pass each.
     """
-    t = tracks.where(listenable()).join(albums.select("album_id", "subjects"), "album_id")
+    t = with_embedding(tracks.where(listenable()), embeddings).join(albums.select("album_id", "subjects"), "album_id")
     text = F.concat(F.lower(F.coalesce("subjects", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("tags", F.lit(""))))
     t = t.withColumn("text_", text)
     p = pills.select("pill_id", F.explode(X.split_keywords(F.col("keywords"))).alias("kw_")).distinct()
@@ -388,22 +410,67 @@ def _keyword_hits(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> tup
     return out.join(several, "kw_"), [c for c in t.columns if c != "text_"]
 
 
-def pill_matches(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
-    """(pill_id, track_id, album_id, ...) of listenable tracks whose tags or whose album's subjects hold a keyword, once each."""
-    hits, columns = _keyword_hits(pills, tracks, albums)
+def pill_matches(pills: DataFrame, tracks: DataFrame, embeddings: DataFrame, albums: DataFrame) -> DataFrame:
+    """(pill_id, track_id, album_id, ...) of listenable, embedded tracks whose tags or whose album's subjects hold a keyword, once each."""
+    hits, columns = _keyword_hits(pills, tracks, embeddings, albums)
     found = hits.groupBy("track_id").agg(F.first(F.struct(*columns)).alias("t_"), F.array_distinct(F.flatten(F.collect_list("pills_"))).alias("pills_"))  # a track's keywords
     return found.select(F.explode("pills_").alias("pill_id"), "t_.*")
 
 
-def pill_coverage(pills: DataFrame, tracks: DataFrame, albums: DataFrame) -> DataFrame:
-    """Every pill with its number of listenable albums and whether it is active; all pills in one pass."""
-    hits, _ = _keyword_hits(pills, tracks.select("track_id", "album_id", "tags", "status", "decision", "stream"), albums)
+def pill_coverage(pills: DataFrame, tracks: DataFrame, embeddings: DataFrame, albums: DataFrame) -> DataFrame:
+    """Every pill with its number of albums of listenable, embedded tracks and whether it is active; all pills in one pass."""
+    hits, _ = _keyword_hits(pills, tracks.select("track_id", "album_id", "tags", "status", "decision", "stream"), embeddings, albums)
     n = hits.select(F.explode("pills_").alias("pill_id"), "album_id").distinct().groupBy("pill_id").agg(F.count("*").alias("n"))
     p = pills.join(n, "pill_id", "left").withColumn("n_albums", F.coalesce("n", F.lit(0)))
     active = F.col("enabled") & (F.col("n_albums") >= F.col("min_library_count"))
     return p.select("pill_id", "label", "sort_order", "n_albums", active.alias("active"))
 
 
+# ---------------------------------------------------------------- backlogs
+
+
+def collection_names(links: DataFrame, collections: DataFrame) -> DataFrame:
+    """Per album the titles of its collections in the order of titles, comma-joined; ids stand for missing and empty ones."""
+    c = collections.select("collection_id", "title", F.coalesce(F.nullif("title", F.lit("")), F.col("collection_id").cast("string")).alias("name"))
+    parts = F.sort_array(F.collect_list(F.struct("title", "collection_id", "name")))  # the collections of one album
+    return links.join(c, "collection_id").groupBy("album_id").agg(parts.alias("c")).select("album_id", F.array_join("c.name", ", ").alias("names"))
+
+
+def recency(links: DataFrame, collections: DataFrame, priority: int) -> DataFrame:
+    """Per album: when its newest collection came (``rec``), whether one of them is the priority one, and the first title."""
+    j = links.join(collections.select("collection_id", "created_seq", "title"), "collection_id")
+    first = F.max(F.when(F.col("collection_id") == priority, 1).otherwise(0))
+    return j.groupBy("album_id").agg(F.max("created_seq").alias("rec"), first.alias("priority"), F.min("title").alias("name"))
+
+
+def analysis_backlog(tracks: DataFrame, albums: DataFrame, links: DataFrame, collections: DataFrame, priority: int, n: int) -> DataFrame:
+    """The first n pending tracks of known albums by (priority collection, newest collection, id), ranked, with their context.
+
+    Tracks of albums without a collection come last. Rows are ordered before texts are joined to them, so only n of these
+    are read on.
+    """
+    order = (F.desc_nulls_last("priority"), F.desc_nulls_last("rec"), F.col("track_id"))
+    a = albums.select("album_id", F.coalesce("title", "identifier").alias("album_title"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("subjects", "genres")), F.coalesce("album_score", F.lit(0.0)).alias("album_score"))
+    first = tracks.where("status = 'pending'").select("track_id", "album_id", "filename", "title", "duration", "bitrate", "tags")
+    first = first.join(albums.select("album_id"), "album_id", "left_semi").join(recency(links, collections, priority), "album_id", "left").orderBy(*order).limit(n)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # n rows
+    return ranked.join(a, "album_id").select(
+        "track_id", "album_id", "filename", "title", "album_title", F.coalesce("name", F.lit("")).alias("collection_name"), F.round(F.coalesce("duration", F.lit(0.0)), 4).alias("duration"),
+        F.coalesce("bitrate", F.lit(0)).alias("bitrate"), F.coalesce("tags", F.lit("")).alias("tags"), "subjects", "genres", "album_score", "rank",
+    )
+
+
+def rescore_backlog(tracks: DataFrame, albums: DataFrame, embeddings: DataFrame, version: str, after: int, n: int) -> DataFrame:
+    """The first n completed tracks of known albums behind an id whose score has another version or none, with their context."""
+    old = (F.col("status") == "completed") & ~F.col("version").eqNullSafe(F.lit(version)) & (F.col("track_id") > after)
+    text = lambda c, name=None: F.coalesce(c, F.lit("")).alias(name or c)
+    t = tracks.where(old).join(albums.select("album_id"), "album_id", "left_semi").orderBy("track_id").limit(n)
+    t = t.select("track_id", "album_id", text("title"), "filename", F.round(F.coalesce("duration", F.lit(0.0)), 4).alias("duration"), F.coalesce("bitrate", F.lit(0)).alias("bitrate"), text("tags"))
+    a = albums.select("album_id", text("title", "album_title"), text("creator", "album_creator"), text("subjects"), text("genres"), "album_score")
+    e = embeddings.select("track_id", F.lit(True).alias("has_embedding"))
+    return t.join(a, "album_id").join(e, "track_id", "left").withColumn("has_embedding", F.coalesce("has_embedding", F.lit(False)))
+
+
 # ---------------------------------------------------------------- transitions
 
 

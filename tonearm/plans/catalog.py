@@ -176,10 +176,10 @@ def friendly_names(t, a):
 # ---------------------------------------------------------------- filters
 
 
-@query("part", sql="select p_partkey, p_name from part where p_brand not in (select p_brand from part where p_size = 7) and p_partkey % 9 not in (0, 1)")
+@query("part", sql="select p_partkey, p_name from part where p_partkey % 9 = 2 or (p_brand not in (select p_brand from part where p_size = 7) and p_partkey % 9 not in (0, 1))")
 def filter_denylist(p):
-    """Ids: part brands on the list, and derived ``..._librivox`` and ``librivox...`` names."""
-    ids = p.withColumn("identifier", F.expr("case p_partkey % 9 when 0 then concat('x_LibriVox', p_partkey) when 1 then concat('librivox', p_partkey) else p_brand end"))
+    """Ids: part brands on the list, derived ``..._librivox`` and ``librivox...`` names, and none at all."""
+    ids = p.withColumn("identifier", F.expr("case p_partkey % 9 when 0 then concat('x_LibriVox', p_partkey) when 1 then concat('librivox', p_partkey) when 2 then null else p_brand end"))
     denied = p.where("p_size = 7").select(F.col("p_brand").alias("identifier"))
     return C.filter_denylist(ids, denied).select("p_partkey", "p_name")
 
@@ -224,8 +224,8 @@ def search_tracks(t, e, a):
     return _second(found, [("updated_at", True), ("track_id", False)], 10, 50).select("track_id", "album_id", "total")
 
 
-ALBUM_COUNTS_SQL = """left join (select album_id, count(*) n, avg(quality_score) q, avg(score) s from v_tracks t left join v_track_embeddings e on e.track_id = t.track_id
-    where t.status = 'completed' group by album_id) t on t.album_id = a.album_id where a.status = 'resolved'"""
+COUNTS_SQL = """(select album_id, count(*) n, avg(quality_score) q, avg(score) s from v_tracks t left join v_track_embeddings e on e.track_id = t.track_id where t.status = 'completed' group by album_id)"""
+ALBUM_COUNTS_SQL = f"left join {COUNTS_SQL} t on t.album_id = a.album_id where a.status = 'resolved'"
 ALBUM_COLUMNS_SQL = "a.album_id, title, creator, coalesce(collection, '') as collection, track_count, downloads, coalesce(n, 0) as completed, round(coalesce(q, 0), 6) as avg_quality, round(coalesce(s, 0), 6) as avg_score, count(*) over () as total"
 
 
@@ -248,10 +248,12 @@ def search_completed_albums(a, t, e):
     return _albums_told(_second(found, [("downloads", True), ("updated_at", True), ("album_id", False)], 5, 30))
 
 
-@query("albums", "tracks", sql="""select a.album_id, title, creator, coalesce(n, 0) as completed, round(coalesce(q, 0), 6) as avg_quality, round(coalesce(s, 0), 6) as avg_score from v_albums a
-    left join (select album_id, count(*) n, avg(quality) q, avg(score) s from v_tracks where status = 'completed' group by album_id) t on t.album_id = a.album_id""")
-def album_detail(a, t):
-    return C.with_counts(a, t).select("album_id", "title", "creator", "completed", "avg_quality", "avg_score")
+@query("shelf", "tracks", "track_embeddings", sql=f"""select a.album_id, title, creator, coalesce(collection, '') as collection, track_count, status, coalesce(n, 0) as completed, downloads,
+    round(coalesce(q, 0), 6) as avg_quality, round(coalesce(s, 0), 6) as avg_score, coalesce(license, '') as license from v_shelf a left join {COUNTS_SQL} t on t.album_id = a.album_id""")
+def album_detail(a, t, e):
+    """Every album with what is told of one."""
+    told = [F.coalesce(c, F.lit("")).alias(c) if c in ("collection", "license") else c for c in ("album_id", "title", "creator", "collection", "track_count", "status", "completed", "downloads", "avg_quality", "avg_score", "license")]
+    return C.with_counts(a, t, e).select(*told)
 
 
 @query("tracks", sql="select track_id, duration from v_tracks where duration <= 1920")
@@ -259,11 +261,13 @@ def short_prefilter(t):
     return t.where(F.col("duration") <= M.MAX_SECONDS).select("track_id", "duration")
 
 
-@query("albums", sql=f"select album_id, case when {LICENSE_SQL} in ('pd', 'cc0', 'cc-by', 'cc-by-sa') then status else 'unavailable' end as status, case when {LICENSE_SQL} not in ('pd', 'cc0', 'cc-by', 'cc-by-sa') then 'license not commercially usable: ' || {LICENSE_SQL} end as error from v_albums")
+@query("shelf", sql=f"""select album_id, case when {LICENSE_SQL} in ('pd', 'cc0', 'cc-by', 'cc-by-sa') then status else 'unavailable' end as status, case when {LICENSE_SQL} not in ('pd', 'cc0', 'cc-by', 'cc-by-sa') then {LICENSE_SQL} else license end as license,
+    case when {LICENSE_SQL} not in ('pd', 'cc0', 'cc-by', 'cc-by-sa') then 'excluded: non-free license (' || {LICENSE_SQL} || ')' end as error from v_shelf""")
 def license_gate(a):
-    ok = M.commercially_usable(F.col("licenseurl"))
-    error = F.when(~ok, F.concat(F.lit("license not commercially usable: "), M.classify_license(F.col("licenseurl"))))
-    return a.select("album_id", F.when(ok, F.col("status")).otherwise("unavailable").alias("status"), error.alias("error"))
+    """Albums that may not be used commercially become unavailable, for a reason that names the license, which is kept."""
+    ok, found = M.commercially_usable(F.col("licenseurl")), M.classify_license(F.col("licenseurl"))
+    error = F.when(~ok, F.concat(F.lit("excluded: non-free license ("), found, F.lit(")")))
+    return a.select("album_id", F.when(ok, F.col("status")).otherwise("unavailable").alias("status"), F.when(ok, F.col("license")).otherwise(found).alias("license"), error.alias("error"))
 
 
 @query("tracks", sql="select track_id, case when quality < 0.3 then 'unavailable' else status end as status from v_tracks")
@@ -272,13 +276,13 @@ def quality_gate(t):
 
 
 KEYWORDS_SQL = "list_filter(list_transform(string_split(lower(keywords), ','), lambda k: trim(k)), lambda k: k <> '')"
-PILL_MATCH_SQL = f"""k as (select pill_id, unnest({KEYWORDS_SQL}) as kw from v_pills), m as (select distinct pill_id, track_id, t.album_id, t.score, t.quality
-    from v_tracks t join v_albums a on a.album_id = t.album_id join k on contains(lower(coalesce(a.subjects, '')), kw) or contains(lower(coalesce(t.tags, '')), kw) where {LISTENABLE.replace('status', 't.status')})"""
+PILL_MATCH_SQL = f"""k as (select pill_id, unnest({KEYWORDS_SQL}) as kw from v_pills), m as (select distinct pill_id, t.track_id, t.album_id, t.score, e.quality_score as quality
+    from v_tracks t join v_track_embeddings e on e.track_id = t.track_id join v_albums a on a.album_id = t.album_id join k on contains(lower(coalesce(a.subjects, '')), kw) or contains(lower(coalesce(t.tags, '')), kw) where {LISTENABLE.replace('status', 't.status')})"""
 
 
-@query("pills", "tracks", "albums", sql=f"with {PILL_MATCH_SQL} select pill_id, track_id from m")
-def pill_match(p, t, a):
-    return C.pill_matches(p, t, a).select("pill_id", "track_id")
+@query("pills", "tracks", "track_embeddings", "albums", sql=f"with {PILL_MATCH_SQL} select pill_id, track_id from m")
+def pill_match(p, t, e, a):
+    return C.pill_matches(p, t, e, a).select("pill_id", "track_id")
 
 
 # ---------------------------------------------------------------- joins
@@ -289,13 +293,16 @@ def tracks_with_embeddings(v):
     return v.select("track_id", "title", "album_title", F.size("embedding").alias("dim"))
 
 
-@query("tracks", "albums", sql="""select a.album_id, track_id, coalesce(track_number, 0) as track_number, round(coalesce(quality, 0), 6) as quality, cast(row_number() over (partition by a.album_id order by track_number nulls first, filename nulls first, track_id) as int) as place
-    from v_albums a left join v_tracks t on t.album_id = a.album_id""")
-def album_tracks(t, a):
+@query("tracks", "track_embeddings", sql="""select album_id, t.track_id, filename, coalesce(title, filename) as title, coalesce(track_number, 0) as track_number, status, round(coalesce(quality_score, 0), 6) as quality, coalesce(score, 0) as score,
+    cast(row_number() over (partition by album_id order by track_number nulls first, filename nulls first, t.track_id) as int) as place from v_tracks t left join v_track_embeddings e on e.track_id = t.track_id""")
+def album_tracks(t, e):
     """Tracks with their place in their album, which is all the order there is: albums need no sorting among each other."""
     place = F.row_number().over(Window.partitionBy("album_id").orderBy("track_number", "filename", "track_id"))
-    j = a.select("album_id").join(t, "album_id", "left")
-    return j.select("album_id", "track_id", F.coalesce("track_number", F.lit(0)).alias("track_number"), F.round(F.coalesce("quality", F.lit(0.0)), 6).alias("quality"), place.alias("place"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return C.with_embedding(t, e, "left").select(
+        "album_id", "track_id", "filename", F.coalesce("title", "filename").alias("title"), F.coalesce("track_number", F.lit(0)).alias("track_number"), "status",
+        F.round(zero("quality"), 6).alias("quality"), zero("score").alias("score"), place.alias("place"),
+    )
 
 
 @query("albums", "tracks", sql="select album_id from v_albums a where status in ('resolved', 'unavailable') and coalesce(licenseurl, '') = '' and exists (select 1 from v_tracks t where t.album_id = a.album_id and t.status = 'completed')")
@@ -362,9 +369,13 @@ def link_albums(links):
     return C.insert_or_ignore(links.where("album_id % 2 = 0"), new, ["collection_id", "album_id"], ["album_id"])
 
 
-@query("links", "collections", sql="select collection_id, count(*) as n_links from v_links where collection_id not in (select collection_id from v_collections where status = 'failed') group by collection_id")
+@query("links", "collections", sql="""select 'collection' as part, collection_id, cast(null as bigint) as album_id from v_collections where status <> 'failed'
+    union all select 'link', collection_id, album_id from v_links where collection_id not in (select collection_id from v_collections where status = 'failed')""")
 def remove_collection(links, c):
-    return C.remove_collection(links, c.where("status = 'failed'")).groupBy("collection_id").agg(F.count("*").alias("n_links"))
+    """Failed collections go with their links."""
+    kept, kept_links = C.remove_collection(c, links, c.where("status = 'failed'"))
+    parts = kept.select(F.lit("collection").alias("part"), "collection_id", F.lit(None).cast("bigint").alias("album_id"))
+    return parts.unionByName(kept_links.select(F.lit("link").alias("part"), "collection_id", "album_id"))
 
 
 @query("collections", "albums", "links", sql="""with m as (select * from v_links where collection_id < 10 and (album_id + collection_id) % 3 <> 0), k as (select album_id from v_albums where album_id % 3 <> 0),
@@ -460,27 +471,20 @@ def coverage_by_tier(t):
     return c.select(F.lit("tier").alias("kind"), F.explode("by_tier").alias("name", "n")).unionByName(c.select(F.lit("decision").alias("kind"), F.explode("by_decision").alias("name", "n")))
 
 
-LEXICAL_SQL = """with j as (select t.tags, a.album_id, subjects, genres from v_tracks t join v_albums a using (album_id) where t.status = 'completed'),
-    c as (select count_if(coalesce(tags, '') <> '') as tagged, count_if(coalesce(tags, '') = '') as untagged, count(distinct case when coalesce(subjects, '') = '' then album_id end) as no_subjects,
+LEXICAL_SQL = """with d as (select * from v_tracks where status = 'completed'), j as (select a.album_id, subjects, genres from d join (select * from v_albums where album_id % 8 <> 0) a using (album_id)),
+    c as (select (select count_if(coalesce(tags, '') <> '') from d) as tagged, (select count_if(coalesce(tags, '') = '') from d) as untagged, count(distinct case when coalesce(subjects, '') = '' then album_id end) as no_subjects,
     count(distinct case when coalesce(genres, '') = '' then album_id end) as no_genres, count(distinct album_id) as n_albums from j) select *, n_albums - greatest(no_subjects, no_genres) as with_metadata from c"""
 
 
 @query("tracks", "albums", sql=LEXICAL_SQL)
 def lexical_coverage(t, a):
-    """Of completed tracks and their albums; with metadata are all albums but the larger number that lack one kind."""
-    j = t.where("status = 'completed'").join(a.select("album_id", "subjects", "genres"), "album_id")
-    none = lambda c: F.coalesce(c, F.lit("")) == ""
-    g = j.agg(
-        F.count_if(~none("tags")).alias("tagged"), F.count_if(none("tags")).alias("untagged"),
-        F.count_distinct(F.when(none("subjects"), F.col("album_id"))).alias("no_subjects"), F.count_distinct(F.when(none("genres"), F.col("album_id"))).alias("no_genres"),
-        F.count_distinct("album_id").alias("n_albums"),
-    )
-    return g.withColumn("with_metadata", F.col("n_albums") - F.greatest("no_subjects", "no_genres"))
+    """Tracks count whether or not the catalogue has their album (here it lacks every eighth)."""
+    return C.lexical_coverage(t, a.where("album_id % 8 <> 0"))
 
 
-@query("tracks", sql="select strategy, count(*) as n from v_tracks group by strategy")
-def strategy_counts(t):
-    return t.groupBy("strategy").agg(F.count("*").alias("n"))
+@query("track_embeddings", sql="select sample_strategy as strategy, count(*) as n from v_track_embeddings group by sample_strategy")
+def strategy_counts(e):
+    return e.groupBy(F.col("sample_strategy").alias("strategy")).agg(F.count("*").alias("n"))
 
 
 @query("tracks", sql="select album_id, round(avg(score), 6) as avg_score from v_tracks where status = 'completed' and score is not null group by album_id")
@@ -504,30 +508,33 @@ def album_evidence(t):
 COVERAGE_SQL = f"with {PILL_MATCH_SQL}, n as (select pill_id, count(distinct album_id) as n from m group by pill_id), p as (select p.pill_id, label, sort_order, coalesce(n, 0) as n_albums, enabled and coalesce(n, 0) >= min_library_count as active from v_pills p left join n on n.pill_id = p.pill_id)"
 
 
-@query("pills", "tracks", "albums", sql=f"{COVERAGE_SQL} select pill_id, n_albums from p where n_albums > 0")
-def pill_coverage(p, t, a):
-    return C.pill_coverage(p, t, a).where("n_albums > 0").select("pill_id", "n_albums")
+@query("pills", "tracks", "track_embeddings", "albums", sql=f"{COVERAGE_SQL} select pill_id, n_albums from p where n_albums > 0")
+def pill_coverage(p, t, e, a):
+    return C.pill_coverage(p, t, e, a).where("n_albums > 0").select("pill_id", "n_albums")
 
 
-@query("pills", "tracks", "albums", sql=f"{COVERAGE_SQL} select pill_id, label, n_albums, cast(row_number() over (order by sort_order, pill_id) as int) as rank from p where active")
-def active_pills(p, t, a):
-    return _ranked(C.pill_coverage(p, t, a).where("active"), F.col("sort_order"), F.col("pill_id")).select("pill_id", "label", "n_albums", "rank")
+@query("pills", "tracks", "track_embeddings", "albums", sql=f"{COVERAGE_SQL} select pill_id, label, n_albums, cast(row_number() over (order by sort_order, pill_id) as int) as rank from p where active")
+def active_pills(p, t, e, a):
+    return _ranked(C.pill_coverage(p, t, e, a).where("active"), F.col("sort_order"), F.col("pill_id")).select("pill_id", "label", "n_albums", "rank")
 
 
-@query("pills", "tracks", "albums", sql=f"{COVERAGE_SQL} select * from p")
-def pills_with_coverage(p, t, a):
-    return C.pill_coverage(p, t, a)
+@query("pills", "tracks", "track_embeddings", "albums", sql=f"{COVERAGE_SQL} select * from p")
+def pills_with_coverage(p, t, e, a):
+    return C.pill_coverage(p, t, e, a)
 
 
-@query("links", "collections", sql="select album_id, string_agg(title, ', ' order by title) as names from v_links l join v_collections c on c.collection_id = l.collection_id group by album_id")
+@query("links", "collections", sql="""with c as (select collection_id, case collection_id % 9 when 3 then null when 4 then '' else title end as title from v_collections)
+    select album_id, string_agg(coalesce(nullif(title, ''), c.collection_id::varchar), ', ' order by title nulls first, c.collection_id) as names from v_links l join c on c.collection_id = l.collection_id group by album_id""")
 def collection_names(links, c):
-    j = links.join(c.select("collection_id", "title"), "collection_id")
-    return j.groupBy("album_id").agg(F.expr("listagg(title, ', ') within group (order by title)").alias("names"))
+    """Ids stand for collections without a title (here every ninth, another ninth has an empty one); the order is that of the titles."""
+    c = c.select("collection_id", F.expr("case collection_id % 9 when 3 then null when 4 then '' else title end").alias("title"))
+    return C.collection_names(links, c)
 
 
-@query("links", "albums", sql="select collection_id, count(*) as n_links, count_if(status = 'pending') as n_pending from v_links l join v_albums a on a.album_id = l.album_id group by collection_id")
+@query("links", "albums", sql="select collection_id, count(*) as n_links, count_if(status = 'pending') as n_pending from v_links l left join (select * from v_albums where album_id % 8 <> 0) a on a.album_id = l.album_id group by collection_id")
 def collection_sizes(links, a):
-    j = links.join(a.select("album_id", "status"), "album_id")
+    """All links count, also those of albums that the catalogue lacks (here every eighth)."""
+    j = links.join(a.where("album_id % 8 <> 0").select("album_id", "status"), "album_id", "left")
     return j.groupBy("collection_id").agg(F.count("*").alias("n_links"), F.count_if(F.col("status") == "pending").alias("n_pending"))
 
 
@@ -536,33 +543,34 @@ def collection_sizes(links, a):
 RECENCY_SQL = "r as (select album_id, max(created_seq) as rec, max(case when l.collection_id = 7 then 1 else 0 end) as priority from v_links l join v_collections c on c.collection_id = l.collection_id group by album_id)"
 
 
-def _recency(links: DataFrame, c: DataFrame) -> DataFrame:
-    j = links.join(c.select("collection_id", "created_seq"), "collection_id")
-    return j.groupBy("album_id").agg(F.max("created_seq").alias("rec"), F.max(F.when(F.col("collection_id") == 7, 1).otherwise(0)).alias("priority"))
-
-
-@query("albums", "links", "collections", sql=f"with {RECENCY_SQL} select album_id from v_albums join r using (album_id) where status = 'pending' order by priority desc, rec desc, created_at, album_id limit 100")
+@query("albums", "links", "collections", sql=f"with {RECENCY_SQL} select album_id, cast(row_number() over (order by priority desc, rec desc, created_at, album_id) as int) as rank from v_albums join r using (album_id) where status = 'pending' qualify rank <= 100")
 def resolve_backlog(a, links, c):
-    j = a.where("status = 'pending'").join(_recency(links, c), "album_id")
-    return j.orderBy(F.desc("priority"), F.desc("rec"), "created_at", "album_id").limit(100).select("album_id")
+    order = (F.desc("priority"), F.desc("rec"), "created_at", "album_id")
+    j = a.where("status = 'pending'").join(C.recency(links, c, 7), "album_id")
+    return _ranked(j.orderBy(*order).limit(100), *order).select("album_id", "rank")
 
 
-@query("tracks", "albums", "links", "collections", sql=f"with {RECENCY_SQL} select track_id, t.album_id from v_tracks t join v_albums a on a.album_id = t.album_id left join r on r.album_id = t.album_id where t.status = 'pending' order by priority desc nulls last, rec desc nulls last, track_id limit 200")
+@query("tracks", "shelf", "links", "collections", sql=f"""with {RECENCY_SQL}, n as (select album_id, min(title) as name from v_links l join v_collections c on c.collection_id = l.collection_id group by album_id)
+select t.track_id, t.album_id, t.filename, t.title, coalesce(a.title, a.identifier) as album_title, coalesce(n.name, '') as collection_name, round(coalesce(t.duration, 0), 4) as duration, coalesce(t.bitrate, 0) as bitrate, coalesce(t.tags, '') as tags,
+    coalesce(a.subjects, '') as subjects, coalesce(a.genres, '') as genres, coalesce(a.album_score, 0) as album_score, cast(row_number() over (order by priority desc nulls last, rec desc nulls last, t.track_id) as int) as rank
+from v_tracks t join v_shelf a on a.album_id = t.album_id left join r on r.album_id = t.album_id left join n on n.album_id = t.album_id where t.status = 'pending' qualify rank <= 200""")
 def analysis_backlog(t, a, links, c):
-    j = t.where("status = 'pending'").join(a.select("album_id"), "album_id", "left_semi").join(_recency(links, c), "album_id", "left")
-    return j.orderBy(F.desc_nulls_last("priority"), F.desc_nulls_last("rec"), "track_id").limit(200).select("track_id", "album_id")
+    """With what the analysis needs to know; of several collections the name is that which is first in the alphabet."""
+    return C.analysis_backlog(t, a, links, c, priority=7, n=200)
 
 
-@query("tracks", sql="select track_id from v_tracks where status = 'completed' and version is distinct from 'listenability-v2' and track_id > 1000000 order by track_id limit 300")
-def rescore_backlog(t):
-    old = ~F.col("version").eqNullSafe(F.lit(L.VERSION))
-    return t.where((F.col("status") == "completed") & old & (F.col("track_id") > 1_000_000)).orderBy("track_id").limit(300).select("track_id")
+@query("tracks", "shelf", "track_embeddings", sql="""select t.track_id, t.album_id, coalesce(t.title, '') as title, filename, round(coalesce(duration, 0), 4) as duration, coalesce(bitrate, 0) as bitrate, coalesce(t.tags, '') as tags, coalesce(a.title, '') as album_title,
+    coalesce(creator, '') as album_creator, coalesce(subjects, '') as subjects, coalesce(genres, '') as genres, a.album_score, e.track_id is not null as has_embedding
+    from v_tracks t join v_shelf a on a.album_id = t.album_id left join v_track_embeddings e on e.track_id = t.track_id
+    where t.status = 'completed' and version is distinct from 'listenability-v2' and t.track_id > 1000000 order by t.track_id limit 300""")
+def rescore_backlog(t, a, e):
+    return C.rescore_backlog(t, a, e, L.VERSION, after=1_000_000, n=300)
 
 
-@query("pills", "tracks", "albums", sql=f"with {PILL_MATCH_SQL} select pill_id, track_id, cast(row_number() over (partition by pill_id order by score desc, quality desc, track_id) as int) as rank from m qualify row_number() over (partition by pill_id order by score desc, quality desc, track_id) <= 20")
-def tracks_for_pill(p, t, a):
+@query("pills", "tracks", "track_embeddings", "albums", sql=f"with {PILL_MATCH_SQL} select pill_id, track_id, cast(row_number() over (partition by pill_id order by score desc, quality desc, track_id) as int) as rank from m qualify row_number() over (partition by pill_id order by score desc, quality desc, track_id) <= 20")
+def tracks_for_pill(p, t, e, a):
     w = Window.partitionBy("pill_id").orderBy(F.desc("score"), F.desc("quality"), "track_id")
-    return C.pill_matches(p, t, a).withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("pill_id", "track_id", "rank")
+    return C.pill_matches(p, t, e, a).withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("pill_id", "track_id", "rank")
 
 
 @query("tracks", "track_embeddings", "albums", sql=f"select t.track_id, count(*) over () as total from {EMBEDDED_SQL} order by downloads desc, e.quality_score desc, t.updated_at desc, t.track_id limit 50 offset 50")
@@ -571,9 +579,10 @@ def browse_tracks(t, e, a):
     return _second(C.embedded_tracks(t, e, a), order, 50, 50).select("track_id", "total")
 
 
-@query("albums", sql="select album_id, title, count(*) over () as total from v_albums where status = 'resolved' order by downloads desc, created_at desc, album_id limit 30 offset 30")
-def browse_albums(a):
-    return _second(a.where("status = 'resolved'"), [("downloads", True), ("created_at", True), ("album_id", False)], 30, 30).select("album_id", "title", "total")
+@query("shelf", "tracks", "track_embeddings", sql=f"select {ALBUM_COLUMNS_SQL} from v_shelf a {ALBUM_COUNTS_SQL} order by downloads desc, updated_at desc, a.album_id limit 30 offset 30")
+def browse_albums(a, t, e):
+    """Resolved albums without a pattern, with their counts; the second page."""
+    return _albums_told(_second(C.search_albums(a, t, e, None), [("downloads", True), ("updated_at", True), ("album_id", False)], 30, 30))
 
 
 def _ranked(df: DataFrame, *order) -> DataFrame:
@@ -587,9 +596,10 @@ def list_collections(c):
     return _ranked(c, F.desc("created_seq"), F.col("collection_id")).select("collection_id", "title", "rank")
 
 
-@query("collections", sql="select collection_id, expected_count, cast(row_number() over (order by expected_count desc, collection_id) as int) as rank from v_collections where status = 'pending'")
+@query("collections", sql="select collection_id, expected_count, cast(row_number() over (order by expected_count, collection_id) as int) as rank from v_collections where status in ('pending', 'discovering')")
 def pending_collections(c):
-    return _ranked(c.where("status = 'pending'"), F.desc("expected_count"), F.col("collection_id")).select("collection_id", "expected_count", "rank")
+    """Those that wait and those begun, smallest first."""
+    return _ranked(c.where("status in ('pending', 'discovering')"), F.col("expected_count"), F.col("collection_id")).select("collection_id", "expected_count", "rank")
 
 
 @query("activity", sql="select event_id, type from v_activity order by ts desc, event_id desc limit 100")

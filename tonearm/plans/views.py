@@ -51,7 +51,8 @@ VIEWS = {
         select a.*, case when album_id % 5 = 0 then null when album_id % 5 = 1 then '' when album_id % 12 in (1, 10) then 'pd' when album_id % 12 = 2 then 'cc-by'
                     when album_id % 12 = 3 then 'cc-by-sa' when album_id % 12 = 4 then 'cc-by-nc' when album_id % 12 = 8 then 'cc0' else 'other' end as license,
                case when album_id % 4 = 0 then 'Radio 12' when album_id % 4 = 1 then 'netlabels' end as collection,
-               cast(album_id % 3 as int) as track_count, created_at as updated_at, concat('item_', album_id) as identifier
+               cast(album_id % 3 as int) as track_count, created_at as updated_at, concat('item_', album_id) as identifier,
+               case when album_id % 7 <> 0 then cast(album_id % 100 as double) / 100 end as album_score
         from {albums} a""",
     "track_embeddings": """
         select track_id, quality as quality_score, strategy as sample_strategy from {tracks} where status = 'completed' and track_id % 5 <> 3""",
