@@ -261,3 +261,29 @@ def test_backlogs_in_order_with_context(spark):
     e = spark.createDataFrame([(8,)], "track_id int")
     old = C.rescore_backlog(t, a, e, "new", after=7, n=5).orderBy("track_id").collect()
     assert [(r["track_id"], r["album_score"], r["has_embedding"], r["title"]) for r in old] == [(8, 0.5, True, ""), (10, 0.5, False, "")]
+
+
+def test_transitions_tell_why_and_when(spark):
+    rows = [(1, 10, "failed", 2, "x", 0), (2, 10, "pending", 3, "y", 0), (3, 11, "processing", 0, None, 5), (4, 11, None, 0, "z", 0), (5, 10, "completed", 0, None, 0)]
+    t = spark.createDataFrame(rows, "track_id int, album_id int, status string, retry_count int, error_message string, updated_at int")
+    now = F.lit(9)
+
+    def told(df):
+        return {r["track_id"]: (r["status"], r["retry_count"], r["error_message"], r["updated_at"]) for r in df.collect()}
+
+    same = {r[0]: (r[2], r[3], r[4], r[5]) for r in rows}
+    assert told(C.reset_failed(t, now)) == same | {1: ("pending", 0, None, 9)}
+    assert told(C.reset_stuck(t, "processing", F.lit(5), now)) == same
+    assert told(C.reset_stuck(t, "processing", F.lit(6), now)) == same | {3: ("pending", 0, None, 9)}
+    assert told(C.reset_stuck(t, "processing", F.lit(6), now, why="stuck")) == same | {3: ("pending", 0, "stuck", 9)}
+    why = spark.createDataFrame([(1, "EOF"), (1, "EOF"), (2, None), (7, "x")], "track_id int, error_message string")
+    assert told(C.requeue(t, why, "track_id", now=now)) == same | {1: ("pending", 3, "EOF", 9), 2: ("failed", 4, None, 9)}
+    assert told(C.requeue(t, why, "track_id", count_failures=False, now=now))[2] == ("failed", 3, None, 9)
+    a = spark.createDataFrame([(10, "unavailable", "gone"), (11, "resolved", None)], "album_id int, status string, error_message string")
+    named = spark.createDataFrame([(5, "failed", "decoder")], "track_id int, status string, error_message string")
+    done = C.cascade_album(t, a, named, now)
+    assert told(done) == same | {2: ("unavailable", 3, "gone", 9), 5: ("failed", 0, "decoder", 9)}
+    assert {r["track_id"] for r in done.where("stayed").collect()} == {1}
+    assert [tuple(r) for r in C.cascade_counts(done).collect()] == [(10, 1)]
+    c = spark.createDataFrame([(1, "failed", 7, "p4", "HTTP 500")], "collection_id int, status string, discovered_count int, last_cursor string, error_message string")
+    assert tuple(C.reset_collections(c).first()) == (1, "pending", 0, "", None)

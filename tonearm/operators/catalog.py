@@ -478,13 +478,26 @@ def _to(hit: Column, value, column: str) -> Column:
     return F.when(hit, value).otherwise(F.col(column))
 
 
-def requeue(table: DataFrame, failed: DataFrame, key: str, most: int = 3, count_failures: bool = True) -> DataFrame:
-    """Rows with a failed key go back to pending, or to failed once they were tried ``most`` times."""
-    t = table.join(failed.select(key).distinct().withColumn("hit_", F.lit(True)), key, "left")
-    over = F.col("retry_count") >= most
-    status = F.when(F.col("hit_") & over, "failed").when(F.col("hit_"), "pending").otherwise(F.col("status"))
-    tries = F.col("retry_count") + F.when(F.col("hit_") & (~over | F.lit(count_failures)), 1).otherwise(0)
-    return t.withColumns({"status": status, "retry_count": tries}).drop("hit_")
+def _stamped(new: dict[str, Column], hit: Column, now: Column | None) -> dict[str, Column]:
+    """Columns to set, and ``updated_at`` where a time is given."""
+    return new if now is None else new | {"updated_at": _to(hit, now, "updated_at")}
+
+
+def requeue(table: DataFrame, failed: DataFrame, key: str, most: int = 3, count_failures: bool = True, now: Column | None = None) -> DataFrame:
+    """Rows with a failed key go back to pending, or to failed once they were tried ``most`` times.
+
+    They keep why they failed, where ``failed`` has an ``error_message``; of several reasons of a key one counts.
+    """
+    told = "error_message" in failed.columns
+    keys = one_per_key(failed.select(key, F.col("error_message").alias("why_")) if told else failed.select(key), [key])
+    t = table.join(keys.withColumn("hit_", F.lit(True)), key, "left")
+    hit, over = F.coalesce("hit_", F.lit(False)), F.col("retry_count") >= most
+    status = F.when(hit & over, "failed").when(hit, "pending").otherwise(F.col("status"))
+    new = {"status": status, "retry_count": F.col("retry_count") + F.when(hit & (~over | F.lit(count_failures)), 1).otherwise(0)}
+    if told:
+        t = evolve_schema(t, {"error_message": F.lit(None).cast("string")})
+        new["error_message"] = _to(hit, F.col("why_"), "error_message")
+    return t.withColumns(_stamped(new, hit, now)).drop("hit_", "why_")
 
 
 def apply_status(table: DataFrame, changes: DataFrame, key: str, now: Column | None = None) -> DataFrame:
@@ -503,15 +516,23 @@ def apply_status(table: DataFrame, changes: DataFrame, key: str, now: Column | N
     return t.withColumns(new).drop("hit_", *(f"{n}_new_" for n in names))
 
 
-def reset_stuck(table: DataFrame, busy: str, cutoff: Column) -> DataFrame:
-    """Rows that are ``busy`` since before the cutoff are pending again."""
-    return table.withColumn("status", _to((F.col("status") == busy) & (F.col("updated_at") < cutoff), "pending", "status"))
+def reset_stuck(table: DataFrame, busy: str, cutoff: Column, now: Column | None = None, why: str | None = None) -> DataFrame:
+    """Rows that are ``busy`` since before the cutoff are pending again; with ``why`` (albums) untried too, for that reason."""
+    hit = F.coalesce((F.col("status") == busy) & (F.col("updated_at") < cutoff), F.lit(False))
+    new = {"status": _to(hit, "pending", "status")}
+    if why is not None:
+        table = evolve_schema(table, {"error_message": F.lit(None).cast("string")})
+        new |= {"error_message": _to(hit, why, "error_message"), "retry_count": _to(hit, 0, "retry_count")}
+    return table.withColumns(_stamped(new, hit, now))
 
 
-def reset_failed(table: DataFrame) -> DataFrame:
-    """Failed rows are pending again and untried; unavailable ones stay."""
-    failed = F.col("status") == "failed"
-    return table.withColumns({"status": _to(failed, "pending", "status"), "retry_count": _to(failed, 0, "retry_count")})
+def reset_failed(table: DataFrame, now: Column | None = None) -> DataFrame:
+    """Failed rows are pending again, untried and without an error; unavailable ones stay."""
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    new = {"status": _to(failed, "pending", "status"), "retry_count": _to(failed, 0, "retry_count")}
+    if "error_message" in table.columns:
+        new["error_message"] = F.when(~failed, F.col("error_message"))
+    return table.withColumns(_stamped(new, failed, now))
 
 
 def reset_for_reembedding(tracks: DataFrame, embeddings: DataFrame, strategy: str, status: str = "pending") -> DataFrame:
@@ -541,17 +562,20 @@ def reset_score_version(tracks: DataFrame, old: str, now: Column | None = None)
     return tracks.withColumns(new)
 
 
-def reset_collections(collections: DataFrame) -> DataFrame:
-    return collections.withColumns({"status": F.lit("pending"), "discovered_count": F.lit(0)})
+def reset_collections(collections: DataFrame, now: Column | None = None) -> DataFrame:
+    """All collections wait again from their start: no cursor, no count, no error."""
+    new = {"status": F.lit("pending"), "discovered_count": F.lit(0), "last_cursor": F.lit(""), "error_message": F.lit(None).cast("string")}
+    return collections.withColumns(new if now is None else new | {"updated_at": now})
 
 
-def cascade_album(tracks: DataFrame, albums: DataFrame, named: DataFrame | None = None) -> DataFrame:
-    """Failed or unavailable albums take their pending tracks along; others keep their status.
+def cascade_album(tracks: DataFrame, albums: DataFrame, named: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Failed or unavailable albums take their pending tracks along, with their error if they tell one; others keep their status.
 
     ``named`` (track_id, status, error_message) are tracks that fail themselves, whatever their status. ``cascaded``
-    marks the tracks that went along, ``skipped`` those of such an album that stayed as they were.
+    marks the tracks that went along, ``stayed`` those of such an album that are as they were.
     """
-    gone = albums.where(F.col("status").isin("failed", "unavailable")).select("album_id", F.col("status").alias("new_"))
+    told = [F.col("error_message").alias("because_")] if "error_message" in albums.columns else []
+    gone = albums.where(F.col("status").isin("failed", "unavailable")).select("album_id", F.col("status").alias("new_"), *told)
     t = tracks.join(one_per_key(gone, ["album_id"]), "album_id", "left")
     own = F.lit(False)
     if named is not None:
@@ -563,7 +587,16 @@ def cascade_album(tracks: DataFrame, albums: DataFrame, named: DataFrame | None
     hit = along & (F.col("status") == "pending")
     status = F.when(hit, F.col("new_"))
     status = (status.when(own, F.col("own_")) if named is not None else status).otherwise(F.col("status"))
-    return t.withColumns({"cascaded": hit, "skipped": along & ~hit, "status": status}).drop("new_", "own_", "why_")
+    new = {"cascaded": hit, "stayed": along & ~hit, "status": status}
+    if told:
+        t = evolve_schema(t, {"error_message": F.lit(None).cast("string")})
+        new["error_message"] = _to(hit, F.col("because_"), "error_message")
+    return t.withColumns(_stamped(new, hit | own, now)).drop("new_", "own_", "why_", "because_")
+
+
+def cascade_counts(tracks: DataFrame) -> DataFrame:
+    """Of tracks as ``cascade_album`` gives them, how many pending ones each album took along, as its skipped tracks."""
+    return tracks.where("cascaded").groupBy("album_id").agg(F.count("*").alias("skipped"))
 
 
 def mark_excluded(tracks: DataFrame, scores: DataFrame, now: Column | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def resolve_albums(albums: DataFrame, tracks: DataFrame, items: DataFrame, bad_l
     merged = tracks.unionByName(more, allowMissingColumns=True)
     merged = C.apply_status(C.evolve_schema(merged, {"tags": F.lit(None).cast("string")}), tags.where("tags <> ''"), "album_id", now)
     merged = C.evolve_schema(merged, {"error_message": F.lit(None).cast("string")})
-    merged = C.cascade_album(merged, restricted).withColumn("error_message", F.when(F.col("cascaded"), "access-restricted item").otherwise(F.col("error_message"))).drop("cascaded", "skipped")
+    merged = C.cascade_album(merged, restricted).withColumn("error_message", F.when(F.col("cascaded"), "access-restricted item").otherwise(F.col("error_message"))).drop("cascaded", "stayed")
 
     n = more.groupBy("album_id").agg(F.count("*").alias("track_count"))
     said = said.join(n, "album_id", "left").withColumn("track_count", F.coalesce("track_count", F.lit(0)))

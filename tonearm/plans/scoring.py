@@ -274,33 +274,80 @@ def apply_status(t):
     return done.select("track_id", "status", "error_message", "retry_count", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
-@query("tracks", sql="select track_id, case when track_id % 3 <> 0 then status when retry_count >= 3 then 'failed' else 'pending' end as status, cast(retry_count + case when track_id % 3 = 0 then 1 else 0 end as int) as retry_count from v_tracks")
+THEN = "timestamp_ntz '2000-01-01 00:00:00'"
+
+
+def _then_sql(hit: str) -> str:
+    return f"cast(case when {hit} then timestamp '2000-01-01' else updated_at end as timestamp) as updated_at"
+
+
+def _told(done, *columns: str):
+    return done.select(*columns, F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query("tracks", sql=f"""select track_id, case when track_id % 3 <> 0 then status when retry_count >= 3 then 'failed' else 'pending' end as status, cast(retry_count + case when track_id % 3 = 0 then 1 else 0 end as int) as retry_count,
+    case when track_id % 3 = 0 then 'HTTP 503 ' || track_id end as error_message, {_then_sql("track_id % 3 = 0")} from v_tracks""")
 def requeue_for_retry(t):
-    return C.requeue(t, t.where("track_id % 3 = 0").select("track_id"), "track_id").select("track_id", "status", "retry_count")
+    failed = t.where("track_id % 3 = 0").select("track_id", F.concat(F.lit("HTTP 503 "), F.col("track_id")).alias("error_message"))
+    return _told(C.requeue(t, failed, "track_id", now=F.expr(THEN)), "track_id", "status", "retry_count", "error_message")
 
 
-@query("albums", sql="select album_id, case when album_id % 3 <> 0 then status when retry_count >= 3 then 'failed' else 'pending' end as status, cast(retry_count + case when album_id % 3 = 0 and retry_count < 3 then 1 else 0 end as int) as retry_count from v_albums")
+@query("shelf", sql=f"""select album_id, case when album_id % 3 <> 0 then status when retry_count >= 3 then 'failed' else 'pending' end as status, cast(retry_count + case when album_id % 3 = 0 and retry_count < 3 then 1 else 0 end as int) as retry_count,
+    case when album_id % 3 = 0 then 'EOF ' || album_id end as error_message, {_then_sql("album_id % 3 = 0")} from v_shelf""")
 def requeue_albums(a):
-    return C.requeue(a, a.where("album_id % 3 = 0").select("album_id"), "album_id", count_failures=False).select("album_id", "status", "retry_count")
+    failed = a.where("album_id % 3 = 0").select("album_id", F.concat(F.lit("EOF "), F.col("album_id")).alias("error_message"))
+    return _told(C.requeue(a, failed, "album_id", count_failures=False, now=F.expr(THEN)), "album_id", "status", "retry_count", "error_message")
 
 
-@query("tracks", sql="select track_id, case when track_id % 6 = 0 and updated_at < timestamp '1995-06-01' then 'pending' when track_id % 6 = 0 then 'processing' else status end as status from v_tracks")
+@query("tracks", sql=f"select track_id, case when track_id % 6 = 0 and updated_at < timestamp '1995-06-01' then 'pending' when track_id % 6 = 0 then 'processing' else status end as status, {_then_sql("track_id % 6 = 0 and updated_at < timestamp '1995-06-01'")} from v_tracks")
 def reset_stuck(t):
     busy = t.withColumn("status", F.when(F.col("track_id") % 6 == 0, "processing").otherwise(F.col("status")))
-    return C.reset_stuck(busy, "processing", F.expr("timestamp_ntz '1995-06-01 00:00:00'")).select("track_id", "status")
+    return _told(C.reset_stuck(busy, "processing", F.expr("timestamp_ntz '1995-06-01 00:00:00'"), F.expr(THEN)), "track_id", "status")
 
 
-@query("tracks", sql="select track_id, case when status = 'failed' then 'pending' else status end as status, cast(case when status = 'failed' then 0 else retry_count end as int) as retry_count from v_tracks")
-def reset_failed(t):
-    return C.reset_failed(t).select("track_id", "status", "retry_count")
+@query("shelf", sql=f"""with x as (select *, album_id % 6 = 0 and updated_at < timestamp '1995-06-01' as stuck from v_shelf)
+    select album_id, case when stuck then 'pending' when album_id % 6 = 0 then 'resolving' else status end as status, cast(case when stuck then 0 else retry_count end as int) as retry_count,
+    case when stuck then 'stuck resolving (reset)' end as error_message, {_then_sql("stuck")} from x""")
+def reset_stuck_albums(a):
+    """Albums also tell why they wait again, and start untried."""
+    busy = a.withColumn("status", F.when(F.col("album_id") % 6 == 0, "resolving").otherwise(F.col("status")))
+    done = C.reset_stuck(busy, "resolving", F.expr("timestamp_ntz '1995-06-01 00:00:00'"), F.expr(THEN), why="stuck resolving (reset)")
+    return _told(done, "album_id", "status", "retry_count", "error_message")
 
 
-@query("tracks", "albums", sql="""with j as (select t.track_id, t.status, a.status = 'unavailable' as gone, t.track_id % 50 = 0 as named from v_tracks t left join v_albums a on a.album_id = t.album_id)
-    select track_id, case when named then 'failed' when gone and status = 'pending' then 'unavailable' else status end as status, case when named then 'decoder' end as error_message,
-    coalesce(gone and not named and status = 'pending', false) as cascaded, coalesce(gone and not named and status <> 'pending', false) as skipped from j""")
-def cascade_album(t, a):
+@query("tracks", "shelf", sql=f"""select 'track' as part, track_id as id, case when status = 'failed' then 'pending' else status end as status, cast(case when status = 'failed' then 0 else retry_count end as int) as retry_count,
+    case when status <> 'failed' then 'was ' || status end as error_message, {_then_sql("status = 'failed'")} from v_tracks
+    union all select 'album', album_id, case when down then 'pending' else status end, cast(case when down then 0 else retry_count end as int), case when not down then 'was ' || status end, {_then_sql("down")} from (select *, status = 'unavailable' and album_id % 2 = 1 as down from v_shelf)""")
+def reset_failed(t, a):
+    """Tracks and albums; every other unavailable album has failed here."""
+    a = a.withColumn("status", F.when(F.expr("status = 'unavailable' and album_id % 2 = 1"), "failed").otherwise(F.col("status")))
+    parts = []
+    for part, df, key in (("track", t, "track_id"), ("album", a, "album_id")):
+        done = C.reset_failed(df.withColumn("error_message", F.concat(F.lit("was "), F.col("status"))), F.expr(THEN))
+        parts.append(_told(done.select(F.lit(part).alias("part"), F.col(key).alias("id"), "status", "retry_count", "error_message", "updated_at"), "part", "id", "status", "retry_count", "error_message"))
+    return parts[0].unionByName(parts[1])
+
+
+CASCADE_SQL = """j as (select t.track_id, t.album_id, t.status, t.updated_at, coalesce(a.status = 'unavailable', false) as gone, coalesce(t.track_id % 50 = 0, false) as named from v_tracks t left join v_albums a on a.album_id = t.album_id)"""
+
+
+def _cascaded(t, a):
     named = t.where("track_id % 50 = 0").select("track_id", F.lit("failed").alias("status"), F.lit("decoder").alias("error_message"))
-    return C.cascade_album(t, a, named).select("track_id", "status", "error_message", "cascaded", "skipped")
+    why = F.when(F.col("status") == "unavailable", F.concat(F.lit("album "), F.col("album_id"), F.lit(" is gone")))
+    return C.cascade_album(t, a.withColumn("error_message", why), named, F.expr(THEN))
+
+
+@query("tracks", "albums", sql=f"""with {CASCADE_SQL}
+    select track_id, case when named then 'failed' when gone and status = 'pending' then 'unavailable' else status end as status, case when named then 'decoder' when gone and status = 'pending' then 'album ' || album_id || ' is gone' end as error_message,
+    gone and not named and status = 'pending' as cascaded, gone and not named and status <> 'pending' as stayed, {_then_sql("named or (gone and status = 'pending')")} from j""")
+def cascade_album(t, a):
+    return _told(_cascaded(t, a), "track_id", "status", "error_message", "cascaded", "stayed")
+
+
+@query("tracks", "albums", sql=f"with {CASCADE_SQL} select album_id, count(*) as skipped from j where gone and not named and status = 'pending' group by album_id")
+def cascade_counts(t, a):
+    """What the report of a cascade tells: how many pending tracks each album took along."""
+    return C.cascade_counts(_cascaded(t, a))
 
 
 @query("tracks", "track_embeddings", sql="""with o as (select track_id from v_track_embeddings where sample_strategy <> 'head'), x as (select *, status = 'completed' and track_id in (select track_id from o) as hit from v_tracks)
@@ -329,9 +376,10 @@ def evolve_schema(a, t):
     return wider.select("album_id", F.coalesce("prechecked", F.lit(False)).alias("prechecked"), "curator")
 
 
-@query("collections", sql="select collection_id, 'pending' as status, cast(0 as int) as discovered_count from v_collections")
+@query("collections", sql="select collection_id, 'pending' as status, cast(0 as int) as discovered_count, '' as last_cursor, cast(null as varchar) as error_message, timestamp '2000-01-01' as updated_at from v_collections")
 def reset_collections(c):
-    return C.reset_collections(c).select("collection_id", "status", "discovered_count")
+    begun = c.withColumns({"last_cursor": F.concat(F.lit("page "), F.col("collection_id")), "error_message": F.when(F.col("status") == "failed", "HTTP 500")})
+    return C.reset_collections(begun, F.expr(THEN)).select("collection_id", "status", "discovered_count", "last_cursor", "error_message", "updated_at")
 
 
 @query("albums", sql=f"""select album_id, case when album_id % 2 = 0 then 'live' else subjects end as subjects, case when album_id % 4 = 0 then 'folk' else genres end as genres,
