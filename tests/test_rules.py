@@ -287,3 +287,21 @@ def test_transitions_tell_why_and_when(spark):
     assert [tuple(r) for r in C.cascade_counts(done).collect()] == [(10, 1)]
     c = spark.createDataFrame([(1, "failed", 7, "p4", "HTTP 500")], "collection_id int, status string, discovered_count int, last_cursor string, error_message string")
     assert tuple(C.reset_collections(c).first()) == (1, "pending", 0, "", None)
+
+
+def test_rescoring_reads_embeddings_and_writes_all(spark):
+    rows = [(i, 1, "A song", f"f{i}.mp3", 200.0, 256, "rock", 1.0, status, version, "old error") for i, status, version in ((1, "completed", "v1"), (2, "completed", None), (3, "completed", "v2"), (4, "pending", None))]
+    rows.append((5, 1, "A song", "f5.mp3", 20.0, 256, "rock", 1.0, "completed", "v1", None))
+    t = spark.createDataFrame(rows, "track_id long, album_id long, title string, filename string, duration double, bitrate int, tags string, quality double, status string, version string, error_message string")
+    t = t.selectExpr("*", "0.1D as score", "'poor' as tier", "'default' as stream", "'demote' as decision", "1 as updated_at")
+    a = spark.createDataFrame([(1, "A", "B", "rock", "rock")], "album_id long, title string, creator string, subjects string, genres string")
+    e = spark.createDataFrame([(1, 0.9), (5, 0.9)], "track_id long, quality_score double")
+    prompts = spark.createDataFrame([(i, 0.2, 0.3, 0.1, "noise") for i in (1, 2, 3, 4, 5)], "track_id long, margin double, positive double, negative double, strongest string")
+    scores = C.rescore(t, a, e, prompts, "v2")
+    got = {r["track_id"]: r for r in scores.collect()}
+    assert set(got) == {1, 2, 5} and got[1]["components"]["technical_quality"] == 0.9 and got[2]["components"]["technical_quality"] == 0.0
+    assert got[1]["components"]["content_type"] > got[2]["components"]["content_type"]  # prompts count for embedded tracks only
+    done = {r["track_id"]: r for r in C.merge_scores(t, scores, mark=True, now=F.lit(7)).collect()}
+    assert {i: (r["status"], r["checked_at"], r["updated_at"]) for i, r in done.items()} == {1: ("completed", 7, 1), 2: ("completed", 7, 1), 3: ("completed", None, 1), 4: ("pending", None, 1), 5: ("unavailable", 7, 7)}
+    assert done[5]["error_message"] == f"listenability: exclude decision (score={got[5]['score']:.3f} tier={got[5]['tier']})"
+    assert done[1]["reasons"] == got[1]["reasons"] and done[1]["tier"] == got[1]["tier"] and done[3]["reasons"] is None and done[3]["score"] == 0.1

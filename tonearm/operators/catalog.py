@@ -600,15 +600,32 @@ def cascade_counts(tracks: DataFrame) -> DataFrame:
 
 
 def mark_excluded(tracks: DataFrame, scores: DataFrame, now: Column | None = None) -> DataFrame:
-    """Tracks whose score excludes them are unavailable, with the reasons as their error."""
+    """Tracks whose score excludes them are unavailable; the error tells score and tier."""
     out = scores.where("decision = 'exclude'")
-    error = F.concat(F.lit("listenability: "), F.array_join("reasons", ", "))
+    error = F.concat(F.lit("listenability: exclude decision (score="), F.col("score").cast("decimal(10, 3)").cast("string"), F.lit(" tier="), F.col("tier"), F.lit(")"))
     return apply_status(tracks, out.select("track_id", F.lit("unavailable").alias("status"), error.alias("error_message")), "track_id", now)
 
 
+def rescore(tracks: DataFrame, albums: DataFrame, embeddings: DataFrame, prompts: DataFrame, version: str) -> DataFrame:
+    """Scores of completed tracks whose score has another version or none.
+
+    Quality and prompts are those of embedded tracks; others count as of quality 0 and by their metadata. The evidence is
+    that of whole albums.
+    """
+    old = tracks.where((F.col("status") == "completed") & ~F.col("version").eqNullSafe(F.lit(version)))
+    plain = with_embedding(old.drop("score", "tier", "stream", "decision", "version", "reasons", "components"), embeddings, "left")
+    known = prompts.join(embeddings.select("track_id"), "track_id", "left_semi")
+    return score_tracks(plain, albums, album_evidence(tracks), known)
+
+
 def merge_scores(tracks: DataFrame, scores: DataFrame, mark: bool = False, now: Column | None = None) -> DataFrame:
-    """Scores replace those of their tracks; with ``mark`` excluded tracks are made unavailable too."""
-    done = update_annotations(tracks, scores.select("track_id", "score", "tier", "stream", "decision", "version"), "track_id")
+    """Scores with all that they tell replace those of their tracks; with ``mark`` excluded tracks are made unavailable too.
+
+    Where a time is given, scored tracks are checked then, and made unavailable then.
+    """
+    told = scores.select("track_id", "score", "tier", "stream", "decision", "version", "reasons", "components")
+    told = told if now is None else told.withColumn("checked_at", now)
+    done = update_annotations(tracks, told, "track_id")
     return mark_excluded(done, scores, now) if mark else done
 
 

@@ -69,6 +69,10 @@ def _prompts(t: DataFrame) -> DataFrame:
     return t.where("track_id % 5 < 3").select("track_id", ((k - 3) / 20).alias("margin"), (k / 20).alias("positive"), F.lit(0.15).alias("negative"), F.lit("silence or test tone").alias("strongest"))
 
 
+#: When changes are made.
+THEN = "timestamp_ntz '2000-01-01 00:00:00'"
+
+
 def _told(s: DataFrame) -> DataFrame:
     return s.select("track_id", "score", "tier", "stream", "decision", F.array_join("reasons", "|").alias("reasons"))
 
@@ -85,15 +89,14 @@ def precheck_tracks(t, a):
     return _told(C.score_tracks(pending, a))
 
 
-@query("tracks", "albums", sql=score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'"))
-def rescore_stale(t, a):
-    """Only tracks with a missing or older version are scored; the evidence is that of whole albums."""
-    stale = t.where((F.col("status") == "completed") & ~F.col("version").eqNullSafe(F.lit(L.VERSION)))
-    return _told(C.score_tracks(stale.drop("score", "stream", "decision", "version"), a, C.album_evidence(t), _prompts(t)))
+EMBEDDED = "(select t.* replace (e.quality_score as quality) from v_tracks t left join v_track_embeddings e on e.track_id = t.track_id)"
+RESCORED_SQL = score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'", EMBEDDED)
 
 
-WRITE_BACK_SQL = """with s as ({scored}) select t.track_id, case when s.decision = 'exclude' then 'unavailable' else t.status end as status,
-    case when s.decision = 'exclude' then 'listenability: ' || replace(s.reasons, '|', ', ') end as error_message"""
+@query("tracks", "albums", "track_embeddings", sql=RESCORED_SQL)
+def rescore_stale(t, a, e):
+    """Only tracks with a missing or older version are scored; the evidence is that of whole albums."""
+    return _told(C.rescore(t, a, e, _prompts(t), L.VERSION))
 
 
 PRECHECK_REASON_SQL = """case when t.duration > 0 and t.duration < 60 then 'listenability: duration ' || printf('%.1f', round(t.duration, 1)) || 's below 60s minimum'
@@ -108,13 +111,16 @@ def precheck_status(t, a):
     return C.apply_status(t, out.select("track_id", F.lit("unavailable").alias("status"), "error_message"), "track_id").select("track_id", "status", "error_message")
 
 
-@query("tracks", "albums", sql=f"""{WRITE_BACK_SQL.format(scored=score_sql(True, True, "where t.status = 'completed' and t.version is distinct from 'listenability-v2'"))},
-    coalesce(s.score, t.score) as score, coalesce(s.decision, t.decision) as decision, case when s.track_id is not null then 'listenability-v2' else t.version end as version from v_tracks t left join s on s.track_id = t.track_id""")
-def rescore_merge(t, a):
-    """What rescoring does to the table: new scores and versions, and excluded tracks unavailable."""
-    stale = t.where((F.col("status") == "completed") & ~F.col("version").eqNullSafe(F.lit(L.VERSION)))
-    scores = C.score_tracks(stale.drop("score", "stream", "decision", "version"), a, C.album_evidence(t), _prompts(t))
-    return C.merge_scores(t, scores, mark=True).select("track_id", "status", "error_message", "score", "decision", "version")
+@query("tracks", "albums", "track_embeddings", sql=f"""with s as ({RESCORED_SQL}) select t.track_id, case when s.decision = 'exclude' then 'unavailable' else t.status end as status,
+    case when s.decision = 'exclude' then 'listenability: exclude decision (score=' || s.score::decimal(10, 4)::decimal(10, 3)::varchar || ' tier=' || s.tier || ')' end as error_message, coalesce(s.score, t.score) as score, coalesce(s.tier, t.tier) as tier,
+    coalesce(s.stream, t.stream) as stream, coalesce(s.decision, t.decision) as decision, case when s.track_id is not null then 'listenability-v2' else t.version end as version, s.reasons,
+    case when s.track_id is not null then timestamp '2000-01-01' end as checked_at, cast(case when s.decision = 'exclude' then timestamp '2000-01-01' else t.updated_at end as timestamp) as updated_at
+    from v_tracks t left join s on s.track_id = t.track_id""")
+def rescore_merge(t, a, e):
+    """What rescoring does to the table: new scores with all they tell, and excluded tracks unavailable."""
+    scores = C.rescore(t, a, e, _prompts(t), L.VERSION)
+    done = C.merge_scores(t, scores, mark=True, now=F.expr(THEN)).withColumn("reasons", F.array_join("reasons", "|"))
+    return _stamped(done, "track_id", "status", "error_message", "score", "tier", "stream", "decision", "version", "reasons", "checked_at")
 
 
 def album_score_sql(albums: str = "v_albums", tracks: str = "v_tracks", count: str = "e.track_count") -> str:
@@ -274,14 +280,11 @@ def apply_status(t):
     return done.select("track_id", "status", "error_message", "retry_count", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
-THEN = "timestamp_ntz '2000-01-01 00:00:00'"
-
-
 def _then_sql(hit: str) -> str:
     return f"cast(case when {hit} then timestamp '2000-01-01' else updated_at end as timestamp) as updated_at"
 
 
-def _told(done, *columns: str):
+def _stamped(done, *columns: str):
     return done.select(*columns, F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
@@ -289,20 +292,20 @@ def _told(done, *columns: str):
     case when track_id % 3 = 0 then 'HTTP 503 ' || track_id end as error_message, {_then_sql("track_id % 3 = 0")} from v_tracks""")
 def requeue_for_retry(t):
     failed = t.where("track_id % 3 = 0").select("track_id", F.concat(F.lit("HTTP 503 "), F.col("track_id")).alias("error_message"))
-    return _told(C.requeue(t, failed, "track_id", now=F.expr(THEN)), "track_id", "status", "retry_count", "error_message")
+    return _stamped(C.requeue(t, failed, "track_id", now=F.expr(THEN)), "track_id", "status", "retry_count", "error_message")
 
 
 @query("shelf", sql=f"""select album_id, case when album_id % 3 <> 0 then status when retry_count >= 3 then 'failed' else 'pending' end as status, cast(retry_count + case when album_id % 3 = 0 and retry_count < 3 then 1 else 0 end as int) as retry_count,
     case when album_id % 3 = 0 then 'EOF ' || album_id end as error_message, {_then_sql("album_id % 3 = 0")} from v_shelf""")
 def requeue_albums(a):
     failed = a.where("album_id % 3 = 0").select("album_id", F.concat(F.lit("EOF "), F.col("album_id")).alias("error_message"))
-    return _told(C.requeue(a, failed, "album_id", count_failures=False, now=F.expr(THEN)), "album_id", "status", "retry_count", "error_message")
+    return _stamped(C.requeue(a, failed, "album_id", count_failures=False, now=F.expr(THEN)), "album_id", "status", "retry_count", "error_message")
 
 
 @query("tracks", sql=f"select track_id, case when track_id % 6 = 0 and updated_at < timestamp '1995-06-01' then 'pending' when track_id % 6 = 0 then 'processing' else status end as status, {_then_sql("track_id % 6 = 0 and updated_at < timestamp '1995-06-01'")} from v_tracks")
 def reset_stuck(t):
     busy = t.withColumn("status", F.when(F.col("track_id") % 6 == 0, "processing").otherwise(F.col("status")))
-    return _told(C.reset_stuck(busy, "processing", F.expr("timestamp_ntz '1995-06-01 00:00:00'"), F.expr(THEN)), "track_id", "status")
+    return _stamped(C.reset_stuck(busy, "processing", F.expr("timestamp_ntz '1995-06-01 00:00:00'"), F.expr(THEN)), "track_id", "status")
 
 
 @query("shelf", sql=f"""with x as (select *, album_id % 6 = 0 and updated_at < timestamp '1995-06-01' as stuck from v_shelf)
@@ -312,7 +315,7 @@ def reset_stuck_albums(a):
     """Albums also tell why they wait again, and start untried."""
     busy = a.withColumn("status", F.when(F.col("album_id") % 6 == 0, "resolving").otherwise(F.col("status")))
     done = C.reset_stuck(busy, "resolving", F.expr("timestamp_ntz '1995-06-01 00:00:00'"), F.expr(THEN), why="stuck resolving (reset)")
-    return _told(done, "album_id", "status", "retry_count", "error_message")
+    return _stamped(done, "album_id", "status", "retry_count", "error_message")
 
 
 @query("tracks", "shelf", sql=f"""select 'track' as part, track_id as id, case when status = 'failed' then 'pending' else status end as status, cast(case when status = 'failed' then 0 else retry_count end as int) as retry_count,
@@ -324,7 +327,7 @@ def reset_failed(t, a):
     parts = []
     for part, df, key in (("track", t, "track_id"), ("album", a, "album_id")):
         done = C.reset_failed(df.withColumn("error_message", F.concat(F.lit("was "), F.col("status"))), F.expr(THEN))
-        parts.append(_told(done.select(F.lit(part).alias("part"), F.col(key).alias("id"), "status", "retry_count", "error_message", "updated_at"), "part", "id", "status", "retry_count", "error_message"))
+        parts.append(_stamped(done.select(F.lit(part).alias("part"), F.col(key).alias("id"), "status", "retry_count", "error_message", "updated_at"), "part", "id", "status", "retry_count", "error_message"))
     return parts[0].unionByName(parts[1])
 
 
@@ -341,7 +344,7 @@ def _cascaded(t, a):
     select track_id, case when named then 'failed' when gone and status = 'pending' then 'unavailable' else status end as status, case when named then 'decoder' when gone and status = 'pending' then 'album ' || album_id || ' is gone' end as error_message,
     gone and not named and status = 'pending' as cascaded, gone and not named and status <> 'pending' as stayed, {_then_sql("named or (gone and status = 'pending')")} from j""")
 def cascade_album(t, a):
-    return _told(_cascaded(t, a), "track_id", "status", "error_message", "cascaded", "stayed")
+    return _stamped(_cascaded(t, a), "track_id", "status", "error_message", "cascaded", "stayed")
 
 
 @query("tracks", "albums", sql=f"with {CASCADE_SQL} select album_id, count(*) as skipped from j where gone and not named and status = 'pending' group by album_id")
