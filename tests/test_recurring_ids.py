@@ -33,3 +33,7 @@ def same(spark, recurring, name):
 @pytest.mark.parametrize("name", ["combined_stats", "write_stats_json", "albums_untagged"])
 def test_statistics(spark, recurring, name):
     same(spark, recurring, name)
+
+
+def test_matches_of_pills(spark, recurring):
+    same(spark, recurring, "pill_match")
