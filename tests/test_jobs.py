@@ -1,6 +1,7 @@
 """Registered jobs over whole texts and growing tables."""
 
-from tonearm.plans import analysis, jobs
+from tonearm.plans import analysis, catalog, jobs
+from tonearm.plans.views import view
 
 
 def test_letters_count_the_whole_text():
@@ -13,3 +14,11 @@ def test_tracks_grow_with_the_vectors(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert analysis.frame_spectra(spark, str(tmp_path)).count() == 36_000
     assert analysis.pool_quality(spark, str(tmp_path)).count() == 720
+
+
+def test_listenability_of_all_albums(spark):
+    """Albums without completed tracks have a row too."""
+    sf_dir = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["album_listenability"](spark, sf_dir)
+    assert got.count() == view(spark, sf_dir, "tracks").select("album_id").distinct().count()
+    assert not got.where("avg_score is null").count() and got.where("avg_completed is null").count()
