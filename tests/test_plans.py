@@ -29,15 +29,13 @@ def test_words_of_a_row_are_taken_once(spark):
     assert "split(" not in fold[: fold.index("AS s")]
 
 
-def few(heads):
-    """A model that takes so many heads and no more."""
-    assert len(heads) <= 256
-    return [[float(h[0]), 1.0] for h in heads]
-
-
 def test_models_and_spectra_take_some_rows_at_a_time(spark):
     from tonearm.operators import audio as A
 
+    def few(heads):  # a model that takes so many and no more
+        assert len(heads) <= 256
+        return [[float(h[0]), 1.0] for h in heads]
+
     f = spark.range(1500).selectExpr("id div 2 as track_id", "cast(id % 2 as int) as frame_no", "48000 as sample_rate", "array_repeat(cast(id as float), if(id % 5 = 0, 1000, 2048)) as samples").coalesce(1)
     heads = {r["track_id"]: r["v"] for r in A.embed_heads(f, 10, few, "v").collect()}
     assert len(heads) == 750 and all(abs(v[0] - 2 * t / (4 * t * t + 1) ** 0.5) < 1e-6 for t, v in heads.items())
