@@ -138,8 +138,11 @@ def write_catalog(df: DataFrame, path: str, partition: str = "status") -> None:
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
-    """A table in sorted buckets of a key, under a name: joins and groups of it by the key need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    """A table in sorted buckets of a key, under a name: joins and groups of it by the key need no exchange.
+
+    Rows are dealt by bucket first, so that a bucket is one file.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
