@@ -42,3 +42,13 @@ def test_models_and_spectra_take_some_rows_at_a_time(spark):
     assert A.embed_column(f.selectExpr("track_id", "samples"), "samples", few).count() == 1500
     assert len(A.embed_column(f.selectExpr("track_id", "samples"), "samples", few).collect()) == 1500
     assert A.frame_spectra(f).count() == 1200
+
+
+def test_buckets_and_links(spark):
+    from tonearm.operators import catalog as C
+    from tonearm.plans import jobs
+
+    assert jobs.buckets(1) == 8 and jobs.buckets(216_000_000) == 216
+    new = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "collection_id int, album_id long")
+    done = C.insert_or_ignore(new.limit(0), new, ["collection_id", "album_id"], ["album_id"])
+    assert done.count() == 2 and "Window" not in plan(done)

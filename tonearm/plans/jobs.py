@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 def written(df: DataFrame, what: str) -> str:
     path = scratch(df.sparkSession, what)
-    df.write.text(path)
+    df.write.option("compression", "lz4").text(path)  # lines of JSON: mostly names that recur
     return path
 
 
@@ -162,10 +162,19 @@ def scan_seed_tables(spark, sf_dir):
     return told.unionByName(found.withColumn("none", F.lit(None).cast("boolean")).select(*of("collection", "collection_id", "title", "category", "none", "expected_count")))
 
 
+#: Rows of a bucket, at most.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets(rows: int) -> int:
+    """How many buckets so many rows take: they grow in number, not in length."""
+    return max(8, -(-rows // BUCKET_ROWS))
+
+
 @query("""select collection_id, count(*) as n, round(avg(score), 6) as score, count(e.track_id) as embedded from v_tracks t join v_links l on l.album_id = t.album_id left join v_track_embeddings e on e.track_id = t.track_id group by collection_id""")
 def bucketed_catalog(spark, sf_dir):
     """Tracks and embeddings in buckets of tracks, albums' tracks and links in buckets of albums: joins on them need no exchange."""
-    unique, n = scratch(spark, "b").rsplit("-", 1)[1], 8
+    unique, n = scratch(spark, "b").rsplit("-", 1)[1], buckets(view(spark, sf_dir, "lineitem").count())
     put = lambda df, name, key: I.write_bucketed(df, f"{name}_{unique}", scratch(spark, name), key, n)
     t = put(view(spark, sf_dir, "tracks").select("track_id", "album_id", "score"), "tracks", "track_id")
     e = put(view(spark, sf_dir, "track_embeddings").select("track_id", F.lit(1).alias("has")), "embeddings", "track_id")

@@ -11,7 +11,7 @@ from tonearm.sources.scratch import scratch
 def materialised(df: DataFrame, what: str = "step") -> DataFrame:
     """``df`` written to a new table in the shared folder and read again, for what is read more than once."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
