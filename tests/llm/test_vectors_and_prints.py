@@ -107,6 +107,23 @@ def test_links_in_crowds(spark, monkeypatch, crowd):
         assert len(found) < 64 * len(some)
 
 
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """64 rows a fingerprint look as small as one to Spark, however many fingerprints there are."""
+    r, plans = random.Random(5), []
+    saved = simhash.saved
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(df)
+
+    monkeypatch.setattr(simhash, "saved", told)
+    path = saved(spark.createDataFrame([(r.getrandbits(63),) for _ in range(300)], "fingerprint long"))
+    simhash.links(path)
+    assert any("SortMergeJoin [key" in p for p in plans) and not any("BroadcastHashJoin [key" in p for p in plans)
+    around = [p for p in plans if "LeftSemi" in p]
+    assert around and not any(re.search(r"BroadcastHashJoin [^\n]*LeftSemi", p) for p in around)
+
+
 # ---------------------------------------------------------------- whitening
 
 

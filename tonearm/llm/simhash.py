@@ -89,12 +89,13 @@ def links(prints: DataFrame) -> DataFrame:
     crowded = saved(halves.groupBy("half", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("half", "value"))
     beside = F.expr("transform(sequence(0, 31), p -> value ^ shiftleft(1L, p))")
     around = crowded.unionByName(crowded.select("half", F.explode(beside).alias("value"))).distinct()
-    apart = saved(halves.join(around, ["half", "value"], "left_semi").select("fingerprint").distinct())
+    # Spark tells the size of exploded rows by their width, not by their number, and would send 64 rows a fingerprint to all
+    apart = saved(halves.join(around.hint("merge"), ["half", "value"], "left_semi").select("fingerprint").distinct())
     index = _variants(halves.join(crowded, ["half", "value"], "left_anti"))
     a, b = (index.select("key", F.col("fingerprint").alias(n), F.col("bit").alias(f"{n}_bit"), "first") for n in "ab")
     # two with the same half would meet under every place: the first is enough
     meet = (F.col("a") < F.col("b")) & ((F.col("a_bit") != F.col("b_bit")) | F.col("first"))
-    met = a.join(b.drop("first"), "key").where(meet & _near("a", "b")).select("a", "b")
+    met = a.join(b.drop("first").hint("merge"), "key").where(meet & _near("a", "b")).select("a", "b")
     balls = F.expr("concat(array(fingerprint), transform(sequence(0, 63), p -> fingerprint ^ shiftleft(1L, p)))")
     named = apart.select("fingerprint", F.explode(balls).alias("name"))
     stars = named.groupBy("name").agg(F.collect_list("fingerprint").alias("all")).where(F.size("all") > 1)  # 65 at most
